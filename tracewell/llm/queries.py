@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import read
+from . import langid, quality, simhash
+from .common import key_mod, read
+
+QUALITY_CUT = 0.3
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +20,28 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", key_mod("doc_id", 4) == 2)
+    model = langid.fit(docs.where("not held_out"), "text", "lang")
+    return langid.identify(docs, model, also=("doc_id", "held_out"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(key_mod("doc_id", 5) != 0)
+    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
+    return quality.fit(labelled, "doc_id", "text", "quality")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", key_mod("doc_id", 5) == 0)
+    model = quality_model(spark, docs, sf_dir)
+    scored = quality.score(docs, model, also=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
     "op4_simhash": op4_simhash,
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}

@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, simhash
+from . import langid, packing, quality, simhash
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(read(spark, sf_dir, "documents"))
     return groups.select(
@@ -26,6 +32,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, also=("doc_id", "held_out"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(key_mod("doc_id", 5) != 0)
     labelled = docs.select("doc_id", "text").join(labels, "doc_id")
@@ -42,6 +52,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, quality, simhash
+from . import fingerprint, langid, packing, quality, simhash, substrings
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
@@ -53,11 +53,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_fingerprint": op3_fingerprint,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op8_quality": op8_quality,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}

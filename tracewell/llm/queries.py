@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, packing, quality, simhash, substrings
+from . import embeddings, fingerprint, langid, packing, quality, simhash, substrings
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
@@ -26,6 +26,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = embeddings.near_vectors(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return near.withColumnRenamed("id", "vec_id")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", key_mod("doc_id", 4) == 2)
     model = langid.fit(docs.where("not held_out"), "text", "lang")
@@ -58,6 +63,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embeddings": op1_embeddings,
     "op2_langid": op2_langid,
     "op3_fingerprint": op3_fingerprint,
     "op4_simhash": op4_simhash,

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, langid, packing, quality, simhash, substrings
+from . import embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, substrings, urlfilter
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
 
 
-def tokenizer_path() -> str:
+def vocabulary() -> tuple[str, str]:
+    """The vocabulary's files: for the tokenizer, and as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,52 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(read(spark, sf_dir, "documents"), *vocabulary())
+
+
+def dated_lists(captures: DataFrame) -> DataFrame:
+    """Dated list entries over the hosts that the captures show; their days and the share of
+    hosts follow from each host's first page and number of pages."""
+    hosts = captures.select(urlfilter.host_of("url").alias("host"), "page_id").where("host <> ''")
+    hosts = hosts.groupBy("host").agg(F.min("page_id").alias("lo"), F.count(F.lit(1)).alias("n"))
+    site = r"regexp_replace(host, '^(www|m|blog)\\.', '')"
+    rows = [
+        ("spam", "host", "host", "add", "lo % 200", "lo % 3 = 0"),
+        ("spam", "host", "host", "remove", "lo % 200 + 30 + n % 60", "lo % 3 = 0"),
+        ("spam", "host", "host", "add", "lo % 200 + 120 + n % 60", "lo % 6 = 0"),
+        ("adult", "domain", site, "add", "lo % 300", "lo % 5 = 1"),
+        ("adult", "domain", site, "remove", "lo % 300 + 45", "lo % 10 = 1"),
+        ("copyright", "prefix", "concat(host, '/en')", "add", "lo % 250", "lo % 7 = 2"),
+    ]
+    made = [
+        f"if({when}, named_struct('list', '{name}', 'kind', '{kind}', 'value', {value}, 'action', '{action}', "
+        f"'day', date_add(date'2024-01-01', cast({day} as int))), null)"
+        for name, kind, value, action, day, when in rows
+    ]
+    entries = hosts.select(F.explode(F.expr(f"filter(array({', '.join(made)}), x -> x is not null)")).alias("e"))
+    return entries.select("e.*")
+
+
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = read(spark, sf_dir, "pages").select(
+        "page_id", "url", F.expr("date_add(date'2024-01-01', cast(page_id * 7919 % 366 as int))").alias("fetched_on")
+    )
+    return urlfilter.judge(captures, dated_lists(captures))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumns(
+        {"source": F.coalesce("source", F.lit(mixing.UNKNOWN)), "lang": F.coalesce("lang", F.lit(mixing.UNKNOWN))}
+    )
+    return mixing.mix(docs).select(
+        "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+        F.round("mix_weight", 9).alias("cell_weight"), F.round("mix_probability", 9).alias("probability"),
+    )
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read(spark, sf_dir, "pages")
+    return pages.extract(table, pages.fit(table), also=("page_id", "url"))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
@@ -68,7 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint": op3_fingerprint,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_urlfilter": op6_urlfilter,
+    "op7_html": op7_html,
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_urlfilter": oracles.OP6, "op10_mixing": oracles.op10()}

@@ -1 +1 @@
-
+"""Column expressions over log text."""

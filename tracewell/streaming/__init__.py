@@ -1 +1 @@
-
+"""Live logs with Structured Streaming."""

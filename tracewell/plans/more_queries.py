@@ -130,7 +130,7 @@ def j14(spark, sf):
     return proximity.line_diff(lines.where("length(file) % 2 = 0"), lines.where("length(file) % 2 = 1"))
 
 
-@query("j15_align_clock", "SELECT 'dev' || (event_id % 4) AS file, event_id AS line_no, user_id * 100 + event_id + min_by(epoch_ms(ts) - event_id * 7, event_id) OVER (PARTITION BY event_id % 4) AS wall_ms FROM events")
+@query("j15_align_clock", "SELECT 'dev' || (event_id % 4) AS file, event_id AS line_no, user_id * 100 + event_id + min_by(epoch_ms(date_trunc('milliseconds', ts)) - event_id * 7, event_id) OVER (PARTITION BY event_id % 4) AS wall_ms FROM events")
 def j15(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select(F.concat(F.lit("dev"), F.col("event_id") % 4).alias("file"), F.col("event_id").alias("line_no"), (F.col("user_id") * 100 + F.col("event_id")).alias("uptime_ms"),

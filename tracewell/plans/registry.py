@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile, proximity, sequence
 from ..sources.views import event_log
-from . import log_queries, more_queries  # noqa: F401  they register themselves
+from . import log_queries, more_queries, stream_queries  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -13,7 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as one file of log lines, the event's number as line number.
+    """``events`` as one file of log lines, the event's number as line number."""
+    return event_lines(table(spark, sf_dir, "events"))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as log lines.
 
     Errors with k ending in 0 or 1 carry a panic or an exception, so that there are crashes.
     """
@@ -24,7 +29,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" "), level, F.lit(" [svc-"), (F.col("user_id") % 8).cast("string"), F.lit("] event="), F.col("event_type"),
         F.lit(" user_id="), F.col("user_id").cast("string"), F.format_string(" value=%.2f", "value"), F.lit(" k="), k, F.coalesce(crash, F.lit("")),
     )
-    return table(spark, sf_dir, "events").select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), text.alias("text"))
+    return events.select(F.lit("events").alias("file"), F.col("event_id").alias("line_no"), text.alias("text"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

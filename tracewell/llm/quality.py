@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import raw_texts, small_batches
 
-MEMO_WORDS, MEMO_LENGTH = 200_000, 64
+MEMO_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -45,62 +46,102 @@ class Model:
     params: Params
 
 
-def _hash(text: str) -> int:
-    return zlib.crc32(text.encode())
+#: Bucket of a word beside itself, one feature for all words.
+ECHO = 0
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Features:
-    """Words of a text as numbers of a vocabulary that a worker builds as it goes.
+def _buckets(hashes: np.ndarray, p: Params) -> np.ndarray:
+    mixed = hashes * _MIX
+    return 1 + ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(7)).astype(np.int64) % (p.buckets - 1)
 
-    ``ids`` are the buckets of a word and its character n-grams.  A pair of neighbours is
-    hashed from the hashes of both; a word beside itself is one feature for all words.
-    """
 
-    ECHO = 0
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
 
-    def __init__(self, p: Params):
-        self.p = p
-        self.number: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.hashes: list[int] = []
-
-    def add(self, word: bytes) -> int:
-        text, p = word.decode("utf-8", "replace"), self.p
-        padded = f"<{text}>"
-        grams = [padded[i : i + n] for n in p.sizes for i in range(len(padded) - n + 1)]
-        at = [1 + _hash(g) % (p.buckets - 1) for g in ["w " + text, *grams]]
-        self.ids.append(np.array(at, np.int32))
-        self.hashes.append(_hash(text))
-        self.number[word] = len(self.ids) - 1
-        return len(self.ids) - 1
-
-    def words(self, raw: bytes) -> np.ndarray:
-        get, add = self.number.get, self.add
-        found = [add(w) if (n := get(w)) is None else n for w in raw.split()]
-        return np.array(found, np.int64)
-
-    def pairs(self, words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        a, b = words[:-1], words[1:]
-        mixed = (hashes[a] * np.uint64(0x9E3779B1) + hashes[b]) * np.uint64(0x85EBCA77) >> np.uint64(13)
-        at = 1 + (mixed % np.uint64(self.p.buckets - 1)).astype(np.int64)
-        return np.where(a == b, self.ECHO, at)
+
+def word_features(words: list[bytes], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of their character n-grams, and the number of the word of each.
+
+    A word's ends count as a space.  All words are hashed together in a few array steps.
+    """
+    codes = np.frombuffer((b" " + b" ".join(words) + b" ").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    gap = codes == 32
+    word = np.cumsum(gap) - 1
+    found, of = [_buckets(word_hashes(words), p)], [np.arange(len(words))]
+    for n in p.sizes:
+        count = len(codes) - n + 1
+        if count < 1:
+            continue
+        inner = np.zeros(count, bool)
+        h = np.full(count, n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + codes[k : k + count]
+            if 0 < k < n - 1:
+                inner |= gap[k : k + count]
+        ok = ~inner & ((n > 2) | ~(gap[:count] & gap[n - 1 :])) & (word[:count] < len(words))
+        found.append(_buckets(h[ok], p))
+        of.append(word[:count][ok])
+    return np.concatenate(found), np.concatenate(of)
+
+
+def pair_buckets(first: np.ndarray, second: np.ndarray, p: Params) -> np.ndarray:
+    """Buckets of neighbouring words by their hashes."""
+    return np.where(first == second, ECHO, _buckets(first * np.uint64(31) + second, p))
 
 
 def bag(raw: bytes, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and how often each occurs."""
-    f = Features(p)
-    words = f.words(raw)
-    if not len(words):
+    words = raw.split()
+    if not words:
         return np.empty(0, np.int32), np.empty(0, np.int32)
-    pairs = f.pairs(words, np.array(f.hashes, np.uint64))
-    times = np.bincount(words, minlength=len(f.ids))
-    at = np.concatenate([*f.ids, pairs])
-    n = np.concatenate([np.repeat(times, [len(x) for x in f.ids]), np.ones(len(pairs), np.int64)])
-    sums = np.bincount(at, weights=n, minlength=p.buckets)
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
+    at = np.array([number[w] for w in words])
+    features, of = word_features(list(number), p)
+    hashes = word_hashes(list(number))[at]
+    sums = np.bincount(features, weights=np.bincount(at)[of], minlength=p.buckets)
+    sums += np.bincount(pair_buckets(hashes[:-1], hashes[1:], p), minlength=p.buckets)
     ids = np.flatnonzero(sums)
     return ids.astype(np.int32), sums[ids].astype(np.int32)
 
 
+class Scorer:
+    """Scores texts in batches; what a worker has learned of a word serves all its texts."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.sums, self.sizes, self.hashes = np.empty(0), np.empty(0), np.empty(0, np.uint64)
+
+    def score(self, raws: list[bytes]) -> np.ndarray:
+        m = self.model
+        if len(self.number) > MEMO_WORDS:
+            self.forget()
+        split = [raw.split() for raw in raws]
+        number = self.number
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in number]
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            features, of = word_features(new, m.params)
+            self.sums = np.append(self.sums, np.bincount(of, weights=m.weight[features], minlength=len(new)))
+            self.sizes = np.append(self.sizes, np.bincount(of, minlength=len(new)))
+            self.hashes = np.append(self.hashes, word_hashes(new))
+        lengths = np.array([len(x) for x in split])
+        at = np.fromiter((number[w] for w in chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        doc = np.repeat(np.arange(len(raws)), lengths)
+        total = np.bincount(doc, weights=self.sums[at], minlength=len(raws))
+        size = np.bincount(doc, weights=self.sizes[at], minlength=len(raws))
+        same = np.flatnonzero(doc[1:] == doc[:-1])
+        pairs = pair_buckets(self.hashes[at[same]], self.hashes[at[same + 1]], m.params)
+        total += np.bincount(doc[same], weights=m.weight[pairs], minlength=len(raws))
+        size += np.bincount(doc[same], minlength=len(raws))
+        logit = m.bias + np.divide(total, size, out=np.zeros(len(raws)), where=size > 0)
+        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params = Params()) -> Model:
     """Train on a bounded sample of the rows whose label is 0 or 1.
 
@@ -173,7 +214,9 @@ def _descend(ids: list, times: list, label: np.ndarray, p: Params) -> tuple[np.n
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def score(
+    docs: DataFrame, model: Model, text_col: str = "text", also: tuple[str, ...] = ()
+) -> DataFrame:
     """``also`` columns with ``score`` (0 to 1, higher: class 1 likelier) for every row.
 
     The whole text counts; a null or blank text has no features and gets the score of the
@@ -184,28 +227,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[str
     sent = spark.sparkContext.broadcast((model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value, params)
-        f = Features(m.params)
-        known, sums, sizes, hashes = 0, np.empty(0), np.empty(0, np.int64), np.empty(0, np.uint64)
+        scorer = Scorer(Model(*sent.value, params))
         for batch in batches:
-            scores = []
-            for raw in raw_texts(batch.column(0)):
-                if len(f.ids) > MEMO_WORDS:
-                    f, known = Features(m.params), 0
-                    sums, sizes, hashes = sums[:0], sizes[:0], hashes[:0]
-                words = f.words(raw)
-                if known < len(f.ids):
-                    new = f.ids[known:]
-                    sums = np.append(sums, [m.weight[x].sum(dtype=np.float64) for x in new])
-                    sizes = np.append(sizes, [len(x) for x in new])
-                    hashes = np.append(hashes, np.array(f.hashes[known:], np.uint64))
-                    known = len(f.ids)
-                logit = m.bias
-                if len(words):
-                    pairs = f.pairs(words, hashes)
-                    total = sums[words].sum() + m.weight[pairs].sum(dtype=np.float64)
-                    logit += total / (sizes[words].sum() + len(pairs))
-                scores.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
+            raws = raw_texts(batch.column(0))
+            scores = [scorer.score(raws[k : k + 128]) for k in range(0, len(raws), 128)]
+            scores = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*also, "score"])
 
     small_batches(spark)

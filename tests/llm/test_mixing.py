@@ -6,7 +6,7 @@ import numpy as np
 
 from tracewell.llm import mixing
 
-SCHEMA = "doc_id long, text string, lang string, source string, topic string"
+SCHEMA = "doc_id long, text string, lang string, source string, mix_topic string"
 
 
 def rows(n: int) -> list[tuple]:
@@ -36,7 +36,9 @@ def test_documents_stay_by_their_cells_probability(spark):
     docs = spark.createDataFrame(data, SCHEMA).repartition(5)
     p = mixing.Params(rate=0.4)
     out = mixing.mix(docs, p=p).toPandas()
-    assert list(out.columns[:5]) == docs.columns
+    assert list(out.columns) == ["doc_id", "text", "lang", "source", *mixing.ADDED]
+    assert set(out.mix_topic) == {"line", "table", "symbols", "lines"}
+    assert sorted(r.doc_id for r in mixing.sample(docs, p=p).where("mix_topic = 'clash'").collect()) == sorted(out.doc_id)
     tokens = sum(t.count(" ") + 1 for _, t, *_ in data)
     assert abs(out.mix_tokens.sum() / tokens - 0.4) < 0.03
     assert (out.mix_probability <= 1).all()

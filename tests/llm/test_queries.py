@@ -92,6 +92,21 @@ def test_groups_match_brute_force(spark, sf_dir):
     assert got == {k: (f"{fps[k]:016x}", want[k]) for k in fps}
 
 
+def test_stages_keep_columns_with_clashing_names_nulls_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).selectExpr(
+        "if(doc_id = 5, null, doc_id) doc_id", "if(doc_id in (5, 6), null, if(doc_id = 7, '', text)) text", "lang", "if(doc_id = 8, null, source) source", "n_chars",
+        "'x' score", "1 a", "2 b", "3 spans", "'m' mix_topic", "4 fp", "5 row", "6 length", "7 id",
+    )
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert {r.score for r in out.collect()} == {"x"}, name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    packed = corpus_pipeline.packing_stage(spark, docs, sf_dir)
+    assert packed.select("doc_id").distinct().count() == 60
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_pages_give_their_articles(spark, sf_dir):
     assert {r.page_id: r.text for r in queries.op7_html(spark, sf_dir).collect()} == {k: f"Body {k} is here" for k in range(40)}
 

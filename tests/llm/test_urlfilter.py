@@ -39,7 +39,7 @@ def test_captures_meet_the_entries_of_their_day(spark):
     urls += ["https://user:pw@x.net:8080/en", "not a url", "", None, "ftp://"]
     rows = [(k, u, DAY + dt.timedelta(d) if d >= 0 else None, "list") for k, (u, d) in enumerate((u, d) for u in urls for d in (-1, 0, 7, 15, 29, 60))]
     rows += rows[:5]
-    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_on date, kind string").repartition(4)
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_on date, n_active string").repartition(4)
     got = urlfilter.judge(captures, spark.createDataFrame(entries, ENTRY).repartition(3)).collect()
     assert len(got) == len(rows)
     for r in got:

@@ -95,29 +95,39 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
     return now.select(*dims, "tokens", "weight", chance.alias("probability"))
 
 
+#: Columns that :func:`mix` adds.
+ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability")
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
+    """The documents that stay, as a struct ``row``, with the columns of ADDED."""
+    seen = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)).alias("source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
+        topic(text_col).alias("topic"),
+        tokens(text_col).alias("mix_tokens"),
+        draw(id_col, p.seed).alias("drawn"),
+    )
+    dims = ["source", "lang", "topic"]
+    cells = materialize(seen.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    raked = rake(cells, p).select(*dims, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+    kept = seen.where("mix_tokens > 0").join(raked, dims).where(F.col("drawn") < F.col("mix_probability"))
+    return kept.withColumnRenamed("topic", "mix_topic")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """The documents that stay, with their columns and ``mix_topic``, ``mix_tokens``,
-    ``mix_weight`` and ``mix_probability``.
+    """The documents that stay, with their columns and those of ADDED (which replace columns
+    of the same names).
 
     A document stays if the number drawn by its id lies below its cell's probability, so rows
     that repeat an id stay or go together.  Null source or language counts as ``unknown``;
     a null text has no tokens and goes, as does every text of a cell whose goal is zero.
     No rows give no rows.
     """
-    seen = docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)),
-            "mix_topic": topic(text_col),
-            "mix_tokens": tokens(text_col),
-        }
-    )
-    cells = seen.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("mix_topic").alias("topic"))
-    cells = materialize(cells.agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    raked = rake(cells, p).select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("mix_topic"),
-        F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"),
-    )
-    drawn = seen.where("mix_tokens > 0").join(raked, ["_source", "_lang", "mix_topic"])
-    kept = drawn.where(draw(id_col, p.seed) < F.col("mix_probability"))
-    return kept.select(*docs.columns, "mix_topic", "mix_tokens", "mix_weight", "mix_probability")
+    return _drawn(docs, id_col, text_col, p).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
+    """The documents that stay, as they were."""
+    return _drawn(docs, id_col, text_col, p).select("row.*")

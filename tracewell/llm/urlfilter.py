@@ -59,7 +59,7 @@ def lookup_keys(url: str) -> F.Column:
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
     """``captures`` with ``n_active`` (entries active and matching when fetched), ``first_rule``
-    (least ``list/kind/value`` of them) and ``blocked``.
+    (least ``list/kind/value`` of them) and ``blocked``; columns of these names are replaced.
 
     Each distinct URL and day is judged once: its lookup keys meet the intervals of the same
     key in an equality join that also tests the day.  A null or odd URL matches nothing, a
@@ -73,10 +73,9 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
         keys.join(spans, (F.col("_key.kind") == F.col("kind")) & (F.col("_key.value") == F.col("value")))
         .where((F.col("_day") >= F.col("valid_from")) & (F.col("_day") < F.col("valid_to")))
         .groupBy("_url", "_day")
-        .agg(F.count(F.lit(1)).alias("n_active"), F.min(F.concat_ws("/", "list", "kind", "value")).alias("first_rule"))
-    )
-    joined = captures.join(active, (F.col(url_col) == F.col("_url")) & (F.col(day_col) == F.col("_day")), "left")
-    count = F.coalesce("n_active", F.lit(0).cast("long"))
-    return joined.select(
-        *[captures[c] for c in captures.columns], count.alias("n_active"), "first_rule", (count > 0).alias("blocked")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.concat_ws("/", "list", "kind", "value")).alias("_rule"))
     )
+    joined = captures.join(active, (captures[url_col] == F.col("_url")) & (captures[day_col] == F.col("_day")), "left")
+    count = F.coalesce("_n", F.lit(0).cast("long"))
+    own = [captures[c] for c in captures.columns if c not in ("n_active", "first_rule", "blocked")]
+    return joined.select(*own, count.alias("n_active"), F.col("_rule").alias("first_rule"), (count > 0).alias("blocked"))

@@ -18,8 +18,9 @@ from tracewell.llm.queries import QUALITY_CUT, quality_model, vocabulary
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, by the query's own cut."""
     model = quality_model(spark, docs, sf_dir)
-    scored = quality.score(docs, model, also=tuple(docs.columns))
-    return scored.where(F.col("score") >= QUALITY_CUT).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    scored = quality.score(rows, model, also=("row",))
+    return scored.where(F.col("score") >= QUALITY_CUT).select("row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by the probabilities that rake source, language and topic to their targets."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.sample(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

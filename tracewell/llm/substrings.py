@@ -206,7 +206,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     every = materialize(docs.select("a", "b", "text").mapInArrow(find_anchors, ANCHOR), "anchors")
     hashed, zones = every.where("times > 0"), every.where("times = 0")
     grams = hashed.groupBy("h").agg(F.sum("times").alias("n"), (F.min("g") != F.max("g")).alias("differ"))
-    again = materialize(hashed.join(grams.where("n > 1").select("h", "differ"), "h"), "anchors-again")
+    grams = materialize(grams.where("n > 1").select("h", "differ"), "grams")  # so that a hot gram's join can be split
+    again = materialize(hashed.join(grams, "h"), "anchors-again")
     alike, mixed = again.where("not differ"), again.where("differ")
 
     one = F.min(F.struct("a", "b", "pos", "leftward", "rightward")).alias("one")

@@ -122,13 +122,12 @@ def split_hot_keys(df: DataFrame, keys: list[str], identity: str, cap: int) -> D
     Adds ``blk_lo``, ``blk_hi`` (the pair of blocks) and ``blk`` (the row's own).  A key
     of at most ``cap`` rows stays whole as (0, 0).  In a pair with ``blk_lo < blk_hi`` only
     rows of different blocks need comparing.  No row or pair is dropped.
+
+    The hot keys are a table of their own, so Spark knows its size when it joins: a small
+    one is broadcast, and a large one leaves a join that adaptive execution can split.
     """
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > cap)
-        .select(*keys, F.ceil(F.col("_n") / cap).cast("int").alias("_blocks"))
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cap)
+    hot = materialize(counts.select(*keys, F.ceil(F.col("_n") / cap).cast("int").alias("_blocks")), "hot-keys")
     out = df.join(hot, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     out = out.withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), identity), F.col("_blocks")).cast("int"))
     pairs = F.expr(

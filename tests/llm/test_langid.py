@@ -18,12 +18,12 @@ def brute(train: list[tuple], text: str, p: langid.Params) -> tuple[str, float]:
     grams, docs = {}, Counter(lang for _, _, lang in train)
     for _, t, lang in train:
         for w in langid.words_of(t):
-            grams.setdefault(lang, Counter()).update(langid.buckets_of(w, p))
+            grams.setdefault(lang, Counter()).update(langid.buckets_of([w], p)[0].tolist())
     score = {}
     for lang in sorted(docs):
         total = sum(grams[lang].values()) + p.smoothing * p.buckets
         score[lang] = math.log(docs[lang] / len(train)) + sum(
-            math.log((grams[lang][b] + p.smoothing) / total) for w in langid.words_of(text) for b in langid.buckets_of(w, p)
+            math.log((grams[lang][b] + p.smoothing) / total) for w in langid.words_of(text) for b in langid.buckets_of([w], p)[0].tolist()
         )
     best = max(score.values())
     return max(score, key=score.get), 1 / sum(math.exp(s - best) for s in score.values())
@@ -41,6 +41,14 @@ def test_scores_match_naive_bayes_by_hand(spark):
     assert sum(r.lang_pred == t[2] for r, t in zip(sorted(got), test, strict=True)) >= 38
 
 
+def test_grams_of_a_word():
+    p = langid.Params(buckets=1 << 30)
+    at, of = langid.buckets_of(["ab", "²", "c"], p)
+    assert sorted(of.tolist()) == [0] * 7 + [2] * 4  # a b, _a ab b_, _ab ab_; c, _c c_, _c_
+    again, _ = langid.buckets_of(["ab"], p)
+    assert set(again.tolist()) == set(at[of == 0].tolist()) and len(set(again.tolist())) == 7
+
+
 def test_texts_without_letters_nulls_long_words_and_no_languages(spark):
     schema = "doc_id long, text string, lang string"
     model = langid.fit(spark.createDataFrame([*rows(30), (99, "der", None), (98, None, "de")], schema), "text", "lang")

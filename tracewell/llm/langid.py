@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from .common import raw_texts, small_batches
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words kept in a worker's memo; longer words are not kept.
-MEMO_WORDS, MEMO_LENGTH = 200_000, 64
+#: Words that a worker remembers before it starts anew.
+MEMO_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -46,18 +46,30 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def buckets_of(word: str, p: Params) -> list[int]:
-    """Buckets of the word's character n-grams; the word's ends count as a space."""
-    letters = "".join(filter(str.isalpha, word))
-    if not letters:
-        return []
-    padded = f" {letters} "
-    return [
-        zlib.crc32(padded[i : i + n].encode()) % p.buckets
-        for n in p.sizes
-        for i in range(len(padded) - n + 1)
-        if n > 1 or padded[i] != " "
-    ]
+def buckets_of(words: list[str], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words' character n-grams and the number of the word of each; a word's ends
+    count as a space, and what is no letter in it is left out.  All words are hashed together."""
+    letters = " ".join([w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words])
+    codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    gap = codes == 32
+    word = np.cumsum(gap) - 1
+    found, of = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in p.sizes:
+        count = len(codes) - n + 1
+        if count < 1:
+            continue
+        h, bad = np.full(count, n, np.uint64), gap[:count] & gap[n - 1 :]
+        for k in range(n):
+            h = h * np.uint64(0x100000001B3) + codes[k : k + count]
+            if 0 < k < n - 1:
+                bad = bad | gap[k : k + count]
+        if n > 2:  # a single letter between two ends is a gram
+            bad &= ~(gap[:count] & gap[n - 1 :] & ~np.logical_or.reduce([gap[k : k + count] for k in range(1, n - 1)]))
+        mixed = h * np.uint64(0x9E3779B97F4A7C15)
+        ok = ~bad
+        found.append(((mixed[ok] ^ (mixed[ok] >> np.uint64(31))) >> np.uint64(7)).astype(np.int64) % p.buckets)
+        of.append(word[:count][ok])
+    return np.concatenate(found), np.concatenate(of)
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, p: Params = Params()) -> Model:
@@ -78,8 +90,9 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, p: Params = Params()) ->
         sums = {x: np.zeros(p.buckets, np.int64) for x in langs}
 
         def spend(words: Counter, lang: str) -> None:
-            for word, n in words.items():
-                np.add.at(sums[lang], buckets_of(word, p), n)
+            at, of = buckets_of(list(words), p)
+            times = np.fromiter(words.values(), np.float64, len(words))
+            sums[lang] += np.bincount(at, weights=times[of], minlength=p.buckets).astype(np.int64)
             words.clear()
 
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -109,17 +122,44 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, p: Params = Params()) ->
     return Model(langs, log_prob.astype(np.float32), np.log(docs_of / docs_of.sum()) if langs else docs_of, p)
 
 
-def score_batch(texts: list[str], model: Model, vector_of) -> tuple[list[str], np.ndarray]:
-    """Languages and posteriors: rows of word vectors summed by document in one pass."""
-    picked = [[vector_of(w) for w in words_of(t)] for t in texts]
-    sizes = np.array([len(x) for x in picked])
-    width = len(model.langs) + 1
-    sums = np.zeros((len(texts), width))
+class Words:
+    """Words that a worker has met, by number, with the sums of their n-grams' rows of the
+    matrix; the last column tells whether a word has letters."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.model.langs) + 1), np.float32)
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts' words one behind the other, and how many each text has."""
+        if len(self.number) > MEMO_WORDS:
+            self.forget()
+        number, split = self.number, [words_of(t) for t in texts]
+        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in number]
+        if new:
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            at, of = buckets_of(new, self.model.params)
+            table = self.model.log_prob
+            columns = [np.bincount(of, weights=table[at, k], minlength=len(new)) for k in range(table.shape[1])]
+            columns.append(np.bincount(of, minlength=len(new)) > 0)
+            self.rows = np.concatenate([self.rows, np.stack(columns, axis=1).astype(np.float32)])
+        sizes = np.array([len(x) for x in split])
+        return np.fromiter((number[w] for w in chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
+
+
+def score_batch(texts: list[str], words: Words) -> tuple[list[str], np.ndarray]:
+    """Languages and posteriors: rows of the words' numbers summed by document in one pass."""
+    model = words.model
+    flat, sizes = words.numbers(texts)
+    sums = np.zeros((len(texts), len(model.langs) + 1))
     some = np.flatnonzero(sizes)
     if len(some):
         starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-        flat = np.concatenate([np.stack(picked[k]) for k in some])
-        sums[some] = np.add.reduceat(flat, starts, axis=0, dtype=np.float64)
+        sums[some] = np.add.reduceat(words.rows[flat], starts, axis=0, dtype=np.float64)
     score = sums[:, :-1] + model.log_prior
     langs, probs = [], np.zeros(len(texts))
     for k in range(len(texts)):
@@ -145,25 +185,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value, params)
-        memo: dict[str, np.ndarray] = {}
-        blank = np.zeros(len(m.langs) + 1, np.float32)
-
-        def vector_of(word: str) -> np.ndarray:
-            found = memo.get(word)
-            if found is None:
-                at = buckets_of(word, m.params)
-                found = np.append(m.log_prob[at].sum(axis=0), np.float32(1)).astype(np.float32) if at else blank
-                if len(word) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[word] = found
-            return found
-
+        words = Words(m)
         for batch in batches:
             texts = [x.decode("utf-8", "replace") for x in raw_texts(batch.column(0))]
             langs, probs = [], []
-            for at in range(0, len(texts), 64):
-                some, p = score_batch(texts[at : at + 64], m, vector_of)
+            for at in range(0, len(texts), 128):
+                some, p = score_batch(texts[at : at + 128], words)
                 langs += some
                 probs.append(p)
             out = [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(np.concatenate(probs) if probs else np.empty(0))]

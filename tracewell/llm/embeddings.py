@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,54 +107,71 @@ def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _pairs_in(words: np.ndarray, table: int, mask: np.ndarray, far: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows are near in code and meet in no earlier table."""
-    x = words[a] ^ words[b]
-    good = np.flatnonzero(np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= far)
-    open_ = good
-    taken = []
-    for earlier in range(table):
-        if not len(open_):
+def _near(words: np.ndarray, tables_of: np.ndarray, mask: np.ndarray, far: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (of one table) are near in code and meet in no earlier table."""
+    open_ = np.flatnonzero(np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= far)
+    x, table = words[a[open_]] ^ words[b[open_]], tables_of[a[open_]]
+    alive = np.ones(len(open_), bool)
+    at = np.arange(len(open_))
+    for earlier in range(int(table.max(initial=0))):
+        at = at[table[at] > earlier]
+        met = ~(x[at] & mask[earlier]).any(axis=1)
+        alive[at[met]] = False
+        at = at[~met]
+        if not len(at):
             break
-        met = ~((x[open_] & mask[earlier]).any(axis=1))
-        taken.append(open_[met])
-        open_ = open_[~met]
-    return open_
+    return open_[alive]
+
+
+#: Buckets of up to so many rows are compared all together, step by step.
+SMALL = 16
 
 
 def candidates(bits: int, count: int, threshold: float):
     """A function from rows (key, dim, cid, code, blocks) sorted by key to pairs of cid."""
+    share = math.acos(threshold) / math.pi
+
+    def pairs_of(rows: pa.Table, keys: list[str], size: int) -> Iterator[np.ndarray]:
+        cid, table = rows["cid"].to_numpy(), rows["key"].to_numpy() >> 32
+        block, cross = rows["blk"].to_numpy(), rows["blk_lo"].to_numpy() != rows["blk_hi"].to_numpy()
+        words = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(len(cid), -1)
+        mask = masks(samples(bits, count, size), size)
+        far = math.ceil(size * share + ERRORS * math.sqrt(size * share * (1 - share)))
+        starts = run_starts(rows, keys)
+        sizes = np.diff(np.append(starts, len(cid)))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        small = sizes[run] <= SMALL
+
+        def kept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            ok = ~cross[a] | (block[a] != block[b])
+            a, b = a[ok], b[ok]
+            near = _near(words, table, mask, far, a, b)
+            return np.stack([cid[a[near]], cid[b[near]]])
+
+        for step in range(1, SMALL):
+            a = np.flatnonzero(small[: len(cid) - step] & (run[: len(cid) - step] == run[step:]))
+            if not len(a):
+                break
+            yield kept(a, a + step)
+        for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            width = max(1, (1 << 20) // n)
+            for at in range(0, n, width):
+                i = np.arange(at, min(n, at + width))
+                a, b = (x.ravel() for x in np.meshgrid(i, np.arange(n), indexing="ij"))
+                upper = a < b
+                yield kept(s + a[upper], s + b[upper])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "dim", "blk_lo", "blk_hi"]
-        for rows in whole_runs(batches, keys, rows=1 << 15):
-            cid, key, dim = (rows[k].to_numpy() for k in ("cid", "key", "dim"))
-            block, lo, hi = (rows[k].to_numpy() for k in ("blk", "blk_lo", "blk_hi"))
-            code = rows["code"].to_pylist()
-            starts = run_starts(rows, keys)
-            ends = np.append(starts[1:], len(cid))
+        for rows in whole_runs(batches, keys):
+            lengths = pc.binary_length(rows["code"]).to_numpy()
             found = []
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                size = 8 * len(code[s])
-                words = np.frombuffer(b"".join(code[s:e]), np.uint64).reshape(e - s, -1)
-                share = math.acos(threshold) / math.pi
-                far = math.ceil(size * share + ERRORS * math.sqrt(size * share * (1 - share)))
-                mask = masks(samples(bits, count, size), size) if size not in known else known[size]
-                known[size] = mask
-                step = max(1, (1 << 20) // (e - s))
-                for at in range(0, e - s, step):
-                    i = np.arange(at, min(e - s, at + step))
-                    a, b = (x.ravel() for x in np.meshgrid(i, np.arange(e - s), indexing="ij"))
-                    use = a < b
-                    if lo[s] != hi[s]:
-                        use &= block[s:e][a] != block[s:e][b]
-                    a, b = a[use], b[use]
-                    near = _pairs_in(words, int(key[s] >> 32), mask, far, a, b)
-                    found.append(np.stack([cid[s + a[near]], cid[s + b[near]]]))
+            for length in np.unique(lengths):
+                some = rows if (lengths == length).all() else rows.filter(pa.array(lengths == length))
+                found += pairs_of(some, keys, 8 * int(length))
             pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["i", "j"])
 
-    known: dict[int, np.ndarray] = {}
     return run
 
 

@@ -80,17 +80,18 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
     most = F.when(F.col("tokens") > 0, F.col("tokens") / (F.lit(p.rate) * F.col("_total"))).otherwise(0.0)
     now = cells.where("tokens > 0").join(F.broadcast(total)).withColumn("most", most)
     now = materialize(now.select(*dims, "tokens", "most", (F.col("tokens") / F.col("_total")).alias("weight")), "cells")
-    goals = {d: materialize(targets(now, d, p), f"goals-{d}") for d in dims}
+    for d in dims:
+        now = now.join(targets(now, d, p).withColumnRenamed("goal", f"goal_{d}"), d)
+    fixed = [*dims, "tokens", "most", *(f"goal_{d}" for d in dims)]
+    now = materialize(now.select(*fixed, "weight"), "cells")
     for _ in range(p.sweeps):
-        step = now
-        for d in dims:
-            sums = step.groupBy(d).agg(F.sum("weight").alias("_s")).join(goals[d], d)
-            factor = sums.select(d, F.when(F.col("_s") > 0, F.col("goal") / F.col("_s")).otherwise(0.0).alias("_f"))
-            step = step.join(factor, d).withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
-        step = step.withColumn("weight", F.least("weight", "most")).select(*dims, "tokens", "most", "weight")
-        after = materialize(step, "cells")
-        discard(now)
-        now = after
+        for d in dims:  # each step is a small table, so that plans stay short however many sweeps there are
+            sums = now.groupBy(d).agg(F.sum("weight").alias("_s"))
+            scaled = F.when(F.col("_s") > 0, F.col("weight") * F.col(f"goal_{d}") / F.col("_s")).otherwise(0.0)
+            held = F.least(scaled, F.col("most")) if d == dims[-1] else scaled
+            after = materialize(now.join(sums, d).select(*fixed, held.alias("weight")), "cells")
+            discard(now)
+            now = after
     chance = F.least(F.lit(1.0), F.when(F.col("most") > 0, F.col("weight") / F.col("most")).otherwise(0.0))
     return now.select(*dims, "tokens", "weight", chance.alias("probability"))
 

@@ -180,16 +180,26 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params =
         picked.select("id", "label", "text")
         .mapInArrow(bags, "id long, ids array<int>, times array<int>, label int")
         .toArrow()
-        .sort_by([("id", "ascending")])
     )
-    ids = [x.values.to_numpy() for x in sample["ids"]]
-    times = [x.values.to_numpy() for x in sample["times"]]
-    label = sample["label"].to_numpy()
+    order = np.argsort(sample["id"].to_numpy(), kind="stable")
+    ids, times = (_lists(sample[c], order) for c in ("ids", "times"))
+    label = sample["label"].to_numpy()[order]
     weight, bias = _descend(ids, times, label, p)
+    del sample, ids, times
+    pa.default_memory_pool().release_unused()
     balance = np.log((label == 1).sum() / max(1, (label == 0).sum()))
     return Model(weight, float(bias + np.log(shares[1] / shares[0]) - balance), p)
 
 
+def _lists(column: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    """The lists of a column in an order, as views of its buffers."""
+    found = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        found += [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return [found[k] for k in order]
+
+
 def _descend(ids: list, times: list, label: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(p.seed)
     vectors = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))

@@ -48,6 +48,19 @@ def test_links_match_brute_force(spark, cap, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("rows", [2_000, 1_000_000, 30_000_000, 1_000_000_000])
+def test_tables_meet_pairs_at_the_threshold_at_any_size(rows):
+    rng = np.random.default_rng(2)
+    x, side = em.unit(rng.standard_normal((20_000, 64))), rng.standard_normal((20_000, 64))
+    side = em.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    differ = (em.encode(x)[0] ^ em.encode(0.9 * x + math.sqrt(1 - 0.9**2) * side)[0]).view(np.uint64)
+    bits, count = em.tables(rows, 0.9)
+    apart = np.arange(len(differ))
+    for mask in em.masks(em.samples(bits, count, em.BITS), em.BITS):
+        apart = apart[(differ[apart] & mask).any(axis=1)]
+    assert len(apart) <= 40  # 20 are expected
+
+
 def test_no_rows_null_and_repeated_ids(spark):
     schema = "vec_id long, embedding array<double>"
     assert em.near_vectors(spark.createDataFrame([], schema), "vec_id", "embedding").count() == 0

@@ -66,12 +66,38 @@ def estimate(codes: np.ndarray, factors: np.ndarray, vectors: np.ndarray) -> tup
     return guess, np.sqrt(np.maximum(0, 1 - factors**2)) / factors / math.sqrt(size - 1)
 
 
+def furthest(share: float, size: int) -> int:
+    """Distance of two codes beyond which a pair is given up, if they differ in ``share`` of the bits on average."""
+    return math.ceil(size * share + ERRORS * math.sqrt(size * share * (1 - share)))
+
+
+def missed(bits: int, count: int, threshold: float, size: int = BITS) -> float:
+    """Share of the pairs exactly at the threshold that no table brings together.
+
+    All tables sample the same code, so they are independent only given the distance of the
+    two codes: that is binomial, and a sample of ``bits`` that must avoid all differing bits
+    is hypergeometric.  Distances beyond :func:`furthest` count as missed.
+    """
+    share = math.acos(threshold) / math.pi
+    lost = 1.0
+    for d in range(min(size - bits, furthest(share, size)) + 1):
+        p = math.comb(size, d) * share**d * (1 - share) ** (size - d)
+        lost -= p * (1 - (1 - math.comb(size - d, bits) / math.comb(size, bits)) ** count)
+    return lost
+
+
 def tables(rows: int, threshold: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for so many vectors: about one vector a bucket for
-    unrelated ones, and enough tables for RECALL at the threshold."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, rows)))))
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - RECALL) / math.log1p(-meet))
+    """Bits of a key and number of tables for so many vectors: at most eight vectors a bucket
+    for unrelated ones, and enough tables for RECALL at the threshold."""
+    bits = min(30, max(8, math.ceil(math.log2(max(2, rows))) - 3))
+    high = 1
+    while missed(bits, high, threshold) > 1 - RECALL:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(bits, middle, threshold) > 1 - RECALL else (low, middle)
+    return bits, high
 
 
 def samples(bits: int, count: int, size: int) -> np.ndarray:
@@ -124,7 +150,7 @@ def _near(words: np.ndarray, tables_of: np.ndarray, mask: np.ndarray, far: int,
 
 
 #: Buckets of up to so many rows are compared all together, step by step.
-SMALL = 16
+SMALL = 32
 
 
 def candidates(bits: int, count: int, threshold: float):
@@ -136,7 +162,7 @@ def candidates(bits: int, count: int, threshold: float):
         block, cross = rows["blk"].to_numpy(), rows["blk_lo"].to_numpy() != rows["blk_hi"].to_numpy()
         words = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(len(cid), -1)
         mask = masks(samples(bits, count, size), size)
-        far = math.ceil(size * share + ERRORS * math.sqrt(size * share * (1 - share)))
+        far = furthest(share, size)
         starts = run_starts(rows, keys)
         sizes = np.diff(np.append(starts, len(cid)))
         run = np.repeat(np.arange(len(starts)), sizes)

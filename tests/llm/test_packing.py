@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -79,6 +80,37 @@ def test_search_empties_bins_and_keeps_pieces():
     assert better
 
 
+def improving(bins, size=1024):
+    """An exchange that makes a partner no emptier than the giver fuller, by trying all."""
+    some = {}
+    for p in (p for p in bins if packing._fill(p) < size):
+        pieces = [s for s, n in p for _ in range(n)]
+        some[p] = {(k, sum(x)) for k in (0, 1, 2) for x in combinations(pieces, k)}
+    for a in some:
+        for b in some:
+            if packing._fill(b) < packing._fill(a) or (a == b and bins[a] < 2):
+                continue
+            for n, g in some[a]:
+                if any(n and n + c <= 3 and 0 < g - k <= size - packing._fill(b) for c, k in some[b]):
+                    return a, b
+    return None
+
+
+@pytest.mark.parametrize("lengths, pieces", [((250, 500), 4000), ((200, 600), 300), ((1, 1025), 2000), ((340, 700), 300)])
+def test_search_ends_only_when_no_exchange_improves(lengths, pieces):
+    rng = random.Random(5)
+    counts = Counter(rng.randrange(*lengths) for _ in range(pieces))
+    bins = packing.local_search(packing.best_fit(counts))
+    used = Counter()
+    for pattern, n in bins.items():
+        assert n > 0 and packing._fill(pattern) <= 1024
+        for s, k in pattern:
+            used[s] += k * n
+    assert used == counts
+    least = -(-sum(s * n for s, n in counts.items()) // 1024)
+    assert bins.total() == least or improving(bins) is None
+
+
 def test_best_fit_is_the_plain_algorithm():
     rng = random.Random(4)
     for _ in range(30):

@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 from itertools import combinations
 
 import numpy as np
@@ -183,66 +184,143 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> Counter:
     return sum(room, Counter())
 
 
-def _gains(a: Pattern, b: Pattern, room: int) -> tuple[int, Counter, Counter] | None:
-    """The exchange that fills ``b`` best: (gain, what a gives, what b gives back)."""
-    give = [Counter({s: 1}) for s, _ in a]
-    give += [Counter(x) for x in combinations([s for s, n in a for _ in range(min(n, 2))], 2)]
-    back = [Counter()] + [Counter({s: 1}) for s, _ in b]
-    back += [Counter(x) for x in combinations([s for s, n in b for _ in range(min(n, 2))], 2)]
-    g = np.array([sum(s * n for s, n in x.items()) for x in give])
-    k = np.array([sum(s * n for s, n in x.items()) for x in back])
-    few = np.array([x.total() for x in give])[:, None] + np.array([x.total() for x in back])[None, :] <= 3
-    gain = np.where(few, g[:, None] - k[None, :], 0)
-    gain[gain > room] = 0
-    at = np.unravel_index(np.argmax(gain), gain.shape)
-    return (int(gain[at]), give[at[0]], back[at[1]]) if gain[at] > 0 else None
+def _takes(pattern: Pattern) -> dict[tuple[int, int], tuple[int, ...]]:
+    """What an exchange may take from a bin, one or two pieces, by their number and their
+    length together."""
+    some = [(s,) for s, _ in pattern]
+    some += combinations([s for s, n in pattern for _ in range(min(n, 2))], 2)
+    found: dict[tuple[int, int], tuple[int, ...]] = {}
+    for x in some:
+        found.setdefault((len(x), sum(x)), x)
+    return found
 
 
-def local_search(bins: Counter, size: int = SIZE, steps: int = 400, partners: int = 200) -> Counter:
+class Partners:
+    """Open patterns by what they can give back and by their room.
+
+    ``next[c, k, r]`` is the least room from r on of a pattern that can give back c pieces of
+    length k together (``size + 1`` if there is none), so that a look at it is a look at all
+    patterns.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.next = np.full((3, size + 1, size + 2), size + 1, np.int32)
+        self.cells: dict[tuple[int, int, int], dict[Pattern, None]] = {}
+
+    def add(self, pattern: Pattern) -> None:
+        room = self.size - _fill(pattern)
+        for c, k in [(0, 0), *_takes(pattern)]:
+            cell = self.cells.setdefault((c, k, room), {})
+            if not cell:
+                upto = self.next[c, k, : room + 1]
+                np.minimum(upto, room, out=upto)
+            cell[pattern] = None
+
+    def remove(self, pattern: Pattern) -> None:
+        room = self.size - _fill(pattern)
+        for c, k in [(0, 0), *_takes(pattern)]:
+            cell = self.cells[c, k, room]
+            del cell[pattern]
+            if not cell:
+                upto = self.next[c, k, : room + 1]
+                upto[upto == room] = self.next[c, k, room + 1]
+                del self.cells[c, k, room]
+
+    def best(self, a: Pattern) -> tuple[Pattern, tuple[int, ...], tuple[int, ...]] | None:
+        """The exchange that fills a partner no emptier than ``a`` most: (the fullest such
+        partner, what ``a`` gives, what it gives back)."""
+        most, found = 0, None
+        limit = self.size - _fill(a)
+        for (n, g), give in _takes(a).items():
+            low = max(0, g - limit)
+            for c in range(4 - n):
+                back = np.arange(low, min(g - most, 1) if c == 0 else g - most)
+                rooms = self.next[c, back, g - back]
+                at = int(np.argmax(rooms <= limit)) if len(back) else 0
+                if len(back) and rooms[at] <= limit:
+                    most = g - int(back[at])
+                    found = (c, int(back[at]), int(rooms[at])), give
+        if found is None:
+            return None
+        cell, give = found
+        b = next(iter(self.cells[cell]))
+        return b, give, _takes(b)[cell[:2]] if cell[0] else ()
+
+
+def local_search(bins: Counter, size: int = SIZE) -> Counter:
     """Exchange pieces between underfull bins while the sum of squared fills grows.
 
-    Each step takes the emptiest bins and the partner they can fill best: a move (one for
-    none), a swap (one for one) or two for one, done for all bins of both patterns at once.
-    What a partner gains makes it the fuller, so the sum of squares grows with every step.
-    Ends when the number of bins meets the bound of total length over ``size``, when no
-    emptiest bin can give, or after ``steps``.
+    Each step takes the emptiest bins and, of all open ones, the partner that they can fill
+    most: a move (one or two for none), a swap (one for one), two for one or one for two,
+    done for all bins of both patterns at once.  What a partner gains makes it the fuller,
+    so the sum of squares grows with every step.  Patterns without a partner are set aside
+    until all others have been looked at, and looked at again if any pattern has changed
+    since.  Ends when the number of bins meets the bound of total length over ``size``, or
+    when no exchange improves.
     """
     bins = Counter(bins)
+    total = bins.total()
     least = -(-sum(_fill(p) * n for p, n in bins.items()) // size)
-    stuck: set[Pattern] = set()
-    for _ in range(steps):
-        if bins.total() <= least:
-            break
-        open_bins = sorted((p for p in bins if _fill(p) < size), key=lambda p: (_fill(p), p))
-        a = next((p for p in open_bins if p not in stuck), None)
-        if a is None:
-            break
-        best = None
-        for b in open_bins[::-1][:partners]:
-            if _fill(b) < _fill(a) or (b == a and bins[a] < 2):
-                continue
-            found = _gains(a, b, size - _fill(b))
-            if found and (best is None or found[0] > best[0][0]):
-                best = (found, b)
-                if found[0] == size - _fill(b):
-                    break
+    if total <= least:
+        return bins
+    partners = Partners(size)
+    todo = sorted((_fill(p), p) for p in bins if _fill(p) < size)
+    for _, p in todo:
+        partners.add(p)
+    stuck: list[Pattern] = []
+    changed = False
+
+    def change(pattern: Pattern, n: int) -> None:
+        had = bins[pattern]
+        bins[pattern] = had + n
+        if not bins[pattern]:
+            del bins[pattern]
+        if _fill(pattern) < size:
+            if not had:
+                partners.add(pattern)
+            elif had + n == 0:
+                partners.remove(pattern)
+            if n > 0:
+                heappush(todo, (_fill(pattern), pattern))
+
+    while total > least:
+        if not todo:
+            if not changed:
+                break
+            todo = sorted((_fill(p), p) for p in set(stuck) if p in bins)
+            stuck, changed = [], False
+            continue
+        _, a = heappop(todo)
+        if a not in bins:
+            continue
+        alone = bins[a] == 1
+        if alone:
+            partners.remove(a)
+        best = partners.best(a)
+        if alone:
+            partners.add(a)
         if best is None:
-            stuck.add(a)
+            stuck.append(a)
             continue
-        (_, give, back), b = best
+        b, give, back = best
         n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        bins[a] -= n
-        bins[b] -= n
-        less = Counter(dict(a))
+        less, more = Counter(dict(a)), Counter(dict(b))
         less.subtract(give)
-        more = Counter(dict(b))
+        less.update(back)
         more.subtract(back)
-        for left, gets in ((less, back), (more, give)):
-            pattern = _with(tuple((+left).items()), gets)
+        more.update(give)
+        change(a, -n)
+        change(b, -n)
+        for gets in (less, more):
+            pattern = _with((), gets)
             if pattern:
-                bins[pattern] += n
-        bins = +bins
-        stuck.clear()
+                change(pattern, n)
+            else:
+                total -= n
+        if a in bins:
+            heappush(todo, (_fill(a), a))
+        changed = True
     return bins
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import sequence
 from tracewell.operators.ordered import Scan
 from tracewell.sources import readers
-from tracewell.streaming import live
+from tracewell.streaming import live, run
 
 
 @pytest.mark.parametrize("split", [4096, 1 << 20])
@@ -50,6 +50,18 @@ def test_ordered_scans_match_plain_python(spark, parts, chunk):
             )
 
 
+def test_table_streams_read_files_and_folders_whole(spark, tmp_path):
+    rows = spark.range(100).withColumn("day", F.col("id") % 3)
+    rows.repartition(4).write.parquet(str(tmp_path / "parts.parquet"))
+    rows.write.partitionBy("day").parquet(str(tmp_path / "days.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    want = sorted((k, k % 3) for k in range(100))
+    for table in ("parts", "days", "one"):
+        got = run.finish(run.table_stream(spark, str(tmp_path), table), table)
+        assert sorted((r.id, r.day) for r in got.collect()) == want, table
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     files = [["2024-01-01 10:00:00 INFO mode=a", "2024-01-01 10:00:10 ERROR mode=a"], ["2024-01-01 10:05:00 INFO mode=b", "2024-01-01 10:05:01 FATAL panic mode=b"]]
     folder = tmp_path / "in"

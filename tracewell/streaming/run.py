@@ -19,11 +19,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.getFileStatus(where).isDirectory()
+
+
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table's Parquet file or folder as a stream."""
     path = f"{sf_dir}/{table}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema)
+    # a stream's plain path must be a folder; a pattern may also match a single file
+    return stream.parquet(path if _is_folder(spark, path) else path.removesuffix("t") + "[t]")
 
 
 def finish(stream: DataFrame, name: str) -> DataFrame:

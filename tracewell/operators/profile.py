@@ -100,13 +100,17 @@ def merge_analysis(lines: DataFrame, k: int = 5) -> DataFrame:
     return whole.orderBy(F.desc("errors"), "component").limit(k).select("component", "errors", "warnings", F.col("_f.file").alias("file"), F.col("_f.first_error").alias("first_error"))
 
 
-def minute_density(lines: DataFrame, most: int = 1440) -> DataFrame:
-    """Lines by minute since the first time, zero-filled; minutes before it are dropped."""
+def minute_density(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """Lines by minute since the first line's time, zero-filled, to the last minute or for at
+    ``most`` so many; lines timed before the first line are dropped."""
     rows = lines.select("file", "line_no", parse.parse_ts_seconds("text").alias("ts")).where("ts is not null").withColumn("ms", parse.epoch_ms("ts"))
     start = rows.groupBy("file").agg(F.min_by("ms", "line_no").alias("_t0"))
     minute = F.floor((F.col("ms") - F.col("_t0")) / 60000).cast("long")
-    counts = rows.join(start, "file").withColumn("minute", minute).where(F.col("minute").between(0, most - 1)).groupBy("file", "minute").agg(F.count(F.lit(1)).alias("lines"))
-    span = counts.groupBy("file").agg(F.max("minute").alias("_m")).select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m"))).alias("minute"))
+    kept = F.col("minute") >= 0 if most is None else F.col("minute").between(0, most - 1)
+    counts = rows.join(start, "file").withColumn("minute", minute).where(kept).groupBy("file", "minute").agg(F.count(F.lit(1)).alias("lines"))
+    # by days first, as one wrong year makes millions of minutes
+    days = counts.groupBy("file").agg(F.max("minute").alias("_m")).select("file", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_m") / 1440))).alias("_d"))
+    span = days.select("file", "_m", F.explode(F.sequence(F.col("_d") * 1440, F.least("_m", F.col("_d") * 1440 + 1439))).alias("minute")).drop("_m")
     return span.join(counts, ["file", "minute"], "left").select("file", "minute", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
@@ -144,8 +148,9 @@ def fingerprint(lines: DataFrame) -> DataFrame:
     return out
 
 
-def compare_profiles(current: DataFrame, base: DataFrame) -> DataFrame:
-    """Findings between two logs (each ``lines`` of one run), most severe first."""
+def compare_profiles(current: DataFrame, base: DataFrame, most: int | None = None) -> DataFrame:
+    """Findings between two logs (each ``lines`` of one run), most severe first; density is of
+    all minutes, or of ``most``."""
     lv = lambda x, n: level_counts(x).groupBy("level").agg(F.sum("lines").alias("l")).join(F.broadcast(level_counts(x).agg(F.sum("lines").alias("t")))).select("level", (F.col("l") * 100 / F.col("t")).alias(n))
     levels = lv(current, "c").join(lv(base, "b"), "level", "full")
     delta = F.abs(F.coalesce("c", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
@@ -158,7 +163,7 @@ def compare_profiles(current: DataFrame, base: DataFrame) -> DataFrame:
     ratio = F.col("ce") / F.col("be")
     rate = cc.select("component", F.col("e").alias("ce")).join(cb.where("e > 0").select("component", F.col("e").alias("be")), "component").where(ratio > 2)
     rate = rate.select(F.when(ratio > 5, "critical").otherwise("warning").alias("severity"), F.lit("error-rate").alias("category"), F.col("component").alias("subject"))
-    var = lambda x, n: minute_density(x).agg(F.var_pop("lines").alias(n))
+    var = lambda x, n: minute_density(x, most).agg(F.var_pop("lines").alias(n))
     v = F.greatest("c", "b") / F.least("c", "b")
     shape = var(current, "c").join(F.broadcast(var(base, "b"))).where((F.least("c", "b") > 0) & (v > 3)).select(F.lit("info").alias("severity"), F.lit("density").alias("category"), F.lit("variance").alias("subject"))
     for more in (new_failing, gone, rate, shape):

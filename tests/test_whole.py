@@ -22,3 +22,18 @@ def test_a_burst_on_a_later_day_is_found(spark):
     burst = even + ["2024-01-03 11:00:00 INFO x"] * 100
     runs = [spark.createDataFrame([("a", k, t) for k, t in enumerate(r)], SCHEMA) for r in (burst, even)]
     assert [r.category for r in profile.compare_profiles(*runs).collect()] == ["density"]
+
+
+def test_rates_signatures_and_domains_are_of_all_lines(spark):
+    texts = ["k=1, x"] * 700 + ["panic | HardFault | watchdog"] * 700
+    lines = spark.createDataFrame([("a.log", k, t) for k, t in enumerate(texts)], SCHEMA)
+    r = search.pattern_match_rate(lines, "k=").first()
+    assert (r.matched, r.scanned, r.rate) == (700, 1400, 0.5)
+    assert search.pattern_match_rate(lines, "k=", head=400).first().scanned == 400
+    r = recipes.check_requirements(lines, "k=", "panic", "*.log", least=0.5).first()
+    assert (r.match_rate, r.signature, r.named, r.ok) == (0.5, True, True, True)
+    r = recipes.detect_domain(lines).first()
+    assert (r.domain, r.hits) == ("embedded", 1400)
+    assert recipes.detect_domain(lines, head=600).first().domain == "generic"
+    usual = {r.delimiter: r.usual for r in readers.delimiter_scores(lines).collect()}
+    assert usual["pipe"] == 2 and usual["comma"] == 0  # 700 against 699 lines

@@ -60,10 +60,12 @@ SLOW_FIELDS = {
 }
 
 
-def detect_domain(lines: DataFrame, head: int = 600) -> DataFrame:
-    """The domain with the most hits in the first lines of each file, generic below two."""
+def detect_domain(lines: DataFrame, head: int | None = None) -> DataFrame:
+    """The domain with the most hits in each file or its first ``head`` lines, generic below two."""
+    if head is not None:
+        lines = lines.where(F.col("line_no") < head)
     hits = F.array(*[F.struct(F.regexp_count("text", F.lit("(?i)" + p)).alias("n"), F.lit(d).alias("domain")) for d, p in DETECT.items()])
-    rows = lines.where(F.col("line_no") < head).select("file", F.explode(hits).alias("h")).groupBy("file", "h.domain").agg(F.sum("h.n").alias("hits"))
+    rows = lines.select("file", F.explode(hits).alias("h")).groupBy("file", "h.domain").agg(F.sum("h.n").alias("hits"))
     best = rows.groupBy("file").agg(F.max_by("domain", F.struct("hits", F.col("domain"))).alias("best"), F.max("hits").alias("hits"))
     return best.select("file", F.when(F.col("hits") >= 2, F.col("best")).otherwise("generic").alias("domain"), "hits")
 
@@ -170,10 +172,12 @@ def replay(lines: DataFrame, steps: list[dict], overrides: dict[str, object] | N
     return out
 
 
-def check_requirements(lines: DataFrame, column_pattern: str, signature: str, name_glob: str, least: float = 0.6, head: int = 400) -> DataFrame:
-    """Whether files fit an investigation: share of lines that a pattern reads, a signature in the
-    first lines, the file's name."""
-    rows = lines.where((F.col("line_no") < head) & (F.trim("text") != ""))
+def check_requirements(lines: DataFrame, column_pattern: str, signature: str, name_glob: str, least: float = 0.6, head: int | None = None) -> DataFrame:
+    """Whether files fit an investigation: share of lines that a pattern reads, a signature in any
+    line, the file's name; of the first ``head`` lines if that is given."""
+    rows = lines.where(F.trim("text") != "")
+    if head is not None:
+        rows = rows.where(F.col("line_no") < head)
     rate, seen = F.avg(F.col("text").rlike(column_pattern).cast("double")), F.bool_or(F.col("text").rlike(signature))
     out = rows.groupBy("file").agg(F.round(rate, 6).alias("match_rate"), seen.alias("signature"))
     named = F.element_at(F.split("file", "/"), -1).like(name_glob.replace("*", "%"))

@@ -207,9 +207,11 @@ def mute(lines: DataFrame, patterns: list[str]) -> DataFrame:
     return lines.where(~parse.muted("text", patterns))
 
 
-def pattern_match_rate(lines: DataFrame, pattern: str, head: int = 400) -> DataFrame:
-    """How many of the first non-blank lines a pattern matches."""
-    some = lines.where((F.col("line_no") < head) & (F.trim("text") != ""))
+def pattern_match_rate(lines: DataFrame, pattern: str, head: int | None = None) -> DataFrame:
+    """How many of the non-blank lines, or of those among the first ``head``, a pattern matches."""
+    some = lines.where(F.trim("text") != "")
+    if head is not None:
+        some = some.where(F.col("line_no") < head)
     hit = F.col("text").rlike(pattern).cast("long")
     return some.groupBy("file").agg(F.sum(hit).alias("matched"), F.count(F.lit(1)).alias("scanned"), F.round(F.avg(hit), 6).alias("rate"))
 

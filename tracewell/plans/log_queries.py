@@ -183,7 +183,7 @@ M AS (SELECT delimiter, n, row_number() OVER (PARTITION BY delimiter ORDER BY co
 SELECT C.delimiter, round(avg(n) * avg(CASE WHEN n = usual THEN 1.0 ELSE 0 END) * avg(CASE WHEN n > 0 THEN 1.0 ELSE 0 END) * CASE WHEN C.delimiter = 'colon' AND avg(CASE WHEN timed THEN 1.0 ELSE 0 END) > 0.8 THEN 0.3 ELSE 1.0 END, 6) AS score, usual
 FROM C JOIN U USING (delimiter) GROUP BY C.delimiter, usual""".replace("\\\\", "\\"))
 def delimiter_scores(spark, sf):
-    return readers.delimiter_scores(event_log(spark, sf))
+    return readers.delimiter_scores(event_log(spark, sf), head=100)  # its SQL twin's first lines
 
 
 @query("p9_header_roles", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'timestamp' WHEN 1 THEN 'level' WHEN 2 THEN 'message' WHEN 3 THEN 'source' WHEN 4 THEN 'channel' ELSE 'other' END AS role FROM orders""")
@@ -251,7 +251,7 @@ def common_prefix(spark, sf):
 
 @query("p20_match_rate", L + "SELECT file, CAST(sum(CASE WHEN event = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS matched, count(*) AS scanned, round(avg(CASE WHEN event = 'click' THEN 1.0 ELSE 0 END), 6) AS rate FROM L WHERE line_no < 400 GROUP BY file")
 def match_rate(spark, sf):
-    return search.pattern_match_rate(event_log(spark, sf), "event=click")
+    return search.pattern_match_rate(event_log(spark, sf), "event=click", head=400)  # its SQL twin's first lines
 
 
 PATTERNS = {"clicks": "event=click", "errors": r"(?i)\berror\b", "nested": r"(panic)+", "odd": ".*exception", "sevens": "7"}

@@ -37,3 +37,17 @@ def test_rates_signatures_and_domains_are_of_all_lines(spark):
     assert recipes.detect_domain(lines, head=600).first().domain == "generic"
     usual = {r.delimiter: r.usual for r in readers.delimiter_scores(lines).collect()}
     assert usual["pipe"] == 2 and usual["comma"] == 0  # 700 against 699 lines
+
+
+def test_hits_are_all_there_with_whole_text(spark):
+    tail = "x" * 600
+    texts = [f"INFO panic connection reset mode={k % 2} {tail}" for k in range(150)]
+    lines = spark.createDataFrame([(f"f{f:02}", k, t) for f in range(8) for k, t in enumerate(texts)], SCHEMA)
+    found = search.search_folder(lines, "panic").collect()
+    assert len(found) == 1200 and all(r.text.endswith(tail) for r in found)
+    assert len(search.search_folder(lines, "panic", per_file=3, total=20).collect()) == 20
+    assert all(r.text.endswith(tail) for r in profile.crash_sites(lines).collect())
+    assert recipes.connection_drops(lines).count() == 1200
+    assert recipes.flips(lines, "mode").count() == 8 * 149
+    assert recipes.flips(lines, "mode", most=10).count() == 80
+    assert recipes.ui_state(lines, ["mode"]).count() == 8 * (150 + 149)

@@ -27,7 +27,7 @@ def level_counts(lines: DataFrame) -> DataFrame:
 
 
 def crash_sites(lines: DataFrame, limit: int | None = None) -> DataFrame:
-    out = analysed(lines).withColumn("keyword", parse.crash_keyword("text")).where("keyword is not null").select(*KEY, "keyword", "level", "component", F.substring("text", 1, 200).alias("text"))
+    out = analysed(lines).withColumn("keyword", parse.crash_keyword("text")).where("keyword is not null").select(*KEY, "keyword", "level", "component", "text")
     return out.orderBy(*KEY).limit(limit) if limit else out
 
 

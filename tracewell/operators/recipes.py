@@ -70,10 +70,16 @@ def detect_domain(lines: DataFrame, head: int | None = None) -> DataFrame:
     return best.select("file", F.when(F.col("hits") >= 2, F.col("best")).otherwise("generic").alias("domain"), "hits")
 
 
-def markers(lines: DataFrame, pattern: str, title: str, severity: str, most: int = 10) -> DataFrame:
+def _first(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first rows of each file, all of them without a limit."""
+    if most is None:
+        return rows
     rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    found = lines.where(F.col("text").rlike("(?i)" + pattern)).withColumn("_r", rank).where(F.col("_r") <= most)
-    return found.select(*KEY, F.lit(severity).alias("severity"), F.lit(title).alias("title"))
+    return rows.withColumn("_r", rank).where(F.col("_r") <= most)
+
+
+def markers(lines: DataFrame, pattern: str, title: str, severity: str, most: int | None = None) -> DataFrame:
+    return _first(lines.where(F.col("text").rlike("(?i)" + pattern)), most).select(*KEY, F.lit(severity).alias("severity"), F.lit(title).alias("title"))
 
 
 def crash(lines: DataFrame, domain: str = "generic") -> DataFrame:
@@ -109,22 +115,22 @@ def wont_start(lines: DataFrame, domain: str = "generic") -> DataFrame:
     return anchor.unionByName(markers(lines, PACKS[domain]["startup"], "Startup/init failure", "error"))
 
 
-def connection_drops(lines: DataFrame, domain: str = "generic") -> DataFrame:
-    return markers(lines, PACKS[domain]["connection"], "Connection event", "warning")
+def connection_drops(lines: DataFrame, domain: str = "generic", most: int | None = None) -> DataFrame:
+    return markers(lines, PACKS[domain]["connection"], "Connection event", "warning", most)
 
 
-def flips(lines: DataFrame, field: str, label: str = "flip", most: int = 10) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    rows = sequence.transitions(lines, parse.keyed("text", field)).withColumn("_r", rank).where(F.col("_r") <= most)
+def flips(lines: DataFrame, field: str, label: str = "flip", most: int | None = None) -> DataFrame:
+    rows = _first(sequence.transitions(lines, parse.keyed("text", field)), most)
     return rows.select(*KEY, F.lit("warning").alias("severity"), F.concat(F.lit(f"{label}: {field} "), "from_value", F.lit(" -> "), "to_value").alias("title"))
 
 
-def ui_state(lines: DataFrame, words: list[str], most: int = 10) -> DataFrame:
-    """Where each expected word is logged, and how its value flips."""
-    per = max(2, most // max(1, len(words)))
+def ui_state(lines: DataFrame, words: list[str], most: int | None = None) -> DataFrame:
+    """Where each expected word is logged, and how its value flips; with ``most``, about so many
+    hits over all words and two flips of each."""
+    per, flipped = (None, None) if most is None else (max(2, most // max(1, len(words))), 2)
     out = None
     for w in words:
-        found = markers(lines, w, f'UI state: "{w}"', "info", per).unionByName(flips(lines, w, "UI flip", 2))
+        found = markers(lines, w, f'UI state: "{w}"', "info", per).unionByName(flips(lines, w, "UI flip", flipped))
         out = found if out is None else out.unionByName(found)
     return out
 

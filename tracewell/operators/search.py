@@ -87,11 +87,16 @@ def grouped_batch(lines: DataFrame, patterns: dict[str, str], case: bool = True)
     return lines.select(*KEY, ids.alias("ids")).where(F.size("ids") > 0).select(*KEY, F.array_join("ids", ",").alias("patterns"))
 
 
-def search_folder(lines: DataFrame, pattern: str, per_file: int = 100, total: int = 1000, cut: int = 500, **how) -> DataFrame:
-    """The first hits of each file, and of all files in order of file and line."""
-    first = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
-    hits = search(lines, pattern, **how).withColumn("_r", first).where(F.col("_r") <= per_file)
-    return hits.orderBy(*KEY).limit(total).select(*KEY, "column", F.substring("text", 1, cut).alias("text"))
+def search_folder(lines: DataFrame, pattern: str, per_file: int | None = None, total: int | None = None, cut: int | None = None, **how) -> DataFrame:
+    """All hits with their whole text; the first ``per_file`` of each file, the first ``total`` in
+    order of file and line, and ``cut`` characters of the text where these are given."""
+    hits = search(lines, pattern, **how)
+    if per_file is not None:
+        first = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+        hits = hits.withColumn("_r", first).where(F.col("_r") <= per_file)
+    if total is not None:
+        hits = hits.orderBy(*KEY).limit(total)
+    return hits.select(*KEY, "column", "text" if cut is None else F.substring("text", 1, cut).alias("text"))
 
 
 def with_context(hits: DataFrame, lines: DataFrame, n: int) -> DataFrame:

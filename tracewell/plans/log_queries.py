@@ -366,7 +366,7 @@ def f6(spark, sf):
 
 @query("f7_search_folder", D + ", H AS (SELECT file, line_no, CAST(strpos(text, 'the') - 1 AS INTEGER) AS \"column\", substr(text, 1, 500) AS text, row_number() OVER (PARTITION BY file ORDER BY line_no) AS r FROM D WHERE contains(text, 'the')) SELECT file, line_no, \"column\", text FROM H WHERE r <= 3 ORDER BY file, line_no LIMIT 1000")
 def f7(spark, sf):
-    return search.search_folder(document_lines(spark, sf), "the", per_file=3)
+    return search.search_folder(document_lines(spark, sf), "the", per_file=3, total=1000, cut=500)  # its SQL twin's limits
 
 
 CONTEXT = L + ", H AS (SELECT line_no FROM L WHERE level IN ('error', 'fatal') AND contains(text, 'k=9')), X AS (SELECT DISTINCT line_no + d AS line_no FROM H, (SELECT unnest(range(-2, 3)) AS d)) "

@@ -528,17 +528,17 @@ def r5(spark, sf):
 def r6(spark, sf):
     o = table(spark, sf, "orders")
     text = F.when(F.col("o_orderkey") % 17 == 3, "peer: Connection RESET by host").otherwise(F.col("o_orderpriority"))
-    return recipes.connection_drops(o.select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("line_no"), text.alias("text")))
+    return recipes.connection_drops(o.select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("line_no"), text.alias("text")), most=10)  # its SQL twin's limit
 
 
 @query("r7_flips", L + ", R AS (SELECT line_no, lag(event) OVER (ORDER BY line_no) AS a, event AS b FROM L) SELECT 'events' AS file, line_no, 'warning' AS severity, 'flaky: event ' || a || ' -> ' || b AS title FROM R WHERE a <> b ORDER BY line_no LIMIT 10")
 def r7(spark, sf):
-    return recipes.flips(event_log(spark, sf), "event", "flaky")
+    return recipes.flips(event_log(spark, sf), "event", "flaky", most=10)  # its SQL twin's limit
 
 
 @query("r9_ui_state", L + ", R AS (SELECT line_no, lag(event) OVER (ORDER BY line_no) AS a, event AS b FROM L) (SELECT 'events' AS file, line_no, 'info' AS severity, 'UI state: \"event\"' AS title FROM L ORDER BY line_no LIMIT 10) UNION ALL (SELECT 'events', line_no, 'warning', 'UI flip: event ' || a || ' -> ' || b FROM R WHERE a <> b ORDER BY line_no LIMIT 2)")
 def r9(spark, sf):
-    return recipes.ui_state(event_log(spark, sf), ["event"])
+    return recipes.ui_state(event_log(spark, sf), ["event"], most=10)  # its SQL twin's limit
 
 
 @query("r10_report", L + ", F AS (SELECT file, max(line_no) AS line_no, 'critical' AS severity, 'Last line before death' AS title FROM L WHERE crash IS NOT NULL GROUP BY file UNION ALL SELECT file, min(line_no), 'error', crash FROM L WHERE crash IS NOT NULL GROUP BY file, crash) SELECT *, CAST(row_number() OVER (ORDER BY line_no, title) AS INTEGER) AS place, line_no + 1 AS viewer_line, greatest(0, line_no - 20) AS from_line, line_no + 15 AS to_line FROM F")

@@ -3,24 +3,30 @@
 A unit vector is rotated at random into ``BITS`` dimensions and kept as the signs there:
 a corner of the cube.  The stored correction factor, its inner product with that corner,
 makes ``<corner(x), rotated(y)> / factor(x)`` an unbiased estimate of ``<x, y>``, and its
-error shrinks with the square root of ``BITS`` by a known bound.  Pairs come from tables
-keyed by samples of the code's bits; the distance of codes drops most, the estimate with
-its confidence bound drops the rest, and only pairs that may reach the threshold have
-their cosine computed, in double precision.
+error shrinks with the square root of ``BITS`` by a known bound.
+
+Vectors that may be near meet in tables: a key holds, for a few sets of random directions,
+the one that the vector follows or opposes most.  Near vectors also have near numbers, as
+rows are numbered in order of such a key, so what meets is told by blocks of numbers: a
+bucket sends on only which vectors of two blocks are to be compared.  A pair of blocks is
+then compared by matrix products: the distance of the codes drops most pairs, the estimate
+with its confidence bound the rest, and what may reach the threshold is computed again, in
+double precision.  No pair of rows is ever sent; a pair of blocks gives sums of links and a
+spanning forest.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, run_starts, split_hot_keys, whole_runs
+from .common import discard, materialize, run_starts, small_batches, whole_runs
 from .components import connected_components
 
 BITS = 256
@@ -28,7 +34,15 @@ BITS = 256
 ERRORS = 5.0
 #: Share of the pairs exactly at the threshold that some table must bring together.
 RECALL = 0.999
+#: Rows of one key that one task compares; those of a hotter key are dealt in blocks.
 BUCKET_CAP = 4096
+#: Of so many vectors one is looked at to find hot keys.
+HOT_SAMPLE = 64
+#: Vectors with neighbouring numbers that make a block, as a power of two.
+BLOCK = 10
+#: Directions of a full set; with their opposites, twice as many values.
+LANES = 64
+TRIALS = 200_000
 SEED = 7
 
 
@@ -39,6 +53,7 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+@lru_cache(64)
 def rotation(dim: int) -> np.ndarray:
     """``dim`` orthonormal columns in at least BITS dimensions, whole words of 64."""
     rows = max(BITS, -(-dim // 64) * 64)
@@ -58,11 +73,12 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimate(codes: np.ndarray, factors: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased inner products of coded with plain vectors, row by row, and standard errors."""
+    """Unbiased inner products of coded vectors (rows) with plain ones (columns), and the
+    standard error of each row."""
     turned = unit(vectors) @ rotation(vectors.shape[1]).T
     size = turned.shape[1]
     signs = np.unpackbits(codes, axis=1).astype(np.float64) * 2 - 1
-    guess = np.einsum("ij,ij->i", signs, turned) / math.sqrt(size) / factors
+    guess = signs @ turned.T / math.sqrt(size) / factors[:, None]
     return guess, np.sqrt(np.maximum(0, 1 - factors**2)) / factors / math.sqrt(size - 1)
 
 
@@ -71,44 +87,50 @@ def furthest(share: float, size: int) -> int:
     return math.ceil(size * share + ERRORS * math.sqrt(size * share * (1 - share)))
 
 
-def missed(bits: int, count: int, threshold: float, size: int = BITS) -> float:
-    """Share of the pairs exactly at the threshold that no table brings together.
-
-    All tables sample the same code, so they are independent only given the distance of the
-    two codes: that is binomial, and a sample of ``bits`` that must avoid all differing bits
-    is hypergeometric.  Distances beyond :func:`furthest` count as missed.
-    """
-    share = math.acos(threshold) / math.pi
-    lost = 1.0
-    for d in range(min(size - bits, furthest(share, size)) + 1):
-        p = math.comb(size, d) * share**d * (1 - share) ** (size - d)
-        lost -= p * (1 - (1 - math.comb(size - d, bits) / math.comb(size, bits)) ** count)
-    return lost
-
-
-def tables(rows: int, threshold: float) -> tuple[int, int]:
-    """Bits of a key and number of tables for so many vectors: at most eight vectors a bucket
-    for unrelated ones, and enough tables for RECALL at the threshold."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, rows))) - 3))
-    high = 1
-    while missed(bits, high, threshold) > 1 - RECALL:
-        high *= 2
-    low = high // 2
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (middle, high) if missed(bits, middle, threshold) > 1 - RECALL else (low, middle)
-    return bits, high
-
-
-def samples(bits: int, count: int, size: int) -> np.ndarray:
-    rng = np.random.default_rng([SEED, bits, size])
-    return np.stack([np.sort(rng.choice(size, bits, replace=False)) for _ in range(count)])
-
-
-def masks(chosen: np.ndarray, size: int) -> np.ndarray:
-    flags = np.zeros((len(chosen), size), np.uint8)
-    np.put_along_axis(flags, chosen, 1, axis=1)
-    return np.packbits(flags, axis=1).view(np.uint64)
+@lru_cache(64)
+def together(threshold: float, lanes: int) -> float:
+    """Chance that two vectors at the threshold follow or oppose the same one of so many
+    random directions most, found by trials with a fixed seed: the two vectors' products with
+    the directions are pairs of normal numbers with the threshold as correlation.  Two standard
+    errors are taken off."""
+    rng = np.random.default_rng([SEED, lanes])
+    same = 0
+    for _ in range(TRIALS // 10_000):
+        x, z = rng.standard_normal((2, 10_000, lanes))
+        same += int((_follow(x) == _follow(threshold * x + math.sqrt(1 - threshold**2) * z)).sum())
+    p = same / TRIALS
+    return p - 2 * math.sqrt(p * (1 - p) / TRIALS)
+
+
+def _follow(products: np.ndarray) -> np.ndarray:
+    """Twice the number of the largest product by size, plus its sign."""
+    best = np.abs(products).argmax(axis=1)
+    return 2 * best + (np.take_along_axis(products, best[:, None], axis=1)[:, 0] > 0)
+
+
+def tables(rows: int, threshold: float) -> tuple[tuple[int, ...], int]:
+    """Directions of each set of a key, and number of tables, for so many vectors: about eight
+    unrelated vectors a bucket at most, and enough tables for RECALL at the threshold.  Tables
+    have directions of their own, so a pair's meetings in them are independent."""
+    want, lanes = max(2.0, rows / 8), []
+    while want > 1:
+        lanes.append(min(LANES, 1 << max(0, math.ceil(math.log2(want)) - 1)))
+        want /= 2 * lanes[-1]
+    p = math.prod(together(threshold, n) for n in lanes)
+    return tuple(lanes), math.ceil(math.log(1 - RECALL) / math.log(1 - p))
+
+
+def table_keys(vectors: np.ndarray, table: int, lanes: tuple[int, ...]) -> np.ndarray:
+    """Keys of unit vectors of one length in one table, spread over 64 bits."""
+    dim = vectors.shape[1]
+    directions = np.random.default_rng([SEED, dim, table]).standard_normal((dim, sum(lanes)))
+    products = vectors @ directions
+    key, at = np.full(len(vectors), (dim << 20) + table, np.uint64), 0
+    for n in lanes:
+        key = key * np.uint64(2 * LANES) + _follow(products[:, at : at + n]).astype(np.uint64)
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        at += n
+    return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -122,57 +144,60 @@ def _by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, vector) to (cid, code, factor)."""
+    """(least, n, vector) with code, factor and the key by which rows are put in order."""
     for batch in batches:
-        cid, vectors = batch.column(0), batch.column(1)
-        for dim, at in _by_size(vectors):
-            codes, factors = encode(_matrix(vectors.take(pa.array(at)), dim))
+        for dim, at in _by_size(batch.column(2)):
+            some = batch.take(pa.array(at))
+            vectors = _matrix(some.column(2), dim)
+            codes, factors = encode(vectors)
+            place = table_keys(unit(vectors), 0, (LANES, LANES))
             yield pa.RecordBatch.from_arrays(
-                [cid.take(pa.array(at)), pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(factors)],
-                ["cid", "code", "factor"],
+                [*some.columns, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(factors), pa.array(place)],
+                ["least", "n", "vector", "code", "factor", "place"],
             )
 
 
-def _near(words: np.ndarray, tables_of: np.ndarray, mask: np.ndarray, far: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows (of one table) are near in code and meet in no earlier table."""
-    open_ = np.flatnonzero(np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= far)
-    x, table = words[a[open_]] ^ words[b[open_]], tables_of[a[open_]]
-    alive = np.ones(len(open_), bool)
-    at = np.arange(len(open_))
-    for earlier in range(int(table.max(initial=0))):
-        at = at[table[at] > earlier]
-        met = ~(x[at] & mask[earlier]).any(axis=1)
-        alive[at[met]] = False
-        at = at[~met]
-        if not len(at):
-            break
-    return open_[alive]
+def keyed(lanes: tuple[int, ...], count: int):
+    """A function from (cid, code, vector) to a row for each table: key, cid, and the code's
+    first 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, at in _by_size(batch.column(2)):
+                some = batch.take(pa.array(at))
+                vectors = unit(_matrix(some.column(2), dim))
+                head = pa.array(np.frombuffer(b"".join(c[:8] for c in some.column(1).to_pylist()), np.int64))
+                for table in range(count):
+                    yield pa.RecordBatch.from_arrays([pa.array(table_keys(vectors, table + 1, lanes)), some.column(0), head], ["key", "cid", "head"])
+
+    return run
+
+
+def _blocks(cid: np.ndarray) -> np.ndarray:
+    return cid >> BLOCK
 
 
 #: Buckets of up to so many rows are compared all together, step by step.
 SMALL = 32
 
 
-def candidates(bits: int, count: int, threshold: float):
-    """A function from rows (key, dim, cid, code, blocks) sorted by key to pairs of cid."""
-    share = math.acos(threshold) / math.pi
+def to_compare(threshold: float):
+    """A function from rows (key, cid, head, blk, blk_lo, blk_hi) sorted by key to rows
+    (x, y, cid): compare this vector in this pair of blocks."""
+    far = furthest(math.acos(threshold) / math.pi, 64)
 
-    def pairs_of(rows: pa.Table, keys: list[str], size: int) -> Iterator[np.ndarray]:
-        cid, table = rows["cid"].to_numpy(), rows["key"].to_numpy() >> 32
+    def pairs_of(rows: pa.Table, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cid, head = rows["cid"].to_numpy(), rows["head"].to_numpy().view(np.uint64)
         block, cross = rows["blk"].to_numpy(), rows["blk_lo"].to_numpy() != rows["blk_hi"].to_numpy()
-        words = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(len(cid), -1)
-        mask = masks(samples(bits, count, size), size)
-        far = furthest(share, size)
         starts = run_starts(rows, keys)
         sizes = np.diff(np.append(starts, len(cid)))
         run = np.repeat(np.arange(len(starts)), sizes)
         small = sizes[run] <= SMALL
 
-        def kept(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            ok = ~cross[a] | (block[a] != block[b])
-            a, b = a[ok], b[ok]
-            near = _near(words, table, mask, far, a, b)
-            return np.stack([cid[a[near]], cid[b[near]]])
+        def kept(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = np.bitwise_count(head[a] ^ head[b]) <= far
+            near &= ~cross[a] | (block[a] != block[b])
+            return cid[a[near]], cid[b[near]]
 
         for step in range(1, SMALL):
             a = np.flatnonzero(small[: len(cid) - step] & (run[: len(cid) - step] == run[step:]))
@@ -187,75 +212,106 @@ def candidates(bits: int, count: int, threshold: float):
                 upper = a < b
                 yield kept(s + a[upper], s + b[upper])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = ["key", "dim", "blk_lo", "blk_hi"]
-        for rows in whole_runs(batches, keys):
-            lengths = pc.binary_length(rows["code"]).to_numpy()
-            found = []
-            for length in np.unique(lengths):
-                some = rows if (lengths == length).all() else rows.filter(pa.array(lengths == length))
-                found += pairs_of(some, keys, 8 * int(length))
-            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["i", "j"])
-
-    return run
-
-
-def keyed(bits: int, count: int):
-    """A function from (cid, code) to one row for each table."""
+    def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        x, y = _blocks(low), _blocks(high)
+        return np.unique(np.stack([np.concatenate(c) for c in ((x, x), (y, y), (low, high))], axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.int64(1) << np.arange(bits, dtype=np.int64)
-        for batch in batches:
-            code = batch.column(1)
-            lengths = np.array([len(x) for x in code.to_pylist()])
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                part = code.take(pa.array(at))
-                flags = np.unpackbits(np.frombuffer(b"".join(part.to_pylist()), np.uint8).reshape(len(at), -1), axis=1)
-                for table, chosen in enumerate(samples(bits, count, 8 * int(length))):
-                    key = (np.int64(table) << 32) + flags[:, chosen] @ weight
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), batch.column(2).take(take), batch.column(0).take(take), part],
-                        ["key", "dim", "cid", "code"],
-                    )
+        keys = ["key", "blk_lo", "blk_hi"]
+        for rows in whole_runs(batches, keys):
+            found = [wanted(a, b) for a, b in pairs_of(rows, keys) if len(a)]
+            out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], ["x", "y", "cid"])
 
     return run
 
 
-def probable(threshold: float):
-    """A function from (i, j, code of i, factor of i, vector of j) to the pairs whose upper
-    confidence bound reaches the threshold, with the vector."""
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes of some links: each node and the least one it is connected with here."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            return nodes, nodes[root]
+        root = low
+
+
+def compare_blocks(threshold: float):
+    """A function from rows (x, y, cid, n, code, factor, vector) sorted by (x, y) to rows
+    (a, b, others): ``b`` is null where ``others`` counts the copies that ``a`` is linked
+    with in this pair of blocks, else a and b are connected."""
+
+    def links(left: pa.Table, right: pa.Table, dim: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x, y = _matrix(left["vector"].combine_chunks(), dim), _matrix(right["vector"].combine_chunks(), dim)
+        code, other = (np.frombuffer(b"".join(t["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1) for t in (left, right))
+        far = furthest(math.acos(threshold) / math.pi, 8 * code.shape[1])
+        factor = left["factor"].to_numpy()
+        x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+        xx, yy = (np.einsum("ij,ij->i", v, v) for v in (x, y))
+        for at in range(0, len(x), 256):
+            rows = slice(at, at + 256)
+            apart = np.bitwise_count(code[rows].view(np.uint64)[:, None, :] ^ other.view(np.uint64)[None, :, :]).sum(axis=2, dtype=np.int64)
+            open_ = apart <= far
+            if same:
+                open_ &= np.arange(at, min(len(x), at + 256))[:, None] < np.arange(len(y))
+            columns = np.flatnonzero(open_.any(axis=0))
+            if not len(columns):
+                continue
+            guess, error = estimate(code[rows], factor[rows], y[columns])
+            i, j = np.nonzero(open_[:, columns] & (guess + ERRORS * error[:, None] >= threshold))
+            i, j = i + at, columns[j]
+            for part in range(0, len(i), 1 << 16):
+                a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                near = np.einsum("ij,ij->i", x[a], y[b]) / np.sqrt(xx[a] * yy[b]) >= threshold
+                yield a[near], b[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for dim, at in _by_size(batch.column(4)):
-                some = batch.take(pa.array(at))
-                codes = np.frombuffer(b"".join(some.column(2).to_pylist()), np.uint8).reshape(len(at), -1)
-                guess, error = estimate(codes, some.column(3).to_numpy(), _matrix(some.column(4), dim))
-                keep[at] = guess + ERRORS * error >= threshold
-            yield batch.filter(pa.array(keep)).select(["i", "j", "vector"])
+        keys = ["x", "y"]
+        for table in whole_runs(batches, keys, rows=1024):
+            starts = run_starts(table, keys)
+            for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                pair = table.slice(s, e - s)
+                x, y = pair["x"][0].as_py(), pair["y"][0].as_py()
+                for dim, at in _by_size(pair["vector"].combine_chunks()):
+                    some = pair.take(pa.array(at))
+                    block = _blocks(some["cid"].to_numpy())
+                    left = some if x == y else some.filter(pa.array(block == x))
+                    right = some if x == y else some.filter(pa.array(block == y))
+                    found = list(links(left, right, dim, x == y))
+                    if not sum(len(a) for a, _ in found):
+                        continue
+                    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+                    ci, cj, ni, nj = left["cid"].to_numpy(), right["cid"].to_numpy(), left["n"].to_numpy(), right["n"].to_numpy()
+                    nodes, roots = _forest(ci[i], cj[j])
+                    linked = nodes != roots
+                    ends, at = np.unique(np.concatenate([ci[i], cj[j]]), return_inverse=True)
+                    others = np.zeros(len(ends), np.int64)
+                    np.add.at(others, at, np.concatenate([nj[j], ni[i]]))
+                    none = pa.nulls(len(ends), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(ends), none, pa.array(others)], ["a", "b", "others"])
+                    none = pa.nulls(int(linked.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(roots[linked]), none], ["a", "b", "others"])
 
     return run
 
 
-def exact(threshold: float):
-    """A function from (i, j, vector of j, vector of i) to the pairs that reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for dim, at in _by_size(batch.column(2)):
-                some = batch.take(pa.array(at))
-                x, y = _matrix(some.column(2), dim), _matrix(some.column(3), dim)
-                x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
-                cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-                keep[at] = cosine >= threshold
-            yield batch.filter(pa.array(keep)).select(["i", "j"])
-
-    return run
+def deal_hot_keys(postings: DataFrame, some: DataFrame) -> DataFrame:
+    """Postings with ``blk_lo, blk_hi, blk``: rows of a key that is hot, by its count among
+    ``some`` of the postings, are dealt into blocks, and each block goes to every pair of
+    blocks, so that any two rows of a key meet.  What counts as hot changes no result."""
+    least = max(2, BUCKET_CAP // HOT_SAMPLE)
+    hot = some.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least)
+    hot = materialize(hot.select("key", F.ceil(F.col("_n") / least).cast("int").alias("_blocks")), "hot-keys")
+    out = postings.join(hot, "key", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    out = out.withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("_blocks")).cast("int"))
+    pairs = F.expr("transform(sequence(0, _blocks - 1), j -> struct(least(blk, j) as blk_lo, greatest(blk, j) as blk_hi))")
+    return out.withColumn("_pair", F.explode(pairs)).select("key", "cid", "head", "blk", F.col("_pair.blk_lo").alias("blk_lo"), F.col("_pair.blk_hi").alias("blk_hi"))
 
 
 def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.9) -> DataFrame:
@@ -265,46 +321,47 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     ones (see :func:`usable`) link with nothing and stand alone.  Equal vectors are one
     class, compared once; each copy counts as a link.  ``component_id`` is the least id
     reachable; repeated ids keep a row each; a null id names a component only if all its
-    ids are null.  Other columns are not read.  No rows give no rows.
+    ids are null.  Other columns are not read, whatever their names.  No rows give no rows.
     """
+    small_batches(vectors.sparkSession, 4096)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     rows = rows.withColumn("_ok", usable("vector"))
     classes = rows.where("_ok").groupBy("vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    bits, count = tables(classes.count(), threshold)
-    codes = materialize(
-        classes.select("cid", "vector").mapInArrow(encode_rows, "cid long, code binary, factor double")
-        .join(classes.select("cid", F.size("vector").alias("dim")), "cid"),
-        "codes",
-    )
-    postings = codes.select("cid", "code", "dim").mapInArrow(keyed(bits, count), "key long, dim int, cid long, code binary")
-    keys = ["key", "dim", "blk_lo", "blk_hi"]
-    dealt = split_hot_keys(postings, ["key", "dim"], "cid", BUCKET_CAP).repartition(*keys).sortWithinPartitions(*keys)
-    pairs = materialize(dealt.mapInArrow(candidates(bits, count, threshold), "i long, j long"), "pairs")
-
-    kind = classes.schema["vector"].dataType.simpleString()
-    plain = classes.select("cid", "vector")
-    near = (
-        pairs.join(codes.select(F.col("cid").alias("i"), "code", "factor"), "i")
-        .join(plain.withColumnRenamed("cid", "j"), "j")
-        .select("i", "j", "code", "factor", "vector")
-        .mapInArrow(probable(threshold), f"i long, j long, vector {kind}")
+    kind = rows.schema["vector"].dataType.simpleString()
+    coded = materialize(
+        classes.select("least", "n", "vector").mapInArrow(encode_rows, f"least long, n long, vector {kind}, code binary, factor double, place long"), "codes"
     )
-    links = near.join(plain.select(F.col("cid").alias("i"), F.col("vector").alias("other")), "i")
-    links = materialize(links.select("i", "j", "vector", "other").mapInArrow(exact(threshold), "i long, j long"), "links")
-
-    roots = connected_components(links.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    sizes = classes.select("cid", "n")
-    both = links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = both.join(sizes.withColumnRenamed("cid", "j"), "j").groupBy("i").agg(F.sum("n").alias("others"))
-    known = (
-        classes.join(degree.withColumnRenamed("i", "cid"), "cid", "left")
+    lanes, count = tables(coded.count(), threshold)
+    # in order of a key, so that near vectors get near numbers; the vector's hash splits equal keys
+    ordered = coded.orderBy(F.size("vector"), "place", "code", F.xxhash64("vector")).drop("place")
+    known = materialize(ordered.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    discard(coded)
+
+    given = known.select("cid", "code", "vector")
+    shape = "key long, cid long, head long"
+    postings = given.mapInArrow(keyed(lanes, count), shape)
+    sampled = given.where(F.pmod(F.xxhash64("cid"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(keyed(lanes, count), shape)
+    keys = ["key", "blk_lo", "blk_hi"]
+    dealt = deal_hot_keys(postings, sampled).repartition(*keys).sortWithinPartitions(*keys)
+    compare = materialize(dealt.mapInArrow(to_compare(threshold), "x long, y long, cid long").distinct(), "block-pairs")
+
+    parts = compare.join(known.select("cid", "n", "code", "factor", "vector"), "cid").select("x", "y", "cid", "n", "code", "factor", "vector")
+    found = parts.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(compare_blocks(threshold), "a long, b long, others long")
+    found = materialize(found, "links")
+    discard(compare)
+
+    roots = connected_components(found.where("b is not null").select("a", "b"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
+    named = (
+        known.join(degree, "cid", "left")
         .join(roots.select(F.col("node").alias("cid"), "component"), "cid", "left")
         .select("vector", "least", F.coalesce("component", "cid").alias("component"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
-    known = materialize(known, "classes")
-    names = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.join(names, "component").select("vector", "n_links", "component_id")
-    good = rows.where("_ok").join(named, "vector").select("id", "n_links", "component_id")
+    named = materialize(named, "classes")
+    discard(found)
+    discard(known)
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    answer = named.join(names, "component").select("vector", "n_links", "component_id")
+    good = rows.where("_ok").join(answer, "vector").select("id", "n_links", "component_id")
     alone = rows.where(~F.col("_ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -125,7 +125,7 @@ def test_each_stage_of_the_pipeline_matches_brute_force(spark, sf_dir):
 
     cut = corpus_pipeline.repeats_stage(spark, one, sf_dir).cache()
     rows = sorted(one.collect(), key=lambda r: r.doc_id)
-    gone = brute_repeats([r.text.encode() for r in rows], 400)
+    gone = brute_repeats([r.text.encode() for r in rows], corpus_pipeline.PASSAGE)
     got = {r.doc_id: (r.text, r.n_chars) for r in cut.collect()}
     for r, g in zip(rows, gone, strict=True):
         text, at = "", 0

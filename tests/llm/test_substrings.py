@@ -59,19 +59,34 @@ def corpus() -> list[str | None]:
     return texts
 
 
-@pytest.mark.parametrize("cap", [50_000, 5])
-def test_removed_bytes_match_brute_force(spark, corpus, cap, monkeypatch):
+@pytest.mark.parametrize(("cap", "length"), [(50_000, 400), (5, 400), (2, 400), (5, 200), (3, 90), (2, 9)])
+def test_removed_bytes_match_brute_force(spark, corpus, cap, length, monkeypatch):
     monkeypatch.setattr(substrings, "GRAM_CAP", cap)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(corpus)], "doc_id long, text string, spans string").repartition(6)
-    got = {r.doc_id: r for r in substrings.removal_digests(docs).collect()}
+    got = {r.doc_id: r for r in substrings.removal_digests(docs, length=length).collect()}
     raws = [(t or "").encode() for t in corpus]
     assert len(got) == len(corpus)
-    for i, (raw, gone) in enumerate(zip(raws, brute(raws, 400), strict=True)):
+    for i, (raw, gone) in enumerate(zip(raws, brute(raws, length), strict=True)):
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
         runs = sum(g and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
         r = got[i]
         assert (r.n_bytes, r.n_removed, r.n_spans) == (len(raw), sum(gone), runs), i
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
+        assert r.text == kept.decode("utf-8", "replace")
+
+
+def test_a_hot_gram_is_split_and_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GRAM_CAP", 8)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = text(900)
+    texts = []
+    for k in range(60):  # near copies of one passage, and parts of it in other surroundings
+        at = rng.randrange(900)
+        texts.append(passage[:at] + "!" * (k % 3) + passage[at:] if k % 2 else text(k) + passage[at // 3 : at // 3 + 330 + 5 * k] + text(60 - k))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_removed for r in substrings.removal_digests(docs).collect()}
+    assert got == {i: sum(gone) for i, gone in enumerate(brute([t.encode() for t in texts], 400))}
 
 
 def test_texts_lose_whole_characters_only(spark, corpus):

@@ -1,33 +1,59 @@
 """Removal of long byte strings that occur more than once anywhere in a corpus.
 
 Sorting every suffix of a large corpus would move it many times over.  Instead, each
-window of ``LENGTH`` bytes is represented by its anchor: the start of the window's
-``GRAM``-byte string of least hash, leftmost of equals.  Equal windows have equal anchors
-at equal places, so only suffixes at anchors (about one in 170 bytes) can matter, and of
-these only the ones whose gram occurs again.  Where all occurrences of a gram lie in equal
-surroundings, a count decides.  Where surroundings differ, the text to the right and,
-backwards, to the left of one anchor for each kind of surroundings is sorted by deep-shallow
-sorting; common prefixes with neighbours in both orders tell which windows are equal.
+window of a given length is represented by its anchor: the start of the window's gram (a
+shorter string) of least hash, leftmost of equals.  Equal windows have equal anchors at
+equal places, so only suffixes at anchors (about one in 170 bytes for windows of 400) can
+matter, and of these only the ones whose gram occurs again.  Where all occurrences of a gram
+lie in equal surroundings, a count decides.  Where surroundings differ, the text to the right
+and, backwards, to the left of one anchor for each kind of surroundings is sorted by
+deep-shallow sorting; common prefixes with neighbours in both orders tell which windows are
+equal.
+
+A gram with more kinds of surroundings than one task should sort is split without pairing its
+rows.  The windows around an anchor are told apart by how far they begin to the left of it;
+those that begin between ``lo`` and ``hi`` bytes to the left all hold the ``lo`` bytes left
+of the anchor and the ``length - hi`` bytes right of it, so kinds can share one of them only
+if they agree there.  Such a core is the key of a smaller group.  In a group that is still
+too large, kinds that agree in all that these windows hold need no sort, one of them stands
+for the others, and the range is halved.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_texts, small_batches, split_hot_keys, whole_runs
+from .common import discard, materialize, raw_texts, small_batches, whole_runs
 from .suffix import deep_shallow_sort
 
-LENGTH, GRAM = 400, 64
-#: Grams of a window of LENGTH bytes, and the most that lies left of an anchor in one.
-SPAN = LENGTH - GRAM + 1
-#: Bytes of a text looked at together, and anchors of one gram compared in one task.
-CHUNK, GRAM_CAP = 1 << 20, 50_000
+#: Bytes of a text looked at together, and kinds of surroundings sorted as one group.
+CHUNK, GRAM_CAP = 1 << 20, 2048
+
+
+@dataclass(frozen=True)
+class Widths:
+    """Bytes of the windows that count as repeated, of grams, and the places of a gram in a
+    window, which is one more than the most that lies left of an anchor in one."""
+
+    length: int = 400
+
+    @property
+    def gram(self) -> int:
+        return max(1, min(64, self.length // 4))
+
+    @property
+    def span(self) -> int:
+        return self.length - self.gram + 1
+
+
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -66,27 +92,28 @@ class Hasher:
         return h ^ (h >> np.uint64(32))
 
 
-def anchors(raw: bytes, hasher: Hasher) -> tuple[np.ndarray, ...]:
+def anchors(raw: bytes, hasher: Hasher, w: Widths = Widths()) -> tuple[np.ndarray, ...]:
     """Anchors of all windows: places, bytes of surroundings to the left and from there to
     the right, hash of the gram, hash of the surroundings."""
+    length, gram, span = w.length, w.gram, w.span
     found = []
-    for at in range(0, max(0, len(raw) - LENGTH + 1), CHUNK):
+    for at in range(0, max(0, len(raw) - length + 1), CHUNK):
         # windows that start in this chunk, and surroundings of their anchors
-        low, high = max(0, at - LENGTH), min(len(raw), at + CHUNK + 3 * LENGTH)
+        low, high = max(0, at - length), min(len(raw), at + CHUNK + 3 * length)
         data = np.frombuffer(raw[low:high], np.uint8)
         sums = hasher.sums(data)
         first = at - low
-        windows = min(CHUNK, len(raw) - LENGTH + 1 - at)
-        grams = windows + SPAN - 1
-        h = hasher.slices(sums, slice(first, first + grams), slice(first + GRAM, first + GRAM + grams))
+        windows = min(CHUNK, len(raw) - length + 1 - at)
+        grams = windows + span - 1
+        h = hasher.slices(sums, slice(first, first + grams), slice(first + gram, first + gram + grams))
         least, width = (h & ~_PLACE) | np.arange(grams, dtype=np.uint64), 1
-        while 2 * width <= SPAN:
+        while 2 * width <= span:
             least, width = np.minimum(least[:-width], least[width:]), 2 * width
-        least = np.minimum(least[:windows], least[SPAN - width : SPAN - width + windows])
+        least = np.minimum(least[:windows], least[span - width : span - width + windows])
         place = (least & _PLACE).astype(np.int64)
         place = place[np.concatenate([[True], place[1:] != place[:-1]])]
         here = place + at
-        left, right = np.minimum(here, SPAN - 1), np.minimum(len(raw) - here, LENGTH)
+        left, right = np.minimum(here, span - 1), np.minimum(len(raw) - here, length)
         around = hasher.slices(sums, here - left - low, here + right - low)
         around = (around + left.astype(np.uint64)) * np.uint64(STEP) + right.astype(np.uint64)
         found.append((here, left, right, h[place], around))
@@ -108,57 +135,62 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text (a, b, text), one row for equal surroundings in one text.
+def find_anchors(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from texts (a, b, text) to their anchors, one row for equal surroundings in
+    one text.
 
     Where surroundings repeat within a text (``times`` > 1), what they cover is known to
     repeat; it is given as rows without hashes, ``pos`` to ``pos + rightward``.
     """
-    hasher = Hasher()
-    for batch in batches:
-        parts: list[list] = [[] for _ in range(7)]
-        for k, raw in enumerate(raw_texts(batch.column(2))):
-            pos, left, right, h, g = anchors(raw, hasher)
-            if not len(pos):
-                continue
-            order = np.lexsort((pos, g, h))
-            new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
-            times = np.diff(np.append(np.flatnonzero(new), len(pos)))
-            one = order[new]
-            rows = [pos[one], left[one], right[one], h[one].view(np.int64), g[one].view(np.int64), times]
-            again = np.zeros(len(pos), bool)
-            again[order] = np.repeat(times > 1, times)
-            again &= left + right >= LENGTH
-            zones = merged(np.stack([pos - left, pos + right], axis=1)[again])
-            zero = np.zeros(len(zones), np.int64)
-            rows = [np.concatenate(x) for x in zip(rows, [zones[:, 0], zero, zones[:, 1] - zones[:, 0], zero, zero, zero], strict=True)]
-            for part, x in zip(parts, [np.full(len(rows[0]), k), *rows], strict=True):
-                part.append(x)
-        columns = [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
-        doc = pa.array(columns[0])
-        arrays = [batch.column(0).take(doc), batch.column(1).take(doc)]
-        arrays += [pa.array(x.astype(np.int32)) for x in columns[1:4]] + [pa.array(x) for x in columns[4:6]] + [pa.array(columns[6].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "pos", "leftward", "rightward", "h", "g", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            parts: list[list] = [[] for _ in range(7)]
+            for k, raw in enumerate(raw_texts(batch.column(2))):
+                pos, left, right, h, g = anchors(raw, hasher, w)
+                if not len(pos):
+                    continue
+                order = np.lexsort((pos, g, h))
+                new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
+                times = np.diff(np.append(np.flatnonzero(new), len(pos)))
+                one = order[new]
+                rows = [pos[one], left[one], right[one], h[one].view(np.int64), g[one].view(np.int64), times]
+                again = np.zeros(len(pos), bool)
+                again[order] = np.repeat(times > 1, times)
+                again &= left + right >= w.length
+                zones = merged(np.stack([pos - left, pos + right], axis=1)[again])
+                zero = np.zeros(len(zones), np.int64)
+                rows = [np.concatenate(x) for x in zip(rows, [zones[:, 0], zero, zones[:, 1] - zones[:, 0], zero, zero, zero], strict=True)]
+                for part, x in zip(parts, [np.full(len(rows[0]), k), *rows], strict=True):
+                    part.append(x)
+            columns = [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
+            doc = pa.array(columns[0])
+            arrays = [batch.column(0).take(doc), batch.column(1).take(doc)]
+            arrays += [pa.array(x.astype(np.int32)) for x in columns[1:4]] + [pa.array(x) for x in columns[4:6]] + [pa.array(columns[6].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "pos", "leftward", "rightward", "h", "g", "times"])
+
+    return run
 
 
 ANCHOR = "a long, b long, pos int, leftward int, rightward int, h long, g long, times int"
 
 
-def repeated_windows(texts: list[bytes], left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For anchors with their surroundings, sorted by group: runs of offsets at which the
-    window around an anchor equals another's of its group, as (row, low, high) of what the
-    run covers, relative to the anchor."""
+def repeated_windows(texts: list[bytes], left: np.ndarray, right: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, w: Widths) -> tuple[np.ndarray, ...]:
+    """For anchors with their surroundings, sorted by group: runs of offsets, between a group's
+    ``low`` and ``high``, at which the window around an anchor equals another's of its group, as
+    (row, low, high) of what the run covers, relative to the anchor."""
     n = len(texts)
     rightward = [t[k:] for t, k in zip(texts, left, strict=True)]
     leftward = [t[:k][::-1] for t, k in zip(texts, left, strict=True)]
-    right_order, right_shared = deep_shallow_sort(rightward, group, LENGTH)
-    left_order, left_shared = deep_shallow_sort(leftward, group, SPAN - 1)
-    hit = np.zeros((n, SPAN + 1), bool)  # the last column stays empty and ends runs
+    right_order, right_shared = deep_shallow_sort(rightward, group, w.length)
+    left_order, left_shared = deep_shallow_sort(leftward, group, w.span - 1)
+    hit = np.zeros((n, w.span + 1), bool)  # the last column stays empty and ends runs
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
-    for offset in range(SPAN):
-        a[right_order] = np.cumsum(right_shared < LENGTH - offset)
+    for offset in range(int(low.min(initial=w.span)), int(high.max(initial=-1)) + 1):
+        a[right_order] = np.cumsum(right_shared < w.length - offset)
         b[left_order] = np.cumsum((left_shared < offset) | (np.diff(group[left_order], prepend=-1) != 0))
-        fits = np.flatnonzero((left >= offset) & (right >= LENGTH - offset))
+        fits = np.flatnonzero((left >= offset) & (right >= w.length - offset) & (low <= offset) & (offset <= high))
         key = a[fits] * (n + 1) + b[fits]
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
@@ -167,28 +199,39 @@ def repeated_windows(texts: list[bytes], left: np.ndarray, right: np.ndarray, gr
     edge = np.diff(hit.astype(np.int8), axis=1, prepend=0)
     row, first = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
-    return row, -(end - 1), LENGTH - first
+    return row, -(end - 1), w.length - first
+
+
+#: A group of surroundings to sort: gram, range of windows, and core.
+GROUP = ["h", "lo", "hi", "core"]
+KIND = "h long, g long, leftward int, around binary, lo int, hi int, core long, whole long"
+COVER = "h long, g long, low int, high int"
+
+
+def compare_surroundings(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from rows of GROUP with (g, leftward, around), sorted by group, to what equal
+    windows cover."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, GROUP, rows=2 * GRAM_CAP):
+            left = table["leftward"].to_numpy().astype(np.int64)
+            texts = table["around"].to_pylist()
+            right = np.array([len(t) for t in texts], np.int64) - left
+            columns = [table[k].to_numpy() for k in GROUP]
+            new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            group = np.cumsum(np.concatenate([[0], new]))
+            row, low, high = repeated_windows(texts, left, right, group, columns[1], columns[2], w)
+            h, g = table["h"].to_numpy()[row], table["g"].to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(g), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "g", "low", "high"]
+            )
 
-def compare_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, g, leftward, around, blk_lo, blk_hi) sorted by gram and block."""
-    keys = ["h", "blk_lo", "blk_hi"]
-    for table in whole_runs(batches, keys, rows=8192):
-        left = table["leftward"].to_numpy().astype(np.int64)
-        texts = table["around"].to_pylist()
-        right = np.array([len(t) for t in texts], np.int64) - left
-        columns = [table[k].to_numpy() for k in keys]
-        new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        row, low, high = repeated_windows(texts, left, right, np.cumsum(np.concatenate([[0], new])))
-        h, g = table["h"].to_numpy()[row], table["g"].to_numpy()[row]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(g), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "g", "low", "high"]
-        )
+    return run
 
 
 def cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, wanted) to one row for each wanted anchor, with the bytes around it."""
-    names = ["h", "g", "leftward", "blk_lo", "blk_hi"]
+    names = ["h", "g", "leftward", "hot"]
     for batch in batches:
         wanted = batch.column(1)
         flat = wanted.flatten()
@@ -200,40 +243,111 @@ def cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*(field[k] for k in names), pa.array(around, pa.binary())], [*names, "around"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def halved(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from rows (h, g, leftward, around, lo, hi) to rows of KIND for either half of
+    lo..hi: the hash of the core that all windows of the half hold, and of all that they hold
+    together (0 where the text ends before).  A half whose core does not fit is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda x: np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)
+        for batch in batches:
+            found: list[list] = [[] for _ in range(5)]
+            columns = [batch.column(k).to_pylist() for k in (2, 3, 4, 5)]
+            for k, (left, around, lo, hi) in enumerate(zip(*columns, strict=True)):
+                middle = (lo + hi) // 2
+                for a, b in {(lo, middle), (middle + 1, hi)} if lo < hi else ():
+                    if left < a or len(around) - left < w.length - b:
+                        continue
+                    core = digest(around[left - a : left + w.length - b])
+                    fits = left >= b and len(around) - left >= w.length - a
+                    whole = digest(around[left - b : left + w.length - a]) if fits else 0
+                    for part, x in zip(found, (k, a, b, core, whole), strict=True):
+                        part.append(x)
+            at = pa.array(found[0], pa.int64())
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in range(4)), *(pa.array(x, k) for x, k in zip(found[1:], kinds, strict=True))],
+                ["h", "g", "leftward", "around", "lo", "hi", "core", "whole"],
+            )
+
+    return run
+
+
+def split_hot_grams(hot: DataFrame, w: Widths) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+    """Groups of at most GRAM_CAP rows to sort, what is covered without sorting, and the tables
+    behind both, from rows (h, g, leftward, around) of hot grams.
+
+    Each round halves the ranges of windows, so there are at most as many as the logarithm of
+    a window's length, and a row takes part in few of the ranges at once: where rows agree in
+    all windows of a range, one goes on for them.  Sums of rows by key are partial aggregates.
+    """
+    small, covered, tables = [], [], []
+    now = hot.withColumns({"lo": F.lit(0), "hi": F.lit(w.span - 1)})
+    while True:
+        rows = materialize(now.select("h", "g", "leftward", "around", "lo", "hi").mapInArrow(halved(w), KIND), "halves")
+        discard(now)
+        large = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GRAM_CAP).drop("n"), "large-groups")
+        small.append(rows.join(large, GROUP, "left_anti"))
+        tables += [rows, large]
+        if not large.head(1):
+            return small, covered, [*tables, *covered]
+        kept = materialize(rows.join(large, GROUP), "large-rows")
+        same = kept.where("whole != 0").groupBy(*GROUP, "whole").agg(F.count(F.lit(1)).alias("n"), F.min("g").alias("one"))
+        same = materialize(same.where("n > 1"), "same-windows")
+        known = kept.join(same, [*GROUP, "whole"], "left")
+        covered.append(materialize(known.where("n > 1").select("h", "g", (-F.col("hi")).alias("low"), (F.lit(w.length) - F.col("lo")).alias("high")), "covered"))
+        now = materialize(known.where("lo < hi and (n is null or g = one)").select(*rows.columns), "going-on")
+        discard(kept)
+        discard(same)
+
+
+def repeated_spans(docs: DataFrame, w: Widths = Widths()) -> DataFrame:
     """For ``docs`` (a, b: key, text): ``(a, b, spans)``, the spans of bytes to remove."""
     small_batches(docs.sparkSession)
-    every = materialize(docs.select("a", "b", "text").mapInArrow(find_anchors, ANCHOR), "anchors")
+    every = materialize(docs.select("a", "b", "text").mapInArrow(find_anchors(w), ANCHOR), "anchors")
     hashed, zones = every.where("times > 0"), every.where("times = 0")
     grams = hashed.groupBy("h").agg(F.sum("times").alias("n"), (F.min("g") != F.max("g")).alias("differ"))
     grams = materialize(grams.where("n > 1").select("h", "differ"), "grams")  # so that a hot gram's join can be split
     again = materialize(hashed.join(grams, "h"), "anchors-again")
+    discard(grams)
     alike, mixed = again.where("not differ"), again.where("differ")
 
     one = F.min(F.struct("a", "b", "pos", "leftward", "rightward")).alias("one")
     kinds = materialize(mixed.groupBy("h", "g").agg(F.sum("times").alias("n"), one), "surroundings")
-    dealt = split_hot_keys(kinds.select("h", "g", "one.*"), ["h"], "g", GRAM_CAP)
-    wanted = dealt.groupBy("a", "b").agg(
-        F.collect_list(F.struct("pos", "leftward", "rightward", "h", "g", "blk_lo", "blk_hi")).alias("wanted")
+    hot = materialize(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > GRAM_CAP).select("h", F.lit(True).alias("hot")), "hot-grams")
+    wanted = kinds.select("h", "g", "one.*").join(hot, "h", "left").groupBy("a", "b").agg(
+        F.collect_list(F.struct("pos", "leftward", "rightward", "h", "g", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     )
     cut = docs.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "wanted")
-    cut = cut.mapInArrow(cut_surroundings, "h long, g long, leftward int, blk_lo int, blk_hi int, around binary")
-    keys = ["h", "blk_lo", "blk_hi"]
-    found = cut.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
-        compare_surroundings, "h long, g long, low int, high int"
-    )
-    whole = kinds.where("n > 1").select("h", "g", (-F.col("one.leftward")).alias("low"), F.col("one.rightward").alias("high"))
-    covered = materialize(found.distinct().unionByName(whole), "covered").where(F.col("high") - F.col("low") >= LENGTH)
+    cut = cut.mapInArrow(cut_surroundings, "h long, g long, leftward int, hot boolean, around binary")
+    groups, covers, tables = [], [], []
+    if hot.head(1):
+        cut = materialize(cut, "cut")
+        groups, covers, tables = split_hot_grams(cut.where("hot").drop("hot"), w)
+    whole = F.lit(0).cast("long")
+    dealt = cut.where("not hot").select("h", F.lit(0).alias("lo"), F.lit(w.span - 1).alias("hi"), whole.alias("core"), "g", "leftward", "around")
+    for more in groups:
+        dealt = dealt.unionByName(more.select(*dealt.columns))
+    found = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(compare_surroundings(w), COVER)
+    for more in covers:
+        found = found.unionByName(more)
+    known = kinds.where("n > 1").select("h", "g", (-F.col("one.leftward")).alias("low"), F.col("one.rightward").alias("high"))
+    covered = materialize(found.unionByName(known).where(F.col("high") - F.col("low") >= w.length).distinct(), "covered")
+    for table in (kinds, hot, cut, *tables):
+        discard(table)
 
     spans = [
         zones.select("a", "b", F.col("pos").alias("low"), (F.col("pos") + F.col("rightward")).alias("high")),
-        alike.where(F.col("leftward") + F.col("rightward") >= LENGTH).select(
+        alike.where(F.col("leftward") + F.col("rightward") >= w.length).select(
             "a", "b", (F.col("pos") - F.col("leftward")).alias("low"), (F.col("pos") + F.col("rightward")).alias("high")
         ),
         mixed.join(covered, ["h", "g"]).select("a", "b", (F.col("pos") + F.col("low")).alias("low"), (F.col("pos") + F.col("high")).alias("high")),
     ]
     each = spans[0].unionByName(spans[1]).unionByName(spans[2])
-    return each.groupBy("a", "b").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    out = materialize(each.groupBy("a", "b").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
+    for table in (every, again, covered):
+        discard(table)
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...]) -> DataFrame:
@@ -267,20 +381,21 @@ def _whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...]) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...], length: int) -> DataFrame:
     keyed = _keyed(docs, id_col, text_col, also)
-    joined = keyed.join(repeated_spans(keyed), ["a", "b"], "left")
+    joined = keyed.join(repeated_spans(keyed, Widths(length)), ["a", "b"], "left")
     none = F.array().cast("array<struct<low:int,high:int>>")
     return joined.select("also", "text", F.coalesce("spans", none).alias("spans"))
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``docs``.
+def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text)`` for every row of ``docs``.
 
-    A byte goes if a string of ``LENGTH`` bytes covers it that also starts anywhere else, in
-    the same text or another; all occurrences go, the first too.  Null texts count as empty;
-    texts shorter than ``LENGTH`` lose nothing.  Rows that repeat an id and text are
-    documents of their own, so their text repeats.  No rows give no rows.
+    A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in
+    the same text or another; all occurrences go, the first too.  ``text`` is what is left,
+    with U+FFFD where a character lost some of its bytes.  Null texts count as empty; texts
+    shorter than ``length`` lose nothing.  Rows that repeat an id and text are documents of
+    their own, so their text repeats.  Other columns are not read.  No rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,21 +403,22 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             raws, rows = raw_texts(batch.column(1)), []
             for raw, spans in zip(raws, _spans_of(batch.column(2)), strict=True):
                 kept = _kept(raw, spans)
-                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).field(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
             )
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
     small_batches(docs.sparkSession)
-    return _with_spans(docs, id_col, text_col, (id_col,)).mapInArrow(run, schema)
+    return _with_spans(docs, id_col, text_col, (id_col,), length).mapInArrow(run, schema)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated strings taken out of the text; columns, rows and ids as before.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+    """``docs`` with repeated strings of ``length`` bytes taken out of the text; columns, rows and
+    ids as before.
 
     Only whole characters are taken out, so that the text stays valid.  A null text stays null.
     """
@@ -318,7 +434,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = tuple(c for c in docs.columns if c != text_col)
     flagged = docs.withColumn("_no_text", F.col(text_col).isNull())
     small_batches(docs.sparkSession)
-    given = _with_spans(flagged, id_col, text_col, (*others, "_no_text"))
+    given = _with_spans(flagged, id_col, text_col, (*others, "_no_text"), length)
     kind = given.schema["also"].dataType.simpleString()
     out = given.mapInArrow(run, f"also {kind}, kept string")
     text = F.when(~F.col("also._no_text"), F.col("kept"))

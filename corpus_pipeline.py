@@ -15,6 +15,11 @@ from tracewell.llm.common import materialize, read
 from tracewell.llm.queries import QUALITY_CUT, quality_model, vocabulary
 
 
+#: Bytes of a string that counts as a repeated passage here: some forty words, fewer than a
+#: quoted paragraph has, more than phrases share by chance.  The query of the operator takes 400.
+PASSAGE = 200
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, by the query's own cut."""
     model = quality_model(spark, docs, sf_dir)
@@ -29,8 +34,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long strings that occur more than once; ``n_chars`` is counted anew."""
-    cut = substrings.without_repeats(docs)
+    """Documents without the strings of PASSAGE bytes that occur more than once; ``n_chars`` is
+    counted anew."""
+    cut = substrings.without_repeats(docs, length=PASSAGE)
     kind = docs.schema["n_chars"].dataType
     return cut.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
 

@@ -42,6 +42,7 @@ HOT_SAMPLE = 64
 BLOCK = 10
 #: Directions of a full set; with their opposites, twice as many values.
 LANES = 64
+WORD = 8
 TRIALS = 200_000
 SEED = 7
 
@@ -144,31 +145,32 @@ def _by_size(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(least, n, vector) with code, factor and the key by which rows are put in order."""
+    """Rows with a ``vector``, with code, factor and the key by which rows are put in order."""
     for batch in batches:
-        for dim, at in _by_size(batch.column(2)):
+        for dim, at in _by_size(batch.column("vector")):
             some = batch.take(pa.array(at))
-            vectors = _matrix(some.column(2), dim)
+            vectors = _matrix(some.column("vector"), dim)
             codes, factors = encode(vectors)
             place = table_keys(unit(vectors), 0, (LANES, LANES))
             yield pa.RecordBatch.from_arrays(
                 [*some.columns, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(factors), pa.array(place)],
-                ["least", "n", "vector", "code", "factor", "place"],
+                [*batch.schema.names, "code", "factor", "place"],
             )
 
 
 def keyed(lanes: tuple[int, ...], count: int):
     """A function from (cid, code, vector) to a row for each table: key, cid, and the code's
-    first 64 bits."""
+    first 128 bits, by which most vectors that meet by chance are told apart at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, at in _by_size(batch.column(2)):
                 some = batch.take(pa.array(at))
                 vectors = unit(_matrix(some.column(2), dim))
-                head = pa.array(np.frombuffer(b"".join(c[:8] for c in some.column(1).to_pylist()), np.int64))
+                heads = np.frombuffer(b"".join(c[: 2 * WORD] for c in some.column(1).to_pylist()), np.int64).reshape(-1, 2)
+                heads = [pa.array(np.ascontiguousarray(heads[:, k])) for k in range(2)]
                 for table in range(count):
-                    yield pa.RecordBatch.from_arrays([pa.array(table_keys(vectors, table + 1, lanes)), some.column(0), head], ["key", "cid", "head"])
+                    yield pa.RecordBatch.from_arrays([pa.array(table_keys(vectors, table + 1, lanes)), some.column(0), *heads], ["key", "cid", "head", "next"])
 
     return run
 
@@ -177,17 +179,22 @@ def _blocks(cid: np.ndarray) -> np.ndarray:
     return cid >> BLOCK
 
 
+def _distinct(columns: np.ndarray) -> np.ndarray:
+    columns = columns[:, np.lexsort(columns)]
+    return columns[:, np.concatenate([[True], (columns[:, 1:] != columns[:, :-1]).any(axis=0)])]
+
+
 #: Buckets of up to so many rows are compared all together, step by step.
 SMALL = 32
 
 
 def to_compare(threshold: float):
-    """A function from rows (key, cid, head, blk, blk_lo, blk_hi) sorted by key to rows
+    """A function from rows (key, cid, head, next, blk, blk_lo, blk_hi) sorted by key to rows
     (x, y, cid): compare this vector in this pair of blocks."""
-    far = furthest(math.acos(threshold) / math.pi, 64)
+    far = furthest(math.acos(threshold) / math.pi, 16 * WORD)
 
     def pairs_of(rows: pa.Table, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        cid, head = rows["cid"].to_numpy(), rows["head"].to_numpy().view(np.uint64)
+        cid, head, tail = rows["cid"].to_numpy(), rows["head"].to_numpy().view(np.uint64), rows["next"].to_numpy().view(np.uint64)
         block, cross = rows["blk"].to_numpy(), rows["blk_lo"].to_numpy() != rows["blk_hi"].to_numpy()
         starts = run_starts(rows, keys)
         sizes = np.diff(np.append(starts, len(cid)))
@@ -195,7 +202,7 @@ def to_compare(threshold: float):
         small = sizes[run] <= SMALL
 
         def kept(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            near = np.bitwise_count(head[a] ^ head[b]) <= far
+            near = np.bitwise_count(head[a] ^ head[b]) + np.bitwise_count(tail[a] ^ tail[b]) <= far
             near &= ~cross[a] | (block[a] != block[b])
             return cid[a[near]], cid[b[near]]
 
@@ -215,14 +222,14 @@ def to_compare(threshold: float):
     def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low, high = np.minimum(a, b), np.maximum(a, b)
         x, y = _blocks(low), _blocks(high)
-        return np.unique(np.stack([np.concatenate(c) for c in ((x, x), (y, y), (low, high))], axis=1), axis=0)
+        return _distinct(np.stack([np.concatenate(c) for c in ((x, x), (y, y), (low, high))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "blk_lo", "blk_hi"]
         for rows in whole_runs(batches, keys):
             found = [wanted(a, b) for a, b in pairs_of(rows, keys) if len(a)]
-            out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], ["x", "y", "cid"])
+            out = _distinct(np.concatenate(found, axis=1)) if found else np.empty((3, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["x", "y", "cid"])
 
     return run
 
@@ -311,7 +318,7 @@ def deal_hot_keys(postings: DataFrame, some: DataFrame) -> DataFrame:
     out = postings.join(hot, "key", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     out = out.withColumn("blk", F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("_blocks")).cast("int"))
     pairs = F.expr("transform(sequence(0, _blocks - 1), j -> struct(least(blk, j) as blk_lo, greatest(blk, j) as blk_hi))")
-    return out.withColumn("_pair", F.explode(pairs)).select("key", "cid", "head", "blk", F.col("_pair.blk_lo").alias("blk_lo"), F.col("_pair.blk_hi").alias("blk_hi"))
+    return out.withColumn("_pair", F.explode(pairs)).select("key", "cid", "head", "next", "blk", F.col("_pair.blk_lo").alias("blk_lo"), F.col("_pair.blk_hi").alias("blk_hi"))
 
 
 def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.9) -> DataFrame:
@@ -326,19 +333,19 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     small_batches(vectors.sparkSession, 4096)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     rows = rows.withColumn("_ok", usable("vector"))
-    classes = rows.where("_ok").groupBy("vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    same = ["h1", "h2"]  # 128 bits of hash name a vector, so that joins need not carry it
+    hashed = rows.where("_ok").withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(SEED), "vector")})
+    classes = hashed.groupBy(*same, "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     kind = rows.schema["vector"].dataType.simpleString()
-    coded = materialize(
-        classes.select("least", "n", "vector").mapInArrow(encode_rows, f"least long, n long, vector {kind}, code binary, factor double, place long"), "codes"
-    )
+    coded = materialize(classes.mapInArrow(encode_rows, f"h1 long, h2 long, vector {kind}, least long, n long, code binary, factor double, place long"), "codes")
     lanes, count = tables(coded.count(), threshold)
-    # in order of a key, so that near vectors get near numbers; the vector's hash splits equal keys
-    ordered = coded.orderBy(F.size("vector"), "place", "code", F.xxhash64("vector")).drop("place")
+    # in order of a key, so that near vectors get near numbers; the hash splits equal keys
+    ordered = coded.orderBy(F.size("vector"), "place", "code", "h1").drop("place")
     known = materialize(ordered.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     discard(coded)
 
     given = known.select("cid", "code", "vector")
-    shape = "key long, cid long, head long"
+    shape = "key long, cid long, head long, next long"
     postings = given.mapInArrow(keyed(lanes, count), shape)
     sampled = given.where(F.pmod(F.xxhash64("cid"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(keyed(lanes, count), shape)
     keys = ["key", "blk_lo", "blk_hi"]
@@ -353,15 +360,15 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     roots = connected_components(found.where("b is not null").select("a", "b"))
     degree = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
     named = (
-        known.join(degree, "cid", "left")
+        known.select("cid", *same, "least", "n").join(degree, "cid", "left")
         .join(roots.select(F.col("node").alias("cid"), "component"), "cid", "left")
-        .select("vector", "least", F.coalesce("component", "cid").alias("component"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        .select(*same, "least", F.coalesce("component", "cid").alias("component"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     )
     named = materialize(named, "classes")
     discard(found)
     discard(known)
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = named.join(names, "component").select("vector", "n_links", "component_id")
-    good = rows.where("_ok").join(answer, "vector").select("id", "n_links", "component_id")
+    answer = named.join(names, "component").select(*same, "n_links", "component_id")
+    good = hashed.select("id", *same).join(answer, same).select("id", "n_links", "component_id")
     alone = rows.where(~F.col("_ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

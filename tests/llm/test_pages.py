@@ -64,3 +64,34 @@ def test_generated_pages_match_what_they_were_made_of(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, want string").repartition(4)
     got = pages.extract(df, pages.fit(df), also=("want",)).collect()
     assert all(r.text == r.want for r in got)
+
+
+def test_classes_of_paragraphs_items_headings_and_inline_elements_count():
+    body = (
+        '<article><h1 class="entry-header">Head</h1><p>First <b class="lead">bold</b> part.</p><p class="advert">Buy now cheap.</p><ul><li>One'
+        '<li class="share">Share this<li>Two</ul><h3 class="related">See also</h3><p>Last <span class="ad">ad words</span>words<p class="notice">Note'
+        "<p>End.</p></article>"
+    )
+    assert pages.main_text(page(body), {}) == "Head First bold part. One Two Last words End."
+
+
+def test_weights_tell_regions_apart_where_no_word_of_the_markup_does(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choices("ka lo mi ne tu".split(), k=n))
+    box = lambda: f'<div class="qx"><p>{words(30)}</p></div>'
+    marked = [f'<div class="qx">{words(40)}</div><article><div class="zy"><p>{words(30)}</p></div></article>{box()}' for _ in range(30)]
+    model = pages.fit(spark.createDataFrame([(m,) for m in marked], "html string"))
+    text = words(20)
+    plain = f'{box()}<div class="zy"><p>{text}</p></div>{box()}'
+    assert pages.main_text(plain, model) == text
+    assert pages.main_text(plain, {}) != text
+
+
+def test_repeats_clashing_names_and_no_rows(spark):
+    df = spark.createDataFrame([(1, page(ARTICLE), "x", 5)] * 2 + [(None, None, None, None)], "page_id long, html string, text string, n_chars int")
+    model = pages.fit(df)
+    got = pages.extract(df, model, also=("page_id", "text", "n_chars"))
+    assert got.columns == ["page_id", "text", "n_chars"]
+    want = "Title here One two & three Four five"
+    assert sorted((str(r.page_id), r.text, r.n_chars) for r in got.collect()) == [("1", want, len(want))] * 2 + [("None", "", 0)]
+    assert pages.fit(df.limit(0)) == {} and pages.extract(df.limit(0), {}).count() == 0

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tracewell_path = path
+    for made in _made:
+        made.append(out)
     return out
 
 
+#: What is being written inside :func:`temporary_tables`.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Delete, at the end, the tables that :func:`materialize` wrote meanwhile.  For whoever
+    has a result written in between; what a lazy result still reads must not be deleted."""
+    made: list[DataFrame] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        for table in made:
+            discard(table)
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """Take a table out of the ones that :func:`temporary_tables` deletes."""
+    for made in _made:
+        made[:] = [t for t in made if t is not df]
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
     path = getattr(df, "_tracewell_path", None)
@@ -54,8 +82,20 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Let Arrow batches hold few rows, as one row can hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Let Arrow batches hold at most so many rows, as one row can hold a very long text.
+
+    The setting is the session's.  It is only ever lowered, so that queries that run later
+    than they were made, or beside each other, all find a bound that suits them.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def carried(also: tuple[str, ...], added: tuple[str, ...]) -> tuple[str, ...]:
+    """Columns to carry along: those that an operator adds itself replace ones of their names."""
+    return tuple(c for c in also if c not in added)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -2,24 +2,26 @@
 
 A page is a sequence of words and tags.  Words score positive and tags negative, by
 weights learned from labelled pages: pages whose article is marked up as such.  One
-linear scan finds the contiguous stretch of the highest sum, which is the content region;
-what stands in menus, adverts and the like inside of it is left out.
+linear scan finds the contiguous stretch of the highest sum, which is the content region.
+Elements inside of it that the markup itself names as menus, adverts and the like are left
+out.  Features are the kinds of elements around a word or tag, hashed, so none is too rare to
+have a weight and the model has a fixed size.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, small_batches
+from .common import carried, raw_texts, small_batches
 
 # Fixed values of HTML: names of elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,6 +32,14 @@ INLINE = frozenset(
 HIDDEN = "script style noscript template head title svg math iframe object canvas textarea select option button".split()
 NOISE_ELEMENTS = frozenset(["nav", "header", "footer", "aside", "form", "menu", "dialog", *HIDDEN])
 CONTENT_ELEMENTS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = frozenset(["p", "li", "dt", "dd", *HEADINGS])
+#: Elements without an end tag of their own: those that a start tag of the key ends, inside of
+#: the nearest element of the last column.
+ENDS = {
+    "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
+    "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)),
+}
 #: Words of a class, id or role that name what is no content.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
@@ -52,9 +62,9 @@ PARTS = re.compile(r"[a-z]+")
 
 @dataclass(frozen=True)
 class Params:
-    """``max_features`` bounds the weights that are broadcast: the most frequent features."""
+    """``buckets`` is the size of the model: features share weights by hash, whatever their number."""
 
-    max_features: int = 20_000
+    buckets: int = 1 << 18
     smoothing: float = 1.0
     #: Weights of features that no labelled page has, and bounds of the others.
     word: float = 1.0
@@ -100,6 +110,15 @@ def read_page(source: str) -> Page:
             top = stack[-1]
             page.pieces.append(Piece(f"word {top.kind}", len(part.split()), part, False, top.noise, top.content and not top.noise, top.content))
 
+    def end(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """End the innermost element of these names, and all that is open in it."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name in names:
+                del stack[k:]
+                return
+            if stack[k].name in within:
+                return
+
     for m in TOKEN.finditer(source):
         text(source[at : m.start()])
         at = m.end()
@@ -109,13 +128,15 @@ def read_page(source: str) -> Page:
                 page.pieces.append(Piece(f"tag {m['raw'].lower()} {stack[-1].kind}", block=True))
             continue
         inline = name in INLINE
-        if not inline and name not in VOID and name not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "br"):
+        if name not in VOID:
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        del stack[k:]
-                        break
+                end((name,), () if inline or name != "p" else ("div", "section", "article", "td"))
             else:
+                if not inline:
+                    end(("p", *HEADINGS) if name in HEADINGS else ("p",), ("div", "section", "article", "td", "li", "blockquote", "button"))
+                if name in ENDS:
+                    for _ in ENDS[name][0].split():
+                        end(tuple(ENDS[name][0].split()), ENDS[name][1])
                 stack.append(_element(name, m["attrs"], stack[-1]))
                 page.labelled |= name in CONTENT_ELEMENTS and stack[-1].content and not stack[-1].noise
         top = stack[-1]
@@ -125,10 +146,13 @@ def read_page(source: str) -> Page:
 
 
 def _element(name: str, attrs: str, parent: Element) -> Element:
-    named = sorted({w for g in NAMING.findall(attrs or "") for w in PARTS.findall("".join(g).lower())})
+    named = sorted({w for g in NAMING.findall(attrs or "") for w in PARTS.findall("".join(g).lower())}) if attrs else []
+    if name in HEADINGS:  # a heading's header is no page's
+        named = [w for w in named if w != "header"]
     noise = parent.noise or name in NOISE_ELEMENTS or not NOISE_WORDS.isdisjoint(named)
     content = parent.content or name in CONTENT_ELEMENTS and not noise
-    special = noise or content or bool(named) or name in ("td", "table", "ul", "ol", "section")
+    leaf = name in INLINE or name in LEAVES
+    special = noise or not leaf and (content or bool(named) or name in ("td", "table", "ul", "ol", "section"))
     if noise and parent.noise or not special:
         kind = parent.kind
     else:
@@ -136,59 +160,55 @@ def _element(name: str, attrs: str, parent: Element) -> Element:
     return Element(name, kind, noise, content)
 
 
-def count_features(pages: DataFrame, html_col: str, p: Params) -> DataFrame:
-    """How often each feature stands in and outside the marked articles of labelled pages."""
+def bucket(feature: str, p: Params) -> int:
+    return zlib.crc32(feature.encode()) % p.buckets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside, outside = Counter(), Counter()
 
-        def rows() -> pa.RecordBatch:
-            names = sorted({*inside, *outside})
-            out = [pa.array(names, pa.string()), *(pa.array([c[x] for x in names], pa.int64()) for c in (inside, outside))]
-            inside.clear()
-            outside.clear()
-            return pa.RecordBatch.from_arrays(out, ["feature", "inside", "outside"])
+def count_features(pages: DataFrame, html_col: str, p: Params) -> DataFrame:
+    """How often each feature, by bucket, stands in and outside the marked articles of labelled
+    pages; ``tags`` tells how often as a tag."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, p.buckets), np.int64)
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 page = read_page(raw.decode("utf-8", "replace"))
                 if page.labelled:
                     for piece in page.pieces:
-                        (inside if piece.labelled else outside)[piece.feature] += max(1, piece.words)
-            if len(inside) + len(outside) > 5 * p.max_features:
-                yield rows()
-        yield rows()
+                        at, n = bucket(piece.feature, p), max(1, piece.words)
+                        sums[0 if piece.labelled else 1, at] += n
+                        if not piece.text:
+                            sums[2, at] += n
+        some = np.flatnonzero(sums[0] + sums[1])
+        columns = [some.astype(np.int32), *(sums[k, some] for k in range(3))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "inside", "outside", "tags"])
 
     small_batches(pages.sparkSession, 128)
-    counted = pages.select(html_col).mapInArrow(run, "feature string, inside long, outside long")
-    return counted.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-
-
-def fit(pages: DataFrame, html_col: str = "html", p: Params = Params()) -> dict[str, float]:
-    """Weights: log odds of a feature in an article, made positive for words that may be
-    content and negative for tags.  Without labelled pages there are none, and
-    :func:`extract` falls back on the fixed ones of :class:`Params`."""
-    top = count_features(pages, html_col, p).orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(p.max_features)
-    rows = top.collect()
-    total_in = sum(r["inside"] for r in rows) + p.smoothing
-    total_out = sum(r["outside"] for r in rows) + p.smoothing
-    weights = {}
-    for r in rows:
-        odds = math.log((r["inside"] + p.smoothing) / total_in) - math.log((r["outside"] + p.smoothing) / total_out)
-        if r["feature"].startswith("tag "):
-            weights[r["feature"]] = max(-p.most, min(p.least_tag, odds))
-        else:
-            weights[r["feature"]] = max(p.noise_word, min(p.most, odds))
-    return weights
-
-
-def score(piece: Piece, weights: dict[str, float], p: Params) -> float:
+    counted = pages.select(html_col).mapInArrow(run, "bucket int, inside long, outside long, tags long")
+    return counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("inside", "outside", "tags")))
+
+
+def fit(pages: DataFrame, html_col: str = "html", p: Params = Params()) -> dict[int, float]:
+    """Weights by bucket: log odds of a feature in an article, made positive for words that may
+    be content and negative for tags.  Without labelled pages there are none, and
+    :func:`extract` falls back on the fixed ones of :class:`Params`.  The driver reads at most
+    ``buckets`` rows of sums."""
+    rows = count_features(pages, html_col, p).toArrow()
+    at, inside, outside, tags = (rows[c].to_numpy() for c in rows.column_names)
+    odds = np.log((inside + p.smoothing) / (inside.sum() + p.smoothing)) - np.log((outside + p.smoothing) / (outside.sum() + p.smoothing))
+    tag = 2 * tags > inside + outside
+    weight = np.where(tag, np.clip(odds, -p.most, p.least_tag), np.clip(odds, p.noise_word, p.most))
+    return dict(zip(at.tolist(), weight.tolist(), strict=True))
+
+
+def score(piece: Piece, weights: dict[int, float], p: Params) -> float:
+    at = bucket(piece.feature, p)
     if piece.text:
         if piece.noise:
             # Inside an article it is skipped either way and must not cut the article in two.
-            return 0.0 if piece.content else piece.words * min(p.noise_word, weights.get(piece.feature, p.noise_word))
-        return piece.words * weights.get(piece.feature, p.word)
-    return p.least_tag if piece.content else min(p.least_tag, weights.get(piece.feature, p.tag))
+            return 0.0 if piece.content else piece.words * min(p.noise_word, weights.get(at, p.noise_word))
+        return piece.words * weights.get(at, p.word)
+    return p.least_tag if piece.content else min(p.least_tag, weights.get(at, p.tag))
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
@@ -204,7 +224,7 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return low, high
 
 
-def main_text(source: str, weights: dict[str, float], p: Params = Params()) -> str:
+def main_text(source: str, weights: dict[int, float], p: Params = Params()) -> str:
     """The main text of one page: blocks in order, white space as single spaces."""
     pieces = read_page(source).pieces
     low, high = best_stretch([score(x, weights, p) for x in pieces])
@@ -217,13 +237,14 @@ def main_text(source: str, weights: dict[str, float], p: Params = Params()) -> s
     return " ".join("".join(parts).split())
 
 
-def extract(pages: DataFrame, weights: dict[str, float], html_col: str = "html", also: tuple[str, ...] = (), p: Params = Params()) -> DataFrame:
+def extract(pages: DataFrame, weights: dict[int, float], html_col: str = "html", also: tuple[str, ...] = (), p: Params = Params()) -> DataFrame:
     """``also`` columns with ``text`` and ``n_chars`` for every row.
 
     The whole page counts; a null or blank page, or one without words that score, gives the
-    empty text.  The weights are broadcast; :class:`Params` bounds their number.
+    empty text.  Repeated rows get a row each, no rows give no rows, and columns of ``also``
+    named like the two give way.  The weights are broadcast; :class:`Params` bounds their number.
     """
-    spark = pages.sparkSession
+    spark, also = pages.sparkSession, carried(also, ("text", "n_chars"))
     sent = spark.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

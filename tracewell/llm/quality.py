@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, small_batches
+from .common import carried, raw_texts, small_batches
 
 MEMO_WORDS = 200_000
 
@@ -25,8 +25,8 @@ MEMO_WORDS = 200_000
 @dataclass(frozen=True)
 class Params:
     """``rows_per_class`` and ``row_chars`` bound the training sample: of each class, that
-    many labelled rows with the least hash of their key, among rows of at most so many
-    characters.  ``buckets`` bounds what one row of it can weigh."""
+    many different labelled rows with the least hash of key and text, among rows of at most so
+    many characters.  ``buckets`` bounds what one row of it can weigh."""
 
     buckets: int = 1 << 16
     dim: int = 16
@@ -145,8 +145,8 @@ class Scorer:
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params = Params()) -> Model:
     """Train on a bounded sample of the rows whose label is 0 or 1.
 
-    The sample is chosen by the hash of the key alone, so it is the same however the rows
-    are dealt out.  Classes are drawn evenly and the bias is set back to their true shares,
+    The sample is chosen by the hash of key and text, so it is the same however the rows are
+    dealt out, and rows that repeat both count once.  Null texts count as empty.  Classes are drawn evenly and the bias is set back to their true shares,
     so a score is a probability under the labels' own mix.  With one class or none the
     score is that class's share everywhere (0.5 without labels).
     """
@@ -158,13 +158,17 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params =
         total = sum(shares.values())
         share = (shares.get(1, 0) + 0.5) / (total + 1)
         return Model(np.zeros(p.buckets, np.float32), float(np.log(share / (1 - share))), p)
-    fits = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= p.row_chars)
-    order = [F.xxhash64("id").alias("h"), "id"]
-    keys = None
-    for label in sorted(shares):
-        some = fits.where(F.col("label") == label).select(*order).orderBy("h", "id").limit(p.rows_per_class)
-        keys = some if keys is None else keys.unionByName(some)
-    picked = fits.join(F.broadcast(keys.select("id").distinct()), "id", "left_semi")
+    fits = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= p.row_chars).withColumn("h", F.xxhash64("id", "text"))
+    seen = fits.select("label", "h").distinct()
+    last = [  # of each class the greatest hash that is in the sample
+        r["h"]
+        for label in sorted(shares)
+        for r in seen.where(F.col("label") == label).orderBy("h").limit(p.rows_per_class).agg(F.max("h").alias("h")).collect()
+    ]
+    few = [F.when(F.col("label") == label, F.col("h") <= h) for label, h in zip(sorted(shares), last, strict=True) if h is not None]
+    if len(few) < 2:
+        few = [F.lit(False)]
+    picked = fits.where(F.coalesce(*few)).dropDuplicates(["label", "h"])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,22 +176,22 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params =
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)],
-                ["id", "ids", "times"],
+                ["h", "ids", "times"],
             ).append_column("label", batch.column(1))
 
     small_batches(docs.sparkSession)
     sample = (
-        picked.select("id", "label", "text")
-        .mapInArrow(bags, "id long, ids array<int>, times array<int>, label int")
+        picked.select("h", "label", "text")
+        .mapInArrow(bags, "h long, ids array<int>, times array<int>, label int")
         .toArrow()
     )
-    order = np.argsort(sample["id"].to_numpy(), kind="stable")
+    order = np.argsort(sample["h"].to_numpy(), kind="stable")
     ids, times = (_lists(sample[c], order) for c in ("ids", "times"))
     label = sample["label"].to_numpy()[order]
     weight, bias = _descend(ids, times, label, p)
     del sample, ids, times
     pa.default_memory_pool().release_unused()
-    balance = np.log((label == 1).sum() / max(1, (label == 0).sum()))
+    balance = np.log(max(1, (label == 1).sum()) / max(1, (label == 0).sum()))
     return Model(weight, float(bias + np.log(shares[1] / shares[0]) - balance), p)
 
 
@@ -230,9 +234,10 @@ def score(
     """``also`` columns with ``score`` (0 to 1, higher: class 1 likelier) for every row.
 
     The whole text counts; a null or blank text has no features and gets the score of the
-    bias.  The model is broadcast: ``buckets`` float32 numbers.
+    bias.  Repeated rows get a row each, no rows give no rows, and a column of ``also`` named
+    ``score`` gives way.  The model is broadcast: ``buckets`` float32 numbers.
     """
-    spark = docs.sparkSession
+    spark, also = docs.sparkSession, carried(also, ("score",))
     params = model.params
     sent = spark.sparkContext.broadcast((model.weight, model.bias))
 

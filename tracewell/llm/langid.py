@@ -13,23 +13,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts, small_batches
+from .common import carried, discard, materialize, raw_texts, small_batches
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers before it starts anew.
 MEMO_WORDS = 200_000
+#: Languages whose sums a task holds, or the driver reads, at once.
+LANGS_AT_ONCE = 64
 
 
 @dataclass(frozen=True)
 class Params:
-    """``buckets`` and ``max_langs`` bound the broadcast matrix: 2^15 rows of float32 for
-    each of at most 512 languages (the most frequent ones; 64 MB), however much text there is."""
+    """``buckets`` bounds the broadcast matrix: that many float32 numbers for each language,
+    128 KB, however much text there is.  It grows with the number of languages only."""
 
     buckets: int = 1 << 15
     sizes: tuple[int, ...] = (1, 2, 3)
     smoothing: float = 0.5
-    max_langs: int = 512
 
 
 @dataclass(frozen=True)
@@ -76,50 +77,66 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, p: Params = Params()) ->
     """Count n-grams by language over all rows with a language.
 
     Each task sums its words by language before it hashes their n-grams, and sends one
-    row for each bucket and language it met; Spark adds these.  What reaches the driver is
-    at most ``buckets`` x ``max_langs`` sums.  Rows without language teach nothing.
+    row for each bucket and language it met; Spark adds these.  The driver reads the sums of
+    a few languages at a time, at most ``buckets`` for each.  Every language that occurs is
+    learned.  Rows without language teach nothing; repeated rows count each time.
     """
     known = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
-    top = known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(p.max_langs)
-    prior = {r["lang"]: r["docs"] for r in top.collect()}
+    prior = {r["lang"]: r["docs"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
     langs = sorted(prior)
+    number = {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {x: np.zeros(p.buckets, np.int64) for x in langs}
-
-        def spend(words: Counter, lang: str) -> None:
-            at, of = buckets_of(list(words), p)
-            times = np.fromiter(words.values(), np.float64, len(words))
-            sums[lang] += np.bincount(at, weights=times[of], minlength=p.buckets).astype(np.int64)
-            words.clear()
-
+        sums: dict[str, np.ndarray] = {}
         seen: dict[str, Counter] = defaultdict(Counter)
+        held = 0
+
+        def spend() -> Iterator[pa.RecordBatch]:
+            for lang, words in seen.items():
+                at, of = buckets_of(list(words), p)
+                times = np.fromiter(words.values(), np.float64, len(words))
+                found = np.bincount(at, weights=times[of], minlength=p.buckets).astype(np.int64)
+                sums[lang] = sums[lang] + found if lang in sums else found
+                if len(sums) >= LANGS_AT_ONCE:
+                    yield from rows()
+            seen.clear()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, found in sums.items():
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), number[lang], np.int32)), pa.array(at.astype(np.int32)), pa.array(found[at])],
+                    ["lang", "bucket", "n"],
+                )
+            sums.clear()
+
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1)), strict=True):
-                if lang in sums:
-                    seen[lang].update(words_of(raw.decode("utf-8", "replace")))
-                    if len(seen[lang]) > MEMO_WORDS:
-                        spend(seen[lang], lang)
-        for lang, words in seen.items():
-            spend(words, lang)
-        for k, lang in enumerate(langs):
-            at = np.flatnonzero(sums[lang])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[lang][at])],
-                ["lang", "bucket", "n"],
-            )
+                words = seen[lang]
+                held -= len(words)
+                words.update(words_of(raw.decode("utf-8", "replace")))
+                held += len(words)
+                if held > MEMO_WORDS:
+                    yield from spend()
+                    held = 0
+        yield from spend()
+        yield from rows()
 
     small_batches(docs.sparkSession)
     counted = known.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    grams = np.zeros((p.buckets, len(langs)))
-    rows = counted.toArrow()
-    grams[rows["bucket"].to_numpy(), rows["lang"].to_numpy()] = rows["n"].to_numpy()
-    smooth = grams + p.smoothing
-    log_prob = np.log(smooth / smooth.sum(axis=0, keepdims=True)) if langs else smooth
+    counted = materialize(counted, "grams")
+    log_prob = np.empty((p.buckets, len(langs)), np.float32)
+    for first in range(0, len(langs), LANGS_AT_ONCE):
+        some = range(first, min(len(langs), first + LANGS_AT_ONCE))
+        part = counted.where(F.col("lang").between(some.start, some.stop - 1)).toArrow()
+        grams = np.full((p.buckets, len(some)), p.smoothing)
+        grams[part["bucket"].to_numpy(), part["lang"].to_numpy() - first] += part["n"].to_numpy()
+        log_prob[:, some] = np.log(grams / grams.sum(axis=0, keepdims=True))
+    discard(counted)
     docs_of = np.array([prior[x] for x in langs], float)
-    return Model(langs, log_prob.astype(np.float32), np.log(docs_of / docs_of.sum()) if langs else docs_of, p)
+    return Model(langs, log_prob, np.log(docs_of / docs_of.sum()) if langs else docs_of, p)
 
 
 class Words:
@@ -177,9 +194,10 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[
 
     The whole text counts.  A null text, a text without letters, or a model that has seen
     no language gives ``und`` with score 0.  Equal posteriors go to the language that sorts
-    first.  The model is broadcast; its size is bounded by :class:`Params`.
+    first.  Repeated rows get a row each, no rows give no rows, and columns of ``also`` named
+    like the two give way.  The model is broadcast; :class:`Params` tells its size.
     """
-    spark = docs.sparkSession
+    spark, also = docs.sparkSession, carried(also, ("lang_pred", "score"))
     params = model.params
     sent = spark.sparkContext.broadcast((model.langs, model.log_prob, model.log_prior))
 

@@ -163,7 +163,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id names their group; columns as in ``docs``.
 
-    Of rows that repeat such an id one stays.  A null id stays only where it is alone in
+    Of rows that repeat such an id the one with the least text stays (null first; of equal
+    texts the one with the least hash of the whole row).  A null id stays only where it is alone in
     its group, or all ids of the group are null.
     """
     groups = materialize(simhash_groups(docs, id_col, text_col), "simhash-groups")
@@ -172,5 +173,7 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     keep = named.select(F.coalesce("id", missing).alias("_keep_id")).distinct()
     kept = docs.withColumn("_keep_id", F.coalesce(F.col(id_col).cast("long"), missing)).join(keep, "_keep_id", "left_semi")
     if named.groupBy("id").count().where("count > 1").head(1):
-        kept = kept.dropDuplicates(["_keep_id"])
+        row = F.struct(*docs.columns)
+        first = F.min_by(row, F.struct(F.col(text_col), F.xxhash64(F.to_json(row))))
+        kept = kept.groupBy("_keep_id").agg(first.alias("row")).select("row.*")
     return kept.select(*docs.columns)

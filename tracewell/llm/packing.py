@@ -366,7 +366,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
             out += [pa.array(p["bin"][row] + nth // each), pa.array(p["offset"][row] + nth % each * length)]
             yield pa.RecordBatch.from_arrays(out, ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(by_task.select("task", "length", "base"), ["task", "length"]).select(
+    # Small as it is written, the table of bases has a row for each length of each task: too many to broadcast
+    ranked = cut.join(by_task.select("task", "length", "base").hint("merge"), ["task", "length"]).select(
         "id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank")
     )
     kind = docs.schema[id_col].dataType.simpleString()

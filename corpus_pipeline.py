@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, packing, quality, simhash, substrings
-from tracewell.llm.common import materialize, read
+from tracewell.llm.common import discard, keep_table, materialize, read, temporary_tables
 from tracewell.llm.queries import QUALITY_CUT, quality_model, vocabulary
 
 
@@ -64,7 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = before = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with temporary_tables():
+            docs = keep_table(materialize(stage(spark, before, sf_dir), name.split()[0].lower()))
+        discard(before)
+        before = docs
     return docs

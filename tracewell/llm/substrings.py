@@ -14,9 +14,11 @@ A gram with more kinds of surroundings than one task should sort is split withou
 rows.  The windows around an anchor are told apart by how far they begin to the left of it;
 those that begin between ``lo`` and ``hi`` bytes to the left all hold the ``lo`` bytes left
 of the anchor and the ``length - hi`` bytes right of it, so kinds can share one of them only
-if they agree there.  Such a core is the key of a smaller group.  In a group that is still
-too large, kinds that agree in all that these windows hold need no sort, one of them stands
-for the others, and the range is halved.
+if they agree there.  Such a core is the key of a smaller group.  What all kinds of a group
+share right and left of the anchor, by the least and the greatest in both orders, settles the
+windows inside of it at once; the ranges before and behind go on with longer cores, or halves
+of the range where nothing is settled.  Kinds that agree in all that the windows of a range
+hold need no sort, and one of them goes on for the others.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, raw_texts, small_batches, whole_runs
-from .suffix import deep_shallow_sort
+from .suffix import common_prefix, deep_shallow_sort
 
 #: Bytes of a text looked at together, and kinds of surroundings sorted as one group.
-CHUNK, GRAM_CAP = 1 << 20, 2048
+CHUNK, GRAM_CAP = 1 << 20, 8192
 
 
 @dataclass(frozen=True)
@@ -176,13 +178,13 @@ def find_anchors(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 ANCHOR = "a long, b long, pos int, leftward int, rightward int, h long, g long, times int"
 
 
-def repeated_windows(texts: list[bytes], left: np.ndarray, right: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, w: Widths) -> tuple[np.ndarray, ...]:
-    """For anchors with their surroundings, sorted by group: runs of offsets, between a group's
+def repeated_windows(leftward: list[bytes], rightward: list[bytes], group: np.ndarray, low: np.ndarray, high: np.ndarray, w: Widths) -> tuple[np.ndarray, ...]:
+    """For anchors with the bytes to the left, backwards, and from there to the right, sorted by
+    group: runs of offsets, between a group's
     ``low`` and ``high``, at which the window around an anchor equals another's of its group, as
     (row, low, high) of what the run covers, relative to the anchor."""
-    n = len(texts)
-    rightward = [t[k:] for t, k in zip(texts, left, strict=True)]
-    leftward = [t[:k][::-1] for t, k in zip(texts, left, strict=True)]
+    n = len(leftward)
+    left, right = (np.array([len(t) for t in side], np.int64) for side in (leftward, rightward))
     right_order, right_shared = deep_shallow_sort(rightward, group, w.length)
     left_order, left_shared = deep_shallow_sort(leftward, group, w.span - 1)
     hit = np.zeros((n, w.span + 1), bool)  # the last column stays empty and ends runs
@@ -204,23 +206,20 @@ def repeated_windows(texts: list[bytes], left: np.ndarray, right: np.ndarray, gr
 
 #: A group of surroundings to sort: gram, range of windows, and core.
 GROUP = ["h", "lo", "hi", "core"]
-KIND = "h long, g long, leftward int, around binary, lo int, hi int, core long, whole long"
+KIND = "h long, g long, left binary, right binary, lo int, hi int, core long, whole long"
 COVER = "h long, g long, low int, high int"
 
 
 def compare_surroundings(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function from rows of GROUP with (g, leftward, around), sorted by group, to what equal
-    windows cover."""
+    """A function from rows of GROUP with (g, left, right), sorted by group, to what equal windows
+    cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_runs(batches, GROUP, rows=2 * GRAM_CAP):
-            left = table["leftward"].to_numpy().astype(np.int64)
-            texts = table["around"].to_pylist()
-            right = np.array([len(t) for t in texts], np.int64) - left
+        for table in whole_runs(batches, GROUP, rows=GRAM_CAP):
             columns = [table[k].to_numpy() for k in GROUP]
             new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
             group = np.cumsum(np.concatenate([[0], new]))
-            row, low, high = repeated_windows(texts, left, right, group, columns[1], columns[2], w)
+            row, low, high = repeated_windows(table["left"].to_pylist(), table["right"].to_pylist(), group, columns[1], columns[2], w)
             h, g = table["h"].to_numpy()[row], table["g"].to_numpy()[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h), pa.array(g), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["h", "g", "low", "high"]
@@ -230,8 +229,9 @@ def compare_surroundings(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, wanted) to one row for each wanted anchor, with the bytes around it."""
-    names = ["h", "g", "leftward", "hot"]
+    """Rows (text, wanted) to one row for each wanted anchor, with the bytes to the left of it,
+    backwards, and from it to the right."""
+    names = ["h", "g", "hot"]
     for batch in batches:
         wanted = batch.column(1)
         flat = wanted.flatten()
@@ -239,35 +239,55 @@ def cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         raws = raw_texts(batch.column(0))
         field = {f.name: flat.field(f.name) for f in flat.type}
         pos, left, right = (field[k].to_numpy() for k in ("pos", "leftward", "rightward"))
-        around = [raws[d][p - x : p + y] for d, p, x, y in zip(np.repeat(np.arange(len(raws)), sizes), pos, left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(field[k] for k in names), pa.array(around, pa.binary())], [*names, "around"])
+        places = list(zip(np.repeat(np.arange(len(raws)), sizes), pos, left, right, strict=True))
+        sides = [raws[d][p - x : p][::-1] for d, p, x, _ in places], [raws[d][p : p + y] for d, p, _, y in places]
+        yield pa.RecordBatch.from_arrays([*(field[k] for k in names), *(pa.array(x, pa.binary()) for x in sides)], [*names, "left", "right"])
 
 
-def halved(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function from rows (h, g, leftward, around, lo, hi) to rows of KIND for either half of
-    lo..hi: the hash of the core that all windows of the half hold, and of all that they hold
-    together (0 where the text ends before).  A half whose core does not fit is left out."""
+def shared_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of GROUP with the least and greatest sides to GROUP with the bytes that all share."""
+    for batch in batches:
+        sides = [batch.column(k).to_pylist() for k in range(4, 8)]
+        both = [pa.array([common_prefix(a, b) for a, b in zip(sides[k], sides[k + 1], strict=True)], pa.int32()) for k in (0, 2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *both], [*GROUP, "all_left", "all_right"])
+
+
+def narrowed(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function from rows (h, g, left, right, lo, hi, all_left, all_right) to rows of KIND for the
+    ranges of lo..hi that are not settled by what all of the group share: the hash of the core
+    that all windows of the range hold, and of all that they hold together (0 where the text
+    ends before).  A range whose core does not fit is left out."""
+
+    def ranges(lo: int, hi: int, all_left: int, all_right: int) -> list[tuple[int, int]]:
+        settled = max(lo, w.length - all_right), min(hi, all_left)
+        rest = [(lo, settled[0] - 1), (settled[1] + 1, hi)] if settled[0] <= settled[1] else [(lo, hi)]
+        out = []
+        for a, b in rest:
+            if b - a > (hi - lo) // 2:  # so that a range is at most halved so many times
+                out += [(a, (a + b) // 2), ((a + b) // 2 + 1, b)]
+            elif a <= b and (a, b) != (lo, hi):
+                out.append((a, b))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = lambda x: np.uint64(xxhash.xxh3_64_intdigest(x)).astype(np.int64)
+        digest = lambda a, b: np.uint64(xxhash.xxh3_64_intdigest(a + b)).astype(np.int64)
         for batch in batches:
             found: list[list] = [[] for _ in range(5)]
-            columns = [batch.column(k).to_pylist() for k in (2, 3, 4, 5)]
-            for k, (left, around, lo, hi) in enumerate(zip(*columns, strict=True)):
-                middle = (lo + hi) // 2
-                for a, b in {(lo, middle), (middle + 1, hi)} if lo < hi else ():
-                    if left < a or len(around) - left < w.length - b:
+            columns = [batch.column(k).to_pylist() for k in range(2, 8)]
+            for k, (left, right, *span) in enumerate(zip(*columns, strict=True)):
+                for a, b in ranges(*span):
+                    if len(left) < a or len(right) < w.length - b:
                         continue
-                    core = digest(around[left - a : left + w.length - b])
-                    fits = left >= b and len(around) - left >= w.length - a
-                    whole = digest(around[left - b : left + w.length - a]) if fits else 0
+                    core = digest(left[:a], right[: w.length - b])
+                    fits = len(left) >= b and len(right) >= w.length - a
+                    whole = digest(left[:b], right[: w.length - a]) if fits else 0
                     for part, x in zip(found, (k, a, b, core, whole), strict=True):
                         part.append(x)
             at = pa.array(found[0], pa.int64())
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(at) for c in range(4)), *(pa.array(x, k) for x, k in zip(found[1:], kinds, strict=True))],
-                ["h", "g", "leftward", "around", "lo", "hi", "core", "whole"],
+                ["h", "g", "left", "right", "lo", "hi", "core", "whole"],
             )
 
     return run
@@ -275,17 +295,24 @@ def halved(w: Widths) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def split_hot_grams(hot: DataFrame, w: Widths) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
     """Groups of at most GRAM_CAP rows to sort, what is covered without sorting, and the tables
-    behind both, from rows (h, g, leftward, around) of hot grams.
+    behind both, from rows (h, g, left, right) of hot grams.
 
-    Each round halves the ranges of windows, so there are at most as many as the logarithm of
-    a window's length, and a row takes part in few of the ranges at once: where rows agree in
-    all windows of a range, one goes on for them.  Sums of rows by key are partial aggregates.
+    Each round halves the ranges of windows at least, so there are at most as many as the
+    logarithm of a window's length.  Sums of rows by key are partial aggregates.
     """
     small, covered, tables = [], [], []
-    now = hot.withColumns({"lo": F.lit(0), "hi": F.lit(w.span - 1)})
+    now = hot.withColumns({"lo": F.lit(0), "hi": F.lit(w.span - 1), "core": F.lit(0).cast("long")})
+    kind = "h long, lo int, hi int, core long, all_left int, all_right int"
     while True:
-        rows = materialize(now.select("h", "g", "leftward", "around", "lo", "hi").mapInArrow(halved(w), KIND), "halves")
+        ends = now.groupBy(*GROUP).agg(F.min("left").alias("a"), F.max("left").alias("b"), F.min("right").alias("c"), F.max("right").alias("d"))
+        ends = materialize(ends.mapInArrow(shared_ends, kind), "shared-ends")
+        joined = now.join(ends, GROUP)
+        first, last = F.greatest("lo", F.lit(w.length) - F.col("all_right")), F.least("hi", "all_left")
+        covered.append(materialize(joined.where(first <= last).select("h", "g", (-last).alias("low"), (F.lit(w.length) - first).alias("high")), "covered"))
+        rows = joined.select("h", "g", "left", "right", "lo", "hi", "all_left", "all_right").mapInArrow(narrowed(w), KIND)
+        rows = materialize(rows, "narrowed")
         discard(now)
+        discard(ends)
         large = materialize(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GRAM_CAP).drop("n"), "large-groups")
         small.append(rows.join(large, GROUP, "left_anti"))
         tables += [rows, large]
@@ -296,7 +323,7 @@ def split_hot_grams(hot: DataFrame, w: Widths) -> tuple[list[DataFrame], list[Da
         same = materialize(same.where("n > 1"), "same-windows")
         known = kept.join(same, [*GROUP, "whole"], "left")
         covered.append(materialize(known.where("n > 1").select("h", "g", (-F.col("hi")).alias("low"), (F.lit(w.length) - F.col("lo")).alias("high")), "covered"))
-        now = materialize(known.where("lo < hi and (n is null or g = one)").select(*rows.columns), "going-on")
+        now = materialize(known.where("lo < hi and (n is null or g = one)").select("h", "g", "left", "right", "lo", "hi", "core"), "going-on")
         discard(kept)
         discard(same)
 
@@ -319,13 +346,13 @@ def repeated_spans(docs: DataFrame, w: Widths = Widths()) -> DataFrame:
         F.collect_list(F.struct("pos", "leftward", "rightward", "h", "g", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     )
     cut = docs.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "wanted")
-    cut = cut.mapInArrow(cut_surroundings, "h long, g long, leftward int, hot boolean, around binary")
+    cut = cut.mapInArrow(cut_surroundings, "h long, g long, hot boolean, left binary, right binary")
     groups, covers, tables = [], [], []
     if hot.head(1):
         cut = materialize(cut, "cut")
         groups, covers, tables = split_hot_grams(cut.where("hot").drop("hot"), w)
-    whole = F.lit(0).cast("long")
-    dealt = cut.where("not hot").select("h", F.lit(0).alias("lo"), F.lit(w.span - 1).alias("hi"), whole.alias("core"), "g", "leftward", "around")
+    none = F.lit(0).cast("long")
+    dealt = cut.where("not hot").select("h", F.lit(0).alias("lo"), F.lit(w.span - 1).alias("hi"), none.alias("core"), "g", "left", "right")
     for more in groups:
         dealt = dealt.unionByName(more.select(*dealt.columns))
     found = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(compare_surroundings(w), COVER)

@@ -1,9 +1,11 @@
 """Mixing of sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic.  Raking multiplies the cells'
-token weights until their sums by source, by language and by topic meet the targets; the
-weights of a cell over its tokens give the probability with which its documents stay.
-Everything is a grouping or a join over cells, in plain DataFrame operations.
+Documents fall into cells of source, language and topic.  A topic is named by an anchor: one
+of the most frequent stems (first letters of words) that stand in few of all documents; a
+document belongs to the anchor it uses most.  Raking multiplies the cells' token weights until
+their sums by source, by language and by topic meet the targets; the weights of a cell over
+its tokens give the probability with which its documents stay.  Everything is a grouping or a
+join over cells, in plain DataFrame operations.
 """
 
 from __future__ import annotations
@@ -28,24 +30,44 @@ class Params:
     rate: float = 0.5
     sweeps: int = 10
     seed: int = 42
+    #: Number of anchors, and the most and least documents that one stands in, as one in so many.
+    topics: int = 16
+    most_docs: int = 20
+    least_docs: int = 1000
+
+
+#: Letters of a stem; shorter words have none.
+STEM = r"(\p{L}{4})\p{L}*"
+OTHER = "other"
 
 
 def tokens(text: str) -> Column:
-    """Words by single spaces; a null text has none."""
+    """Words by single spaces; a null or blank text has none."""
     c = F.col(text)
-    return F.coalesce(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("long")
-
-
-def topic(text: str) -> Column:
-    """A coarse topic by layout: tables, marked-up symbols, shouting, several lines, one line."""
-    c = F.coalesce(F.col(text), F.lit(""))
-    return (
-        F.when(F.contains(c, F.lit(" | ")), "table")
-        .when(F.contains(c, F.lit("%%%")), "symbols")
-        .when(F.contains(c, F.lit("!! ")), "shouting")
-        .when(F.contains(c, F.lit("\n")), "lines")
-        .otherwise("line")
-    )
+    words = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.trim(c) != "", words).otherwise(0).cast("long")
+
+
+def stems(text: str) -> Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(STEM), F.lit(1))
+
+
+def anchors(docs: DataFrame, text_col: str, p: Params = Params()) -> list[str]:
+    """The most frequent stems among those that stand in few documents; at most ``p.topics``
+    reach the driver.  Stems are short, so their sums are small partial aggregates, and counts
+    cover all documents."""
+    total = docs.count()
+    seen = docs.select(F.explode(F.array_distinct(stems(text_col))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    some = seen.where((F.col("n") * p.most_docs <= total) & (F.col("n") * p.least_docs >= total))
+    return sorted(r["stem"] for r in some.orderBy(F.desc("n"), "stem").limit(p.topics).collect())
+
+
+def topic(text: str, of: list[str]) -> Column:
+    """The anchor that a text uses most, the first in order of equals, ``other`` without any."""
+    hits = F.filter(stems(text), lambda s: s.isin(of)) if of else F.array().cast("array<string>")
+    ranked = lambda found: F.array_min(F.transform(F.array_distinct(found), lambda a: F.struct((-F.size(F.filter(found, lambda h: h == a))).alias("n"), a.alias("stem"))))
+    once = F.get(F.transform(F.array(hits), lambda found: ranked(found)["stem"]), F.lit(0))  # hits are found once
+    return F.coalesce(once, F.lit(OTHER))
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -68,7 +90,8 @@ def targets(cells: DataFrame, dim: str, p: Params) -> DataFrame:
 
 
 def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight`` and ``probability``.
+    """``cells`` (source, lang, topic, tokens) with ``weight`` and ``probability``, and for each
+    dimension the residual: by how much the weights of the cell's value miss its goal.
 
     A sweep scales the weights to each dimension's goals in turn, then holds a cell to what
     it has: no weight may ask for more tokens than there are at the sampling rate.  A cell
@@ -84,20 +107,25 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
         now = now.join(targets(now, d, p).withColumnRenamed("goal", f"goal_{d}"), d)
     fixed = [*dims, "tokens", "most", *(f"goal_{d}" for d in dims)]
     now = materialize(now.select(*fixed, "weight"), "cells")
-    for _ in range(p.sweeps):
-        for d in dims:  # each step is a small table, so that plans stay short however many sweeps there are
-            sums = now.groupBy(d).agg(F.sum("weight").alias("_s"))
+    for _ in range(p.sweeps):  # each sweep is a small table, so that plans stay short however many there are
+        after = now
+        for d in dims:
+            sums = after.groupBy(d).agg(F.sum("weight").alias("_s"))
             scaled = F.when(F.col("_s") > 0, F.col("weight") * F.col(f"goal_{d}") / F.col("_s")).otherwise(0.0)
             held = F.least(scaled, F.col("most")) if d == dims[-1] else scaled
-            after = materialize(now.join(sums, d).select(*fixed, held.alias("weight")), "cells")
-            discard(now)
-            now = after
+            after = after.join(sums, d).select(*fixed, held.alias("weight"))
+        after = materialize(after, "cells")
+        discard(now)
+        now = after
     chance = F.least(F.lit(1.0), F.when(F.col("most") > 0, F.col("weight") / F.col("most")).otherwise(0.0))
-    return now.select(*dims, "tokens", "weight", chance.alias("probability"))
+    for d in dims:
+        now = now.join(now.groupBy(d).agg(F.sum("weight").alias(f"_{d}")), d)
+    off = [(F.col(f"_{d}") - F.col(f"goal_{d}")).alias(f"{d}_residual") for d in dims]
+    return now.select(*dims, "tokens", "weight", chance.alias("probability"), *off)
 
 
 #: Columns that :func:`mix` adds.
-ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability")
+ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_source_residual", "mix_lang_residual", "mix_topic_residual")
 
 
 def _drawn(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
@@ -106,13 +134,15 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
         F.struct(*docs.columns).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
-        topic(text_col).alias("topic"),
+        topic(text_col, anchors(docs, text_col, p)).alias("topic"),
         tokens(text_col).alias("mix_tokens"),
         draw(id_col, p.seed).alias("drawn"),
     )
     dims = ["source", "lang", "topic"]
     cells = materialize(seen.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    raked = rake(cells, p).select(*dims, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+    raked = rake(cells, p).select(
+        *dims, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"), *(F.col(f"{d}_residual").alias(f"mix_{d}_residual") for d in dims)
+    )
     kept = seen.where("mix_tokens > 0").join(raked, dims).where(F.col("drawn") < F.col("mix_probability"))
     return kept.withColumnRenamed("topic", "mix_topic")
 
@@ -123,8 +153,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
 
     A document stays if the number drawn by its id lies below its cell's probability, so rows
     that repeat an id stay or go together.  Null source or language counts as ``unknown``;
-    a null text has no tokens and goes, as does every text of a cell whose goal is zero.
-    No rows give no rows.
+    a null or blank text has no tokens and goes, as does every text of a cell whose goal is
+    zero.  Goals that the documents at hand cannot meet at the sampling rate are missed by the
+    residuals.  No rows give no rows.
     """
     return _drawn(docs, id_col, text_col, p).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 

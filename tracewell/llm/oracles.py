@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import Params
+from .mixing import OTHER, STEM, Params
 
 OP6 = r"""
 WITH host_pages AS (
@@ -57,17 +57,29 @@ def op10(p: Params = Params()) -> str:
         steps.append(f"w{k + 1} AS (SELECT source, lang, topic, tokens, most, least(weight, most) AS weight FROM {last})")
         last = f"w{k + 1}"
     return f"""
-WITH seen AS (
-  SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-    CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '%%%') THEN 'symbols'
-      WHEN contains(coalesce(text, ''), '!! ') THEN 'shouting' WHEN contains(coalesce(text, ''), chr(10)) THEN 'lines' ELSE 'line' END AS topic,
-    CAST(coalesce(length(text) - length(replace(text, ' ', '')) + 1, 0) AS BIGINT) AS n_tokens
+WITH given AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+    CAST(CASE WHEN trim(text) <> '' THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS BIGINT) AS n_tokens,
+    regexp_extract_all(coalesce(text, ''), '{STEM}', 1) AS stems
   FROM documents
-), cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM seen GROUP BY ALL),
+), used AS (SELECT stem, count(*) AS n FROM (SELECT unnest(list_distinct(stems)) AS stem FROM given) GROUP BY stem),
+anchors AS (
+  SELECT stem FROM used WHERE n * {p.most_docs} <= (SELECT count(*) FROM given) AND n * {p.least_docs} >= (SELECT count(*) FROM given)
+  ORDER BY n DESC, stem LIMIT {p.topics}
+), hits AS (SELECT r, stem, count(*) AS n FROM (SELECT r, unnest(stems) AS stem FROM given) WHERE stem IN (SELECT stem FROM anchors) GROUP BY r, stem),
+topics AS (SELECT r, stem FROM hits QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, stem) = 1),
+seen AS (SELECT given.* EXCLUDE (stems), coalesce(stem, '{OTHER}') AS topic FROM given LEFT JOIN topics USING (r)),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM seen GROUP BY ALL),
 total AS (SELECT sum(tokens) AS total FROM cells),
-{", ".join(steps)}
-SELECT s.doc_id, s.source, s.lang, s.topic, s.n_tokens, round(w.weight, 9) AS cell_weight, round(least(1.0, w.weight / w.most), 9) AS probability
-FROM seen s JOIN {last} w ON s.source = w.source AND s.lang = w.lang AND s.topic = w.topic
+{", ".join(steps)},
+raked AS (
+  SELECT w.*, sum(weight) OVER (PARTITION BY source) - gs.goal AS source_residual, sum(weight) OVER (PARTITION BY lang) - gl.goal AS lang_residual,
+    sum(weight) OVER (PARTITION BY topic) - gt.goal AS topic_residual
+  FROM {last} w JOIN g_source gs USING (source) JOIN g_lang gl USING (lang) JOIN g_topic gt USING (topic)
+)
+SELECT s.doc_id, s.source, s.lang, s.topic, s.n_tokens, round(w.weight, 9) AS cell_weight, round(least(1.0, w.weight / w.most), 9) AS probability,
+  round(source_residual, 9) + 0.0 AS source_residual, round(lang_residual, 9) + 0.0 AS lang_residual, round(topic_residual, 9) + 0.0 AS topic_residual
+FROM seen s JOIN raked w ON s.source = w.source AND s.lang = w.lang AND s.topic = w.topic
 WHERE s.n_tokens > 0
   AND CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || ':{p.seed}'), 1, 13) AS BIGINT) / 4503599627370496.0 < least(1.0, w.weight / w.most)
 """

@@ -83,6 +83,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.round("mix_weight", 9).alias("cell_weight"), F.round("mix_probability", 9).alias("probability"),
+        *((F.round(f"mix_{d}_residual", 9) + 0.0).alias(f"{d}_residual") for d in ("source", "lang", "topic")),
     )
 
 

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tracewell.llm import fingerprint as fp
 
 
@@ -79,3 +81,16 @@ def test_long_texts_are_parsed_whole():
     whole, _ = fp.fingerprints(a, "Q", len(a) - 1)
     assert (whole == fp.fingerprints(a)[0]).all()
     assert np.array_equal(fp.fingerprints(b, "z", len(b) - 1)[1], fp.fingerprints(a)[0])
+
+
+def test_an_id_that_most_rows_repeat_is_dealt_out(spark):
+    rng = random.Random(6)
+    rows = [(7 if k % 3 else None if k % 2 else k, "".join(rng.choices("abc", k=40)) + str(k)) for k in range(300)]
+    out = fp.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    parts = out.select(F.spark_partition_id().alias("p"), "doc_id").where("doc_id = 7").groupBy("p").count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 150
+    got = out.collect()
+    ahead = sorted(r.edited_sha256 for r in got)
+    # every text once, and every text followed by one other: the ring is closed
+    assert sorted(r.fingerprint for r in got) == sorted(fp.fingerprints(t)[0].tobytes().hex() for _, t in rows)
+    assert len(set(ahead)) == 300

@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, run_starts, small_batches, whole_runs
@@ -321,6 +321,17 @@ def deal_hot_keys(postings: DataFrame, some: DataFrame) -> DataFrame:
     return out.withColumn("_pair", F.explode(pairs)).select("key", "cid", "head", "next", "blk", F.col("_pair.blk_lo").alias("blk_lo"), F.col("_pair.blk_hi").alias("blk_hi"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``cid`` by partition and place as consecutive numbers, so that blocks are full
+    however many partitions there are.  One row for each partition passes through one task."""
+    part = F.shiftright("cid", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("cid").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(starts, "_part").withColumn("cid", F.col("_start") + place).drop("_part", "_start")
+
+
 def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.9) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every row.
 
@@ -341,8 +352,9 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     lanes, count = tables(coded.count(), threshold)
     # in order of a key, so that near vectors get near numbers; the hash splits equal keys
     ordered = coded.orderBy(F.size("vector"), "place", "code", "h1").drop("place")
-    known = materialize(ordered.withColumn("cid", F.monotonically_increasing_id()), "vectors")
+    stored = materialize(ordered.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     discard(coded)
+    known = numbered(stored)
 
     given = known.select("cid", "code", "vector")
     shape = "key long, cid long, head long, next long"
@@ -366,7 +378,7 @@ def near_vectors(vectors: DataFrame, id_col: str, vector_col: str, threshold: fl
     )
     named = materialize(named, "classes")
     discard(found)
-    discard(known)
+    discard(stored)
     names = named.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = named.join(names, "component").select(*same, "n_links", "component_id")
     good = hashed.select("id", *same).join(answer, same).select("id", "n_links", "component_id")

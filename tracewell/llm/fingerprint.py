@@ -8,6 +8,7 @@ phrase sets is a likeness in the sense of compression; minimum hashes estimate i
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,30 +114,38 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text is the text with its last ``n_chars // 4`` characters replaced by the
     first as many (or all) of the next document in order of id; after the last comes the
     first, so a single document is followed by itself.  Rows of equal id are ordered by their
-    text, null ids come first, null texts count as empty.  No rows give no rows.
+    text's hash, then by their text; null ids come first, null texts count as empty.  No rows
+    give no rows.
 
-    Documents are sorted in ranges of ids whose bounds are ids of the table.  The first
-    document of each range is also sent, as a guest, to the range before, so that every
-    document meets its follower in the task that holds it and each text is shuffled once.
+    Documents are sorted in ranges of id and hash, so that an id which very many rows repeat
+    is dealt out too.  The first document of each range is also sent, as a guest, to the range
+    before, so that every document meets its follower in the task that holds it and each text
+    is shuffled once.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    place = F.struct(key.alias("id"), F.xxhash64("text").alias("h"))
     parts = shuffle_partitions(spark)
     shares = [i / parts for i in range(1, parts)] or [0.5]
-    found = base.agg(F.min(key).alias("low"), F.percentile_approx(key, shares).alias("q")).first()
-    if found["low"] is None:
+    bounds = base.agg(F.percentile_approx(key, shares).alias("q")).first()["q"]
+    if bounds is None:
         return spark.createDataFrame([], OUT)
-    starts = sorted({found["low"], *found["q"]})
-    n = len(starts)
-    ranges = F.array(*map(F.lit, starts))
-    r = F.size(F.filter(ranges, lambda b: b <= key)) - 1
+    # an id that is several of the bounds has its hashes dealt evenly among as many ranges
+    starts = [(x, -(1 << 63) + (k << 64) // n) for x, n in sorted(Counter(bounds).items()) for k in range(n)]
+    ranges = F.array(*(F.struct(F.lit(x).alias("id"), F.lit(h).alias("h")) for x, h in starts))
+    r = F.size(F.filter(ranges, lambda b: b <= place))
+    firsts = [row["first"] for row in base.groupBy(r.alias("r")).agg(F.min(place).alias("first")).orderBy("r").collect()]
+    n = len(firsts)
+    ranges = F.array(*(F.struct(F.lit(x["id"]).alias("id"), F.lit(x["h"]).alias("h")) for x in firsts))
+    r = F.size(F.filter(ranges, lambda b: b <= place)) - 1
     homes = F.array(F.struct(r.alias("r"), F.lit(False).alias("guest")))
     guest = F.array(F.struct(F.pmod(r - 1, F.lit(n)).alias("r"), F.lit(True).alias("guest")))
-    dealt = base.withColumn("c", F.explode(F.when(F.array_contains(ranges, key), F.concat(homes, guest)).otherwise(homes)))
+    dealt = base.withColumn("c", F.explode(F.when(F.array_contains(ranges, place), F.concat(homes, guest)).otherwise(homes)))
     dealt = dealt.select("c.r", "c.guest", "doc_id", "text").repartitionById(n, "r")
     small_batches(spark)
-    return dealt.sortWithinPartitions("r", "guest", F.asc_nulls_first("doc_id"), "text").mapInArrow(_rows, OUT)
+    order = ["r", "guest", F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text"]
+    return dealt.sortWithinPartitions(*order).mapInArrow(_rows, OUT)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

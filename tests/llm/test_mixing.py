@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -11,11 +13,19 @@ SCHEMA = "doc_id long, text string, lang string, source string, mix_topic string
 
 def rows(n: int) -> list[tuple]:
     rng = random.Random(1)
-    sep = [" ", " | ", "%%% ", "\n"]
-    return [
-        (k, rng.choice(sep).join(["w"] * rng.randrange(2, 30)), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", "c"]), "clash")
-        for k in range(n)
-    ]
+    out = []
+    for k in range(n):
+        words = ["w", "the", "that"] * rng.randrange(1, 10)
+        for word in ("rivers", "engine", "market", "éclair"):
+            words += [word] * rng.choice([0] * 59 + [1, 2])
+        rng.shuffle(words)
+        out.append((k, rng.choice([" ", " ", ", "]).join(words), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", "c"]), "clash"))
+    return out
+
+
+def brute_topic(text: str) -> str:
+    found = Counter(w[:4] for w in re.findall(r"[^\W\d_]{4,}", text) if w[:4] != "that")
+    return min(found, key=lambda w: (-found[w], w)) if found else mixing.OTHER
 
 
 def test_raked_sums_meet_the_targets(spark):
@@ -29,6 +39,18 @@ def test_raked_sums_meet_the_targets(spark):
     assert np.allclose(got.groupby("lang").weight.sum().sort_index(), langs / langs.sum(), atol=1e-6)
     assert np.allclose(got.groupby("topic").weight.sum(), 1 / 3, atol=1e-6)
     assert np.allclose(got.probability, got.weight * p.rate * total / got.tokens)
+    assert np.allclose(got[["source_residual", "lang_residual", "topic_residual"]], 0, atol=1e-6)
+
+
+def test_residuals_tell_what_goals_the_documents_cannot_meet(spark):
+    cells = [("a", "en", "u", 900), ("a", "de", "u", 80), ("b", "en", "u", 20)]
+    p = mixing.Params(shares={"source": {"a": 0.5, "b": 0.5}}, powers={"lang": 1.0, "topic": 1.0}, rate=0.5)
+    got = mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long"), p).toPandas()
+    sums = got.groupby("source").weight.sum()
+    assert np.isclose(sums["b"], 20 / 500)  # all it has
+    off = got.set_index(["source", "lang"]).source_residual
+    assert np.isclose(off["b", "en"], sums["b"] - 0.5) and np.isclose(off["a", "en"], sums["a"] - 0.5)
+    assert (got.probability <= 1).all() and got.probability.max() == 1
 
 
 def test_documents_stay_by_their_cells_probability(spark):
@@ -37,7 +59,12 @@ def test_documents_stay_by_their_cells_probability(spark):
     p = mixing.Params(rate=0.4)
     out = mixing.mix(docs, p=p).toPandas()
     assert list(out.columns) == ["doc_id", "text", "lang", "source", *mixing.ADDED]
-    assert set(out.mix_topic) == {"line", "table", "symbols", "lines"}
+    assert mixing.anchors(docs, "text", p) == ["engi", "mark", "rive", "écla"]
+    texts = {k: t for k, t, *_ in data}
+    assert set(out.mix_topic) == {"engi", "mark", "rive", "écla", "other"}
+    assert all(topic == brute_topic(texts[k]) for k, topic in zip(out.doc_id, out.mix_topic, strict=True))
+    for d, column in (("source", "source"), ("lang", "lang"), ("topic", "mix_topic")):  # one residual for each value
+        assert (out.fillna({"lang": "unknown"}).groupby(column)[f"mix_{d}_residual"].nunique() == 1).all()
     assert sorted(r.doc_id for r in mixing.sample(docs, p=p).where("mix_topic = 'clash'").collect()) == sorted(out.doc_id)
     tokens = sum(t.count(" ") + 1 for _, t, *_ in data)
     assert abs(out.mix_tokens.sum() / tokens - 0.4) < 0.03
@@ -47,7 +74,7 @@ def test_documents_stay_by_their_cells_probability(spark):
 
 
 def test_nulls_empty_texts_repeats_and_no_rows(spark):
-    data = [(1, None, "en", "a", ""), (None, "x y", None, None, ""), (3, "x", "en", "a", ""), (3, "x", "en", "a", "")]
+    data = [(1, None, "en", "a", ""), (None, "x y", None, None, ""), (3, "x", "en", "a", ""), (3, "x", "en", "a", ""), (5, "", "en", "a", ""), (6, "  ", "en", "a", "")]
     out = mixing.mix(spark.createDataFrame(data, SCHEMA), p=mixing.Params(rate=1.0)).collect()
     assert sorted(str(r.doc_id) for r in out) == ["3", "3", "None"]
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0

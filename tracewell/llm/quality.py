@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, raw_texts, small_batches
+from .common import carried, discard, materialize, raw_texts, small_batches
 
 MEMO_WORDS = 200_000
 
@@ -25,8 +25,8 @@ MEMO_WORDS = 200_000
 @dataclass(frozen=True)
 class Params:
     """``rows_per_class`` and ``row_chars`` bound the training sample: of each class, that
-    many different labelled rows with the least hash of key and text, among rows of at most so
-    many characters.  ``buckets`` bounds what one row of it can weigh."""
+    many different labelled rows with the least hash of key and text, of the keys with the least
+    hash, among rows of at most so many characters.  ``buckets`` bounds what one row of it can weigh."""
 
     buckets: int = 1 << 16
     dim: int = 16
@@ -145,7 +145,7 @@ class Scorer:
 def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params = Params()) -> Model:
     """Train on a bounded sample of the rows whose label is 0 or 1.
 
-    The sample is chosen by the hash of key and text, so it is the same however the rows are
+    The sample is chosen by hashes of key and text, so it is the same however the rows are
     dealt out, and rows that repeat both count once.  Null texts count as empty.  Classes are drawn evenly and the bias is set back to their true shares,
     so a score is a probability under the labels' own mix.  With one class or none the
     score is that class's share everywhere (0.5 without labels).
@@ -158,17 +158,21 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params =
         total = sum(shares.values())
         share = (shares.get(1, 0) + 0.5) / (total + 1)
         return Model(np.zeros(p.buckets, np.float32), float(np.log(share / (1 - share))), p)
-    fits = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= p.row_chars).withColumn("h", F.xxhash64("id", "text"))
-    seen = fits.select("label", "h").distinct()
-    last = [  # of each class the greatest hash that is in the sample
-        r["h"]
-        for label in sorted(shares)
-        for r in seen.where(F.col("label") == label).orderBy("h").limit(p.rows_per_class).agg(F.max("h").alias("h")).collect()
-    ]
-    few = [F.when(F.col("label") == label, F.col("h") <= h) for label, h in zip(sorted(shares), last, strict=True) if h is not None]
-    if len(few) < 2:
-        few = [F.lit(False)]
-    picked = fits.where(F.coalesce(*few)).dropDuplicates(["label", "h"])
+    fits = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= p.row_chars)
+    classes = sorted(shares)
+    keys = None
+    for label in classes:  # keys first, so that no text is moved for rows that are not chosen
+        some = fits.where(F.col("label") == label).select(F.xxhash64("id").alias("h"), "id").distinct().orderBy("h", "id").limit(p.rows_per_class)
+        keys = some if keys is None else keys.unionByName(some)
+    some = keys.select(F.col("id").alias("_key")).distinct()
+    chosen = fits.join(F.broadcast(some), F.col("id").eqNullSafe(F.col("_key")), "left_semi").withColumn("h", F.xxhash64("id", "text"))
+    marks = materialize(chosen.select("label", "h").distinct(), "sample-marks")
+    few = []
+    for label in classes:  # a key may have many rows: of each class the greatest hash that is in the sample
+        last = marks.where(F.col("label") == label).orderBy("h").limit(p.rows_per_class).agg(F.max("h").alias("h")).first()["h"]
+        few += [] if last is None else [F.when(F.col("label") == label, F.col("h") <= last)]
+    discard(marks)
+    picked = chosen.where(F.coalesce(*few) if len(few) == 2 else F.lit(False)).dropDuplicates(["label", "h"])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

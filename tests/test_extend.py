@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import extend, redact
+from tracewell.functions import parse
+from tracewell.operators import extend, investigate, profile, proximity, redact, search, sequence, trend
+from tracewell.sources import readers
 
 
 def lines(spark, texts, file="t.log"):
@@ -34,3 +36,46 @@ def test_libraries_analyzers_views_and_packs(spark):
     pack = extend.evidence_pack(log).first()
     assert pack.severity == "critical" and pack.silences[0].gap_seconds == 300.0 and pack.fields[0].name == "v"
     assert extend.compare_windows(log, (2, 2), (0, 1)).where("category = 'new-crash'").count() == 1
+
+
+def test_numbers_follow_lines_however_long_they_are(spark):
+    texts = ["x" * 150_000 + " 10.0.0.9", "10.0.0.1"]
+    got = [r.text[-6:] for r in redact.numbered(lines(spark, texts), chunk=1).orderBy("line_no").collect()]
+    assert got == ["[IP-1]", "[IP-2]"]
+
+
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    log = lines(spark, ["ÄÖ x=1 aa", "b x=2", "$5.00 \\d"])
+    assert search.compile_pattern(r"(?P<x>a)", regex=True) is None and search.compile_pattern(r"\p{Lu}+", regex=True) is not None
+    assert [r.line_no for r in search.search(log, r"^\p{Lu}+", regex=True).collect()] == [0]
+    assert search.search(log, "(?P<x>a)", regex=True).count() == 0 and search.search_all(log, "(", regex=True).count() == 0
+    assert [(r.column, r.length) for r in search.search_all(log, "a*", regex=True).collect()] == [(7, 2)]
+    assert [(r.line_no, r.column) for r in search.search_all(log, "$5.").collect()] == [(2, 0)]
+    found = search.search_all(log, r"\d|x", regex=True).orderBy("line_no", "column").collect()
+    assert [(r.line_no, r.column) for r in found] == [(0, 3), (0, 5), (1, 2), (1, 4), (2, 1), (2, 3), (2, 4)]
+
+
+def test_fields_of_json_colon_and_equal_lines(spark):
+    log = lines(spark, ['{"value": 3, "mode": "a b", "deep": {"x": 1}, "none": null}', "value: 4 mode: 'c'", 'value = 5, mode = "d e"', "value=6", "{not json value=7", "2024-01-01 10:00:00 [net] other=1"])
+    rows = {r.line_no: r for r in log.select("line_no", parse.field("text", "value").alias("v"), parse.field("text", "mode").alias("m"), parse.extract_fields("text").alias("f")).collect()}
+    assert [rows[k].v for k in range(6)] == ["3", "4", "5", "6", "7", None]
+    assert [rows[k].m for k in range(3)] == ["a b", "c", "d e"]
+    assert rows[0].f == {"value": "3", "mode": "a b", "deep": '{"x":1}'} and rows[5].f == {"other": "1"} and "none" not in rows[0].f
+    assert sorted(r.value for r in trend.largest(log, "value", 3).collect()) == [5.0, 6.0, 7.0]
+
+
+def test_stored_facts_give_what_text_gives(spark):
+    texts = ["2024-01-01 10:00:00 ERROR [net] boom", "2024-01-01 10:00:40 WARN [net] x", "# comment", "", "FATAL [db] panic v=1", "2024-01-01 10:09:00 INFO [db] fine"]
+    log = lines(spark, texts)
+    kept = readers.parsed(log)
+    verbs = [profile.triage, profile.level_counts, profile.crash_sites, profile.fingerprint, sequence.time_gaps, sequence.escalations, investigate.preflight, investigate.analyze, profile.conclude]
+    for verb in verbs:
+        a, b = (sorted(map(str, verb(x).collect())) for x in (log, kept))
+        assert a == b, verb.__name__
+
+
+def test_hunks_of_two_logs(spark):
+    left = lines(spark, ["a", "b", "c", "d", "e", "x", "f"])
+    right = lines(spark, ["a", "c", "d", "new", "e", "y", "z", "f", "end"])
+    got = sorted((r.start_line, r.kind, r.lines, r.other_start) for r in proximity.diff_hunks(left, right, chunk=2).collect())
+    assert got == [(0, "equal", 1, 0), (1, "removed", 1, 1), (2, "equal", 2, 1), (3, "added", 1, 4), (4, "equal", 1, 4), (5, "modified", 1, 5), (6, "equal", 1, 7), (8, "added", 1, 7)]

@@ -152,7 +152,7 @@ def test_crash_recipe_names_the_last_line_first(spark):
     texts = ["ok"] * 81
     texts[41], texts[9], texts[80] = "FATAL a", "unhandled b", "FATAL c"
     rows = sorted((r.line_no, r.title) for r in recipes.crash(lines(spark, texts)).collect())
-    assert rows == [(9, "unhandled"), (41, "fatal"), (80, "Last line before death")]
+    assert rows == [(9, "unhandled"), (41, "fatal"), (80, "final crash line")]
 
 
 @pytest.mark.parametrize(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import random
+
 import random
 
 import pytest
@@ -66,20 +69,42 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     files = [["2024-01-01 10:00:00 INFO mode=a", "2024-01-01 10:00:10 ERROR mode=a"], ["2024-01-01 10:05:00 INFO mode=b", "2024-01-01 10:05:01 FATAL panic mode=b"]]
     folder = tmp_path / "in"
     folder.mkdir()
-    src = live.with_event_time(live.read_stream_lines(spark, str(folder), 1)).withColumn("source", F.lit("s"))
-    sinks = {"gaps": live.live_gaps(src, 30), "flips": live.live_transitions(src, "mode"), "beats": live.live_heartbeat(src, "mode=", 10), "crashes": live.live_crashes(src).select("keyword")}
-    running = [d.writeStream.format("memory").queryName(f"t_{n}").outputMode("append").start() for n, d in sinks.items()]
-    levels = live.live_levels(src).writeStream.format("memory").queryName("t_levels").outputMode("complete").start()
     for k, texts in enumerate(files):
         (folder / f"{k}.log").write_text("\n".join(texts))
-        for q in [*running, levels]:
-            q.processAllAvailable()
-    for q in [*running, levels]:
+        os.utime(folder / f"{k}.log", (1_700_000_000 + k, 1_700_000_000 + k))
+    src = live.with_event_time(live.read_stream_lines(spark, str(folder), 1)).withColumn("source", F.lit("s"))
+    found = {n: run.detect(src, d, n).collect() for n, d in {"gaps": live.gap_detector(30), "flips": live.transition_detector("mode"), "beats": live.heartbeat_detector("mode=", 10)}.items()}
+    assert [r.gap_seconds for r in found["gaps"]] == [290.0]
+    assert [(r.from_value, r.to_value) for r in found["flips"]] == [("a", "b")]
+    assert [r.missing for r in found["beats"]] == [28]
+    crashes = live.live_crashes(src).select("keyword").writeStream.format("memory").queryName("t_crashes").outputMode("append").start()
+    levels = live.live_levels(src).writeStream.format("memory").queryName("t_levels").outputMode("complete").start()
+    for q in (crashes, levels):
+        q.processAllAvailable()
         q.stop()
-    assert [r.gap_seconds for r in spark.table("t_gaps").collect()] == [290.0]
-    assert [(r.from_value, r.to_value) for r in spark.table("t_flips").collect()] == [("a", "b")]
-    assert [r.missing for r in spark.table("t_beats").collect()] == [28]
     assert [r.keyword for r in spark.table("t_crashes").collect()] == ["fatal"]
     assert {r.level: r.lines for r in spark.table("t_levels").groupBy("level").agg(F.sum("lines").alias("lines")).collect()} == {"info": 2, "error": 1, "fatal": 1}
     batch = spark.createDataFrame([("s", k, t) for k, t in enumerate(sum(files, []))], "file string, line_no long, text string")
     assert [r.gap_seconds for r in sequence.time_gaps(batch).collect()] == [290.0]
+
+
+def test_detectors_hand_on_the_last_row_of_each_source(spark, monkeypatch):
+    monkeypatch.setattr(live, "CHUNK_MS", 7_000)
+    rng = random.Random(4)
+    at = sorted(rng.sample(range(100_000), 200))
+    rows = [(f"h{rng.randrange(3)}", f"beat mode={rng.choice('ab')}", 1_700_000_000_000 + 1000 * t) for t in at]
+    table = spark.createDataFrame(rows, "source string, text string, at long").withColumn("ts", F.timestamp_millis("at")).withColumn("at", F.col("at").cast("double"))
+    want_gaps, want_flips, want_beats, last = [], [], [], {}
+    for source, text, ms in rows:
+        if source in last:
+            gap, mode = (ms - last[source][0]) / 1000, last[source][1]
+            want_gaps += [(source, gap)] if gap >= 900 else []
+            want_flips += [(source, mode, text[-1])] if mode != text[-1] else []
+            want_beats += [(source, max(1, int(gap / 300 + 0.5) - 1))] if gap >= 450 else []
+        last[source] = (ms, text[-1])
+    for times in (1, 6):
+        found = lambda d: run.detect(run.arrive(table, "at", times, "rows").drop("at"), d, "found").collect()  # noqa: B023, E731
+        assert sorted((r.source, r.gap_seconds) for r in found(live.gap_detector(900))) == sorted(want_gaps)
+        assert sorted((r.source, r.from_value, r.to_value) for r in found(live.transition_detector("mode"))) == sorted(want_flips)
+        assert sorted((r.source, r.missing) for r in found(live.heartbeat_detector("beat", 300))) == sorted(want_beats)
+    assert run.detect(run.arrive(table.limit(0), "at", 1, "none").drop("at"), live.gap_detector(), "none").count() == 0

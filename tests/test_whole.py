@@ -31,7 +31,7 @@ def test_rates_signatures_and_domains_are_of_all_lines(spark):
     assert (r.matched, r.scanned, r.rate) == (700, 1400, 0.5)
     assert search.pattern_match_rate(lines, "k=", head=400).first().scanned == 400
     r = recipes.check_requirements(lines, "k=", "panic", "*.log", least=0.5).first()
-    assert (r.match_rate, r.signature, r.named, r.ok) == (0.5, True, True, True)
+    assert (r.match_rate, r.columns, r.signature, r.named, r.blocked) == (0.5, True, True, True, False)
     r = recipes.detect_domain(lines).first()
     assert (r.domain, r.hits) == ("embedded", 1400)
     assert recipes.detect_domain(lines, head=600).first().domain == "generic"

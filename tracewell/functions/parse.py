@@ -65,6 +65,7 @@ STOP_WORDS = (
 ).split()
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
+# Patterns of times, numbers and fields.
 ISO = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d{1,9})?"
 ISO_SLASH = r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}"
 EURO = r"(\d{2}\.\d{2}\.\d{4})\s+(\d{2}:\d{2}:\d{2})"
@@ -72,7 +73,7 @@ SYSLOG = r"([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})"
 NUMERIC = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
 FIELD_EQ = r"([A-Za-z_][\w.\-]*)\s*=\s*(\"(?:[^\"\\]|\\.)*\"|'[^']*'|\[[^\]]*\]|\{[^}]*\}|[^\s,;]+)"
 FIELD_COLON = r"([A-Za-z_][\w.\-]*)\s*:\s*(\"(?:[^\"\\]|\\.)*\"|'[^']*'|\[[^\]]*\]|[^\s,;]+)"
-#: Patterns of what is redacted, in order, and the prefix of their placeholders.
+# Patterns of what is redacted, in order, and the prefix of their placeholders.
 REDACTIONS = [
     (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "IP"),
     (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "IPV6"),
@@ -214,37 +215,51 @@ def header_role(name: str | Column) -> Column:
 
 
 def _unquoted(x: Column) -> Column:
-    return F.when(x.rlike(r"^(\".*\"|'.*')$") & (F.length(x) >= 2), F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+    return F.regexp_replace(x, r"""(?s)^(?:"(.*)"|'(.*)')$""", "$1$2")
 
 
-def _pairs(text: Column, pattern: str) -> Column:
-    keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), _unquoted)
-    return F.arrays_zip(keys.alias("k"), values.alias("v"))
+def _found(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _json(text: Column) -> Column:
+    """A JSON object's members that are not null, as text; null for other lines."""
+    flat = F.when(F.trim(text).rlike(r"(?s)^\{.*\}$"), F.from_json(text, "map<string,string>"))
+    return F.map_filter(flat, lambda k, v: v.isNotNull())
 
 
 def extract_fields(text: str | Column) -> Column:
     """Map of a line's fields: a JSON object flattened one level, else ``k=v`` and then ``k: v``
     pairs.  Of repeated keys the first counts; JSON nulls are left out."""
     c = _c(text)
-    pairs = F.concat(_pairs(c, FIELD_EQ), _pairs(c, FIELD_COLON))
-    empty = F.array().cast("array<struct<k:string,v:string>>")
-    first = F.aggregate(
-        pairs, empty, lambda acc, p: F.when(F.exists(acc, lambda a: a["k"] == p["k"]), acc).otherwise(F.concat(acc, F.array(p)))
+    both = F.struct(
+        F.concat(_found(c, FIELD_EQ, 1), _found(c, FIELD_COLON, 1)).alias("k"), F.concat(_found(c, FIELD_EQ, 2), _found(c, FIELD_COLON, 2)).alias("v")
     )
-    scanned = F.map_from_entries(first)
-    flat = F.from_json(c, "map<string,string>")
-    known = F.map_filter(flat, lambda k, v: v.isNotNull())
-    return F.when(F.trim(c).startswith("{") & F.coalesce(F.size(known) > 0, F.lit(False)), known).otherwise(scanned)
+    value = lambda p, k: _unquoted(F.get(p["v"], (F.array_position(p["k"], k) - 1).cast("int")))
+    scanned = _bound(both, lambda p: F.map_from_arrays(F.array_distinct(p["k"]), F.transform(F.array_distinct(p["k"]), lambda k: value(p, k))))
+    return _bound(_json(c), lambda known: F.when(F.size(known) > 0, known).otherwise(scanned))
 
 
 def field(text: str | Column, name: str) -> Column:
-    return extract_fields(text)[name]
+    """One field of a line, as :func:`extract_fields` has it, without building a map of all."""
+    c = _c(text)
+
+    def scan(pattern: str) -> Column:
+        at = F.array_position(_found(c, pattern, 1), F.lit(name)).cast("int")
+        return F.get(_found(c, pattern, 2), at - 1)
+
+    scanned = _unquoted(F.when(F.contains(c, F.lit(name)), F.coalesce(scan(FIELD_EQ), scan(FIELD_COLON))))
+    known = _json(c)
+    return F.when(F.trim(c).startswith("{"), F.when(F.size(known) > 0, known[name]).otherwise(scanned)).otherwise(scanned)
 
 
-def keyed(text: str | Column, name: str) -> Column:
-    """The value of one ``name=value`` pair, without building a map."""
-    return _unquoted(_whole(text, rf"(?:^|[\s,;]){re.escape(name)}=(\"[^\"]*\"|[^\s,;]+)", 1))
+def value_of(text: str | Column, field_name: str | None = None, pattern: str | None = None) -> Column:
+    """A line's value for a series: of a field, or what a pattern finds (its first group)."""
+    if pattern is not None:
+        return matched(text, pattern)
+    if field_name is None:
+        raise ValueError("a field or a pattern is needed")
+    return field(text, field_name)
 
 
 def matched(text: str | Column, pattern: str) -> Column:
@@ -261,7 +276,9 @@ def classify_value(raw: str | Column) -> Column:
 
 
 def to_num(raw: str | Column) -> Column:
-    return F.when(_c(raw).rlike(NUMERIC), _c(raw).try_cast("double"))
+    """A number; null for other texts and for numbers beyond a double."""
+    value = F.when(_c(raw).rlike(NUMERIC), _c(raw).try_cast("double"))
+    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def series_num(raw: str | Column) -> Column:
@@ -281,7 +298,7 @@ def axis_value(spec: str, text: str = "text") -> Column:
         return epoch_ms(parse_ts(text)).cast("double")
     if spec == "relative":
         return relative_seconds(text)
-    return series_num(keyed(text, spec.removeprefix("field:")))
+    return series_num(field(text, spec.removeprefix("field:")))
 
 
 def epoch_ms(ts: str | Column) -> Column:
@@ -340,7 +357,7 @@ def line_template(text: str | Column) -> Column:
 
 def template_literal(template: str | Column) -> Column:
     """The part between ``#`` with the most letters, the first of equals; '' without letters."""
-    parts = F.transform(F.split(_c(template), "#"), F.trim)
+    parts = F.transform(F.split(_c(template), "#"), lambda x: F.trim(x))
     start = F.struct(F.lit("").alias("best"), F.lit(0).alias("letters"))
     step = lambda acc, p: F.when(
         F.regexp_count(p, F.lit("[A-Za-z]")) > acc["letters"], F.struct(p.alias("best"), F.regexp_count(p, F.lit("[A-Za-z]")).alias("letters"))

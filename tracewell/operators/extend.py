@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
 from . import profile, sequence, trend
 from .search import KEY
 
@@ -37,7 +37,7 @@ def search_library(lines: DataFrame, patterns: DataFrame, most: int = 1000) -> D
 
 def register_views(spark: SparkSession, lines: DataFrame, prefix: str = "log") -> None:
     """Temporary views for SQL: ``<prefix>_lines``, ``_gaps``, ``_crashes``, ``_components``."""
-    parsed = lines.withColumns({"level": parse.detect_level("text"), "ts": parse.parse_ts("text"), "component": parse.component("text")})
+    parsed = lines.select(*KEY, "text", facts.level(lines).alias("level"), facts.ts(lines).alias("ts"), facts.component(lines).alias("component"))
     for name, df in {"lines": parsed, "gaps": sequence.time_gaps(lines), "crashes": profile.crash_sites(lines), "components": profile.component_errors(lines)}.items():
         df.createOrReplaceTempView(f"{prefix}_{name}")
 

@@ -15,13 +15,15 @@ CHUNK = 100_000
 
 class Scan:
     """Rows with an order inside groups.  ``by`` are the groups' columns (such as file),
-    ``order`` a whole number that orders rows inside a group and does not repeat there."""
+    ``order`` a whole number that orders rows inside a group; where it repeats, the columns of
+    ``tie`` order the rows."""
 
-    def __init__(self, rows: DataFrame, order: str = "line_no", by: tuple[str, ...] = ("file",), chunk: int = CHUNK):
+    def __init__(self, rows: DataFrame, order: str = "line_no", by: tuple[str, ...] = ("file",), chunk: int = CHUNK, tie: tuple[str, ...] = ()):
         self.rows, self.order, self.by = rows, order, list(by)
+        self.place = F.struct(order, *tie) if tie else F.col(order)
         self.chunked = rows.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
         self.keys = [*self.by, "_chunk"]
-        self.inside = Window.partitionBy(*self.keys).orderBy(order)
+        self.inside = Window.partitionBy(*self.keys).orderBy(order, *tie)
         self.chunks = Window.partitionBy(*self.by).orderBy("_chunk")
 
     def _carry(self, value: Column, over: Column, name: str) -> DataFrame:
@@ -34,14 +36,14 @@ class Scan:
 
     def lag(self, column: str, out: str) -> DataFrame:
         """The value of the row before."""
-        last = F.max_by(F.struct(F.col(column).alias("v")), self.order)
+        last = F.max_by(F.struct(F.col(column).alias("v")), self.place)
         df = self._carry(last, F.lag("_v").over(self.chunks), "_in").withColumn("_rn", F.row_number().over(self.inside))
         value = F.when(F.col("_rn") == 1, F.col("_in.v")).otherwise(F.lag(column).over(self.inside))
         return self._done(df.withColumn(out, value))
 
     def last_known(self, column: str, out: str) -> DataFrame:
         """The last value that is not null, up to and with the row."""
-        known = F.max_by(column, F.when(F.col(column).isNotNull(), F.col(self.order)))
+        known = F.max_by(column, F.when(F.col(column).isNotNull(), self.place))
         before = self.chunks.rowsBetween(Window.unboundedPreceding, -1)
         df = self._carry(known, F.last("_v", True).over(before), "_in")
         up_to = self.inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -49,7 +51,7 @@ class Scan:
 
     def next_known(self, column: str, out: str) -> DataFrame:
         """The first value that is not null, from the row on."""
-        known = F.min_by(column, F.when(F.col(column).isNotNull(), F.col(self.order)))
+        known = F.min_by(column, F.when(F.col(column).isNotNull(), self.place))
         behind = self.chunks.rowsBetween(1, Window.unboundedFollowing)
         df = self._carry(known, F.first("_v", True).over(behind), "_in")
         on = self.inside.rowsBetween(0, Window.unboundedFollowing)

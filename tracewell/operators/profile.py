@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
 from .sequence import time_gaps
 
 KEY = ["file", "line_no"]
@@ -14,7 +14,7 @@ KEY = ["file", "line_no"]
 def analysed(lines: DataFrame) -> DataFrame:
     """Lines that count: neither blank nor comments, with level and component."""
     some = lines.where((F.trim("text") != "") & ~F.ltrim("text").startswith("#"))
-    return some.withColumns({"level": parse.detect_level("text", "analyzer"), "component": parse.component("text")})
+    return some.withColumns({"level": facts.analysed_level(lines), "component": facts.component(lines)})
 
 
 def level_counts(lines: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def level_counts(lines: DataFrame) -> DataFrame:
 
 
 def crash_sites(lines: DataFrame, limit: int | None = None) -> DataFrame:
-    out = analysed(lines).withColumn("keyword", parse.crash_keyword("text")).where("keyword is not null").select(*KEY, "keyword", "level", "component", "text")
+    out = analysed(lines).withColumn("keyword", facts.crash(lines)).where("keyword is not null").select(*KEY, "keyword", "level", "component", "text")
     return out.orderBy(*KEY).limit(limit) if limit else out
 
 
@@ -66,11 +66,11 @@ def level_density(lines: DataFrame, buckets: int) -> DataFrame:
 def severity_ticks(lines: DataFrame, buckets: int) -> DataFrame:
     total = lines.groupBy("file").agg((F.max("line_no") + 1).alias("_n"))
     bucket = F.floor(F.col("line_no") * buckets / F.col("_n")).cast("long").alias("bucket")
-    return lines.join(total, "file").groupBy("file", bucket).agg(F.max(parse.severity_rank("text")).alias("rank"))
+    return lines.join(total, "file").groupBy("file", bucket).agg(F.max(facts.severity(lines)).alias("rank"))
 
 
 def severity_counts(lines: DataFrame) -> DataFrame:
-    rank = parse.severity_rank("text")
+    rank = facts.severity(lines)
     return lines.groupBy("file").agg(F.count_if(rank == 3).alias("fatal"), F.count_if(rank == 2).alias("error"), F.count_if(rank == 1).alias("warning"))
 
 
@@ -102,16 +102,20 @@ def merge_analysis(lines: DataFrame, k: int = 5) -> DataFrame:
 
 def minute_density(lines: DataFrame, most: int | None = None) -> DataFrame:
     """Lines by minute since the first line's time, zero-filled, to the last minute or for at
-    ``most`` so many; lines timed before the first line are dropped."""
-    rows = lines.select("file", "line_no", parse.parse_ts_seconds("text").alias("ts")).where("ts is not null").withColumn("ms", parse.epoch_ms("ts"))
-    start = rows.groupBy("file").agg(F.min_by("ms", "line_no").alias("_t0"))
-    minute = F.floor((F.col("ms") - F.col("_t0")) / 60000).cast("long")
+    ``most`` so many; lines timed before the first line are dropped.
+
+    Lines are counted by second in one pass; the first line's second shifts these sums.
+    """
+    seconds = F.unix_seconds(parse.parse_ts_seconds("text").cast("timestamp")).alias("s")
+    by_second = lines.select("file", "line_no", seconds).where("s is not null").groupBy("file", "s").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"))
+    start = by_second.groupBy("file").agg(F.min_by("s", "line_no").alias("_t0"))
+    minute = F.floor((F.col("s") - F.col("_t0")) / 60).cast("long")
     kept = F.col("minute") >= 0 if most is None else F.col("minute").between(0, most - 1)
-    counts = rows.join(start, "file").withColumn("minute", minute).where(kept).groupBy("file", "minute").agg(F.count(F.lit(1)).alias("lines"))
+    counts = by_second.join(start, "file").withColumn("minute", minute).where(kept).groupBy("file", "minute").agg(F.sum("n").alias("lines"))
     # by days first, as one wrong year makes millions of minutes
     days = counts.groupBy("file").agg(F.max("minute").alias("_m")).select("file", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_m") / 1440))).alias("_d"))
-    span = days.select("file", "_m", F.explode(F.sequence(F.col("_d") * 1440, F.least("_m", F.col("_d") * 1440 + 1439))).alias("minute")).drop("_m")
-    return span.join(counts, ["file", "minute"], "left").select("file", "minute", F.coalesce("lines", F.lit(0)).alias("lines"))
+    span = days.select("file", F.explode(F.sequence(F.col("_d") * 1440, F.least("_m", F.col("_d") * 1440 + 1439))).alias("minute"), F.lit(0).cast("long").alias("lines"))
+    return counts.unionByName(span).groupBy("file", "minute").agg(F.sum("lines").alias("lines"))
 
 
 def component_counts(lines: DataFrame) -> DataFrame:
@@ -133,17 +137,33 @@ def component_samples(lines: DataFrame, k: int = 5) -> DataFrame:
     return rows.withColumn("_r", first).where(F.col("_r") <= k).select("file", "component", "line_no", "level")
 
 
-def fingerprint(lines: DataFrame) -> DataFrame:
-    """One row for each file: total, levels, components, failing ones, crash words and density."""
+def tallies(lines: DataFrame) -> DataFrame:
+    """Lines that count by file, component, level and crash word: what levels, crashes, failing
+    components and totals are sums of, from one pass.  It has few rows, however long the log."""
+    return analysed(lines).withColumn("crash", facts.crash(lines)).groupBy("file", "component", "level", "crash").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
+
+
+def _of(tallied: DataFrame, when: Column) -> Column:
+    return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+
+
+def fingerprint(lines: DataFrame, samples: int = 5) -> DataFrame:
+    """One row for each file: total, levels, components, failing ones, crash words, density, and
+    the first lines of errors and crashes as samples."""
     as_map = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
+    seen = tallies(lines)
+    bad = F.col("level").isin("error", "fatal")
     total = lines.groupBy("file").agg(F.count(F.lit(1)).alias("total_lines"))
-    levels = level_counts(lines).groupBy("file").agg(as_map("level", "lines").alias("levels"))
+    by_level = F.map_from_arrays(F.array(*map(F.lit, parse.LEVELS)), F.array(*[_of(seen, F.col("level") == x) for x in parse.LEVELS]))
+    sums = seen.groupBy("file").agg(by_level.alias("levels"), F.array_sort(F.collect_set("crash")).alias("crashes"))
+    named = seen.where("component is not null").groupBy("file", "component").agg(_of(seen, bad).alias("errors"))
+    failing = named.where("errors > 0").groupBy("file").agg(as_map("component", "errors").alias("failing"))
     parts = component_counts(lines).groupBy("file").agg(as_map("component", "lines").alias("components"))
-    failing = component_errors(lines).where("errors > 0").groupBy("file").agg(as_map("component", "errors").alias("failing"))
-    crashes = crash_sites(lines).groupBy("file").agg(F.array_sort(F.collect_set("keyword")).alias("crashes"))
     density = minute_density(lines).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("minute", "lines"))), lambda x: x["lines"]).alias("density"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("first_line"))
+    shown = seen.where(bad | F.col("crash").isNotNull()).withColumn("_r", rank).where(F.col("_r") <= samples).groupBy("file").agg(F.array_sort(F.collect_list("first_line")).alias("samples"))
     out = total
-    for more in (time_span(lines), levels, parts, failing, crashes, density):
+    for more in (time_span(lines), sums, parts, failing, density, shown):
         out = out.join(more, "file", "left")
     return out
 
@@ -151,13 +171,19 @@ def fingerprint(lines: DataFrame) -> DataFrame:
 def compare_profiles(current: DataFrame, base: DataFrame, most: int | None = None) -> DataFrame:
     """Findings between two logs (each ``lines`` of one run), most severe first; density is of
     all minutes, or of ``most``."""
-    lv = lambda x, n: level_counts(x).groupBy("level").agg(F.sum("lines").alias("l")).join(F.broadcast(level_counts(x).agg(F.sum("lines").alias("t")))).select("level", (F.col("l") * 100 / F.col("t")).alias(n))
-    levels = lv(current, "c").join(lv(base, "b"), "level", "full")
+    seen = [tallies(x) for x in (current, base)]
+    shares = []
+    for x, n in zip(seen, "cb", strict=True):
+        total = x.agg(F.sum("n").alias("_t"))
+        shares.append(x.where("level is not null").groupBy("level").agg(F.sum("n").alias("_l")).join(F.broadcast(total)).select("level", (F.col("_l") * 100 / F.col("_t")).alias(n)))
+    levels = shares[0].join(shares[1], "level", "full")
     delta = F.abs(F.coalesce("c", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))
     found = levels.where(delta > 5).select(F.when(delta > 15, "critical").otherwise("warning").alias("severity"), F.lit("level-shift").alias("category"), F.col("level").alias("subject"))
-    new_crash = crashes_by_keyword(current).select("keyword").distinct().join(crashes_by_keyword(base).select("keyword").distinct(), "keyword", "left_anti")
-    found = found.unionByName(new_crash.select(F.lit("critical").alias("severity"), F.lit("new-crash").alias("category"), F.col("keyword").alias("subject")))
-    cc, cb = (x.groupBy("component").agg(F.sum("errors").alias("e"), F.sum("lines").alias("n")) for x in (component_errors(current), component_errors(base)))
+    words = [x.where("crash is not null").select("crash").distinct() for x in seen]
+    new_crash = words[0].join(words[1], "crash", "left_anti")
+    found = found.unionByName(new_crash.select(F.lit("critical").alias("severity"), F.lit("new-crash").alias("category"), F.col("crash").alias("subject")))
+    bad = F.col("level").isin("error", "fatal")
+    cc, cb = (x.where("component is not null").groupBy("component").agg(_of(x, bad).alias("e"), F.sum("n").alias("n")) for x in seen)
     new_failing = cc.where("e > 0").join(cb.where("e > 0"), "component", "left_anti").select(F.lit("warning").alias("severity"), F.lit("new-component").alias("category"), F.col("component").alias("subject"))
     gone = cb.where("n > 10").join(cc, "component", "left_anti").select(F.lit("info").alias("severity"), F.lit("missing-component").alias("category"), F.col("component").alias("subject"))
     ratio = F.col("ce") / F.col("be")
@@ -178,14 +204,16 @@ def verdict(findings: DataFrame) -> DataFrame:
 
 def triage(lines: DataFrame, gap: float = 60) -> DataFrame:
     """One row for each file: counts and the severity that follows from them."""
-    level = F.col("level")
-    sums = analysed(lines).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(level.isin("error", "fatal")).alias("errors"), F.count_if(level == "warning").alias("warnings"))
-    crashes = crash_sites(lines).groupBy("file").agg(F.count(F.lit(1)).alias("crashes"))
+    seen, bad = tallies(lines), F.col("level").isin("error", "fatal")
+    by_part = seen.groupBy("file", "component").agg(
+        F.sum("n").alias("n"), _of(seen, bad).alias("e"), _of(seen, F.col("level") == "warning").alias("w"), _of(seen, F.col("crash").isNotNull()).alias("c")
+    )
+    sums = by_part.groupBy("file").agg(
+        F.sum("n").alias("lines"), F.sum("e").alias("errors"), F.sum("w").alias("warnings"), F.sum("c").alias("crashes"),
+        F.count_if((F.col("e") > 0) & F.col("component").isNotNull()).alias("failing"),
+    )
     gaps = time_gaps(lines, gap).groupBy("file").agg(F.count(F.lit(1)).alias("gaps"), F.max("gap_seconds").alias("longest_gap"))
-    failing = component_errors(lines).where("errors > 0").groupBy("file").agg(F.count(F.lit(1)).alias("failing"))
-    out = sums
-    for x in (crashes, gaps, failing):
-        out = out.join(x, "file", "left")
+    out = sums.join(gaps, "file", "left")
     zero = out.fillna(0)
     percent = F.col("errors") * 100 / F.col("lines")
     severity = F.when((F.col("crashes") > 0) | (percent > 20), "critical").when((percent > 5) | (F.col("longest_gap") > 300) | (F.col("failing") > 3), "warning").otherwise("ok")
@@ -209,23 +237,8 @@ def conclude(lines: DataFrame, marks: DataFrame | None = None, most: int = 40) -
 
 def conclusion_verdict(lines: DataFrame) -> DataFrame:
     """crash, error-storm, stall, warnings or clean, with the first anomaly's line."""
-    t = triage(lines, 30)
+    t = triage(lines, 30)  # silences of half a minute count as stalls
     rate = F.col("errors") * 100 / F.col("lines")
     v = F.when(F.col("crashes") > 0, "crash").when((rate >= 5) | (F.col("errors") >= 5), "error-storm").when(F.col("gaps") > 0, "stall").when(F.col("warnings") > 0, "warnings").otherwise("clean")
     first = conclude(lines).where("place = 1").select("file", F.col("line_no").alias("first_anomaly"), F.col("kind").alias("first_kind"))
     return t.select("file", v.alias("verdict"), "errors", "warnings").join(first, "file", "left")
-
-
-def investigate_component(lines: DataFrame, name: str) -> DataFrame:
-    """Mentions of a component by level, first and last."""
-    rows = lines.where(F.contains("text", F.lit(name))).withColumn("level", F.coalesce(parse.detect_level("text"), F.lit("other")))
-    return rows.groupBy("file", "level").agg(F.count(F.lit(1)).alias("mentions"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
-
-
-def preflight(lines: DataFrame) -> DataFrame:
-    """Shape of each file in one row: lines, span, errors, distinct tags."""
-    rows = lines.withColumns({"ts": parse.parse_ts("text"), "level": parse.detect_level("text"), "tag": parse.component("text")})
-    return rows.groupBy("file").agg(
-        F.count(F.lit(1)).alias("lines"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("level").isin("error", "fatal")).alias("errors"),
-        F.count_if(F.col("level") == "warning").alias("warnings"), F.count_distinct("tag").alias("tags"), F.max(F.length("text")).alias("longest"),
-    )

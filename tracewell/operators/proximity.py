@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
+from ..sources.store import store
 from .ordered import CHUNK, Scan
 from .sequence import carry_forward, timed
 
@@ -116,13 +117,12 @@ def time_sync(lines: DataFrame) -> DataFrame:
 
 def coverage(lines: DataFrame) -> DataFrame:
     """Timed share and span of each file."""
-    ts = parse.parse_ts("text")
-    return lines.withColumn("ts", ts).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count("ts").alias("timed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return lines.withColumn("ts", facts.ts(lines)).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.count("ts").alias("timed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def merge_timeline(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Every line with its own time or the last one before it; files without times are left out."""
-    filled = carry_forward(lines.withColumn("_own", parse.parse_ts("text")), "_own", "ts", chunk).where("ts is not null")
+    filled = carry_forward(lines.withColumn("_own", facts.ts(lines)), "_own", "ts", chunk).where("ts is not null")
     return filled.join(origin_tags(lines), "file").select("ts", "origin", *KEY, "text")
 
 
@@ -140,7 +140,7 @@ def traceback(lines: DataFrame, targets: DataFrame, window_lines: int = 200, win
 
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
     rows = lines.select(
-        *KEY, "text", parse.parse_ts("text").alias("ts"), parse.component("text").alias("component"), parse.detect_level("text").alias("level"), parse.crash_keyword("text", "traceback").alias("crash")
+        *KEY, "text", facts.ts(lines).alias("ts"), facts.component(lines).alias("component"), facts.level(lines).alias("level"), parse.crash_keyword("text", "traceback").alias("crash")
     )
     up = escalations(lines, chunk).select(*KEY, F.lit(15).alias("_up"))
     # A target reads the lines before it only, so lines are looked up by number.
@@ -162,16 +162,26 @@ def traceback(lines: DataFrame, targets: DataFrame, window_lines: int = 200, win
 
 def resolve_marks(marks: DataFrame, lines: DataFrame) -> DataFrame:
     """Marks with text, level and time of their line."""
-    rows = lines.select(*KEY, "text", parse.detect_level("text").alias("level"), parse.parse_ts("text").alias("ts"))
+    rows = lines.select(*KEY, "text", facts.level(lines).alias("level"), facts.ts(lines).alias("ts"))
     return marks.join(rows, KEY, "left")
 
 
 def evidence(findings: DataFrame, lines: DataFrame, k: int = 3) -> DataFrame:
-    """The first k error or warning lines for each finding's component."""
-    rows = lines.select(*KEY, "text", parse.component("text").alias("component"), parse.detect_level("text").alias("level")).where("level in ('error', 'fatal', 'warning')")
-    first = F.row_number().over(Window.partitionBy("file", "component").orderBy("line_no"))
-    some = rows.withColumn("_r", first).where(F.col("_r") <= k).drop("_r")
-    return findings.join(some, "component").select(*findings.columns, *KEY, "level")
+    """The first k lines that show each finding ``(category, subject, …)``: lines of its level for a
+    ``level-shift``, lines with its crash word for a ``new-crash``, else the error and warning lines
+    of its component."""
+    read = lines.select(*KEY, facts.component(lines).alias("_part"), facts.level(lines).alias("level"), facts.crash(lines).alias("_crash"))
+    shown = F.array(
+        F.struct(F.lit("level").alias("kind"), F.col("level").alias("subject")), F.struct(F.lit("crash").alias("kind"), F.col("_crash").alias("subject")),
+        F.struct(F.lit("component").alias("kind"), F.when(F.col("level").isin("error", "fatal", "warning"), F.col("_part")).alias("subject")),
+    )
+    rows = read.select(*KEY, "level", F.explode(shown).alias("s")).select(*KEY, "level", "s.kind", "s.subject").where("subject is not null")
+    # the first lines of each chunk, then of all chunks: no subject's lines are gathered in one task
+    early = rows.groupBy("kind", "subject", "file", F.floor(F.col("line_no") / 10_000).alias("_c")).agg(F.slice(F.array_sort(F.collect_list(F.struct(*KEY, "level"))), 1, k).alias("e"))
+    first = F.row_number().over(Window.partitionBy("kind", "subject").orderBy(*KEY))
+    some = early.select("kind", "subject", F.explode("e").alias("e")).select("kind", "subject", "e.*").withColumn("_r", first).where(F.col("_r") <= k).drop("_r")
+    kind = F.when(F.col("category") == "level-shift", "level").when(F.col("category") == "new-crash", "crash").otherwise("component")
+    return findings.withColumn("kind", kind).join(some, ["kind", "subject"]).select(*findings.columns, *KEY, "level")
 
 
 def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -185,6 +195,51 @@ def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return sums.select("text", F.least("l", "r").alias("equal"), F.greatest(F.lit(0), F.col("l") - F.col("r")).alias("removed"), F.greatest(F.lit(0), F.col("r") - F.col("l")).alias("added"))
 
 
+def diff_hunks(left: DataFrame, right: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Runs of lines of one log against another: ``(file, kind, start_line, lines, other_start)``, kind
+    being equal, removed or modified for lines of the left log and added for lines of the right one.
+
+    The n-th occurrence of a text on one side pairs with the n-th on the other (files of both
+    sides compared as they are numbered), so moved lines count as equal.  A run is consecutive
+    lines of one kind whose partners are consecutive too.  A removed run that stands where an
+    added one does, between the same equal lines, is modified, and the added one goes with it.
+    """
+    numbered = {n: store(_occurrences(x, chunk), "occurrences") for n, x in (("l", left), ("r", right))}
+    sides = {}
+    for n, other in (("l", "r"), ("r", "l")):
+        theirs = numbered[other].select("_text", "_occ", F.col("line_no").alias("_other"))
+        both = numbered[n].join(theirs, ["_text", "_occ"], "left")
+        state = F.when(F.col("_other").isNull(), "alone").otherwise((F.col("_other") - F.col("line_no")).cast("string"))
+        sides[n] = both.select("file", "line_no", "_other", state.alias("_state"))
+    runs = {n: store(_runs_of(x, chunk), "runs") for n, x in sides.items()}
+    # where a lone run stands: behind which line of the other side
+    placed = {n: Scan(r.withColumn("_end", F.when(F.col("_state") != "alone", F.col("_last_other"))), order="start_line", chunk=chunk).last_known("_end", "_after") for n, r in runs.items()}
+    gone = placed["l"].where("_state = 'alone'").select("file", "start_line", "lines", (F.coalesce("_after", F.lit(-1)) + 1).alias("other_start"))
+    new = placed["r"].where("_state = 'alone'").select("file", "start_line", "lines", (F.coalesce("_after", F.lit(-1)) + 1).alias("other_start"))
+    pairs = gone.select(F.col("start_line").alias("_l"), F.col("other_start").alias("_r")).join(new.select(F.col("start_line").alias("_r"), F.col("other_start").alias("_l"), F.lit(True).alias("_both")), ["_l", "_r"])
+    removed = gone.join(pairs.select(F.col("_l").alias("start_line"), "_both"), "start_line", "left").select("file", F.when(F.col("_both"), "modified").otherwise("removed").alias("kind"), "start_line", "lines", "other_start")
+    added = new.join(pairs.select(F.col("_r").alias("start_line"), "_both"), "start_line", "left").where("_both is null").select("file", F.lit("added").alias("kind"), "start_line", "lines", "other_start")
+    equal = runs["l"].where("_state != 'alone'").select("file", F.lit("equal").alias("kind"), "start_line", "lines", F.col("_first_other").alias("other_start"))
+    return equal.unionByName(removed).unionByName(added)
+
+
+def _occurrences(lines: DataFrame, chunk: int) -> DataFrame:
+    """Lines with their text's hash and how many times it came before."""
+    rows = lines.select("file", "line_no", F.xxhash64("text").alias("_text"))
+    return Scan(rows, by=("_text",), chunk=chunk, tie=("file",)).number("_occ")
+
+
+def _runs_of(rows: DataFrame, chunk: int) -> DataFrame:
+    """Consecutive lines of one state as start, number of lines, and the first and last partner."""
+    here = rows.withColumn("_at", F.struct("line_no", "_state"))
+    before = Scan(here, chunk=chunk).lag("_at", "_prev")
+    same = (F.col("_prev.line_no") == F.col("line_no") - 1) & (F.col("_prev._state") == F.col("_state"))
+    island = Scan(before.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("long")), chunk=chunk).running_sum("_new", "_island")
+    return island.groupBy("file", "_island", "_state").agg(
+        F.min("line_no").alias("start_line"), F.count(F.lit(1)).alias("lines"), F.min("_other").alias("_first_other"), F.max("_other").alias("_last_other")
+    ).drop("_island")
+
+
 def align_clock(rows: DataFrame, low_ms: int, high_ms: int) -> DataFrame:
     """Device uptime to wall clock, by each file's first line with a plausible pair of both."""
     stamp = F.regexp_extract("text", r"(?:^|\s)timestamp=(\d+)", 1).try_cast("long")

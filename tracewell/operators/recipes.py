@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parse
+from ..sources import readers
 from . import profile, search, sequence, trend
 
 KEY = ["file", "line_no"]
@@ -45,6 +47,7 @@ PACKS = {
         "connection": "bus off|CAN error|lost frame|timeout|no response",
     },
 }
+# What tells a domain, and names of fields that hold a latency.
 DETECT = {
     "android": r"\b(ActivityManager|AndroidRuntime|logcat|\bI/|\bE/|Choreographer)\b",
     "embedded": r"\b(HardFault|watchdog|WDT|bootloader|firmware|0x[0-9a-f]{8})\b",
@@ -83,11 +86,13 @@ def markers(lines: DataFrame, pattern: str, title: str, severity: str, most: int
 
 
 def crash(lines: DataFrame, domain: str = "generic") -> DataFrame:
-    """The last crash line first of all, then the first line of each crash keyword."""
+    """The last crash line first of all, then the first line of each crash word; in files without
+    a crash word, the lines with the domain's crash markers."""
     sites = profile.crash_sites(lines)
-    last = sites.groupBy("file").agg(F.max("line_no").alias("line_no")).select(*KEY, F.lit("critical").alias("severity"), F.lit("Last line before death").alias("title"))
+    last = sites.groupBy("file").agg(F.max("line_no").alias("line_no")).select(*KEY, F.lit("critical").alias("severity"), F.lit("final crash line").alias("title"))
     first = profile.crashes_by_keyword(lines).select("file", F.col("first_line").alias("line_no"), F.lit("error").alias("severity"), F.col("keyword").alias("title"))
-    return last.unionByName(first)
+    others = lines.join(sites.select("file").distinct(), "file", "left_anti")
+    return last.unionByName(first).unionByName(markers(others, PACKS[domain]["crash"], "crash marker", "error"))
 
 
 def hang(lines: DataFrame, most: int = 10) -> DataFrame:
@@ -99,10 +104,12 @@ def hang(lines: DataFrame, most: int = 10) -> DataFrame:
 def slow(lines: DataFrame, field: str | None = None, most: int = 10, domain: str = "generic") -> DataFrame:
     """The highest values of a latency field; without one, slowness markers."""
     if field is None:
-        seen = {r["name"] for r in trend.discover_fields(lines).where("type = 'numeric'").select("name").limit(1000).collect()}
-        field = next((n for hint in SLOW_FIELDS[domain] for n in sorted(seen) if hint.lower() in n.lower()), None)
+        hints = SLOW_FIELDS[domain]
+        names = trend.discover_fields(lines).where("type = 'numeric'").select("name")
+        rank = F.coalesce(*[F.when(F.contains(F.lower("name"), F.lit(h.lower())), k) for k, h in enumerate(hints)])
+        field = names.select(rank.alias("rank"), "name").where("rank is not null").agg(F.min(F.struct("rank", "name"))["name"]).first()[0]
     if field is None:
-        return markers(lines, "slow|timeout|timed out|GC pause|throttl", "Slowness marker", "warning", most)
+        return markers(lines, "slow|timeout|timed out|GC pause|throttl", "slowness marker", "warning", most)
     return trend.largest(lines, field, most).select(*KEY, F.lit("warning").alias("severity"), F.format_string(f"{field} at %.2f", "value").alias("title"))
 
 
@@ -111,35 +118,47 @@ def error_storm(lines: DataFrame) -> DataFrame:
 
 
 def wont_start(lines: DataFrame, domain: str = "generic") -> DataFrame:
-    anchor = lines.where("line_no = 0").select(*KEY, F.lit("info").alias("severity"), F.lit("Startup sequence begins here").alias("title"))
-    return anchor.unionByName(markers(lines, PACKS[domain]["startup"], "Startup/init failure", "error"))
+    anchor = lines.where("line_no = 0").select(*KEY, F.lit("info").alias("severity"), F.lit("start of the log").alias("title"))
+    return anchor.unionByName(markers(lines, PACKS[domain]["startup"], "start-up failure", "error"))
 
 
 def connection_drops(lines: DataFrame, domain: str = "generic", most: int | None = None) -> DataFrame:
-    return markers(lines, PACKS[domain]["connection"], "Connection event", "warning", most)
+    return markers(lines, PACKS[domain]["connection"], "connection trouble", "warning", most)
 
 
 def flips(lines: DataFrame, field: str, label: str = "flip", most: int | None = None) -> DataFrame:
-    rows = _first(sequence.transitions(lines, parse.keyed("text", field)), most)
+    rows = _first(sequence.transitions(lines, parse.field("text", field)), most)
     return rows.select(*KEY, F.lit("warning").alias("severity"), F.concat(F.lit(f"{label}: {field} "), "from_value", F.lit(" -> "), "to_value").alias("title"))
 
 
-def ui_state(lines: DataFrame, words: list[str], most: int | None = None) -> DataFrame:
+def ui_state(lines: DataFrame, words: list[str] | None = None, most: int | None = None, expectation: str | None = None) -> DataFrame:
     """Where each expected word is logged, and how its value flips; with ``most``, about so many
-    hits over all words and two flips of each."""
+    hits over all words and two flips of each.  Words may be given as a sentence that tells what
+    was expected; its keywords are taken then."""
+    if words is None:
+        spark = lines.sparkSession
+        words = spark.range(1).select(parse.keywords(F.lit(expectation or "")).alias("w")).first()["w"]
     per, flipped = (None, None) if most is None else (max(2, most // max(1, len(words))), 2)
-    out = None
+    out = lines.where(F.lit(False)).select(*KEY, F.lit("").alias("severity"), F.lit("").alias("title"))
     for w in words:
-        found = markers(lines, w, f'UI state: "{w}"', "info", per).unionByName(flips(lines, w, "UI flip", flipped))
-        out = found if out is None else out.unionByName(found)
+        out = out.unionByName(markers(lines, re.escape(w), f'logged state "{w}"', "info", per)).unionByName(flips(lines, w, "state change", flipped))
     return out
 
 
+#: What to look at next after a finding of a severity.
+NEXT = {
+    "critical": "what did the lines before it say, and which component wrote them?", "error": "is it the first of its kind, and what changed just before?",
+    "warning": "does it come again at even times?", "info": "is anything missing that should follow?",
+}
+
+
 def report(findings: DataFrame, most: int = 10) -> DataFrame:
-    """The first findings in order of line, with the range around each to look at."""
+    """The first findings in order of line, with the range around each to look at and a question to
+    go on with."""
     place = F.row_number().over(Window.partitionBy("file").orderBy("line_no", "title"))
+    ask = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in NEXT.items()])
     return findings.withColumn("place", place).where(F.col("place") <= most).select(
-        "*", (F.col("line_no") + 1).alias("viewer_line"), F.greatest(F.lit(0), F.col("line_no") - 20).alias("from_line"), (F.col("line_no") + 15).alias("to_line")
+        "*", (F.col("line_no") + 1).alias("viewer_line"), F.greatest(F.lit(0), F.col("line_no") - 20).alias("from_line"), (F.col("line_no") + 15).alias("to_line"), ask.alias("next_question")
     )
 
 
@@ -178,16 +197,35 @@ def replay(lines: DataFrame, steps: list[dict], overrides: dict[str, object] | N
     return out
 
 
-def check_requirements(lines: DataFrame, column_pattern: str, signature: str, name_glob: str, least: float = 0.6, head: int | None = None) -> DataFrame:
-    """Whether files fit an investigation: share of lines that a pattern reads, a signature in any
-    line, the file's name; of the first ``head`` lines if that is given."""
-    rows = lines.where(F.trim("text") != "")
-    if head is not None:
-        rows = rows.where(F.col("line_no") < head)
-    rate, seen = F.avg(F.col("text").rlike(column_pattern).cast("double")), F.bool_or(F.col("text").rlike(signature))
-    out = rows.groupBy("file").agg(F.round(rate, 6).alias("match_rate"), seen.alias("signature"))
-    named = F.element_at(F.split("file", "/"), -1).like(name_glob.replace("*", "%"))
-    return out.withColumn("named", named).withColumn("ok", (F.col("match_rate") >= least) & F.col("signature"))
+def check_requirements(lines: DataFrame, column_pattern: str | None = None, signature: str | None = None, name_glob: str | None = None, form: str | None = None, least: float = 0.6, head: int | None = None) -> DataFrame:
+    """Whether files fit an investigation, a row for each: the share of lines that a column pattern
+    reads, a signature in any line, the file's name, its format (of ``readers.detect_format``); of
+    the first ``head`` lines if that is given.
+
+    A check that is not asked for is null.  One that is not valid is null too and blocks nothing
+    (``unverified`` counts these); any other that fails blocks the file.
+    """
+    head_of = lines if head is None else lines.where(F.col("line_no") < head)
+    valid = {n: p is not None and search.pattern_error(p) is None for n, p in (("columns", column_pattern), ("signature", signature))}
+    none = F.lit(None).cast("boolean")
+    full = F.trim("text") != ""
+    rate = F.avg(F.when(full, F.col("text").rlike(column_pattern).cast("double"))) if valid["columns"] else F.lit(None).cast("double")
+    seen = F.bool_or(F.col("text").rlike(signature)) if valid["signature"] else none
+    out = head_of.groupBy("file").agg(F.round(rate, 6).alias("match_rate"), seen.alias("signature"))
+    glob = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in name_glob or "")
+    out = out.withColumn("named", F.element_at(F.split("file", "/"), -1).rlike(f"(?i)^{glob}$") if name_glob else none)
+    if form is not None:
+        formats = readers.detect_format(lines).select("file", (F.col("format") == form).alias("format"))
+        out = out.join(formats, "file", "left").withColumn("format", F.coalesce("format", F.lit(False)))
+    else:
+        out = out.withColumn("format", none)
+    columns = F.coalesce("match_rate", F.lit(0.0)) >= least if valid["columns"] else none
+    checks = [columns, F.col("signature"), F.col("named"), F.col("format")]
+    blocked = F.lit(False)
+    for c in checks:
+        blocked = blocked | ~F.coalesce(c, F.lit(True))
+    asked = [n for n, p in (("columns", column_pattern), ("signature", signature)) if p is not None and not valid[n]]
+    return out.select("file", "match_rate", columns.alias("columns"), "signature", "named", "format", F.lit(len(asked)).alias("unverified"), blocked.alias("blocked"))
 
 
 def usage_rollup(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
 from .ordered import CHUNK, Scan
 
 KEY = ["file", "line_no"]
@@ -35,14 +35,14 @@ def numbered(lines: DataFrame, rules: list[tuple[str, str]] = parse.REDACTIONS,
     """
     secrets = found_secrets(lines, rules)
     first = secrets.groupBy("prefix", "value").agg(F.min(F.struct("file", "line_no", "pos")).alias("at"))
-    first = first.select("prefix", "value", F.col("at.file").alias("file"), (F.col("at.line_no") * 100_000 + F.col("at.pos")).alias("line_no"))
+    first = first.select("prefix", "value", "at.file", "at.line_no", "at.pos")
     files = first.groupBy("prefix", "file").agg(F.count(F.lit(1)).alias("_k"))
     before = Window.partitionBy("prefix").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("_base", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
-    ranked = Scan(first, by=("prefix", "file"), chunk=chunk * 100_000).number("_n").join(files, ["prefix", "file"])
+    ranked = Scan(first, by=("prefix", "file"), chunk=chunk, tie=("pos", "value")).number("_n").join(files, ["prefix", "file"])
     names = ranked.select("prefix", "value", F.concat(F.lit("["), "prefix", F.lit("-"), (F.col("_base") + F.col("_n") + 1).cast("string"), F.lit("]")).alias("name"))
     used = secrets.join(names, ["prefix", "value"]).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "name"))).alias("_s"))
-    joined = lines.join(used, KEY, "left")
+    joined = facts.forget(lines).join(used, KEY, "left")
     text = F.aggregate("_s", F.col("text"), lambda acc, s: F.replace(acc, s["value"], s["name"]))
     return joined.withColumn("text", F.coalesce(text, F.col("text"))).drop("_s")
 
@@ -52,4 +52,4 @@ def custom(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     text = parse.redact_hashed("text")
     for pattern, by in rules:
         text = F.regexp_replace(text, pattern, by)
-    return lines.withColumn("text", text)
+    return facts.forget(lines).withColumn("text", text)

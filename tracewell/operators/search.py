@@ -3,29 +3,36 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
 from .ordered import Scan
 
 KEY = ["file", "line_no"]
 
 
+def pattern_error(pattern: str) -> str | None:
+    """What Java, which runs the patterns, finds wrong with one; None for a valid one."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException) as e:
+        return str(e).splitlines()[0]
+    return None
+
+
 def compile_pattern(pattern: str, regex: bool = False, wildcard: bool = False, case: bool = True, word: bool = False) -> str | None:
     """A Java pattern for a search; None if it is no valid one."""
     if wildcard and not regex:
         body = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
     else:
         body = pattern if regex else re.escape(pattern)
-    try:
-        re.compile(body)
-    except re.error:
-        return None
-    return ("" if case else "(?i)") + (rf"\b(?:{body})\b" if word else body)
+    out = ("" if case else "(?i)") + (rf"\b(?:{body})\b" if word else body)
+    return out if not regex or pattern_error(out) is None else None
 
 
 def search(lines: DataFrame, pattern: str, **how) -> DataFrame:
@@ -36,26 +43,36 @@ def search(lines: DataFrame, pattern: str, **how) -> DataFrame:
     return hits.select(*KEY, (F.regexp_instr("text", F.lit(p)) - 1).alias("column"), F.length(F.regexp_substr("text", F.lit(p))).alias("length"), "text")
 
 
+#: Marks around hits while their places are counted; of the private use area.
+BEGIN, END = "\uf8f0", "\uf8f1"
+
+
 def search_all(lines: DataFrame, pattern: str, **how) -> DataFrame:
-    """Every hit: offsets come from one Arrow function, as no built-in gives all of them."""
+    """Every hit that is not empty: 0-based column and length, in characters.
+
+    Hits are put between marks; the pieces of the marked text then give all places.
+    """
     p = compile_pattern(pattern, **how)
     if p is None:
         return lines.where(F.lit(False)).select(*KEY, F.lit(0).alias("column"), F.lit(0).alias("length"))
-    rule = re.compile(p)
+    text = F.translate("text", BEGIN + END, "  ")
+    pieces = F.split(F.regexp_replace(text, F.lit(p), F.lit(f"{BEGIN}$0{END}")), BEGIN)
+    start = F.struct(F.length(F.get("_p", F.lit(0))).alias("at"), F.array().cast("array<struct<column:int,length:int>>").alias("hits"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(k, m.start(), m.end() - m.start()) for k, t in enumerate(b.column(2).to_pylist()) for m in rule.finditer(t or "")]
-            row, column, length = zip(*found, strict=True) if found else ([], [], [])
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(column, pa.int32()), pa.array(length, pa.int32())], [*KEY, "column", "length"])
+    def step(acc: Column, piece: Column) -> Column:
+        hit = F.instr(piece, END) - 1
+        found = F.struct(acc["at"].alias("column"), hit.alias("length"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["hits"], F.array(found)).alias("hits"))
 
-    return lines.where(F.col("text").rlike(p)).select(*KEY, "text").mapInArrow(run, "file string, line_no long, column int, length int")
+    rows = lines.where(F.col("text").rlike(p)).select(*KEY, pieces.alias("_p"))
+    hits = F.aggregate(F.slice("_p", F.lit(2), F.size("_p")), start, step)["hits"]
+    out = rows.select(*KEY, F.explode(hits).alias("h")).select(*KEY, "h.column", "h.length")
+    return out.where("length > 0")
 
 
 def search_columns(lines: DataFrame, pattern: str, delimiter: str, visible: list[bool], **how) -> DataFrame:
     """Search only what visible columns show."""
-    return search(lines.withColumn("text", parse.project_columns("text", delimiter, visible)), pattern, **how)
+    return search(facts.forget(lines).withColumn("text", parse.project_columns("text", delimiter, visible)), pattern, **how)
 
 
 def hidden_column_matches(lines: DataFrame, pattern: str, delimiter: str, visible: list[bool], **how) -> DataFrame:
@@ -69,21 +86,33 @@ def search_in_filter(hits: DataFrame, shown: DataFrame, chunk: int = 100_000) ->
     return hits.join(ranks, KEY, "left").withColumn("visible", F.col("display_index").isNotNull())
 
 
-def search_batch(lines: DataFrame, patterns: dict[str, str], case: bool = True) -> DataFrame:
+def _hits(patterns: dict[str, str | dict], case: bool) -> dict[str, Column]:
+    """A predicate for each pattern: a regex, or a dict of ``pattern`` and options of
+    :func:`compile_pattern` (plain text unless ``regex`` is set) and ``invert``.  What is no
+    valid pattern matches nothing, inverted or not."""
+    out = {}
+    for name, given in patterns.items():
+        options = {"pattern": given, "regex": True} if isinstance(given, str) else dict(given)
+        invert = options.pop("invert", False)
+        p = compile_pattern(**{"case": case} | options) if options.get("pattern") else None
+        hit = F.col("text").rlike(p) if p is not None else F.lit(False)
+        out[name] = ~hit if invert and p is not None else hit
+    return out
+
+
+def search_batch(lines: DataFrame, patterns: dict[str, str | dict], case: bool = True) -> DataFrame:
     """A row for each line and pattern that matches it, from one scan with all patterns."""
-    flag = "" if case else "(?i)"
-    ids = F.array(*[F.when(F.col("text").rlike(flag + p), name) for name, p in patterns.items()])
+    ids = F.array(*[F.when(hit, name) for name, hit in _hits(patterns, case).items()])
     return lines.select(*KEY, "text", F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("pattern_id"))
 
 
-def batch_counts(lines: DataFrame, patterns: dict[str, str], case: bool = True) -> DataFrame:
+def batch_counts(lines: DataFrame, patterns: dict[str, str | dict], case: bool = True) -> DataFrame:
     return search_batch(lines, patterns, case).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("matches"), F.min("line_no").alias("first_line"))
 
 
-def grouped_batch(lines: DataFrame, patterns: dict[str, str], case: bool = True) -> DataFrame:
+def grouped_batch(lines: DataFrame, patterns: dict[str, str | dict], case: bool = True) -> DataFrame:
     """One row for each line with the sorted names of what matches it."""
-    flag = "" if case else "(?i)"
-    ids = F.filter(F.array(*[F.when(F.col("text").rlike(flag + p), name) for name, p in sorted(patterns.items())]), lambda x: x.isNotNull())
+    ids = F.filter(F.array(*[F.when(hit, name) for name, hit in sorted(_hits(patterns, case).items())]), lambda x: x.isNotNull())
     return lines.select(*KEY, ids.alias("ids")).where(F.size("ids") > 0).select(*KEY, F.array_join("ids", ",").alias("patterns"))
 
 
@@ -115,7 +144,7 @@ def filter_basic(lines: DataFrame, levels: list[str] | None = None, include: lis
     are dropped last, context or not.  Invalid patterns count as plain text."""
     keep = F.lit(True)
     if levels:
-        keep &= F.coalesce(parse.detect_level("text"), F.lit("other")).isin(levels)
+        keep &= F.coalesce(facts.level(lines), F.lit("other")).isin(levels)
     if include:
         keep &= F.array_contains(F.array(*[_rule(p, case) for p in include]), True)
     out = lines.where(keep)
@@ -133,7 +162,7 @@ def filter_advanced(lines: DataFrame, groups: list[dict]) -> DataFrame:
     def rule(kind: str, value: str, case: bool = False) -> Column:
         negated, base = kind.startswith("not_"), kind.removeprefix("not_")
         if base == "level":
-            hit = F.coalesce(parse.detect_level("text"), F.lit("other")) == value
+            hit = F.coalesce(facts.level(lines), F.lit("other")) == value
         elif base == "contains":
             hit = F.contains("text", F.lit(value)) if case else F.contains(F.lower("text"), F.lit(value.lower()))
         else:
@@ -172,18 +201,18 @@ def out_of_scope(lines: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def scope_component(lines: DataFrame, name: str) -> DataFrame:
-    return lines.where(parse.component("text") == name)
+    return lines.where(facts.component(lines) == name)
 
 
 def scope_time(lines: DataFrame, start: str, end: str) -> DataFrame:
     """Lines whose own time lies in the span."""
-    span = F.col("_ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    return lines.withColumn("_ts", parse.parse_ts("text")).where(span).drop("_ts")
+    span = F.col("_own").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    return lines.withColumn("_own", facts.ts(lines)).where(span).drop("_own")
 
 
 def time_window(lines: DataFrame, start: str, end: str) -> DataFrame:
     """All lines, timed or not, from the first at or after start to the last at or before end."""
-    ts = parse.parse_ts("text")
+    ts = facts.ts(lines)
     first = F.min(F.when(ts >= F.lit(start).cast("timestamp_ntz"), F.col("line_no")))
     last = F.max(F.when(ts <= F.lit(end).cast("timestamp_ntz"), F.col("line_no")))
     bounds = lines.groupBy("file").agg(first.alias("_a"), last.alias("_b"))
@@ -198,7 +227,7 @@ def compose_scopes(lines: DataFrame, scopes: list[DataFrame]) -> DataFrame:
 
 def next_problem(lines: DataFrame, marks: DataFrame, forward: bool = True, least_rank: int = 1, chunk: int = 100_000) -> DataFrame:
     """For each mark the nearest line, strictly behind (or before) it, of at least a severity."""
-    problems = lines.where(parse.severity_rank("text") >= least_rank).select(*KEY, F.lit(0).alias("_kind"))
+    problems = lines.where(facts.severity(lines) >= least_rank).select(*KEY, F.lit(0).alias("_kind"))
     both = problems.unionByName(marks.select(*KEY, F.lit(1).alias("_kind")).distinct())
     # Marks sort so that a problem on the mark's own line lies on the far side.
     both = both.withColumn("_order", F.col("line_no") * 2 + (F.col("_kind") if forward else 1 - F.col("_kind")))
@@ -221,15 +250,28 @@ def pattern_match_rate(lines: DataFrame, pattern: str, head: int | None = None)
     return some.groupBy("file").agg(F.sum(hit).alias("matched"), F.count(F.lit(1)).alias("scanned"), F.round(F.avg(hit), 6).alias("rate"))
 
 
-def pattern_audit(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """For each saved pattern: matched lines, share, first and last line, lines that match more
-    than once; and what is doubtful about the pattern itself."""
-    hits = search_batch(lines, patterns)
-    twice = F.coalesce(*[F.when(F.col("pattern_id") == n, F.regexp_count("text", F.lit(p))) for n, p in patterns.items()])
+def pattern_audit(lines: DataFrame, patterns: dict[str, str | dict], case: bool = True) -> DataFrame:
+    """For each saved pattern (see :func:`search_batch`): whether it is valid, matched lines, share,
+    first and last line, lines that match more than once; and what is doubtful about it."""
+    known = []
+    for name, given in patterns.items():
+        options = {"pattern": given, "regex": True} if isinstance(given, str) else dict(given)
+        options.pop("invert", None)
+        source = options.get("pattern") or ""
+        p = compile_pattern(**{"case": case} | options) if source else None
+        doubt = [
+            *(["empty"] if not source else ["invalid"] if p is None else []), *(["long"] if len(p or source) > 1000 else []),
+            *(["nested quantifier"] if re.search(r"\([^)]*[+*][^)]*\)[+*]", p or source) else []), *(["leading .*"] if re.match(r"(\(\?i\))?\^?\.[*+]", p or source) else []),
+        ]
+        known.append((name, p is not None, ", ".join(doubt), p or "(?!)", bool(given.get("invert")) if isinstance(given, dict) else False))
+    table = lines.sparkSession.createDataFrame(known, "pattern_id string, valid boolean, warning string, _p string, _inv boolean")
+    hits = search_batch(lines, patterns, case)
+    twice = F.coalesce(*[F.when(F.col("pattern_id") == k[0], F.lit(0) if k[4] else F.regexp_count("text", F.lit(k[3]))) for k in known])
     total = lines.agg(F.count(F.lit(1)).alias("scanned"))
     seen = hits.groupBy("pattern_id").agg(
         F.count(F.lit(1)).alias("matched"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum((twice > 1).cast("long")).alias("multi")
     )
-    doubt = {n: "long" if len(p) > 1000 else "nested quantifier" if re.search(r"[+*]\)[+*]", p) else "leading .*" if p.startswith(".*") else "" for n, p in patterns.items()}
-    warning = F.coalesce(*[F.when(F.col("pattern_id") == n, w) for n, w in doubt.items()])
-    return seen.join(F.broadcast(total)).select("pattern_id", "matched", "scanned", F.round(F.col("matched") / F.col("scanned"), 6).alias("share"), "first_line", "last_line", "multi", warning.alias("warning"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return F.broadcast(table).join(seen, "pattern_id", "left").join(F.broadcast(total)).select(
+        "pattern_id", "valid", zero("matched"), "scanned", F.round(F.coalesce("matched", F.lit(0)) / F.col("scanned"), 6).alias("share"), "first_line", "last_line", zero("multi"), "warning"
+    )

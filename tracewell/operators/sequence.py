@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
 from .ordered import CHUNK, Scan
 
 KEY = ["file", "line_no"]
@@ -13,16 +13,16 @@ KEY = ["file", "line_no"]
 
 def timed(lines: DataFrame) -> DataFrame:
     """Lines that carry a time, with ``ts`` and ``ms``."""
-    return lines.withColumn("ts", parse.parse_ts("text")).where(F.col("ts").isNotNull()).withColumn("ms", parse.epoch_ms("ts"))
+    return lines.withColumn("ts", facts.ts(lines)).where(F.col("ts").isNotNull()).withColumn("ms", parse.epoch_ms("ts"))
 
 
 def time_gaps(lines: DataFrame, threshold: float = 30, chunk: int = CHUNK) -> DataFrame:
     """Silences: consecutive timed lines at least ``threshold`` seconds apart, either way."""
-    rows = timed(lines).withColumn("_here", F.struct("line_no", "ms"))
+    preview = F.when(F.length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("..."))).otherwise(F.col("text"))
+    rows = timed(lines).select(*KEY, "ts", "ms", preview.alias("preview"), F.struct("line_no", "ms").alias("_here"))
     before = Scan(rows, chunk=chunk).lag("_here", "_prev")
     gap = F.abs(F.col("ms") - F.col("_prev.ms")) / 1000
-    preview = F.when(F.length("text") > 80, F.concat(F.substring("text", 1, 80), F.lit("..."))).otherwise(F.col("text"))
-    return before.where(gap >= threshold).select(*KEY, F.col("_prev.line_no").alias("prev_line"), gap.alias("gap_seconds"), "ts", preview.alias("preview"))
+    return before.where(gap >= threshold).select(*KEY, F.col("_prev.line_no").alias("prev_line"), gap.alias("gap_seconds"), "ts", "preview")
 
 
 def bounded_gaps(lines: DataFrame, threshold: float, start_pattern: str, end_pattern: str, chunk: int = CHUNK) -> DataFrame:
@@ -79,12 +79,13 @@ def carry_forward(rows: DataFrame, column: str, out: str, chunk: int = CHUNK) ->
     return filled.join(first, "file").withColumn(out, F.coalesce("_before", "_first")).drop("_before", "_first")
 
 
-def even_sample(rows: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
-    """k rows spread evenly: those numbered floor(i * n / k)."""
-    ranked = Scan(rows, chunk=chunk).number("_r")
-    n = rows.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+def even_sample(rows: DataFrame, k: int, chunk: int = CHUNK, by: tuple[str, ...] = ("file",)) -> DataFrame:
+    """k rows of each group spread evenly: those numbered floor(i * n / k); all if there are fewer."""
+    ranked = Scan(rows, by=by, chunk=chunk).number("_r")
+    n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     up = F.expr(f"(_r * {k} + _n - 1) div _n")
-    return ranked.join(n, "file").where(up * F.col("_n") < (F.col("_r") + 1) * k).where(up < k).drop("_r", "_n")
+    spread = (up * F.col("_n") < (F.col("_r") + 1) * k) & (up < k)
+    return ranked.join(n, list(by)).where((F.col("_n") <= k) | spread).drop("_r", "_n")
 
 
 def transitions(rows: DataFrame, value: Column, chunk: int = CHUNK) -> DataFrame:
@@ -96,7 +97,7 @@ def transitions(rows: DataFrame, value: Column, chunk: int = CHUNK) -> DataFrame
 
 def escalations(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Lines whose level rises against the component's levelled line before."""
-    rows = lines.select(*KEY, parse.component("text").alias("component"), parse.detect_level("text").alias("level")).where("component is not null and level is not null")
+    rows = lines.select(*KEY, facts.component(lines).alias("component"), facts.level(lines).alias("level")).where("component is not null and level is not null")
     before = Scan(rows, by=("file", "component"), chunk=chunk).lag("level", "from_level")
     rises = ((F.col("from_level") == "info") & F.col("level").isin("warning", "error")) | ((F.col("from_level") == "warning") & (F.col("level") == "error"))
     return before.where(rises).select(*KEY, "component", "from_level", F.col("level").alias("to_level"))

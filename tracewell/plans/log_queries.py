@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import search
+from ..operators import columns, recipes, redact, search
 from ..sources import readers, sinks
 from ..sources.views import D, L, document_lines, event_log, table
 from .base import query
@@ -74,7 +74,29 @@ def lines_by_numbers(spark, sf):
 
 @query("s9_column_table", L + "SELECT file, line_no, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S.%g') AS clock, split_part(text, ' ', 3) AS level, split_part(text, ' ', 4) AS tag FROM L")
 def column_table(spark, sf):
-    return readers.column_table(event_log(spark, sf), " ", ["day", "clock", "level", "tag"])
+    return columns.column_table(event_log(spark, sf), " ", ["day", "clock", "level", "tag"])
+
+
+def customer_csv(spark, sf):
+    """Customers as a delimited log with a header: names in quotes, numbers, flags, empty cells."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    text = F.concat_ws(",", (k * 2).cast("string"), F.concat(F.lit('"'), F.col("c_name"), F.lit(', x"')), F.when(k % 3 == 0, "true").otherwise("false"), F.when(k % 2 == 0, F.col("c_mktsegment")).otherwise(""))
+    rows = c.select(F.lit("customers.csv").alias("file"), (k + 1).cast("long").alias("line_no"), text.alias("text"))
+    return rows.unionByName(c.limit(1).select(F.lit("customers.csv").alias("file"), F.lit(0).cast("long").alias("line_no"), F.lit("time,message,flag,level").alias("text")))
+
+
+@query("s9_inferred_table", "SELECT 'customers.csv' AS file, c_custkey + 1 AS line_no, CAST(c_custkey * 2 AS DOUBLE) AS time, c_name || ', x' AS message, c_custkey % 3 = 0 AS flag, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS level FROM customer")
+def inferred_table(spark, sf):
+    return columns.column_table(customer_csv(spark, sf), ",")
+
+
+@query("p8_analyze_columns", """WITH C AS (SELECT unnest([{'p': 0, 'name': 'time', 'role': 'timestamp', 'type': 'numeric', 'v': CAST(c_custkey * 2 AS VARCHAR)}, {'p': 1, 'name': 'message', 'role': 'message', 'type': 'string', 'v': c_name || ', x'},
+  {'p': 2, 'name': 'flag', 'role': 'other', 'type': 'boolean', 'v': CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END}, {'p': 3, 'name': 'level', 'role': 'level', 'type': 'string', 'v': CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END}]) AS c, c_custkey FROM customer),
+V AS (SELECT c.p AS place, c.name AS name, c.role AS role, c.type AS type, c.v AS v, count(*) AS n, min(c_custkey) AS f FROM C WHERE c.v <> '' GROUP BY ALL), R AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY f, v) AS r FROM V)
+SELECT 'customers.csv' AS file, place, name, role, type, CAST(sum(n) AS BIGINT) AS "values", string_agg(v, '|' ORDER BY r) FILTER (r <= 5) AS samples FROM R GROUP BY place, name, role, type""")
+def analyze_columns(spark, sf):
+    return columns.analyze_columns(customer_csv(spark, sf))
 
 
 # --- sinks --------------------------------------------------------------------------------------
@@ -178,12 +200,12 @@ def project_columns(spark, sf):
 
 
 @query("p8_delimiter_scores", L + """, C AS (SELECT line_no, regexp_matches(text, '\\d{2}:\\d{2}') AS timed, d.delimiter, length(text) - length(replace(text, d.c, '')) AS n
-  FROM L, (VALUES ('tab', chr(9)), ('comma', ','), ('pipe', '|'), ('semicolon', ';'), ('space', ' '), ('colon', ':')) AS d(delimiter, c) WHERE line_no BETWEEN 1 AND 100),
+  FROM L, (VALUES ('tab', chr(9)), ('comma', ','), ('pipe', '|'), ('semicolon', ';'), ('space', ' '), ('colon', ':')) AS d(delimiter, c) WHERE line_no >= 1),
 M AS (SELECT delimiter, n, row_number() OVER (PARTITION BY delimiter ORDER BY count(*) DESC, n) AS r FROM C GROUP BY delimiter, n), U AS (SELECT delimiter, n AS usual FROM M WHERE r = 1)
 SELECT C.delimiter, round(avg(n) * avg(CASE WHEN n = usual THEN 1.0 ELSE 0 END) * avg(CASE WHEN n > 0 THEN 1.0 ELSE 0 END) * CASE WHEN C.delimiter = 'colon' AND avg(CASE WHEN timed THEN 1.0 ELSE 0 END) > 0.8 THEN 0.3 ELSE 1.0 END, 6) AS score, usual
 FROM C JOIN U USING (delimiter) GROUP BY C.delimiter, usual""".replace("\\\\", "\\"))
 def delimiter_scores(spark, sf):
-    return readers.delimiter_scores(event_log(spark, sf), head=100)  # its SQL twin's first lines
+    return readers.delimiter_scores(event_log(spark, sf))
 
 
 @query("p9_header_roles", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'timestamp' WHEN 1 THEN 'level' WHEN 2 THEN 'message' WHEN 3 THEN 'source' WHEN 4 THEN 'channel' ELSE 'other' END AS role FROM orders""")
@@ -207,16 +229,16 @@ def field(spark, sf):
 VALUES = ["2.1", "-5", "TRUE", "[a,b]", "idle", "1e5", "1e999", "false"]
 
 
-@query("p12_classify_value", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'numeric' WHEN 1 THEN 'numeric' WHEN 2 THEN 'boolean' WHEN 3 THEN 'array' WHEN 4 THEN 'string' WHEN 5 THEN 'numeric' WHEN 6 THEN 'numeric' ELSE 'boolean' END AS kind, CASE o_orderkey % 8 WHEN 0 THEN 2.1 WHEN 1 THEN -5.0 WHEN 5 THEN 100000.0 END AS num FROM orders WHERE o_orderkey % 8 <> 6")
+@query("p12_classify_value", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'numeric' WHEN 1 THEN 'numeric' WHEN 2 THEN 'boolean' WHEN 3 THEN 'array' WHEN 4 THEN 'string' WHEN 5 THEN 'numeric' WHEN 6 THEN 'numeric' ELSE 'boolean' END AS kind, CASE o_orderkey % 8 WHEN 0 THEN 2.1 WHEN 1 THEN -5.0 WHEN 5 THEN 100000.0 END AS num FROM orders")
 def classify_value(spark, sf):
     raw = F.coalesce(*[F.when(F.col("o_orderkey") % 8 == k, v) for k, v in enumerate(VALUES)])
-    return table(spark, sf, "orders").where("o_orderkey % 8 != 6").select("o_orderkey", parse.classify_value(raw).alias("kind"), parse.to_num(raw).alias("num"))
+    return table(spark, sf, "orders").select("o_orderkey", parse.classify_value(raw).alias("kind"), parse.to_num(raw).alias("num"))
 
 
-@query("p13_series_num", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 2.1 WHEN 1 THEN -5.0 WHEN 2 THEN 1.0 WHEN 5 THEN 100000.0 WHEN 7 THEN 0.0 END AS num FROM orders WHERE o_orderkey % 8 <> 6")
+@query("p13_series_num", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 2.1 WHEN 1 THEN -5.0 WHEN 2 THEN 1.0 WHEN 5 THEN 100000.0 WHEN 7 THEN 0.0 END AS num FROM orders")
 def series_num(spark, sf):
     raw = F.coalesce(*[F.when(F.col("o_orderkey") % 8 == k, v) for k, v in enumerate(VALUES)])
-    return table(spark, sf, "orders").where("o_orderkey % 8 != 6").select("o_orderkey", parse.series_num(raw).alias("num"))
+    return table(spark, sf, "orders").select("o_orderkey", parse.series_num(raw).alias("num"))
 
 
 @query("p14_relative_seconds", "SELECT event_id, CAST(printf('%.2f', value) AS DOUBLE) AS seconds FROM events")
@@ -249,9 +271,9 @@ def common_prefix(spark, sf):
     return rows.distinct().join(F.broadcast(shared)).select("prefix", "component")
 
 
-@query("p20_match_rate", L + "SELECT file, CAST(sum(CASE WHEN event = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS matched, count(*) AS scanned, round(avg(CASE WHEN event = 'click' THEN 1.0 ELSE 0 END), 6) AS rate FROM L WHERE line_no < 400 GROUP BY file")
+@query("p20_match_rate", L + "SELECT file, CAST(sum(CASE WHEN event = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS matched, count(*) AS scanned, round(avg(CASE WHEN event = 'click' THEN 1.0 ELSE 0 END), 6) AS rate FROM L GROUP BY file")
 def match_rate(spark, sf):
-    return search.pattern_match_rate(event_log(spark, sf), "event=click", head=400)  # its SQL twin's first lines
+    return search.pattern_match_rate(event_log(spark, sf), "event=click")
 
 
 PATTERNS = {"clicks": "event=click", "errors": r"(?i)\berror\b", "nested": r"(panic)+", "odd": ".*exception", "sevens": "7"}
@@ -260,11 +282,19 @@ BATCH = L + """, B AS (SELECT line_no, text, p.id FROM L, (VALUES ('clicks'), ('
 """
 
 
-@query("p21_pattern_audit", BATCH + """SELECT id AS pattern_id, count(*) AS matched, (SELECT count(*) FROM L) AS scanned, round(count(*) / (SELECT count(*) FROM L), 6) AS share, min(line_no) AS first_line, max(line_no) AS last_line,
-  CAST(sum(CASE id WHEN 'errors' THEN 1 WHEN 'sevens' THEN CASE WHEN length(text) - length(replace(text, '7', '')) > 1 THEN 1 ELSE 0 END ELSE 0 END) AS BIGINT) AS multi,
-  CASE id WHEN 'odd' THEN 'leading .*' ELSE '' END AS warning FROM B GROUP BY id""")
+AUDITED = {
+    **PATTERNS, "bad": "(open", "quiet": "no such text", "not view": {"pattern": "EVENT=view", "case": False, "invert": True},
+    "any tag": {"pattern": "[svc-?]", "wildcard": True}, "word": {"pattern": "event", "word": True},
+}
+
+
+@query("p21_pattern_audit", L + """, P AS (SELECT * FROM (VALUES ('clicks', true, ''), ('errors', true, ''), ('nested', true, ''), ('odd', true, 'leading .*'), ('sevens', true, ''), ('bad', false, 'invalid'), ('quiet', true, ''), ('not view', true, ''), ('any tag', true, ''), ('word', true, '')) AS p(id, valid, warning)),
+B AS (SELECT line_no, id, CASE id WHEN 'sevens' THEN length(text) - length(replace(text, '7', '')) > 1 ELSE false END AS twice FROM L, P WHERE CASE id WHEN 'clicks' THEN event = 'click' WHEN 'errors' THEN event = 'error' WHEN 'nested' THEN contains(text, 'panic')
+  WHEN 'odd' THEN contains(text, 'exception') WHEN 'sevens' THEN contains(text, '7') WHEN 'not view' THEN event <> 'view' WHEN 'any tag' THEN true WHEN 'word' THEN true ELSE false END)
+SELECT id AS pattern_id, valid, count(line_no) AS matched, (SELECT count(*) FROM L) AS scanned, round(count(line_no) / (SELECT count(*) FROM L), 6) AS share, min(line_no) AS first_line, max(line_no) AS last_line,
+  CAST(sum(CASE WHEN id = 'errors' AND line_no IS NOT NULL OR twice THEN 1 ELSE 0 END) AS BIGINT) AS multi, warning FROM P LEFT JOIN B USING (id) GROUP BY id, valid, warning""")
 def pattern_audit(spark, sf):
-    return search.pattern_audit(event_log(spark, sf), PATTERNS)
+    return search.pattern_audit(event_log(spark, sf), AUDITED)
 
 
 @query("p23_line_template", L + r"SELECT line_no, substr(trim(regexp_replace(regexp_replace(regexp_replace(substr(text, 24), '\d+', '#', 'g'), '#[#\s.:,_\-/]*#', '#', 'g'), '\s+', ' ', 'g')), 1, 120) AS template FROM L")
@@ -273,9 +303,9 @@ def line_template(spark, sf):
 
 
 @query("p24_template_literal", L + r"""SELECT line_no, CASE event WHEN 'view' THEN '] event=view user_id=' WHEN 'click' THEN '] event=click user_id=' WHEN 'purchase' THEN '] event=purchase user_id=' WHEN 'signup' THEN '] event=signup user_id='
-  ELSE CASE crash WHEN 'unhandled' THEN '] event=error user_id=' ELSE '] event=error user_id=' END END AS literal FROM L WHERE crash IS NULL""")
+  ELSE CASE crash WHEN 'unhandled' THEN 'unhandled exception' ELSE '] event=error user_id=' END END AS literal FROM L""")
 def template_literal(spark, sf):
-    rows = event_log(spark, sf).where(~F.col("text").rlike("panic|unhandled"))
+    rows = event_log(spark, sf)
     return rows.select("line_no", parse.template_literal(F.regexp_replace("text", r"\d+", "#")).alias("literal"))
 
 
@@ -292,6 +322,16 @@ def redact_counts(spark, sf):
     return document_lines(spark, sf).withColumn("t", t).groupBy("file").agg(F.count(F.lit(1)).alias("lines"), n("IP").alias("ips"), n("EMAIL").alias("emails")).where("ips + emails > 0")
 
 
+@query("p26_redact_numbered", """WITH T AS (SELECT o_orderkey AS line_no, '10.0.' || (o_custkey % 200) || '.7' AS a, '10.1.' || (o_orderkey % 50) || '.9' AS b, 'u' || (o_custkey % 30) || '@x.org' AS m FROM orders),
+V AS (SELECT line_no, 1 AS pos, 'IP' AS prefix, a AS v FROM T UNION ALL SELECT line_no, 2, 'IP', b FROM T UNION ALL SELECT line_no, 3, 'EMAIL', m FROM T),
+S AS (SELECT prefix, v, min(line_no * 4 + pos) AS f FROM V GROUP BY ALL), N AS (SELECT v, '[' || prefix || '-' || row_number() OVER (PARTITION BY prefix ORDER BY f) || ']' AS name FROM S)
+SELECT 'orders' AS file, line_no, 'src=' || x.name || ' dst=' || y.name || ' by ' || z.name || ' ok' AS text FROM T JOIN N x ON x.v = a JOIN N y ON y.v = b JOIN N z ON z.v = m""")
+def redact_numbered(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.concat(F.lit("src=10.0."), c % 200, F.lit(".7 dst=10.1."), k % 50, F.lit(".9 by u"), c % 30, F.lit("@x.org ok"))
+    return redact.numbered(table(spark, sf, "orders").select(F.lit("orders").alias("file"), k.alias("line_no"), text.alias("text")))
+
+
 @query("p27_mute", L + "SELECT file, line_no, text FROM L WHERE event NOT IN ('view', 'click')")
 def mute(spark, sf):
     return search.mute(event_log(spark, sf), ["EVENT=view", "event=CLICK ", "  "])
@@ -300,7 +340,7 @@ def mute(spark, sf):
 @query("p28_formats", L + """, S AS (SELECT line_no, ts, CAST(round(value) AS BIGINT) AS s FROM L) SELECT line_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') AS clock,
   CASE WHEN s * 31 < 60 THEN (s * 31) || 's' WHEN s * 31 < 3600 THEN (s * 31 // 60) || 'm ' || (s * 31 % 60) || 's' ELSE (s * 31 // 3600) || 'h ' || (s * 31 % 3600 // 60) || 'm' END AS duration FROM S""")
 def formats(spark, sf):
-    rows = event_log(spark, sf).withColumn("s", F.round(parse.to_num(parse.keyed("text", "value"))) * 31)
+    rows = event_log(spark, sf).withColumn("s", F.round(parse.to_num(parse.field("text", "value"))) * 31)
     return rows.select("line_no", parse.wall_clock(parse.parse_ts("text")).alias("clock"), parse.duration_text("s").alias("duration"))
 
 
@@ -318,10 +358,10 @@ def components(spark, sf):
     return event_log(spark, sf).select("line_no", c.alias("component"), parse.bracket_component("text").alias("bracket"), parse.simplify_source(F.concat(c, F.lit(".inner.x"))).alias("simple"))
 
 
-@query("p31_keywords", "SELECT o_orderkey, 'status,' || lower(replace(o_orderpriority, ' ', '')) || ',login' AS words FROM orders WHERE regexp_matches(o_orderpriority, '^[A-Z]{3}')")
+@query("p31_keywords", "SELECT o_orderkey, 'status,' || lower(substr(replace(o_orderpriority, ' ', ''), 3)) || ',login' AS words FROM orders")
 def keywords(spark, sf):
     text = F.concat(F.lit("The STATUS should be "), F.replace("o_orderpriority", F.lit(" "), F.lit("")), F.lit(" when login, status shown"))
-    return table(spark, sf, "orders").where(F.col("o_orderpriority").rlike("^[A-Z]{3}")).select("o_orderkey", F.array_join(parse.keywords(text), ",").alias("words"))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(parse.keywords(text), ",").alias("words"))
 
 
 # --- search and filters -------------------------------------------------------------------------
@@ -364,9 +404,9 @@ def f6(spark, sf):
     return search.grouped_batch(event_log(spark, sf), PATTERNS)
 
 
-@query("f7_search_folder", D + ", H AS (SELECT file, line_no, CAST(strpos(text, 'the') - 1 AS INTEGER) AS \"column\", substr(text, 1, 500) AS text, row_number() OVER (PARTITION BY file ORDER BY line_no) AS r FROM D WHERE contains(text, 'the')) SELECT file, line_no, \"column\", text FROM H WHERE r <= 3 ORDER BY file, line_no LIMIT 1000")
+@query("f7_search_folder", D + ", H AS (SELECT file, line_no, CAST(strpos(text, 'the') - 1 AS INTEGER) AS \"column\", text FROM D WHERE contains(text, 'the')) SELECT file, line_no, \"column\", text FROM H")
 def f7(spark, sf):
-    return search.search_folder(document_lines(spark, sf), "the", per_file=3, total=1000, cut=500)  # its SQL twin's limits
+    return search.search_folder(document_lines(spark, sf), "the")
 
 
 CONTEXT = L + ", H AS (SELECT line_no FROM L WHERE level IN ('error', 'fatal') AND contains(text, 'k=9')), X AS (SELECT DISTINCT line_no + d AS line_no FROM H, (SELECT unnest(range(-2, 3)) AS d)) "

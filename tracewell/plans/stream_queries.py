@@ -45,22 +45,58 @@ def t3(spark, sf):
     return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "source", "lines")
 
 
-@query("t4_live_gaps", L + ", G AS (SELECT 'events' AS source, ts, abs(ms - lag(ms) OVER (ORDER BY ms, text)) / 1000.0 AS gap_seconds FROM L) SELECT source, ts AS to_ts, gap_seconds FROM G WHERE gap_seconds >= 600")
+def arrivals(spark, sf, times: int = 5):
+    """The event log of four hosts as a stream: its lines arrive in order of time, in several
+    micro-batches, and each batch holds lines of all hosts."""
+    lines = event_log(spark, sf)
+    host = F.concat(F.lit("host"), F.regexp_extract("text", r"user_id=(\d+)", 1).cast("long") % 4)
+    rows = lines.select(host.alias("source"), "text", F.unix_millis(parse.parse_ts("text").cast("timestamp")).cast("double").alias("at"))
+    return live.with_event_time(run.arrive(rows, "at", times, "arrivals").drop("at"))
+
+
+HOSTS = L + ", S AS (SELECT 'host' || (user_id % 4) AS source, * FROM L) "
+
+
+@query("t1_stream_lines", L + "SELECT count(*) AS lines, count(DISTINCT line_no // 700) AS sources, min(text) AS least, max(text) AS greatest FROM L")
+def t1(spark, sf):
+    path = run.scratch(spark, "appended")
+    parts = sinks.split_output(event_log(spark, sf), "lines", 700)
+    parts.repartition("part").select("part", "text").write.partitionBy("part").text(path)
+    seen = run.finish(live.read_stream_lines(spark, path + "/*", 100).select("source", "text", "arrived_at"), "seen")
+    return seen.where("arrived_at is not null").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("source").alias("sources"), F.min("text").alias("least"), F.max("text").alias("greatest"))
+
+
+@query("t4_live_gaps", HOSTS + ", G AS (SELECT source, lag(ts) OVER w AS from_ts, ts AS to_ts, abs(ms - lag(ms) OVER w) / 1000.0 AS gap_seconds FROM S WINDOW w AS (PARTITION BY source ORDER BY ms, text)) SELECT * FROM G WHERE gap_seconds >= 600")
 def t4(spark, sf):
-    rows = run.finish(live.live_gaps(stream(spark, sf), 600), "gaps")
-    return rows.select("source", F.col("to_ts").cast("timestamp_ntz").alias("to_ts"), "gap_seconds")
+    rows = run.detect(arrivals(spark, sf), live.gap_detector(600), "gaps")
+    return rows.select("source", F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), F.col("to_ts").cast("timestamp_ntz").alias("to_ts"), "gap_seconds")
 
 
-@query("t5_live_transitions", L + ", R AS (SELECT 'events' AS source, ts, lag(event) OVER (ORDER BY ms, text) AS from_value, event AS to_value FROM L) SELECT * FROM R WHERE from_value <> to_value")
+@query("t5_live_transitions", HOSTS + ", R AS (SELECT source, ts, lag(event) OVER w AS from_value, event AS to_value FROM S WINDOW w AS (PARTITION BY source ORDER BY ms, text)) SELECT * FROM R WHERE from_value <> to_value")
 def t5(spark, sf):
-    rows = run.finish(live.live_transitions(stream(spark, sf), "event"), "flips")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = run.detect(arrivals(spark, sf), live.transition_detector("event"), "flips")
+    return rows.select("source", F.col("ts").cast("timestamp_ntz").alias("ts"), "from_value", "to_value")
 
 
-@query("t6_live_heartbeat", L + ", R AS (SELECT ts, (ms - lag(ms) OVER (ORDER BY ms, text)) / 1000.0 AS d FROM L WHERE event = 'purchase') SELECT 'events' AS source, ts, d AS interval, greatest(1, CAST(floor(d / 1200 + 0.5) AS BIGINT) - 1) AS missing FROM R WHERE d >= 1800")
+@query("t6_live_heartbeat", HOSTS + ", R AS (SELECT source, ts, (ms - lag(ms) OVER w) / 1000.0 AS d FROM S WHERE event = 'purchase' WINDOW w AS (PARTITION BY source ORDER BY ms, text)) SELECT source, ts, d AS interval, greatest(1, CAST(floor(d / 1200 + 0.5) AS BIGINT) - 1) AS missing FROM R WHERE d >= 1800")
 def t6(spark, sf):
-    rows = run.finish(live.live_heartbeat(stream(spark, sf), "event=purchase", 1200), "beats")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    rows = run.detect(arrivals(spark, sf), live.heartbeat_detector("event=purchase", 1200), "beats")
+    return rows.select("source", F.col("ts").cast("timestamp_ntz").alias("ts"), "interval", "missing")
+
+
+@query("t2_live_crashes", HOSTS + "SELECT source, ts, text, crash AS keyword FROM S WHERE crash IS NOT NULL")
+def t2_crashes(spark, sf):
+    rows = run.finish(live.live_crashes(arrivals(spark, sf)), "crashes")
+    return rows.select("source", F.col("ts").cast("timestamp_ntz").alias("ts"), "text", "keyword")
+
+
+@query("t8_capture", HOSTS + "SELECT source, level, count(*) AS lines FROM S GROUP BY ALL")
+def t8(spark, sf):
+    """A stream saved as it comes; then a batch verb over what was saved."""
+    path = run.scratch(spark, "captured")
+    live.capture(arrivals(spark, sf), path, run.scratch(spark, "captured-state")).trigger(availableNow=True).start().awaitTermination()
+    saved = spark.read.parquet(path)
+    return saved.groupBy("source", parse.detect_level("text").alias("level")).agg(F.count(F.lit(1)).alias("lines"))
 
 
 @query("t7_live_search", L + "SELECT line_no, CAST(strpos(text, 'panic') - 1 AS INTEGER) AS \"column\" FROM L WHERE crash = 'panic'")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import facts, parse
+from .store import store
 
 TIME_KEYS = ["timestamp", "@timestamp", "time", "ts", "date"]
 LEVEL_KEYS = ["level", "severity", "lvl", "loglevel"]
@@ -38,6 +39,12 @@ def read_lines(spark: SparkSession, path: str | list[str], max_len: int | None =
     return lines
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """Lines with what verbs read from their text, written once in the shared folder: several
+    verbs over the same lines then read it instead of parsing again."""
+    return store(facts.with_facts(lines), "parsed")
+
+
 def without_split_headers(lines: DataFrame) -> DataFrame:
     """Lines without a first line that only tells which part of a split log the file is."""
     heads = lines.where((F.col("line_no") == 0) & F.col("text").startswith("#SPLIT:")).select("file", F.lit(1).alias("_head"))
@@ -133,24 +140,24 @@ def get_lines_by_numbers(lines: DataFrame, numbers: DataFrame) -> DataFrame:
     return lines.join(numbers.distinct(), [c for c in ("file", "line_no") if c in numbers.columns], "left_semi")
 
 
-def column_table(lines: DataFrame, delimiter: str, names: list[str]) -> DataFrame:
-    """A delimited log with its cells as named columns; missing cells are null."""
-    cells = parse.split_columns("text", delimiter)
-    return lines.select("file", "line_no", *[F.get(cells, F.lit(k)).alias(n) for k, n in enumerate(names)])
-
-
 DELIMITERS = {"\t": "tab", ",": "comma", "|": "pipe", ";": "semicolon", " ": "space", ":": "colon"}
 
 
-def delimiter_scores(lines: DataFrame, head: int | None = None) -> DataFrame:
-    """Score of each delimiter over all lines but the first, to line ``head`` if that is given: average count x share of lines with the
-    usual count x share of lines with any; a colon in times counts three tenths."""
+def delimiter_scores(lines: DataFrame, head: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Score of each delimiter over all lines but the first (for each of the columns ``by``), to
+    line ``head`` if that is given: average count x share of lines with the usual count x share of
+    lines with any; a colon in times counts three tenths."""
     some = lines.where((F.col("line_no") >= 1) & (F.trim("text") != ""))
     if head is not None:
         some = some.where(F.col("line_no") <= head)
     rows = F.array(*[F.struct(F.lit(n).alias("delimiter"), F.regexp_count("text", F.lit("[" + ("\\|" if d == "|" else "\\t" if d == "\t" else d) + "]")).alias("n")) for d, n in DELIMITERS.items()])
-    long = some.select(F.explode(rows).alias("d"), F.col("text").rlike(r"\d{2}:\d{2}").alias("timed")).select("d.delimiter", "d.n", "timed")
-    counts = long.groupBy("delimiter").agg(F.avg("n").alias("avg"), F.avg((F.col("n") > 0).cast("double")).alias("presence"), F.avg(F.col("timed").cast("double")).alias("timed"), F.mode("n", True).alias("usual"), F.count(F.lit(1)).alias("lines"))
-    same = long.join(counts.select("delimiter", "usual"), "delimiter").groupBy("delimiter").agg(F.avg((F.col("n") == F.col("usual")).cast("double")).alias("consistency"))
+    long = some.select(*by, F.explode(rows).alias("d"), F.col("text").rlike(r"\d{2}:\d{2}").alias("timed")).select(*by, "d.delimiter", "d.n", "timed")
+    # few different counts: all sums follow from how often each occurs
+    tally = long.groupBy(*by, "delimiter", "n").agg(F.count(F.lit(1)).alias("lines"), F.count_if("timed").alias("timed"))
+    lines_, n = F.col("lines"), F.col("n")
+    sums = tally.groupBy(*by, "delimiter").agg(
+        (F.sum(n * lines_) / F.sum(lines_)).alias("avg"), (F.sum(F.when(n > 0, lines_).otherwise(0)) / F.sum(lines_)).alias("presence"), (F.sum("timed") / F.sum(lines_)).alias("timed"),
+        (F.max(lines_) / F.sum(lines_)).alias("consistency"), F.min_by("n", F.struct(-lines_, n)).alias("usual"),
+    )
     weight = F.when((F.col("delimiter") == "colon") & (F.col("timed") > 0.8), 0.3).otherwise(1.0)
-    return counts.join(same, "delimiter").select("delimiter", F.round(F.col("avg") * F.col("consistency") * F.col("presence") * weight, 6).alias("score"), "usual")
+    return sums.select(*by, "delimiter", F.round(F.col("avg") * F.col("consistency") * F.col("presence") * weight, 6).alias("score"), "usual")

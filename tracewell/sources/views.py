@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import facts
+from .store import store_once
+
 LEVEL_OF = {"error": "ERROR", "signup": "WARN", "purchase": "INFO", "click": "DEBUG", "view": "TRACE"}
 
 
@@ -13,8 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as one file of log lines, the event's number as line number."""
-    return event_lines(table(spark, sf_dir, "events"))
+    """``events`` as one file of log lines, the event's number as line number; the log is stored
+    in the shared folder when it is first asked for, as a log that was taken in."""
+    source = f"{sf_dir}/events.parquet"
+    return store_once(spark, source, "event-log", lambda: event_lines(table(spark, sf_dir, "events")))
+
+
+def parsed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with the facts that several verbs share, stored like it."""
+    source = f"{sf_dir}/events.parquet"
+    return store_once(spark, source, "parsed-log", lambda: facts.with_facts(event_log(spark, sf_dir)))
 
 
 def event_lines(events: DataFrame) -> DataFrame:

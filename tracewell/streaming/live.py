@@ -1,19 +1,18 @@
 """Live logs: sources, windows and stateful detectors.
 
 Stateless batch verbs (search, filters, redaction, parsing) take streaming DataFrames as
-they are.  The detectors here keep one small state for each source.
+they are.  A detector looks at one micro-batch after the other (see ``run.detect``) and hands
+on one row for each source.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import parse
+from ..operators.ordered import Scan
+from .run import Detector
 
 
 def read_stream_lines(spark: SparkSession, path: str, max_files: int = 10) -> DataFrame:
@@ -51,72 +50,73 @@ def union_streams(streams: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One micro-batch of one source in order of time; the batch bounds its size."""
-    rows = pd.concat(list(frames))
-    return rows.sort_values(["ts", "text"], kind="stable")
-
-
-def live_gaps(lines: DataFrame, threshold: float = 30) -> DataFrame:
-    """Silences of each source, across batches."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts in _in_order(frames)["ts"]:
-            ms = int(ts.value // 1_000_000)
-            if last is not None and abs(ms - last) >= threshold * 1000:
-                out.append((key[0], pd.Timestamp(last, unit="ms"), ts, abs(ms - last) / 1000))
-            last = ms
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["source", "from_ts", "to_ts", "gap_seconds"])
-
-    return lines.select("source", "ts", "text").groupBy("source").applyInPandasWithState(
-        step, "source string, from_ts timestamp, to_ts timestamp, gap_seconds double", "last long", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def live_transitions(lines: DataFrame, field: str) -> DataFrame:
-    """Changes of a field's value in each source, across batches."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        rows = _in_order(frames)
-        for ts, value in zip(rows["ts"], rows["value"], strict=True):
-            if last is not None and value != last:
-                out.append((key[0], ts, last, value))
-            last = value
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["source", "ts", "from_value", "to_value"])
-
-    rows = lines.withColumn("value", parse.keyed("text", field)).where("value is not null").select("source", "ts", "text", "value")
-    return rows.groupBy("source").applyInPandasWithState(
-        step, "source string, ts timestamp, from_value string, to_value string", "last string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def live_heartbeat(lines: DataFrame, pattern: str, period: float, tolerance: float = 1.5) -> DataFrame:
-    """Heartbeats that come late by event time: how many are missing in each interval."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for ts in _in_order(frames)["ts"]:
-            ms = int(ts.value // 1_000_000)
-            if last is not None and (ms - last) / 1000 >= period * tolerance:
-                out.append((key[0], ts, (ms - last) / 1000, max(1, int((ms - last) / 1000 / period + 0.5) - 1)))
-            last = ms if last is None else max(last, ms)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["source", "ts", "interval", "missing"])
-
-    rows = lines.where(F.contains("text", F.lit(pattern))).select("source", "ts", "text")
-    return rows.groupBy("source").applyInPandasWithState(
-        step, "source string, ts timestamp, interval double, missing long", "last long", "append", GroupStateTimeout.NoTimeout
-    )
+#: Lines of one source that lie within so many milliseconds make a chunk of an ordered scan.
+CHUNK_MS = 3_600_000
+
+
+def _after_the_last(rows: DataFrame, carry: DataFrame | None, columns: list[str], latest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows (source, ms, text, …) of a micro-batch, each with its predecessor's ``columns`` as
+    ``_prev`` (of the same source, in order of time and text; of the batches before for its first
+    one), and each source's last row, which goes on to the next batch.
+
+    The scan deals rows into chunks of time, so a batch is no single task, nor is a source.
+    """
+    kept = rows.select("source", "ms", "text", F.struct(*columns).alias("_here"), F.lit(1).alias("_new"))
+    if carry is not None:  # what came before sorts first, whatever its time
+        first = rows.groupBy("source").agg(F.min("ms").alias("_first"))
+        old = carry.join(first, "source").select("source", F.least("ms", "_first").alias("ms"), F.lit("").alias("text"), "_here", F.lit(0).alias("_new"))
+        kept = kept.unionByName(old)
+    before = Scan(kept, order="ms", by=("source",), chunk=CHUNK_MS, tie=("_new", "text")).lag("_here", "_prev").where("_new = 1")
+    last = rows.groupBy("source").agg(F.max_by(F.struct("ms", F.struct(*columns).alias("_here")), F.struct("ms", "text")).alias("l")).select("source", "l.*")
+    if carry is not None and latest:
+        last = last.unionByName(carry.select(*last.columns)).groupBy("source").agg(F.max_by(F.struct("ms", "_here"), "ms").alias("l")).select("source", "l.*")
+    elif carry is not None:
+        last = last.unionByName(carry.join(rows.select("source").distinct(), "source", "left_anti").select(*last.columns))
+    return before, last
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ms", parse.epoch_ms("ts"))
+
+
+def gap_detector(threshold: float = 30) -> Detector:
+    """Silences of each source, across micro-batches: ``(source, from_ts, to_ts, gap_seconds)``."""
+
+    def detect(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        before, last = _after_the_last(_timed(rows), carry, ["ms"])
+        ms, prev = F.col("_here.ms"), F.col("_prev.ms")
+        gap = F.abs(ms - prev) / 1000
+        found = before.where(gap >= threshold)
+        return found.select("source", F.timestamp_millis(prev).alias("from_ts"), F.timestamp_millis(ms).alias("to_ts"), gap.alias("gap_seconds")), last
+
+    return detect
+
+
+def transition_detector(field: str) -> Detector:
+    """Changes of a field's value in each source, across micro-batches."""
+
+    def detect(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        known = _timed(rows).withColumn("value", parse.field("text", field)).where("value is not null")
+        before, last = _after_the_last(known, carry, ["ms", "value"])
+        found = before.where("_prev.value != _here.value")
+        return found.select("source", F.timestamp_millis("_here.ms").alias("ts"), F.col("_prev.value").alias("from_value"), F.col("_here.value").alias("to_value")), last
+
+    return detect
+
+
+def heartbeat_detector(pattern: str, period: float, tolerance: float = 1.5) -> Detector:
+    """Heartbeats that come late by event time: how many are missing in each interval.  One that is
+    older than its predecessor is not late."""
+
+    def detect(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        beats = _timed(rows.where(F.contains("text", F.lit(pattern))))
+        before, last = _after_the_last(beats, carry, ["ms"], latest=True)
+        seconds = (F.col("_here.ms") - F.col("_prev.ms")) / 1000
+        late = before.where(seconds >= period * tolerance)
+        missing = F.greatest(F.lit(1).cast("long"), F.floor(seconds / period + 0.5).cast("long") - 1)
+        return late.select("source", F.timestamp_millis("_here.ms").alias("ts"), seconds.alias("interval"), missing.alias("missing")), last
+
+    return detect
 
 
 def capture(lines: DataFrame, path: str, checkpoint: str):

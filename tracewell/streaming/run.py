@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:  # only in local tests
-        local = os.path.join(tempfile.gettempdir(), "checkpoints")
-        os.makedirs(local, exist_ok=True)
-        where = "file://" + local
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return files.getFileStatus(where).isDirectory()
+from ..sources.store import file_system, is_folder, scratch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,7 +18,7 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     batch = spark.read.parquet(path)
     stream = spark.readStream.schema(batch.schema)
     # a stream's plain path must be a folder; a pattern may also match a single file
-    return stream.parquet(path if _is_folder(spark, path) else path.removesuffix("t") + "[t]")
+    return stream.parquet(path if is_folder(spark, path) else path.removesuffix("t") + "[t]")
 
 
 def finish(stream: DataFrame, name: str) -> DataFrame:
@@ -49,3 +36,59 @@ def finish_complete(stream: DataFrame, name: str) -> DataFrame:
     q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", scratch(spark, name + "-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+#: A detector: from a micro-batch and what the ones before handed over (None at first) to what
+#: it found and what it hands on.
+Detector = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+
+
+def start_detector(stream: DataFrame, detector: Detector, out: str, kept: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start a detector on a stream: what it finds goes to Parquet below ``out``, what it hands on
+    below ``kept``; all three paths are the same again after a restart.
+
+    Each micro-batch is a batch query, so its rows are spread over tasks as any table's are.
+    Results are written below the number of the micro-batch, and what is handed on is read from
+    the last one's, so a micro-batch that is run again after a failure writes the same once more.
+    """
+
+    def step(rows: DataFrame, number: int) -> None:
+        spark, before = rows.sparkSession, None
+        where, files = file_system(spark, f"{kept}/{number - 1}")
+        if number and files.exists(where):
+            before = spark.read.parquet(f"{kept}/{number - 1}")
+        rows = rows.persist(StorageLevel.DISK_ONLY)  # read twice; lost blocks are read from the source again
+        found, carry = detector(rows, before)
+        carry.write.mode("overwrite").parquet(f"{kept}/{number}")
+        found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+
+
+def detect(stream: DataFrame, detector: Detector, name: str) -> DataFrame:
+    """Run a detector over what a stream has now; all that it found."""
+    spark, out = stream.sparkSession, scratch(stream.sparkSession, name)
+    start_detector(stream, detector, out, scratch(spark, name + "-carry"), scratch(spark, name + "-state"), availableNow=True).awaitTermination()
+    none, _ = detector(spark.createDataFrame([], stream.schema), None)
+    where, files = file_system(spark, out)
+    if not files.exists(where):  # a stream without any rows
+        return none
+    return spark.read.schema(none.schema).parquet(f"{out}/batch=*")
+
+
+def arrive(rows: DataFrame, order: str, times: int, name: str) -> DataFrame:
+    """Rows as a stream of so many arrivals, in the order of a column: ranges of it are written
+    one after the other, and each is a micro-batch."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
+    shares = [k / times for k in range(1, times)]
+    bounds = (rows.agg(F.percentile_approx(order, shares)).first()[0] or []) if shares else []
+    limits = [None, *sorted(set(bounds)), None]
+    for low, high in zip(limits, limits[1:], strict=False):
+        some = rows
+        if low is not None:
+            some = some.where(rows[order] >= low)
+        if high is not None:
+            some = some.where(rows[order] < high)
+        some.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)

@@ -75,8 +75,9 @@ def columns_by_example(lines: DataFrame, sample: str, spans: dict[str, tuple[int
     return joined.select(*KEY, *[peeled(n) for n in spans])
 
 
-def evidence_pack(lines: DataFrame, gap: float = 60, k: int = 10) -> DataFrame:
-    """One row for each file: the triage with its top components, longest gaps and fields."""
+def evidence_pack(lines: DataFrame, gap: float = 60, k: int = 10, base: DataFrame | None = None) -> DataFrame:
+    """One row for each file: the triage with its top components, longest gaps and fields, and the
+    findings against another log if one is given."""
     top = lambda rows, order, *cols: rows.groupBy("file").agg(F.slice(F.sort_array(F.collect_list(F.struct(order, *cols)), asc=False), 1, k).alias("v"))
     failing = top(profile.top_failing(lines, k), "errors", "component", "first_error").withColumnRenamed("v", "components")
     from pyspark.sql import Window
@@ -84,7 +85,11 @@ def evidence_pack(lines: DataFrame, gap: float = 60, k: int = 10) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("gap_seconds"), "line_no"))
     gaps = top(sequence.time_gaps(lines, gap).withColumn("_r", rank).where(F.col("_r") <= k), "gap_seconds", "line_no").withColumnRenamed("v", "silences")
     fields = trend.discover_fields(lines).orderBy(F.desc("occurrences"), "name").limit(k).agg(F.collect_list(F.struct("name", "type", "occurrences")).alias("fields"))
-    return profile.triage(lines, gap).join(failing, "file", "left").join(gaps, "file", "left").join(F.broadcast(fields))
+    pack = profile.triage(lines, gap).join(failing, "file", "left").join(gaps, "file", "left").join(F.broadcast(fields))
+    if base is not None:
+        findings = profile.compare_profiles(lines, base).agg(F.array_sort(F.collect_list(F.struct("severity", "category", "subject"))).alias("findings"))
+        pack = pack.join(F.broadcast(findings))
+    return pack
 
 
 def compare_windows(lines: DataFrame, current: tuple[int, int], base: tuple[int, int]) -> DataFrame:

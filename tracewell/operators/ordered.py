@@ -57,6 +57,19 @@ class Scan:
         on = self.inside.rowsBetween(0, Window.unboundedFollowing)
         return self._done(df.withColumn(out, F.coalesce(F.first(column, True).over(on), F.col("_in"))))
 
+    def both_known(self, column: str, before: str, behind: str) -> DataFrame:
+        """The last value that is not null up to the row, and the first from it on, in one pass."""
+        when = F.when(F.col(column).isNotNull(), self.place)
+        ends = self.chunked.groupBy(*self.keys).agg(F.max_by(column, when).alias("_l"), F.min_by(column, when).alias("_f"))
+        ends = ends.select(
+            *self.keys, F.last("_l", True).over(self.chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
+            F.first("_f", True).over(self.chunks.rowsBetween(1, Window.unboundedFollowing)).alias("_out"),
+        )
+        last = F.last(column, True).over(self.inside.rowsBetween(Window.unboundedPreceding, 0))
+        first = F.first(column, True).over(self.inside.rowsBetween(0, Window.unboundedFollowing))
+        df = self.chunked.join(ends, self.keys).withColumns({before: F.coalesce(last, F.col("_in")), behind: F.coalesce(first, F.col("_out"))})
+        return self._done(df.drop("_out"))
+
     def number(self, out: str) -> DataFrame:
         """0-based number of the row in its group."""
         before = self.chunks.rowsBetween(Window.unboundedPreceding, -1)

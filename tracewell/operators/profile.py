@@ -27,7 +27,10 @@ def level_counts(lines: DataFrame) -> DataFrame:
 
 
 def crash_sites(lines: DataFrame, limit: int | None = None) -> DataFrame:
-    out = analysed(lines).withColumn("keyword", facts.crash(lines)).where("keyword is not null").select(*KEY, "keyword", "level", "component", "text")
+    """Lines with a crash word, in their ``message`` if they have such a column (see
+    :func:`.columns.by_role`), else in the whole line."""
+    word = parse.crash_keyword("message") if "message" in lines.columns else facts.crash(lines)
+    out = analysed(lines).withColumn("keyword", word).where("keyword is not null").select(*KEY, "keyword", "level", "component", "text")
     return out.orderBy(*KEY).limit(limit) if limit else out
 
 

@@ -68,7 +68,7 @@ def pattern_distance(a: DataFrame, b: DataFrame, mode: str = "nearest", chunk: i
     rows = a.select(*KEY, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*KEY, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
     rows = rows.groupBy(*KEY).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     rows = rows.withColumn("_line_b", F.when(F.col("_b") == 1, F.col("line_no")))
-    both = Scan(Scan(rows, chunk=chunk).last_known("_line_b", "_low"), chunk=chunk).next_known("_line_b", "_high").where("_a = 1")
+    both = Scan(rows, chunk=chunk).both_known("_line_b", "_low", "_high").where("_a = 1")
     nearer = F.col("line_no") - F.col("_low") < F.col("_high") - F.col("line_no")
     line = {"after": F.col("_high"), "before": F.col("_low"), "nearest": F.when(F.col("_high").isNull() | nearer, F.coalesce("_low", "_high")).otherwise(F.col("_high"))}[mode]
     return both.withColumn("b_line", line).where("b_line is not null").select("file", F.col("line_no").alias("a_line"), "b_line", F.abs(F.col("line_no") - F.col("b_line")).alias("distance"))

@@ -35,17 +35,15 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame as Parquet in the shared folder and read it from there.
-
-    Where the input has fewer splits than there are cores, its rows are dealt by file and line
-    first, so that what reads the table can use them all.
-    """
+    """Write a DataFrame as Parquet in the shared folder and read it from there."""
     path = scratch(df.sparkSession, name)
-    _spread(df).write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _spread(df: DataFrame) -> DataFrame:
+    """A view of a scan (without a shuffle of its own) that has fewer splits than there are cores:
+    its rows are dealt by file and line, so that what reads the table can use them all."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     keys = [c for c in ("file", "line_no") if c in df.columns]
     if not keys or df.rdd.getNumPartitions() >= cores:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -15,7 +16,7 @@ import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.llm.test_substrings import brute as brute_repeats
-from tracewell.llm import queries
+from tracewell.llm import fingerprint, queries
 from tracewell.llm.common import key_mod
 
 N = 240
@@ -92,6 +93,70 @@ def test_groups_match_brute_force(spark, sf_dir):
     assert got == {k: (f"{fps[k]:016x}", want[k]) for k in fps}
 
 
+def test_vectors_match_brute_force(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    v = np.array([r.embedding for r in rows], np.float64)
+    n = np.sqrt((v * v).sum(axis=1))
+    links = (v @ v.T / np.outer(n, n) >= 0.9) & ~np.eye(len(v), dtype=bool)
+    root = np.arange(len(v))
+    for _ in range(len(v)):
+        root = np.minimum(root, np.where(links, root[None, :], len(v)).min(axis=1))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op1_embeddings(spark, sf_dir).collect()}
+    assert got == {k: (int(links[k].sum()), int(root[k]), bool(root[k] == k)) for k in range(len(v))} and links.any()
+
+
+def test_fingerprints_match_brute_force(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    order = sorted(texts)
+    for k, r in enumerate(sorted(queries.op3_fingerprint(spark, sf_dir).collect(), key=lambda r: r.doc_id)):
+        text, ahead = texts[order[k]], texts[order[(k + 1) % len(order)]]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + ahead[:cut]
+        own, other, following = (fingerprint.fingerprints(t)[0] for t in (text, edited, ahead))
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (order[k], len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (own.tobytes().hex(), other.tobytes().hex())
+        assert (r.near_edited, r.near_next) == (fingerprint.likeness(own, other), fingerprint.likeness(own, following))
+
+
+def test_packed_pieces_match_the_tokenizer(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.vocabulary()[0])
+    ids = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in documents(spark, sf_dir).items()}
+    rows = queries.op5_packing(spark, sf_dir).collect()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.piece, r.start, r.length))
+        bins[r.sequence_id].append((r.offset, r.length))
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    for k, found in pieces.items():
+        at = 0
+        for n, (piece, start, length) in enumerate(sorted(found)):
+            assert (piece, start) == (n, at) and (n == 0 or length == 1024)
+            at += length
+        assert at == len(ids[k])
+    assert set(pieces) == set(ids)
+    for found in bins.values():
+        at = 0
+        for offset, length in sorted(found):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(bins) <= -(-sum(map(len, ids.values())) // 1024) + 2
+
+
+def test_removed_strings_match_brute_force(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    order = sorted(texts)
+    gone = dict(zip(order, brute_repeats([texts[k].encode() for k in order], 400), strict=True))
+    for r in queries.op9_suffix_dedup(spark, sf_dir).collect():
+        raw, g = texts[r.doc_id].encode(), gone[r.doc_id]
+        kept = bytes(c for c, x in zip(raw, g, strict=True) if not x)
+        runs = sum(x and (k == 0 or not g[k - 1]) for k, x in enumerate(g))
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(g), runs, hashlib.sha256(kept).hexdigest())
+    assert any(map(any, gone.values()))
+
+
 def test_stages_keep_columns_with_clashing_names_nulls_and_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).selectExpr(
         "if(doc_id = 5, null, doc_id) doc_id", "if(doc_id in (5, 6), null, if(doc_id = 7, '', text)) text", "lang", "if(doc_id = 8, null, source) source", "n_chars",

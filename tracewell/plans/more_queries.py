@@ -393,7 +393,7 @@ def a23(spark, sf):
     return trend.series_top_values(event_log(spark, sf), "event", k=3)
 
 
-@query("a22_series_pattern", BUCKET + "SELECT file, bucket, count(*) AS points, round(sum(k), 6) AS total, CAST(min(k) AS DOUBLE) AS low, CAST(max(k) AS DOUBLE) AS high, round(sum(k) / count(*), 6) AS average FROM B GROUP BY ALL")
+@query("a22_series_pattern", BUCKET + "SELECT file, bucket, count(*) AS points, round(sum(CAST(k AS DOUBLE)), 6) AS total, CAST(min(k) AS DOUBLE) AS low, CAST(max(k) AS DOUBLE) AS high, round(sum(k) / count(*), 6) AS average FROM B GROUP BY ALL")
 def a22_pattern(spark, sf):
     return trend.series(parsed_log(spark, sf), None, pattern=r" k=(\d+)")
 

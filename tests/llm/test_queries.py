@@ -16,7 +16,7 @@ import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.llm.test_substrings import brute as brute_repeats
-from tracewell.llm import fingerprint, queries
+from tracewell.llm import common, fingerprint, queries
 from tracewell.llm.common import key_mod
 
 N = 240
@@ -211,3 +211,9 @@ def test_each_stage_of_the_pipeline_matches_brute_force(spark, sf_dir):
         whole[r.doc_id] += r.length
     assert set(whole) == ids and max(bins.values()) <= 1024
     assert sum(whole.values()) == sum(corpus_pipeline.run(spark, sf_dir).agg({"length": "sum"}).first())
+
+
+def test_the_pipeline_leaves_its_result_and_no_other_table(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = corpus_pipeline.run(spark, sf_dir).count()
+    assert rows and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["best"]

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tracewell.functions import parse
@@ -79,3 +81,19 @@ def test_hunks_of_two_logs(spark):
     right = lines(spark, ["a", "c", "d", "new", "e", "y", "z", "f", "end"])
     got = sorted((r.start_line, r.kind, r.lines, r.other_start) for r in proximity.diff_hunks(left, right, chunk=2).collect())
     assert got == [(0, "equal", 1, 0), (1, "removed", 1, 1), (2, "equal", 2, 1), (3, "added", 1, 4), (4, "equal", 1, 4), (5, "modified", 1, 5), (6, "equal", 1, 7), (8, "added", 1, 7)]
+
+
+def test_one_field_is_what_all_fields_have_of_it(spark):
+    rng = random.Random(12)
+    marks = ["k=", "rank=", "k =", "k = ", "k:", "k: ", "(k=", "a=k=", "x=\"k=", "x='k=", "b=[k=", ",k=", ";k=", "=", " ", "  ", "\"", "]", "1", "2", "v,", "{", "}", "z"]
+    texts = ["".join(rng.choices(marks, k=rng.randrange(1, 9))) for _ in range(4000)]
+    log = lines(spark, texts)
+    both = log.select("text", parse.field("text", "k").alias("one"), parse.extract_fields("text")["k"].alias("all"))
+    assert both.where("one is not null").count() > 1000
+    assert both.where("not (one <=> all)").limit(5).collect() == []
+
+
+def test_numbers_that_do_not_fit_are_none(spark):
+    raw = ["1e999", "-1e999", "12", "-0.5", "1e3", "x", "", None, "9" * 400]
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(parse.to_num("r").alias("n")).collect()
+    assert [r.n for r in got] == [None, None, 12.0, -0.5, 1000.0, None, None, None, None]

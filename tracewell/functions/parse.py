@@ -277,8 +277,8 @@ def classify_value(raw: str | Column) -> Column:
 
 def to_num(raw: str | Column) -> Column:
     """A number; null for other texts and for numbers beyond a double."""
-    value = F.when(_c(raw).rlike(NUMERIC), _c(raw).try_cast("double"))
-    return F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf")))
+    read = F.transform(F.array(_c(raw)), lambda r: F.when(r.rlike(NUMERIC), r.try_cast("double")))  # reads raw once
+    return F.get(F.filter(read, lambda x: F.abs(x) < float("inf")), F.lit(0))
 
 
 def series_num(raw: str | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, substrings, urlfilter
+from . import embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, spelling, substrings, urlfilter
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
@@ -109,6 +109,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(read(spark, sf_dir, "documents"))
 
 
+#: One run of letters in so many loses a letter, which plants variants to find.
+MISSPELT = 199
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), misspell=MISSPELT))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_langid": op2_langid,
@@ -120,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op12_spelling": op12_spelling,
 }
 ORACLES: dict[str, str] = {"op6_urlfilter": oracles.OP6, "op10_mixing": oracles.op10()}

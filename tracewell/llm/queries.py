@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, spelling, substrings, urlfilter
+from . import dialogue, embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, spelling, substrings, urlfilter
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
@@ -109,6 +109,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(read(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations")
+    return dialogue.audit_conversations(dialogue.damage(given), given)
+
+
 #: One run of letters in so many loses a letter, which plants variants to find.
 MISSPELT = 199
 
@@ -128,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_conversations": op11_conversations,
     "op12_spelling": op12_spelling,
 }
 ORACLES: dict[str, str] = {"op6_urlfilter": oracles.OP6, "op10_mixing": oracles.op10()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import disclosure
 from .mixing import OTHER, STEM, Params
 
 OP6 = r"""
@@ -83,3 +84,74 @@ FROM seen s JOIN raked w ON s.source = w.source AND s.lang = w.lang AND s.topic
 WHERE s.n_tokens > 0
   AND CAST('0x' || substr(md5(coalesce(CAST(s.doc_id AS VARCHAR), '') || ':{p.seed}'), 1, 13) AS BIGINT) / 4503599627370496.0 < least(1.0, w.weight / w.most)
 """
+
+
+def op13(p: disclosure.Params = disclosure.Params()) -> str:
+    """Plain patterns as the task words them: this engine's matcher never goes over a text twice."""
+    word = r"\p{L}{%d,}" % p.letters
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    raw = " UNION ALL ".join(
+        f"SELECT r, doc_id, {k} AS kind, regexp_extract_all(text, '{x}') AS m, string_split_regex(text, '{x}') AS g FROM given" for k, x in enumerate(plain.values())
+    )
+    digits = "regexp_replace(match, '[^0-9]', '', 'g')"
+    return f"""
+WITH given AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({raw}),
+hits AS (
+  SELECT r, kind, i, m[i] AS match, g[i] AS gap, g[i + 1] AS rest, {digits} AS digits
+  FROM (SELECT r, kind, m, g, unnest(range(1, len(m) + 1)) AS i FROM raw)
+),
+placed AS (
+  SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY r, kind ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop,
+    CASE kind WHEN 0 THEN true
+      WHEN 1 THEN len(list_filter(string_split(match, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(x, '0'), '') AS INTEGER), 0) > 255)) = 0
+      WHEN 2 THEN length(digits) BETWEEN {disclosure.CARD_DIGITS[0]} AND {disclosure.CARD_DIGITS[1]} AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN CAST(digits[length(digits) - i + 1] AS INTEGER) WHEN CAST(digits[length(digits) - i + 1] AS INTEGER) > 4
+        THEN 2 * CAST(digits[length(digits) - i + 1] AS INTEGER) - 9 ELSE 2 * CAST(digits[length(digits) - i + 1] AS INTEGER) END)) % 10 = 0
+      ELSE length(digits) BETWEEN {disclosure.PHONE_DIGITS[0]} AND {disclosure.PHONE_DIGITS[1]} END AS good
+  FROM hits
+),
+found AS (
+  SELECT r, kind, CAST(stop - length(match) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, CASE WHEN kind < 2 THEN lower(match) ELSE digits END AS value,
+    right(gap, {p.reach}) AS before, left(rest, {p.reach}) AS after, length(gap) > {p.reach} AS cut, length(rest) > {p.reach} AS more
+  FROM placed WHERE good
+),
+sides AS (
+  SELECT r, kind, value, before || chr(1) || after AS context, before AS side, start - length(before) AS begins, cut AS cut, false AS more FROM found
+  UNION ALL SELECT r, kind, value, before || chr(1) || after, after, stop, false, more FROM found
+),
+words AS (SELECT *, regexp_extract_all(side, '{word}') AS w, string_split_regex(side, '{word}') AS g FROM sides),
+near AS (
+  SELECT r, kind, value, context, lower(w[i]) AS term, begins + length(array_to_string(g[1:i], '')) + length(array_to_string(w[1:i - 1], '')) AS start,
+    begins + length(array_to_string(g[1:i], '')) + length(array_to_string(w[1:i], '')) AS stop, begins, begins + length(side) AS ends, cut, more
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)
+),
+terms AS (SELECT * FROM near WHERE NOT (cut AND start = begins) AND NOT (more AND stop = ends)),
+pairs AS (SELECT kind, value, term, count(DISTINCT r) AS n_both FROM terms GROUP BY ALL HAVING count(DISTINCT context) >= {p.contexts}),
+held AS (SELECT kind, value, count(DISTINCT r) AS n_value FROM found GROUP BY ALL),
+counts AS (
+  SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(list_transform(regexp_extract_all(text, '{word}'), lambda x: lower(x)))) AS term FROM given) GROUP BY term
+),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM given),
+told AS (
+  SELECT kind, value, term FROM pairs JOIN held USING (kind, value) JOIN counts USING (term), total
+  WHERE n_value < n AND ln(n_both * n / (CAST(n_value AS DOUBLE) * n_term)) / ln(n / n_value) >= {p.general} - {disclosure.EPSILON}
+),
+marked AS (SELECT DISTINCT r, start, stop FROM terms JOIN told USING (kind, value, term)),
+free AS (SELECT r, {disclosure.TERM} AS kind, start, stop FROM marked t WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.r = t.r AND f.start < t.stop AND f.stop > t.start)),
+listed AS (
+  SELECT r, kind, start, CASE kind {" ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(disclosure.KINDS))} END || ':' || start || ':' || stop AS span
+  FROM (SELECT r, kind, start, stop FROM found UNION ALL SELECT * FROM free)
+),
+by_row AS (
+  SELECT r, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(disclosure.KINDS[: disclosure.TERM]))},
+    string_agg(span, ',' ORDER BY kind, start) FILTER (kind < {disclosure.TERM}) AS base, string_agg(span, ',' ORDER BY kind, start) AS spans FROM listed GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in disclosure.KINDS[: disclosure.TERM])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM given LEFT JOIN by_row USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dialogue, embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, spelling, substrings, urlfilter
+from . import dialogue, disclosure, embeddings, fingerprint, langid, mixing, oracles, packing, pages, quality, simhash, spelling, substrings, urlfilter
 from .common import key_mod, read
 
 QUALITY_CUT = 0.3
@@ -122,6 +122,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), misspell=MISSPELT))
 
 
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_langid": op2_langid,
@@ -135,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_conversations": op11_conversations,
     "op12_spelling": op12_spelling,
+    "op13_personal": op13_personal,
 }
-ORACLES: dict[str, str] = {"op6_urlfilter": oracles.OP6, "op10_mixing": oracles.op10()}
+ORACLES: dict[str, str] = {"op6_urlfilter": oracles.OP6, "op10_mixing": oracles.op10(), "op13_personal": oracles.op13()}

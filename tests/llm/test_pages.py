@@ -95,3 +95,66 @@ def test_repeats_clashing_names_and_no_rows(spark):
     want = "Title here One two & three Four five"
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in got.collect()) == [("1", want, len(want))] * 2 + [("None", "", 0)]
     assert pages.fit(df.limit(0)) == {} and pages.extract(df.limit(0), {}).count() == 0
+
+
+def test_malformed_pages_take_one_pass():
+    import time
+
+    for unit in ("<script ", "<svg ", '<script "', "<script '\"", "<title>", "<!--", "<a ", '<a "', "<a '\"", "</x>", "<div><p>", "<p><div><span>", "</p><div><span></p>", "<li><div></li>", "<", "<b", '<a "<a "', "<h2>Comments", "<article>"):
+        source = "<p>first words</p>" + unit * ((1 << 20) // len(unit))
+        began = time.process_time()
+        list(pages.tokens(source))
+        assert time.process_time() - began < 3, unit
+        began = time.process_time()
+        pages.main_text(source[: 1 << 18], {})
+        assert time.process_time() - began < 6, unit
+
+
+def test_tokens_of_raw_elements_and_unclosed_tags():
+    source = "a<b>x</b><script a='>'><p></SCRIPT ><!-- <p> --><p title=\"a>b\">5 < 6 <i<u>"
+    found = [(kind, name, source[a:b]) for a, b, kind, name, _ in pages.tokens(source)]
+    assert found == [("tag", "b", "<b>"), ("end", "b", "</b>"), ("raw", "script", "<script a='>'><p></SCRIPT >"), ("", "", "<!-- <p> -->"), ("tag", "p", '<p title="a>b">'), ("", "i", "<i"), ("tag", "u", "<u>")]
+
+
+def test_classes_match_whole_names():
+    body = (
+        '<article><h1>Head</h1><div class="share-price">The price rose.</div><p class="public-notice">Read this.</p><p class="share-buttons">Tweet it.</p>'
+        '<div class="cookie-notice wide">We use them.</div><p class="x related">More.</p><p>End.</p></article>'
+    )
+    assert pages.main_text(page(body), {}) == "Head The price rose. Read this. End."
+
+
+def test_comments_without_a_class_are_left_out():
+    post = "<p>" + "good words " * 30 + "</p>"
+    said = "<p>" + "nice post " * 60 + "</p>"
+    want = ("good words " * 30).strip()
+    for body in (
+        f"<article>{post}</article><section><h3>Comments</h3>{said}</section>",
+        f"<article>{post}</article><h3>2 Comments</h3>{said}{said}",
+        f"<article>{post}<h2>Leave a reply</h2>{said}</article>",
+        f"<div>{post}</div><div><h3>Comments (3)</h3>{said}</div>",
+        f"<article>{post}<article>{said}</article></article>",
+    ):
+        assert pages.main_text(page(body), {}) == want, body
+    kept = f"<article>{post}<h2>Comments on the price of bread</h2><p>Bread.</p><h2>Share</h2><p>It.</p><h2>Rest</h2><p>End.</p></article>"
+    assert pages.main_text(page(kept), {}) == f"{want} Comments on the price of bread Bread. Rest End."
+
+
+def test_cards_marked_as_articles_behind_the_text_are_left_out():
+    text = "many good words " * 40
+    cards = "".join(f"<article><h3>Card {k}</h3><p>Some teaser words.</p></article>" for k in range(2))
+    assert pages.main_text(page(f'<div id="content"><p>{text}</p></div>{cards}'), {}) == text.strip()
+    assert pages.main_text(page(f"<article><p>{text}</p></article>{cards}"), {}) == text.strip()
+
+
+def test_an_articles_own_header_is_a_header():
+    assert pages.main_text(page("<article><header><h1>Title</h1><p>By me</p></header><p>Text of it.</p></article>"), {}) == "Text of it."
+
+
+def test_classes_outside_of_articles_are_learned(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choices("ka lo mi ne tu".split(), k=n))
+    marked = [f'<article><div class="zy"><p>{words(30)}</p></div></article><div class="qx"><p>{words(20)}</p></div>' for _ in range(30)]
+    model = pages.fit(spark.createDataFrame([(m,) for m in marked], "html string"))
+    body = '<article><div class="zy"><p>one two three</p></div><div class="qx"><p>four</p></div><p>five</p></article>'
+    assert pages.main_text(body, model) == "one two three five" and pages.main_text(body, {}) == "one two three four five"

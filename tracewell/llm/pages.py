@@ -3,8 +3,10 @@
 A page is a sequence of words and tags.  Words score positive and tags negative, by
 weights learned from labelled pages: pages whose article is marked up as such.  One
 linear scan finds the contiguous stretch of the highest sum, which is the content region.
-Elements inside of it that the markup itself names as menus, adverts and the like are left
-out.  Features are the kinds of elements around a word or tag, hashed, so none is too rare to
+Elements inside of it that the markup names as menus, adverts and the like, by a class that
+stands outside of articles on the labelled pages or by fixed words, are left out; so are the
+parts that headings such as ``Comments`` begin, articles within articles, and headers, an
+article's own too.  Features are the kinds of elements around a word or tag, hashed, so none is too rare to
 have a weight and the model has a fixed size.
 """
 
@@ -13,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,16 +50,22 @@ NOISE_WORDS = frozenset(
     "sidebar signup social sponsor sponsored subscribe taboola toolbar widget".split()
 )
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
-    r"|<[!?/][^>]*>?"
-    r"|<(?=[a-z/])[^<>]*(?:>|\Z)",
-    re.S | re.I,
-)
+#: Words that may stand beside one of NOISE_WORDS in a class without changing what it names.
+STRUCTURE_WORDS = frozenset("area bar block body box btn button buttons container content inner item items js left links list main outer right row section top bottom wrap wrapper".split())
+#: Headings of nothing but these words, and one of NOISE_WORDS, begin a part that is no content.
+HEADING_WORDS = frozenset("a add all also an and articles be first here leave latest more no of on our post posts stories story the this to view write you your".split())
+
+OPENING = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+ATTRIBUTES = re.compile(r"(?:[^<>\"']+|\"[^\"]*\"|'[^']*')*+")
+#: Start tags of raw elements may hold a ``<``.
+RAW_ATTRIBUTES = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea svg iframe title".split()}
+#: Classes of the innermost elements that a text counts for.
+NAMES = 4
+CORNER = re.compile("[<>]")
 NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PARTS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -72,14 +80,23 @@ class Params:
     tag: float = -0.25
     least_tag: float = -0.02
     most: float = 3.0
+    #: Weight of a class, learned from what stands in and outside of marked articles, at which
+    #: elements of that class are left out of an article, and words that must stand behind it.
+    noise_class: float = -1.5
+    least_words: int = 50
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     name: str
     kind: str
     noise: bool
     content: bool
+    names: tuple[str, ...] = ()
+    #: The article that it is, or lies in.
+    article: Element | None = None
+    #: Level of the heading that began a part without content inside of it.
+    silent: int = 0
 
 
 @dataclass
@@ -91,8 +108,13 @@ class Piece:
     text: str = ""
     block: bool = False
     noise: bool = False
-    labelled: bool = False
     content: bool = False
+    names: tuple[str, ...] = ()
+    article: Element | None = None
+
+    @property
+    def labelled(self) -> bool:
+        return self.content and not self.noise
 
 
 @dataclass
@@ -101,63 +123,174 @@ class Page:
     labelled: bool = False
 
 
-def read_page(source: str) -> Page:
-    """Pieces of a page in order.  Tags that are not closed end with the element around them."""
-    page, stack, at = Page(), [Element("", "page", False, False)], 0
+class Open:
+    """The open elements.  Each name's places are kept, so that ending one never looks through all."""
+
+    def __init__(self) -> None:
+        self.stack = [Element("", "page", False, False)]
+        self.places: dict[str, list[int]] = {}
+        self.headings = 0
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.name, []).append(len(self.stack))
+        self.stack.append(element)
+        self.headings += element.name in HEADINGS
+
+    def _last(self, names: Iterable[str]) -> int:
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=0)
+
+    def end(self, names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """End the innermost element of these names, and all that is open in it, unless one of
+        ``within`` stands between."""
+        at = self._last(names)
+        if at and at >= self._last(within):
+            while len(self.stack) > at:
+                name = self.stack.pop().name
+                self.places[name].pop()
+                self.headings -= name in HEADINGS
+
+
+def tokens(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """``(start, end, kind, name, attributes)`` of all mark-up in order; kind is ``tag``, ``end``, ``raw`` (with
+    all its content) or empty (comments, declarations and what is no tag).  One pass: what a
+    search has looked at is not searched again, so malformed pages take no longer than others.
+    A raw element or comment that does not end goes to the page's end; a tag that does not end
+    goes to the next corner bracket.
+    """
+    at, size, failed = 0, len(source), 0
+    last = source.rfind(">")
+    while (at := source.find("<", at)) >= 0:
+        after, kind, name, attrs = at, "", "", ""
+        m = OPENING.match(source, at)
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            after = size if end < 0 else end + 3
+        elif m:
+            name = m[2].lower()
+            raw = not m[1] and name in RAW
+            if at < last and not (raw and at < failed):
+                stop = (RAW_ATTRIBUTES if raw else ATTRIBUTES).match(source, m.end()).end()
+                if source.startswith(">", stop):
+                    after, kind, attrs = stop + 1, "end" if m[1] else "tag", source[m.end() : stop]
+                    if raw:
+                        close = RAW[name].search(source, after)
+                        after, kind = close.end() if close else size, "raw"
+                elif raw:
+                    failed = stop
+            if not kind:
+                corner = CORNER.search(source, at + 1)
+                after = size if not corner else corner.end() if corner[0] == ">" else corner.start()
+        elif source[at + 1 : at + 2] in ("!", "?", "/"):
+            end = source.find(">", at + 2)
+            after = size if end < 0 else end + 1
+        else:  # a corner bracket of the text
+            at += 1
+            continue
+        yield at, after, kind, name, attrs
+        at = after
+
+
+def names_noise(names: Iterable[str]) -> bool:
+    """Whether a class, id or role names what is no content: all its parts do, or say nothing."""
+    for name in names:
+        parts = PARTS.findall(name)
+        if not NOISE_WORDS.isdisjoint(parts) and all(w in NOISE_WORDS or w in STRUCTURE_WORDS for w in parts):
+            return True
+    return False
+
+
+def heads_noise(text: str) -> bool:
+    """Whether a heading such as ``3 Comments`` or ``Related posts`` begins a part that is no content."""
+    words = [w.lower() for w in WORDS.findall(text)]
+    return not NOISE_WORDS.isdisjoint(words) and all(w in NOISE_WORDS or w in HEADING_WORDS for w in words)
+
+
+def read_page(source: str, noisy: Callable[[str], bool] = lambda name: False) -> Page:
+    """Pieces of a page in order.  Tags that are not closed end with the element around them.
+    ``noisy`` tells which further classes are no content.
+
+    The page's article is the largest element marked as one, if it has a quarter as many words as all
+    else that is no noise; other marked articles are then noise, as they are where several are
+    marked and none is that large.
+    """
+    page, open_, at = Page(), Open(), 0
+    words: dict[Element | None, int] = {}
+    heading = 0
 
     def text(part: str) -> None:
         if part:
-            top = stack[-1]
-            page.pieces.append(Piece(f"word {top.kind}", len(part.split()), part, False, top.noise, top.content and not top.noise, top.content))
-
-    def end(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
-        """End the innermost element of these names, and all that is open in it."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in within:
-                return
-
-    for m in TOKEN.finditer(source):
-        text(source[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            if m["raw"]:
-                page.pieces.append(Piece(f"tag {m['raw'].lower()} {stack[-1].kind}", block=True))
+            top = open_.stack[-1]
+            piece = Piece(f"word {top.kind}", len(part.split()), part, False, top.noise or top.silent > 0, top.article is not None, top.names, top.article)
+            page.pieces.append(piece)
+            if not piece.noise:
+                words[top.article] = words.get(top.article, 0) + piece.words
+
+    def headed(level: int) -> None:
+        """At a heading's end: it and what follows it in its parent are noise if it says so."""
+        said = page.pieces[heading:]
+        if heads_noise(html.unescape("".join(x.text for x in said))):
+            open_.stack[-1].silent = open_.stack[-1].silent or level
+            for piece in said:
+                piece.noise = True
+
+    for start, after, kind, name, attrs in tokens(source):
+        text(source[at:start])
+        at = after
+        if not kind:
+            continue
+        if kind == "raw":
+            page.pieces.append(Piece(f"tag {name} {open_.stack[-1].kind}", block=True))
             continue
         inline = name in INLINE
         if name not in VOID:
-            if m["end"]:
-                end((name,), () if inline or name != "p" else ("div", "section", "article", "td"))
+            if kind == "end":
+                was = open_.headings
+                open_.end((name,), () if inline or name != "p" else ("div", "section", "article", "td"))
+                if was > open_.headings and name in HEADINGS:
+                    headed(int(name[1]))
             else:
                 if not inline:
-                    end(("p", *HEADINGS) if name in HEADINGS else ("p",), ("div", "section", "article", "td", "li", "blockquote", "button"))
+                    open_.end(("p", *HEADINGS) if name in HEADINGS else ("p",), ("div", "section", "article", "td", "li", "blockquote", "button"))
                 if name in ENDS:
                     for _ in ENDS[name][0].split():
-                        end(tuple(ENDS[name][0].split()), ENDS[name][1])
-                stack.append(_element(name, m["attrs"], stack[-1]))
-                page.labelled |= name in CONTENT_ELEMENTS and stack[-1].content and not stack[-1].noise
-        top = stack[-1]
-        page.pieces.append(Piece(f"tag {name} {top.kind}", block=not inline, noise=top.noise, labelled=top.content and not top.noise, content=top.content))
+                        open_.end(tuple(ENDS[name][0].split()), ENDS[name][1])
+                if name in HEADINGS:
+                    heading = len(page.pieces)
+                    if open_.stack[-1].silent >= int(name[1]):
+                        open_.stack[-1].silent = 0
+                open_.push(_element(name, attrs, open_.stack[-1], noisy))
+        top = open_.stack[-1]
+        page.pieces.append(Piece(f"tag {name} {top.kind}", block=not inline, noise=top.noise, content=top.article is not None, article=top.article))
     text(source[at:])
+    _choose_article(page, words)
     return page
 
 
-def _element(name: str, attrs: str, parent: Element) -> Element:
-    named = sorted({w for g in NAMING.findall(attrs or "") for w in PARTS.findall("".join(g).lower())}) if attrs else []
+def _choose_article(page: Page, words: dict[Element | None, int]) -> None:
+    articles = sorted((a for a in words if a is not None), key=lambda a: -words[a])
+    main = articles[0] if articles and 4 * words[articles[0]] >= sum(words.values()) - words[articles[0]] else None
+    page.labelled = main is not None
+    for piece in page.pieces:
+        if piece.article is not None and piece.article is not main:
+            piece.content = False
+            piece.noise |= main is not None or len(articles) > 1
+
+
+def _element(name: str, attrs: str, parent: Element, noisy: Callable[[str], bool]) -> Element:
+    given = [w for g in NAMING.findall(attrs) for w in "".join(g).lower().split()] if attrs else []
+    named = sorted({w for g in given for w in PARTS.findall(g)})
     if name in HEADINGS:  # a heading's header is no page's
         named = [w for w in named if w != "header"]
-    noise = parent.noise or name in NOISE_ELEMENTS or not NOISE_WORDS.isdisjoint(named)
-    content = parent.content or name in CONTENT_ELEMENTS and not noise
-    leaf = name in INLINE or name in LEAVES
-    special = noise or not leaf and (content or bool(named) or name in ("td", "table", "ul", "ol", "section"))
-    if noise and parent.noise or not special:
-        kind = parent.kind
-    else:
-        kind = ".".join([name, *named[:3]])
-    return Element(name, kind, noise, content)
+        given = [g for g in given if "header" not in PARTS.findall(g)]
+    inside = parent.article is not None
+    noise = parent.noise or parent.silent > 0 or name in NOISE_ELEMENTS or names_noise(given) or inside and (name == "article" and parent.article.name == name or any(map(noisy, given)))
+    content = inside or name in CONTENT_ELEMENTS and not noise
+    special = noise or name not in INLINE and name not in LEAVES and (content or bool(named) or name in ("td", "table", "ul", "ol", "section"))
+    kind = parent.kind if noise and parent.noise or not special else ".".join([name, *named[:3]])
+    out = Element(name, kind, noise, content, (*given, *parent.names)[:NAMES], parent.article)
+    if content and not inside:
+        out.article = out
+    return out
 
 
 def bucket(feature: str, p: Params) -> int:
@@ -166,10 +299,10 @@ def bucket(feature: str, p: Params) -> int:
 
 def count_features(pages: DataFrame, html_col: str, p: Params) -> DataFrame:
     """How often each feature, by bucket, stands in and outside the marked articles of labelled
-    pages; ``tags`` tells how often as a tag."""
+    pages; ``tags`` and ``classes`` tell how often as a tag, and as a class of what stands around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((3, p.buckets), np.int64)
+        sums = np.zeros((4, p.buckets), np.int64)
         for batch in batches:
             for raw in raw_texts(batch.column(0)):
                 page = read_page(raw.decode("utf-8", "replace"))
@@ -179,32 +312,40 @@ def count_features(pages: DataFrame, html_col: str, p: Params) -> DataFrame:
                         sums[0 if piece.labelled else 1, at] += n
                         if not piece.text:
                             sums[2, at] += n
+                        for name in set(piece.names):
+                            at = bucket(f"class {name}", p)
+                            sums[0 if piece.content else 1, at] += n
+                            sums[3, at] += n
         some = np.flatnonzero(sums[0] + sums[1])
-        columns = [some.astype(np.int32), *(sums[k, some] for k in range(3))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "inside", "outside", "tags"])
+        columns = [some.astype(np.int32), *(sums[k, some] for k in range(4))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "inside", "outside", "tags", "classes"])
 
     small_batches(pages.sparkSession, 128)
-    counted = pages.select(html_col).mapInArrow(run, "bucket int, inside long, outside long, tags long")
-    return counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("inside", "outside", "tags")))
+    counted = pages.select(html_col).mapInArrow(run, "bucket int, inside long, outside long, tags long, classes long")
+    return counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("inside", "outside", "tags", "classes")))
 
 
 def fit(pages: DataFrame, html_col: str = "html", p: Params = Params()) -> dict[int, float]:
     """Weights by bucket: log odds of a feature in an article, made positive for words that may
-    be content and negative for tags.  Without labelled pages there are none, and
+    be content and negative for tags, and for the classes of elements.  Without labelled pages there are none, and
     :func:`extract` falls back on the fixed ones of :class:`Params`.  The driver reads at most
     ``buckets`` rows of sums."""
     rows = count_features(pages, html_col, p).toArrow()
-    at, inside, outside, tags = (rows[c].to_numpy() for c in rows.column_names)
+    at, inside, outside, tags, classes = (rows[c].to_numpy() for c in rows.column_names)
     odds = np.log((inside + p.smoothing) / (inside.sum() + p.smoothing)) - np.log((outside + p.smoothing) / (outside.sum() + p.smoothing))
     tag = 2 * tags > inside + outside
+    named = 2 * classes > inside + outside
+    known = np.where(inside + outside >= p.least_words, odds, 0.0)
     weight = np.where(tag, np.clip(odds, -p.most, p.least_tag), np.clip(odds, p.noise_word, p.most))
+    weight = np.where(named, known, weight)
     return dict(zip(at.tolist(), weight.tolist(), strict=True))
 
 
-def score(piece: Piece, weights: dict[int, float], p: Params) -> float:
+def score(piece: Piece, weights: dict[int, float], p: Params, marked: bool) -> float:
+    """A piece's score; ``marked`` if the page has its article marked, outside of which no word is content."""
     at = bucket(piece.feature, p)
     if piece.text:
-        if piece.noise:
+        if piece.noise or marked and not piece.content:
             # Inside an article it is skipped either way and must not cut the article in two.
             return 0.0 if piece.content else piece.words * min(p.noise_word, weights.get(at, p.noise_word))
         return piece.words * weights.get(at, p.word)
@@ -226,8 +367,9 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 
 def main_text(source: str, weights: dict[int, float], p: Params = Params()) -> str:
     """The main text of one page: blocks in order, white space as single spaces."""
-    pieces = read_page(source).pieces
-    low, high = best_stretch([score(x, weights, p) for x in pieces])
+    page = read_page(source, lambda name: weights.get(bucket(f"class {name}", p), 0.0) <= p.noise_class)
+    pieces = page.pieces
+    low, high = best_stretch([score(x, weights, p, page.labelled) for x in pieces])
     parts = []
     for piece in pieces[low:high]:
         if piece.block:

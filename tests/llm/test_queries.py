@@ -50,6 +50,7 @@ def sf_dir(tmp_path_factory) -> str:
     write("documents", ["doc_id", "text", "lang", "source", "n_chars"], docs, [i, s, s, s, i])
     write("labels", ["doc_id", "quality", "toxic"], labels, [i, pa.int32(), pa.int32()])
     write("pages", ["page_id", "url", "html"], [(k, f"http://h{k % 5}.x.org/en/{k}", f"<nav>menu {k}</nav><article><p>Body {k} is here</p></article>") for k in range(40)], [i, s, s])
+    write("conversations", ["conv_id", "turn", "role", "text"], [(k // 4, k % 4, ("user", "assistant")[k % 2], f"Turn {k}.") for k in range(80)], [i, i, s, s])
     vectors = np.random.default_rng(1).standard_normal((60, 16)).astype(np.float32)
     vectors[30:40] = vectors[:10] * 2
     write("embeddings", ["vec_id", "embedding", "label"], [(k, v.tolist(), 0) for k, v in enumerate(vectors)], [i, pa.list_(pa.float32()), pa.int32()])
@@ -62,7 +63,7 @@ def documents(spark, sf_dir) -> dict[int, str]:
 
 def test_entry_adds_all_queries():
     found = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in found} and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in found} and "pipeline" in found
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +53,20 @@ def usable(vector: str) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-@lru_cache(64)
+#: Rotations by dimension that this process has made, the last one only.  A plain table: a
+#: function wrapped in a cache would travel to workers by name, and they may not have the package.
+_rotations: dict[int, np.ndarray] = {}
+
+
 def rotation(dim: int) -> np.ndarray:
     """``dim`` orthonormal columns in at least BITS dimensions, whole words of 64."""
-    rows = max(BITS, -(-dim // 64) * 64)
-    q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((rows, dim)))
-    return q * np.sign(np.diag(r))
+    known = _rotations.get(dim)
+    if known is None:
+        rows = max(BITS, -(-dim // 64) * 64)
+        q, r = np.linalg.qr(np.random.default_rng([SEED, dim]).standard_normal((rows, dim)))
+        _rotations.clear()
+        known = _rotations[dim] = q * np.sign(np.diag(r))
+    return known
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -88,19 +95,25 @@ def furthest(share: float, size: int) -> int:
     return math.ceil(size * share + ERRORS * math.sqrt(size * share * (1 - share)))
 
 
-@lru_cache(64)
+#: Chances by threshold and directions that the driver has tried out.
+_together: dict[tuple[float, int], float] = {}
+
+
 def together(threshold: float, lanes: int) -> float:
     """Chance that two vectors at the threshold follow or oppose the same one of so many
     random directions most, found by trials with a fixed seed: the two vectors' products with
     the directions are pairs of normal numbers with the threshold as correlation.  Two standard
     errors are taken off."""
+    if (threshold, lanes) in _together:
+        return _together[threshold, lanes]
     rng = np.random.default_rng([SEED, lanes])
     same = 0
     for _ in range(TRIALS // 10_000):
         x, z = rng.standard_normal((2, 10_000, lanes))
         same += int((_follow(x) == _follow(threshold * x + math.sqrt(1 - threshold**2) * z)).sum())
     p = same / TRIALS
-    return p - 2 * math.sqrt(p * (1 - p) / TRIALS)
+    _together[threshold, lanes] = p - 2 * math.sqrt(p * (1 - p) / TRIALS)
+    return _together[threshold, lanes]
 
 
 def _follow(products: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facts, parse
 from ..sources.store import store
+from . import alignment
 from .ordered import CHUNK, Scan
 from .sequence import carry_forward, timed
 
@@ -185,7 +186,8 @@ def evidence(findings: DataFrame, lines: DataFrame, k: int = 3) -> DataFrame:
 
 
 def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """How often each text stands in either of two logs; moved lines count as equal.
+    """How often each text stands in either of two logs, wherever; for an order-keeping
+    comparison see :func:`diff_hunks`.
 
     The n-th occurrence of a text on one side pairs with the n-th on the other, so counts
     tell all: equal is the smaller one, the rest is removed or added.
@@ -196,48 +198,14 @@ def line_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def diff_hunks(left: DataFrame, right: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Runs of lines of one log against another: ``(file, kind, start_line, lines, other_start)``, kind
-    being equal, removed or modified for lines of the left log and added for lines of the right one.
-
-    The n-th occurrence of a text on one side pairs with the n-th on the other (files of both
-    sides compared as they are numbered), so moved lines count as equal.  A run is consecutive
-    lines of one kind whose partners are consecutive too.  A removed run that stands where an
-    added one does, between the same equal lines, is modified, and the added one goes with it.
+    """Runs of lines of one log against another, file by file and in order: ``(file, kind, start_line, lines,
+    other_start)``, kind being equal, removed or modified for lines of the left log and added for lines of
+    the right one.  Lines are told by their places in their files; see :func:`alignment.hunks`.
     """
-    numbered = {n: store(_occurrences(x, chunk), "occurrences") for n, x in (("l", left), ("r", right))}
-    sides = {}
-    for n, other in (("l", "r"), ("r", "l")):
-        theirs = numbered[other].select("_text", "_occ", F.col("line_no").alias("_other"))
-        both = numbered[n].join(theirs, ["_text", "_occ"], "left")
-        state = F.when(F.col("_other").isNull(), "alone").otherwise((F.col("_other") - F.col("line_no")).cast("string"))
-        sides[n] = both.select("file", "line_no", "_other", state.alias("_state"))
-    runs = {n: store(_runs_of(x, chunk), "runs") for n, x in sides.items()}
-    # where a lone run stands: behind which line of the other side
-    placed = {n: Scan(r.withColumn("_end", F.when(F.col("_state") != "alone", F.col("_last_other"))), order="start_line", chunk=chunk).last_known("_end", "_after") for n, r in runs.items()}
-    gone = placed["l"].where("_state = 'alone'").select("file", "start_line", "lines", (F.coalesce("_after", F.lit(-1)) + 1).alias("other_start"))
-    new = placed["r"].where("_state = 'alone'").select("file", "start_line", "lines", (F.coalesce("_after", F.lit(-1)) + 1).alias("other_start"))
-    pairs = gone.select(F.col("start_line").alias("_l"), F.col("other_start").alias("_r")).join(new.select(F.col("start_line").alias("_r"), F.col("other_start").alias("_l"), F.lit(True).alias("_both")), ["_l", "_r"])
-    removed = gone.join(pairs.select(F.col("_l").alias("start_line"), "_both"), "start_line", "left").select("file", F.when(F.col("_both"), "modified").otherwise("removed").alias("kind"), "start_line", "lines", "other_start")
-    added = new.join(pairs.select(F.col("_r").alias("start_line"), "_both"), "start_line", "left").where("_both is null").select("file", F.lit("added").alias("kind"), "start_line", "lines", "other_start")
-    equal = runs["l"].where("_state != 'alone'").select("file", F.lit("equal").alias("kind"), "start_line", "lines", F.col("_first_other").alias("other_start"))
-    return equal.unionByName(removed).unionByName(added)
-
-
-def _occurrences(lines: DataFrame, chunk: int) -> DataFrame:
-    """Lines with their text's hash and how many times it came before."""
-    rows = lines.select("file", "line_no", F.xxhash64("text").alias("_text"))
-    return Scan(rows, by=("_text",), chunk=chunk, tie=("file",)).number("_occ")
-
-
-def _runs_of(rows: DataFrame, chunk: int) -> DataFrame:
-    """Consecutive lines of one state as start, number of lines, and the first and last partner."""
-    here = rows.withColumn("_at", F.struct("line_no", "_state"))
-    before = Scan(here, chunk=chunk).lag("_at", "_prev")
-    same = (F.col("_prev.line_no") == F.col("line_no") - 1) & (F.col("_prev._state") == F.col("_state"))
-    island = Scan(before.withColumn("_new", (~F.coalesce(same, F.lit(False))).cast("long")), chunk=chunk).running_sum("_new", "_island")
-    return island.groupBy("file", "_island", "_state").agg(
-        F.min("line_no").alias("start_line"), F.count(F.lit(1)).alias("lines"), F.min("_other").alias("_first_other"), F.max("_other").alias("_last_other")
-    ).drop("_island")
+    new = F.col("kind") == "added"
+    pick = lambda a, b: F.when(new, F.col(a)).otherwise(F.col(b))
+    found = alignment.hunks(left, right, chunk)
+    return found.select("file", "kind", pick("right_start", "left_start").alias("start_line"), pick("right_lines", "left_lines").alias("lines"), pick("left_start", "right_start").alias("other_start"))
 
 
 def align_clock(rows: DataFrame, low_ms: int, high_ms: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import extend, investigate, profile, proximity, recipes, search, sequence, trend
+from ..operators import alignment, extend, investigate, profile, proximity, recipes, search, sequence, trend
 from ..operators.ordered import CHUNK
 from ..sources.views import D, L, document_lines, event_log, parsed_log, table
 from .base import query
@@ -156,6 +156,24 @@ def j14_hunks(spark, sf):
     return proximity.diff_hunks(side(1, "l"), side(3, "r"), CHUNK)
 
 
+@query("j14_hunks_of_files", """WITH N AS (SELECT 'host' || (user_id % 4) AS file, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id % 4) AS c FROM events),
+I AS (SELECT file, 2 * n AS k, CASE WHEN n % 50 = 10 AND c > n + 3 OR n % 50 = 20 THEN 'removed' WHEN n % 50 = 30 THEN 'modified' ELSE 'equal' END AS kind, 1 AS l, CASE WHEN n % 50 = 10 AND c > n + 3 OR n % 50 = 20 THEN 0 ELSE 1 END AS r FROM N
+  UNION ALL SELECT file, 2 * n + 7, 'added', 0, 1 FROM N WHERE n % 50 = 10 AND c > n + 3 UNION ALL SELECT file, 2 * n + 1, 'added', 0, 1 FROM N WHERE n % 50 = 40),
+S AS (SELECT *, coalesce(kind <> lag(kind) OVER w, true) AS fresh, sum(l) OVER w - l AS a, sum(r) OVER w - r AS b FROM I WINDOW w AS (PARTITION BY file ORDER BY k ROWS UNBOUNDED PRECEDING)),
+R AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY file ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM S)
+SELECT file, any_value(kind) AS kind, CAST(min(a) AS BIGINT) AS left_start, CAST(sum(l) AS BIGINT) AS left_lines, CAST(min(b) AS BIGINT) AS right_start, CAST(sum(r) AS BIGINT) AS right_lines FROM R GROUP BY file, run""")
+def j14_files(spark, sf):
+    """The log of four hosts against one where of fifty lines one moved three places on, one is gone, one differs and one is new."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("host"), F.col("user_id") % 4).alias("file"), F.col("event_id").alias("line_no"), F.concat(F.lit("e"), F.col("event_id")).alias("text"))
+    left = sequence.display_index(e, CHUNK).select("file", F.col("display_index").alias("line_no"), "text")
+    place, moved = F.col("line_no") % 50, (F.col("line_no") % 50 == 10) & (F.col("c") > F.col("line_no") + 3)
+    known = left.join(left.groupBy("file").agg(F.count(F.lit(1)).alias("c")), "file").where(place != 20)
+    there = F.struct((2 * F.col("line_no") + F.when(moved, 7).otherwise(0)).alias("line_no"), F.when(place == 30, F.concat("text", F.lit("~"))).otherwise(F.col("text")).alias("text"))
+    new = F.when(place == 40, F.struct((2 * F.col("line_no") + 1).alias("line_no"), F.concat(F.lit("new"), "text").alias("text")))
+    right = known.select("file", F.explode(F.filter(F.array(there, new), lambda x: x.isNotNull())).alias("x")).select("file", "x.*")
+    return alignment.hunks(left, right, CHUNK)
+
+
 @query("j15_align_clock", "SELECT 'dev' || (event_id % 4) AS file, event_id AS line_no, user_id * 100 + event_id + min_by(epoch_ms(date_trunc('milliseconds', ts)) - event_id * 7, event_id) OVER (PARTITION BY event_id % 4) AS wall_ms FROM events")
 def j15(spark, sf):
     e = table(spark, sf, "events")

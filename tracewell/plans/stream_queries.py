@@ -8,7 +8,7 @@ from ..functions import parse
 from ..operators import search
 from ..sources import readers, sinks
 from ..sources.views import L, event_log, event_lines
-from ..streaming import live, run
+from ..streaming import live, run, timers
 from .base import query
 
 
@@ -84,6 +84,42 @@ def t6(spark, sf):
     return rows.select("source", F.col("ts").cast("timestamp_ntz").alias("ts"), "interval", "missing")
 
 
+#: What the watermark has passed when the stream ends: a minute behind the last line.
+CLOSED = HOSTS + ", C AS (SELECT * FROM S WHERE ms <= (SELECT max(ms) - 60000 FROM S)) "
+
+
+def still_open(rows, key: str, opened: str, closed: str):
+    """Without what was open for a while: an open row stays only if no later line closed it."""
+    ends = rows.where(F.col("kind") == closed).select("source", F.col(key).alias("_from"))
+    same = (rows["source"] == ends["source"]) & (rows[key] == ends["_from"]) & (rows["kind"] == opened)
+    return rows.join(ends, same, "left_anti")
+
+
+@query("t4_silences_by_timer", CLOSED + """, G AS (SELECT source, 'closed' AS kind, lag(ts) OVER w AS from_ts, ts AS to_ts, (ms - lag(ms) OVER w) / 1000.0 AS gap_seconds FROM C WINDOW w AS (PARTITION BY source ORDER BY ms, event))
+SELECT * FROM G WHERE gap_seconds >= 1200 UNION ALL SELECT source, 'open', max(ts), NULL, NULL FROM C GROUP BY source HAVING max(ms) + 1200000 <= (SELECT max(ms) - 60000 FROM S)""")
+def t4_timer(spark, sf):
+    rows = run.finish(timers.silences(arrivals(spark, sf), 1200), "silences")
+    rows = still_open(rows, "from_ts", "open", "closed")
+    return rows.select("source", "kind", F.col("from_ts").cast("timestamp_ntz").alias("from_ts"), F.col("to_ts").cast("timestamp_ntz").alias("to_ts"), "gap_seconds")
+
+
+@query("t5_changes_by_timer", CLOSED + ", R AS (SELECT source, ts, lag(event) OVER w AS from_value, event AS to_value FROM C WINDOW w AS (PARTITION BY source ORDER BY ms, event)) SELECT * FROM R WHERE from_value <> to_value")
+def t5_timer(spark, sf):
+    rows = run.finish(timers.changes(arrivals(spark, sf), "event"), "changes")
+    return rows.select("source", F.col("ts").cast("timestamp_ntz").alias("ts"), "from_value", "to_value")
+
+
+@query("t6_beats_by_timer", HOSTS + """, C AS (SELECT * FROM S WHERE event = 'purchase' AND ms <= (SELECT max(ms) - 60000 FROM S)),
+R AS (SELECT source, ts, (ms - lag(ms) OVER w) / 1000.0 AS d FROM C WINDOW w AS (PARTITION BY source ORDER BY ms))
+SELECT source, 'late' AS kind, ts, d AS interval, greatest(1, CAST(floor(d / 1200 + 0.5) AS BIGINT) - 1) AS missing FROM R WHERE d >= 1800
+UNION ALL SELECT source, 'silent', max(ts), NULL, NULL FROM C GROUP BY source HAVING max(ms) + 1800000 <= (SELECT max(ms) - 60000 FROM S)""")
+def t6_timer(spark, sf):
+    rows = run.finish(timers.heartbeats(arrivals(spark, sf), "event=purchase", 1200), "beats")
+    last = rows.where("kind = 'late'").groupBy("source").agg(F.max("ts").alias("_last"))
+    rows = rows.join(last, "source", "left").where("kind = 'late' or _last is null or ts >= _last")
+    return rows.select("source", "kind", F.col("ts").cast("timestamp_ntz").alias("ts"), "interval", "missing")
+
+
 @query("t2_live_crashes", HOSTS + "SELECT source, ts, text, crash AS keyword FROM S WHERE crash IS NOT NULL")
 def t2_crashes(spark, sf):
     rows = run.finish(live.live_crashes(arrivals(spark, sf)), "crashes")

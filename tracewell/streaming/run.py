@@ -54,8 +54,10 @@ def start_detector(stream: DataFrame, detector: Detector, out: str, kept: str, c
 
     def step(rows: DataFrame, number: int) -> None:
         spark, before = rows.sparkSession, None
-        where, files = file_system(spark, f"{kept}/{number - 1}")
-        if number and files.exists(where):
+        if number:
+            where, files = file_system(spark, f"{kept}/{number - 1}")
+            if not files.exists(where):
+                raise FileNotFoundError(f"micro-batch {number} finds nothing that the one before handed on below {kept}")
             before = spark.read.parquet(f"{kept}/{number - 1}")
         rows = rows.persist(StorageLevel.DISK_ONLY)  # read twice; lost blocks are read from the source again
         found, carry = detector(rows, before)
@@ -79,7 +81,7 @@ def detect(stream: DataFrame, detector: Detector, name: str) -> DataFrame:
 
 def arrive(rows: DataFrame, order: str, times: int, name: str) -> DataFrame:
     """Rows as a stream of so many arrivals, in the order of a column: ranges of it are written
-    one after the other, and each is a micro-batch."""
+    one after the other as one file each, and each is a micro-batch.  It stages the queries of live verbs."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
     shares = [k / times for k in range(1, times)]
     bounds = (rows.agg(F.percentile_approx(order, shares)).first()[0] or []) if shares else []

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import facts, parse
-from . import profile, sequence, trend
+from . import library, profile, sequence, trend
 from .search import KEY
 
 ANALYZERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
@@ -24,15 +24,9 @@ def analyze(lines: DataFrame, name: str) -> DataFrame:
     return ANALYZERS[name](lines)
 
 
-def search_library(lines: DataFrame, patterns: DataFrame, most: int = 1000) -> DataFrame:
-    """Lines by the patterns of a table ``(pattern_id, pattern)``; the table, a library that people
-    keep, is read on the driver, at most ``most`` of it, so that one scan tests all patterns."""
-    rows = patterns.select("pattern_id", "pattern").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} patterns")
-    from .search import search_batch
-
-    return search_batch(lines, {r["pattern_id"]: r["pattern"] for r in rows})
+def search_library(lines: DataFrame, patterns: DataFrame, case: bool = True) -> DataFrame:
+    """Lines by the patterns of a table ``(pattern_id, pattern)``, of any size; see :mod:`library`."""
+    return library.search_library(lines, patterns, case)
 
 
 def register_views(spark: SparkSession, lines: DataFrame, prefix: str = "log") -> None:

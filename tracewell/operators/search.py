@@ -50,7 +50,8 @@ BEGIN, END = "\uf8f0", "\uf8f1"
 def search_all(lines: DataFrame, pattern: str, **how) -> DataFrame:
     """Every hit that is not empty: 0-based column and length, in characters.
 
-    Hits are put between marks; the pieces of the marked text then give all places.
+    Hits are put between marks; the pieces of the marked text then give all places.  The marks
+    themselves, U+F8F0 and U+F8F1, count as spaces where a text holds them.
     """
     p = compile_pattern(pattern, **how)
     if p is None:
@@ -182,8 +183,12 @@ def filter_advanced(lines: DataFrame, groups: list[dict]) -> DataFrame:
 
 
 def filter_column(lines: DataFrame, index: int, value: str, how: str = "equals", delimiter: str = " ") -> DataFrame:
+    """Lines by one column's cell: ``equals``, ``contains`` or ``regex``; an invalid pattern matches nothing."""
     cell = F.coalesce(F.get(parse.split_columns("text", delimiter), F.lit(index)), F.lit(""))
-    return lines.where({"equals": cell == value, "contains": F.contains(cell, F.lit(value)), "regex": cell.rlike(value)}[how])
+    if how == "regex":
+        p = compile_pattern(value, regex=True)
+        return lines.where(cell.rlike(p) if p is not None else F.lit(False))
+    return lines.where({"equals": cell == value, "contains": F.contains(cell, F.lit(value))}[how])
 
 
 def scope_range(lines: DataFrame, start: int, end: int) -> DataFrame:
@@ -242,11 +247,13 @@ def mute(lines: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def pattern_match_rate(lines: DataFrame, pattern: str, head: int | None = None) -> DataFrame:
-    """How many of the non-blank lines, or of those among the first ``head``, a pattern matches."""
+    """How many of the non-blank lines, or of those among the first ``head``, a pattern matches; an invalid
+    pattern matches none."""
     some = lines.where(F.trim("text") != "")
     if head is not None:
         some = some.where(F.col("line_no") < head)
-    hit = F.col("text").rlike(pattern).cast("long")
+    p = compile_pattern(pattern, regex=True)
+    hit = (F.col("text").rlike(p) if p is not None else F.lit(False)).cast("long")
     return some.groupBy("file").agg(F.sum(hit).alias("matched"), F.count(F.lit(1)).alias("scanned"), F.round(F.avg(hit), 6).alias("rate"))
 
 

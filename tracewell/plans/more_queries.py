@@ -879,6 +879,19 @@ def u3(spark, sf):
     return extend.search_library(lines, library).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("u3_pattern_library", L + r""", U AS (SELECT line_no, CAST(regexp_extract(text, 'user_id=(\d+)', 1) AS BIGINT) AS u FROM L),
+X AS (SELECT p_partkey AS k, line_no FROM part JOIN U ON u = p_partkey WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, line_no FROM part JOIN U ON u IN (p_partkey, p_partkey + 7) WHERE p_partkey % 3 = 1)
+SELECT CAST(k AS VARCHAR) AS pattern_id, count(*) AS lines, min(line_no) AS first_line FROM X GROUP BY k""")
+def u3_parts(spark, sf):
+    """A pattern for each part: a user's number, either of two users, and no valid one."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_partkey")
+    either = F.concat(F.lit("USER_ID=(?:"), k, F.lit("|"), (n + 7).cast("string"), F.lit(") "))
+    pattern = F.when(n % 3 == 0, F.concat(F.lit("user_id="), k, F.lit(r"\b"))).when(n % 3 == 1, either).otherwise(F.concat(F.lit("user_id=("), k))
+    patterns = table(spark, sf, "part").select(k.alias("pattern_id"), pattern.alias("pattern"))
+    found = extend.search_library(event_log(spark, sf), patterns, case=False)
+    return found.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"))
+
+
 @query("u4_sql_views", GAPS + "SELECT 'gaps' AS view, count(*) AS n FROM G WHERE gap_seconds >= 30 UNION ALL SELECT 'crashes', count(crash) FROM L UNION ALL SELECT 'components', count(DISTINCT component) FROM L UNION ALL SELECT 'fatal lines', count(*) FROM L WHERE level = 'fatal'")
 def u4(spark, sf):
     extend.register_views(spark, parsed_log(spark, sf), "u4")

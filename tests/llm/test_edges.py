@@ -73,3 +73,23 @@ def test_vectors_with_clashing_names_and_very_long_ones(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, " + names)
     got = {r.id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df, "vec_id", "embedding").collect()}
     assert got == {k: (1, k % 3) for k in range(6)}
+
+
+def test_the_sample_is_bounded_by_its_features(spark, monkeypatch):
+    seen = []
+    descend = quality._descend
+    monkeypatch.setattr(quality, "_descend", lambda ids, *rest: seen.append(sum(map(len, ids))) or descend(ids, *rest))
+    rows = [(k, " ".join(f"word{k}x{j}" for j in range(60)), k % 2) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    for features in (20_000_000, 5_000):
+        quality.fit(docs, "doc_id", "text", "quality", quality.Params(buckets=1 << 12, epochs=1, features=features))
+    assert seen[0] > 20_000 and 3_000 < seen[1] <= 5_000
+
+
+def test_very_many_equal_rows_give_each_surrounding_once(spark):
+    from tracewell.llm import substrings
+
+    passage = "".join(chr(97 + (k * k) % 23) for k in range(450))
+    rows = [(1, "start " + passage + " end")] * 300 + [(k, f"{k} " * 9 + passage + f" {k}") for k in range(2, 12)] + [(20, "else")]
+    got = {r.doc_id: r.n_removed for r in substrings.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20] == 0 and got[1] == len(rows[0][1]) and all(450 <= got[k] <= 453 for k in range(2, 12))

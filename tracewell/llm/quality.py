@@ -26,13 +26,15 @@ MEMO_WORDS = 200_000
 class Params:
     """``rows_per_class`` and ``row_chars`` bound the training sample: of each class, that
     many different labelled rows with the least hash of key and text, of the keys with the least
-    hash, among rows of at most so many characters.  ``buckets`` bounds what one row of it can weigh."""
+    hash, among rows of at most so many characters.  ``buckets`` bounds what one row of it can weigh,
+    and ``features`` what all do: rows are taken in order of their hash until it is reached (eight bytes each on the driver)."""
 
     buckets: int = 1 << 16
     dim: int = 16
     sizes: tuple[int, ...] = (2, 3, 4)
     rows_per_class: int = 2000
     row_chars: int = 50_000
+    features: int = 20_000_000
     epochs: int = 6
     rate: float = 0.5
     seed: int = 1
@@ -184,11 +186,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, p: Params =
             ).append_column("label", batch.column(1))
 
     small_batches(docs.sparkSession)
-    sample = (
-        picked.select("h", "label", "text")
-        .mapInArrow(bags, "h long, ids array<int>, times array<int>, label int")
-        .toArrow()
-    )
+    bagged = materialize(picked.select("h", "label", "text").mapInArrow(bags, "h long, ids array<int>, times array<int>, label int"), "sample")
+    sizes = bagged.select("h", "label", F.size("ids").alias("n")).toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
+    within = int((np.cumsum(sizes["n"].to_numpy()) <= p.features).sum())
+    if within < sizes.num_rows:  # rows in order of their hash, as many as the bound on features lets in
+        last = sizes["h"][within].as_py()
+        few_rows = bagged.where(F.col("h") < last)
+    else:
+        few_rows = bagged
+    sample = few_rows.toArrow()
+    discard(bagged)
     order = np.argsort(sample["h"].to_numpy(), kind="stable")
     ids, times = (_lists(sample[c], order) for c in ("ids", "times"))
     label = sample["label"].to_numpy()[order]

@@ -347,6 +347,8 @@ def repeated_spans(docs: DataFrame, w: Widths = Widths()) -> DataFrame:
     )
     cut = docs.select("a", "b", "text").join(wanted, ["a", "b"]).select("text", "wanted")
     cut = cut.mapInArrow(cut_surroundings, "h long, g long, hot boolean, left binary, right binary")
+    if docs.groupBy("a", "b").count().where("count > 1").head(1):  # rows that repeat give each kind once
+        cut = cut.dropDuplicates(["h", "g"])
     groups, covers, tables = [], [], []
     if hot.head(1):
         cut = materialize(cut, "cut")

@@ -14,7 +14,7 @@ def test_density_covers_all_days(spark):
     got = {r.minute: r.lines for r in profile.minute_density(lines).collect()}
     assert got == dict.fromkeys(range(2882), 0) | {0: 1, 2: 1, 2881: 2}
     assert {r.minute for r in profile.minute_density(lines, most=3).collect()} == {0, 1, 2}
-    assert sum(profile.fingerprint(lines).first().density) == 4
+    assert sum(x.lines for x in profile.fingerprint(lines).first().density) == 4
 
 
 def test_a_burst_on_a_later_day_is_found(spark):

@@ -109,16 +109,21 @@ def minute_density(lines: DataFrame, most: int | None = None) -> DataFrame:
 
     Lines are counted by second in one pass; the first line's second shifts these sums.
     """
+    counts = busy_minutes(lines, most)
+    # by days first, as one wrong year makes millions of minutes
+    days = counts.groupBy("file").agg(F.max("minute").alias("_m")).select("file", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_m") / 1440))).alias("_d"))
+    span = days.select("file", F.explode(F.sequence(F.col("_d") * 1440, F.least("_m", F.col("_d") * 1440 + 1439))).alias("minute"), F.lit(0).cast("long").alias("lines"))
+    return counts.unionByName(span).groupBy("file", "minute").agg(F.sum("lines").alias("lines"))
+
+
+def busy_minutes(lines: DataFrame, most: int | None = None) -> DataFrame:
+    """:func:`minute_density` without the minutes that have no line."""
     seconds = F.unix_seconds(parse.parse_ts_seconds("text").cast("timestamp")).alias("s")
     by_second = lines.select("file", "line_no", seconds).where("s is not null").groupBy("file", "s").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("line_no"))
     start = by_second.groupBy("file").agg(F.min_by("s", "line_no").alias("_t0"))
     minute = F.floor((F.col("s") - F.col("_t0")) / 60).cast("long")
     kept = F.col("minute") >= 0 if most is None else F.col("minute").between(0, most - 1)
-    counts = by_second.join(start, "file").withColumn("minute", minute).where(kept).groupBy("file", "minute").agg(F.sum("n").alias("lines"))
-    # by days first, as one wrong year makes millions of minutes
-    days = counts.groupBy("file").agg(F.max("minute").alias("_m")).select("file", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_m") / 1440))).alias("_d"))
-    span = days.select("file", F.explode(F.sequence(F.col("_d") * 1440, F.least("_m", F.col("_d") * 1440 + 1439))).alias("minute"), F.lit(0).cast("long").alias("lines"))
-    return counts.unionByName(span).groupBy("file", "minute").agg(F.sum("lines").alias("lines"))
+    return by_second.join(start, "file").withColumn("minute", minute).where(kept).groupBy("file", "minute").agg(F.sum("n").alias("lines"))
 
 
 def component_counts(lines: DataFrame) -> DataFrame:
@@ -151,8 +156,8 @@ def _of(tallied: DataFrame, when: Column) -> Column:
 
 
 def fingerprint(lines: DataFrame, samples: int = 5) -> DataFrame:
-    """One row for each file: total, levels, components, failing ones, crash words, density, and
-    the first lines of errors and crashes as samples."""
+    """One row for each file: total, levels, components, failing ones, crash words, density
+    (``minutes`` in all, and those that have lines), and the first lines of errors and crashes as samples."""
     as_map = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
     seen = tallies(lines)
     bad = F.col("level").isin("error", "fatal")
@@ -162,7 +167,7 @@ def fingerprint(lines: DataFrame, samples: int = 5) -> DataFrame:
     named = seen.where("component is not null").groupBy("file", "component").agg(_of(seen, bad).alias("errors"))
     failing = named.where("errors > 0").groupBy("file").agg(as_map("component", "errors").alias("failing"))
     parts = component_counts(lines).groupBy("file").agg(as_map("component", "lines").alias("components"))
-    density = minute_density(lines).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("minute", "lines"))), lambda x: x["lines"]).alias("density"))
+    density = busy_minutes(lines).groupBy("file").agg((F.max("minute") + 1).alias("minutes"), F.array_sort(F.collect_list(F.struct("minute", "lines"))).alias("density"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy("first_line"))
     shown = seen.where(bad | F.col("crash").isNotNull()).withColumn("_r", rank).where(F.col("_r") <= samples).groupBy("file").agg(F.array_sort(F.collect_list("first_line")).alias("samples"))
     out = total

@@ -11,6 +11,7 @@ from ..functions import facts, parse
 from ..sources.store import store
 from . import alignment
 from .ordered import CHUNK, Scan
+from .quantiles import middles
 from .sequence import carry_forward, timed
 
 KEY = ["file", "line_no"]
@@ -54,13 +55,39 @@ def context_search(lines: DataFrame, must: dict[str, str], clues: dict[str, tupl
     )
 
 
-def context_search_time(lines: DataFrame, must: str, clue: str, window_ms: int) -> DataFrame:
-    """Anchors and clues at most ``window_ms`` apart in time."""
-    rows = timed(lines)
-    a = rows.where(F.contains("text", F.lit(must))).select(*KEY, "ms")
-    b = rows.where(F.contains("text", F.lit(clue))).select("file", F.col("line_no").alias("clue_line"), F.col("ms").alias("other_ms"))
-    pairs = near_join(a, b, window_ms, order="ms").where("line_no != clue_line")
-    return pairs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("score"), F.min(F.abs(F.col("ms") - F.col("other_ms"))).alias("nearest_ms"))
+#: Times of one file within so many milliseconds make a chunk of an ordered scan.
+CHUNK_MS = 3_600_000
+
+
+def context_search_time(lines: DataFrame, must: str, clue: str, window_ms: int, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Anchors with how many clues (not on their own line) stand at most ``window_ms`` apart in time, and the
+    nearest one's distance; anchors without any are left out.
+
+    No pairs are made: a count is the difference of two running counts of clues, and the nearest
+    clue stands next to the anchor's time in order.  Both are asked once for each time, so a burst
+    of lines of one time is one row.
+    """
+    known = timed(lines).select(*KEY, "ms", F.contains("text", F.lit(must)).alias("_must"), F.contains("text", F.lit(clue)).alias("_clue")).where("_must or _clue")
+    known = store(known, "timed")
+    anchors = known.where("_must").select(*KEY, "ms", F.col("_clue").cast("long").alias("_own"))
+    clues = known.where("_clue").groupBy("file", "ms").agg(F.count(F.lit(1)).alias("_n"))
+    asked = anchors.select("file", "ms").distinct()
+    none = F.lit(0).cast("long")
+
+    at = lambda rows, ms, kind, n: rows.select("file", F.col("ms").alias("_for"), ms.alias("_t"), F.lit(kind).alias("_kind"), n.alias("_n"))
+    points = at(clues, F.col("ms"), 0, F.col("_n")).unionByName(at(asked, F.col("ms") - window_ms, -1, none)).unionByName(at(asked, F.col("ms") + window_ms, 1, none))
+    counted = Scan(points, order="_t", chunk=chunk_ms, tie=("_kind", "_for")).running_sum("_n", "_upto").where("_kind <> 0")
+    counts = counted.groupBy("file", F.col("_for").alias("ms")).agg(F.sum(F.col("_upto") * F.col("_kind")).alias("_within"))
+
+    beside = Scan(clues.withColumn("_neg", -F.col("ms")), order="_neg", chunk=chunk_ms).lag("ms", "_next")
+    beside = Scan(beside.drop("_neg"), order="ms", chunk=chunk_ms).lag("ms", "_prev").withColumn("_c", F.struct("ms", "_n", "_prev", "_next"))
+    rows = beside.select("file", "ms", "_c", F.lit(0).alias("_kind")).unionByName(asked.select("file", "ms", F.lit(None).alias("_c"), F.lit(1).alias("_kind")))
+    near = Scan(rows, order="ms", chunk=chunk_ms, tie=("_kind",)).both_known("_c", "_before", "_behind").where("_kind = 1").select("file", "ms", "_before", "_behind")
+
+    out = anchors.join(counts, ["file", "ms"]).join(near, ["file", "ms"])
+    alone = (F.col("_own") == 1) & (F.col("_before.ms") == F.col("ms")) & (F.col("_before._n") == 1)
+    before = F.col("ms") - F.when(alone, F.col("_before._prev")).otherwise(F.col("_before.ms"))
+    return out.where(F.col("_within") > F.col("_own")).select(*KEY, (F.col("_within") - F.col("_own")).alias("score"), F.least(before, F.col("_behind.ms") - F.col("ms")).alias("nearest_ms"))
 
 
 def pattern_distance(a: DataFrame, b: DataFrame, mode: str = "nearest", chunk: int = CHUNK) -> DataFrame:
@@ -78,10 +105,13 @@ def pattern_distance(a: DataFrame, b: DataFrame, mode: str = "nearest", chunk: i
 def gap_stats(pairs: DataFrame) -> DataFrame:
     d = F.col("distance")
     share = lambda t: F.round(F.avg((d <= t).cast("double")) * 100, 6)
-    return pairs.groupBy("file").agg(
-        F.count(F.lit(1)).alias("pairs"), F.min(d).alias("min_gap"), F.max(d).alias("max_gap"), F.round(F.avg(d)).cast("long").alias("mean_gap"), F.round(F.median(d)).cast("long").alias("median_gap"),
+    pairs = store(pairs.select("file", "distance"), "distances")
+    sums = pairs.groupBy("file").agg(
+        F.count(F.lit(1)).alias("pairs"), F.min(d).alias("min_gap"), F.max(d).alias("max_gap"), F.round(F.avg(d)).cast("long").alias("mean_gap"),
         share(5).alias("pct_5"), share(20).alias("pct_20"), share(100).alias("pct_100"),
     )
+    middle = middles(pairs, ["file"], "distance").select("file", F.round((F.col("low") + F.col("high")) / 2).cast("long").alias("median_gap"))
+    return sums.join(middle, "file").select("file", "pairs", "min_gap", "max_gap", "mean_gap", "median_gap", "pct_5", "pct_20", "pct_100")
 
 
 def gap_histogram(pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import facts, parse
+from ..sources.store import store
 from .ordered import CHUNK, Scan
+from .quantiles import middles
 
 KEY = ["file", "line_no"]
 
@@ -42,19 +44,24 @@ def arrivals(lines: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
 
 def cadence(lines: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
     """Period of a heartbeat: median, least and most positive interval, expected number."""
-    seen = arrivals(lines, pattern, chunk)
-    positive = F.when(F.col("delta_ms") > 0, F.col("delta_ms") / 1000)
+    return _cadence(store(arrivals(lines, pattern, chunk).select(*KEY, "ms", "delta_ms"), "arrivals"))
+
+
+def _cadence(seen: DataFrame) -> DataFrame:
+    positive = F.when(F.col("delta_ms") > 0, F.col("delta_ms"))
     out = seen.groupBy("file").agg(
-        F.count(F.lit(1)).alias("occurrences"), F.median(positive).alias("period"), F.min(positive).alias("min_interval"), F.max(positive).alias("max_interval"),
+        F.count(F.lit(1)).alias("occurrences"), (F.min(positive) / 1000).alias("min_interval"), (F.max(positive) / 1000).alias("max_interval"),
         ((F.max("ms") - F.min("ms")) / 1000).alias("span"),
     )
-    return out.withColumn("expected", F.when(F.col("occurrences") >= 3, F.floor(F.round(F.col("span") / F.col("period"), 6) + 0.5).cast("long") + 1))
+    period = middles(seen, ["file"], positive).select("file", ((F.col("low") + F.col("high")) / 2000).alias("period"))
+    expected = F.when(F.col("occurrences") >= 3, F.floor(F.round(F.col("span") / F.col("period"), 6) + 0.5).cast("long") + 1)
+    return out.join(period, "file", "left").select("file", "occurrences", "period", "min_interval", "max_interval", "span", expected.alias("expected"))
 
 
 def cadence_misses(lines: DataFrame, pattern: str, tolerance: float = 1.5, chunk: int = CHUNK) -> DataFrame:
     """Intervals of at least ``tolerance`` periods, and how many beats are missing in each."""
-    seen = arrivals(lines, pattern, chunk)
-    periods = cadence(lines, pattern, chunk).where("occurrences >= 3").select("file", "period")
+    seen = store(arrivals(lines, pattern, chunk).select(*KEY, "ms", "delta_ms"), "arrivals")
+    periods = _cadence(seen).where("occurrences >= 3").select("file", "period")
     late = seen.join(periods, "file").withColumn("interval", F.col("delta_ms") / 1000).where(F.col("interval") >= F.col("period") * tolerance)
     missing = F.greatest(F.lit(1), F.floor(F.round(F.col("interval") / F.col("period"), 9) + 0.5).cast("long") - 1)
     return late.select(*KEY, "interval", missing.alias("missing"))
@@ -62,14 +69,15 @@ def cadence_misses(lines: DataFrame, pattern: str, tolerance: float = 1.5, chunk
 
 def cadence_drift(lines: DataFrame, pattern: str, chunk: int = CHUNK) -> DataFrame:
     """Median interval of the first and the last third; needs six intervals."""
-    seen = arrivals(lines, pattern, chunk).where("delta_ms > 0")
+    seen = store(arrivals(lines, pattern, chunk).where("delta_ms > 0").select(*KEY, "delta_ms"), "arrivals")
     ranked = Scan(seen, chunk=chunk).number("n")
     total = seen.groupBy("file").agg(F.count(F.lit(1)).alias("total"))
     third = F.floor(F.col("total") / 3)
     rows = ranked.join(total, "file").where("total >= 6")
-    return rows.groupBy("file").agg(
-        F.median(F.when(F.col("n") < third, F.col("delta_ms"))).alias("early_ms"), F.median(F.when(F.col("n") >= F.col("total") - third, F.col("delta_ms"))).alias("late_ms")
-    )
+    part = F.when(F.col("n") < third, "early").when(F.col("n") >= F.col("total") - third, "late")
+    middle = middles(rows.withColumn("part", part).where("part is not null"), ["file", "part"], "delta_ms")
+    of = lambda name: F.max(F.when(F.col("part") == name, (F.col("low") + F.col("high")) / 2)).alias(f"{name}_ms")
+    return middle.groupBy("file").agg(of("early"), of("late"))
 
 
 def carry_forward(rows: DataFrame, column: str, out: str, chunk: int = CHUNK) -> DataFrame:
@@ -103,14 +111,14 @@ def escalations(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return before.where(rises).select(*KEY, "component", "from_level", F.col("level").alias("to_level"))
 
 
-def spread_equal_times(rows: DataFrame, chunk_ms: int = 86_400_000) -> DataFrame:
+def spread_equal_times(rows: DataFrame, chunk_ms: int = 86_400_000, chunk: int = CHUNK) -> DataFrame:
     """Rows (line_no, ms) of one time spread in order over 0.85 of the way to the next time;
     the last time stays."""
     groups = rows.groupBy("ms").agg(F.count(F.lit(1)).alias("_n"))
     ahead = Scan(groups.withColumn("file", F.lit("")).withColumn("_neg", -F.col("ms")), order="_neg", chunk=chunk_ms).lag("ms", "_next").drop("file", "_neg")
-    rank = F.row_number().over(Window.partitionBy("ms").orderBy("line_no")) - 1
+    ranked = Scan(rows, by=("ms",), chunk=chunk).number("_r")
     x = F.col("ms") + F.col("_r") / F.col("_n") * (F.col("_next") - F.col("ms")) * 0.85
-    return rows.withColumn("_r", rank).join(ahead, "ms").select("line_no", "ms", F.coalesce(x, F.col("ms").cast("double")).alias("spread_ms"))
+    return ranked.join(ahead, "ms").select("line_no", "ms", F.coalesce(x, F.col("ms").cast("double")).alias("spread_ms"))
 
 
 def repair_monotonic(rows: DataFrame, column: str, low: int, high: int, chunk: int = CHUNK) -> DataFrame:

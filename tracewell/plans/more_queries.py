@@ -321,7 +321,7 @@ def a16(spark, sf):
     pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias(c)
     return profile.fingerprint(halves(spark, sf)).select(
         "file", "total_lines", "first_ts", "last_ts", pairs("levels"), pairs("components"), pairs("failing"), F.array_join("crashes", ",").alias("crashes"),
-        F.size("density").cast("long").alias("minutes"), F.array_max("density").alias("most_in_a_minute"), F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"),
+        "minutes", F.array_max(F.transform("density", lambda x: x["lines"])).alias("most_in_a_minute"), F.array_join(F.transform("samples", lambda x: x.cast("string")), ",").alias("samples"),
     )
 
 

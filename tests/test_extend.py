@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracewell.functions import parse
-from tracewell.operators import extend, investigate, profile, proximity, redact, search, sequence, trend
+from tracewell.operators import extend, investigate, profile, proximity, recipes, redact, search, sequence, trend
 from tracewell.sources import readers
 
 
@@ -97,3 +97,39 @@ def test_numbers_that_do_not_fit_are_none(spark):
     raw = ["1e999", "-1e999", "12", "-0.5", "1e3", "x", "", None, "9" * 400]
     got = spark.createDataFrame([(r,) for r in raw], "r string").select(parse.to_num("r").alias("n")).collect()
     assert [r.n for r in got] == [None, None, 12.0, -0.5, 1000.0, None, None, None, None]
+
+
+def test_spans_are_voted_on_three_formats(spark):
+    plain = [f"2024-01-0{1 + k % 9} 10:00:0{k % 10} {'INFO' if k % 2 else 'ERROR'} [net{k}] got {k} things" for k in range(30)] + ["  at Frame.one", ""]
+    syslog = [f"<{k}> host{k % 3} app[{100 + k}]: started \"unit {k}\"" for k in range(20)]
+    access = [f"10.0.0.{k} - - (GET) /p/{k} 200" for k in range(20)]
+    names = {"plain": plain, "syslog": syslog, "access": access}
+    cells = {}
+    for name, texts in names.items():
+        rows = extend.columns_by_example(lines(spark, texts)).where("line_no = 7").collect()
+        cells[name] = [v for c, v in rows[0].asDict().items() if c not in ("file", "line_no")]
+    assert cells["plain"][:5] == ["2024-01-08", "10:00:07", "INFO", "net7", "got"]
+    assert cells["syslog"][:4] == ["7", "host1", "app", "107"] and "unit 7" in cells["syslog"]
+    assert cells["access"][0] == "10.0.0.7" and "GET" in cells["access"] and "p/7" in cells["access"]
+    assert extend.vote_spans(lines(spark, ["", " "])) is None
+    given = extend.columns_by_example(lines(spark, ["a [b] c", "d [e] f"]), "a [b] c").collect()
+    assert sorted(tuple(r)[2:] for r in given) == [("a", "b", "c"), ("d", "e", "f")]
+
+
+def test_table_functions(spark):
+    extend.register_table_functions(spark, "tf")
+    log = lines(spark, ["2024-01-01 10:00:00 ERROR a", "no time", "2024-01-01 10:02:00,500 WARN b", "2024-13-01 10:00:00 x", "2024-01-01 10:01:00 INFO panic"])
+    log.createOrReplaceTempView("tf_log")
+    gaps = spark.sql("SELECT line_no, prev_line, gap_seconds FROM tf_gaps(TABLE(tf_log) PARTITION BY (file) ORDER BY (line_no), 60D)").collect()
+    assert [tuple(r) for r in gaps] == [(2, 0, 120.5), (4, 2, 60.5)]
+    assert [r.line_no for r in spark.sql("SELECT * FROM tf_matches(TABLE(tf_log), 'p.nic')").collect()] == [4]
+    assert spark.sql("SELECT * FROM tf_matches(TABLE(tf_log), '(')").collect() == []
+    assert sorted(r.line_no for r in spark.sql("SELECT * FROM tf_level(TABLE(tf_log), 'warning')").collect()) == [2]
+
+
+def test_replay_tells_what_could_not_run(spark):
+    log = lines(spark, ["x error", "y"])
+    got = recipes.replay(log, [{"verb": "search", "args": {"pattern": "["  , "regex": True}}, {}, {"verb": "levels", "scope": True}, {"verb": "search", "args": {"pattern": "y"}}])
+    rows = {r.step: (r.ok, r.rows, r.error) for r in got.collect()}
+    assert rows[0][:2] == (False, 0) and "invalid pattern" in rows[0][2] and rows[1][0] is False and rows[2][0] is False and rows[3] == (True, 1, None)
+    assert recipes.replay(log, []).collect() == []

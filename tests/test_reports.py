@@ -75,3 +75,19 @@ def test_audit_and_batches_with_options(spark):
     got = {r.pattern_id: r for r in search.pattern_audit(lines, patterns).collect()}
     assert {k: (r.valid, r.matched) for k, r in got.items()} == {"plain": (True, 1), "fold": (True, 2), "not": (True, 2), "wild": (True, 1), "bad": (False, 0), "slow": (True, 3)}
     assert got["bad"].warning == "invalid" and got["slow"].warning == "nested quantifier"
+
+
+def test_baselines_of_one_time_and_signals_of_no_field(spark, tmp_path):
+    from tests.test_extend import lines
+    from tracewell.operators import trend
+    from tracewell.sources import sinks
+
+    path = str(tmp_path / "base")
+    for total in (1, 2):
+        sinks.save_baseline(spark.createDataFrame([(total,)], "total long"), path, "run", "2024-01-01 00:00:00")
+    stored = spark.read.parquet(path)
+    picked = {tuple(r) for _ in range(3) for r in sinks.list_baselines(stored.repartition(3)).select("total").collect()}
+    assert len(picked) == 1
+    sinks.delete_baseline(spark, path, "run", "2024-01-01 00:00:00")
+    assert sinks.list_baselines(spark.read.parquet(path)).count() == 0
+    assert trend.signals(lines(spark, ["v=1"]), []).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..sources import readers
+from ..sources.store import store
 from . import profile, search, sequence, trend
 
 KEY = ["file", "line_no"]
@@ -182,21 +184,53 @@ def register_verb(name: str, verb: Callable[..., DataFrame]) -> None:
 
 
 def replay(lines: DataFrame, steps: list[dict], overrides: dict[str, object] | None = None) -> DataFrame:
-    """Run saved steps ``{"verb", "args", "params", "scope"}`` and give rows by step.  ``params`` maps
-    an argument to a promoted parameter that ``overrides`` may set; a step with ``scope`` true
-    narrows the lines of the steps behind it."""
-    out = None
+    """Run saved steps ``{"verb", "args", "params", "scope"}``: ``(step, verb, rows, ok, error)``.
+
+    ``params`` maps an argument to a promoted parameter that ``overrides`` may set; a step with ``scope``
+    true narrows the lines of the steps behind it, and its lines are stored once for all of them.  A
+    step that cannot run, by an unknown verb, an argument that it lacks or does not know, or a pattern
+    that is none, is not ok and tells why; it narrows nothing, and the others run.
+    """
+    rows = []
     for k, step in enumerate(steps):
-        args = dict(step.get("args", {}))
+        verb, args = step.get("verb"), dict(step.get("args", {}))
         args |= {a: (overrides or {})[p] for a, p in step.get("params", {}).items() if p in (overrides or {})}
-        got = VERBS[step["verb"]](lines, **args)
-        if step.get("scope"):
-            lines = search.scope_of(lines, got)
-        row = got.agg(F.lit(k).alias("step"), F.lit(step["verb"]).alias("verb"), F.count(F.lit(1)).alias("rows"))
-        out = row if out is None else out.unionByName(row)
+        got, error = None, _cannot_run(verb, args)
+        if error is None:
+            try:
+                got = VERBS[verb](lines, **args)
+                row = got.agg(F.lit(k).alias("step"), F.lit(verb).alias("verb"), F.count(F.lit(1)).alias("rows"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+            except Exception as e:  # whatever a verb makes of its arguments
+                got, error = None, f"{type(e).__name__}: {str(e).splitlines()[0]}"[:300] if str(e) else type(e).__name__
+        if got is None:
+            row = lines.sparkSession.createDataFrame([(k, str(verb), 0, False, error)], "step int, verb string, rows long, ok boolean, error string")
+        elif step.get("scope"):
+            if set(search.KEY) <= set(got.columns):
+                lines = store(search.scope_of(lines, got), "scope")
+            else:
+                row = row.withColumn("ok", F.lit(False)).withColumn("error", F.lit("its rows are no lines, so they are no scope"))
+        rows.append(row)
+    out = rows[0] if rows else lines.sparkSession.createDataFrame([], "step int, verb string, rows long, ok boolean, error string")
+    for row in rows[1:]:
+        out = out.unionByName(row)
     return out
 
 
+def _cannot_run(verb: object, args: dict) -> str | None:
+    """Why a step cannot run, as far as its verb and arguments tell."""
+    if verb not in VERBS:
+        return f"unknown verb {verb!r}"
+    try:
+        inspect.signature(VERBS[verb]).bind(None, **args)
+    except TypeError as e:
+        return str(e)
+    pattern = args.get("pattern")
+    if isinstance(pattern, str) and args.get("regex"):
+        wrong = search.pattern_error(pattern)
+        return f"invalid pattern: {wrong}" if wrong else None
+    return None
+
+
 def check_requirements(lines: DataFrame, column_pattern: str | None = None, signature: str | None = None, name_glob: str | None = None, form: str | None = None, least: float = 0.6, head: int | None = None) -> DataFrame:
     """Whether files fit an investigation, a row for each: the share of lines that a column pattern
     reads, a signature in any line, the file's name, its format (of ``readers.detect_format``); of

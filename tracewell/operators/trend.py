@@ -101,9 +101,9 @@ def series_top_values(lines: DataFrame, field: str, axis_spec: str = "time", buc
 
 def signals(lines: DataFrame, fields: list[str], buckets: int = 100) -> DataFrame:
     """Several numeric fields in buckets of equally many lines: points, average, least, most, the
-    first line and its time, and the average on a scale from the field's least to its most value."""
+    first line and its time, and the average on a scale from the field's least to its most value.  No fields give no rows."""
     total = lines.groupBy("file").agg((F.max("line_no") + 1).alias("_n"))
-    values = F.array(*[F.struct(F.lit(f).alias("field"), parse.to_num(parse.field("text", f)).alias("v")) for f in fields])
+    values = F.array(*[F.struct(F.lit(f).alias("field"), parse.to_num(parse.field("text", f)).alias("v")) for f in fields]).cast("array<struct<field:string,v:double>>")
     rows = lines.select(*KEY, parse.epoch_ms(facts.ts(lines)).alias("ms"), F.explode(values).alias("e")).where("e.v is not null").join(total, "file")
     bucket = F.floor(F.col("line_no") / F.ceil(F.col("_n") / buckets)).cast("long").alias("bucket")
     out = rows.groupBy("file", F.col("e.field").alias("field"), bucket).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import alignment, extend, investigate, profile, proximity, recipes, search, sequence, trend
+from ..operators import alignment, extend, investigate, parts, profile, proximity, recipes, search, sequence, trend
 from ..operators.ordered import CHUNK
 from ..sources.views import D, L, document_lines, event_log, parsed_log, table
 from .base import query
@@ -290,6 +290,14 @@ def a11(spark, sf):
     return profile.merge_analysis(halves(spark, sf))
 
 
+@query("a11_merged_parts", H + ", E AS (SELECT component, count(*) FILTER (level IN ('error', 'fatal')) AS errors, count(*) FILTER (level = 'warning') AS warnings, min(file) AS file, min(line_no) FILTER (level IN ('error', 'fatal')) AS first_error FROM H GROUP BY component) SELECT component, errors, warnings, file, first_error FROM E WHERE errors > 0 ORDER BY errors DESC, component LIMIT 5")
+def a11_parts(spark, sf):
+    """The same from the parts of three stretches of the log."""
+    lines = halves(spark, sf)
+    stretches = [parts.profile_parts(lines.where(F.col("line_no") % 3 == k)) for k in range(3)]
+    return parts.worst_components(stretches[0].unionByName(stretches[1]).unionByName(stretches[2]))
+
+
 @query("a12_minute_density", L + ", T AS (SELECT min(date_trunc('second', ts)) AS t0 FROM L), M AS (SELECT CAST(floor((epoch_ms(date_trunc('second', ts)) - epoch_ms(t0)) / 60000) AS BIGINT) AS minute, count(*) AS n FROM L, T GROUP BY 1) SELECT 'events' AS file, CAST(g AS BIGINT) AS minute, coalesce(n, 0) AS lines FROM (SELECT unnest(range(0, (SELECT max(minute) + 1 FROM M))) AS g) LEFT JOIN M ON g = minute")
 def a12(spark, sf):
     return profile.minute_density(event_log(spark, sf))
@@ -811,7 +819,25 @@ def i1(spark, sf):
         {"verb": "search", "args": {"pattern": "k=1"}, "params": {"pattern": "needle"}},
         {"verb": "crashes"}, {"verb": "levels"},
     ]
-    return recipes.replay(event_log(spark, sf), steps, {"needle": "k=4"})
+    return recipes.replay(event_log(spark, sf), steps, {"needle": "k=4"}).select("step", "verb", "rows")
+
+
+@query("i1_replay_outcomes", GAPS + """SELECT 0 AS step, 'search' AS verb, count(*) AS rows, true AS ok FROM L WHERE contains(text, 'event=error') UNION ALL SELECT 1, 'search', 0, false UNION ALL SELECT 2, 'no such verb', 0, false
+UNION ALL SELECT 3, 'crashes', count(*), true FROM L WHERE crash IS NOT NULL AND event = 'error' UNION ALL SELECT 4, 'levels', 0, false UNION ALL SELECT 5, 'search', count(*), true FROM L WHERE event = 'error' AND contains(text, 'k=4')""")
+def i1_outcomes(spark, sf):
+    """A shared scope, and steps that cannot run: a bad pattern, an unknown verb, an unknown argument."""
+    steps = [
+        {"verb": "search", "args": {"pattern": "event=error"}, "scope": True}, {"verb": "search", "args": {"pattern": "(", "regex": True}, "scope": True}, {"verb": "no such verb"},
+        {"verb": "crashes"}, {"verb": "levels", "args": {"depth": 3}}, {"verb": "search", "args": {"pattern": "k=4"}},
+    ]
+    return recipes.replay(event_log(spark, sf), steps).select("step", "verb", "rows", "ok")
+
+
+@query("p18_voted_columns", L + "SELECT line_no, strftime(ts, '%Y-%m-%d') AS c1, strftime(ts, '%H:%M:%S.%g') AS c2, CASE event WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'purchase' THEN 'INFO' WHEN 'click' THEN 'DEBUG' ELSE 'TRACE' END AS c3, component AS c4 FROM L")
+def p18_voted(spark, sf):
+    """Columns without an example: date, time, level and component of the log, by a vote of its lines."""
+    found = extend.columns_by_example(event_log(spark, sf))
+    return found.select("line_no", "c1", "c2", "c3", "c4")
 
 
 @query("i2_requirements", H + "SELECT file, round(avg(CASE WHEN event = 'click' THEN 1.0 ELSE 0 END), 6) AS match_rate, avg(CASE WHEN event = 'click' THEN 1.0 ELSE 0 END) >= 0.4 AS columns, bool_or(crash = 'panic') IS TRUE AS signature, true AS named, true AS format, 0 AS unverified, NOT (avg(CASE WHEN event = 'click' THEN 1.0 ELSE 0 END) >= 0.4 AND bool_or(crash = 'panic') IS TRUE) AS blocked FROM H GROUP BY file")
@@ -892,6 +918,29 @@ def u3_parts(spark, sf):
     return found.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"))
 
 
+@query("u4_table_functions", L + "SELECT 'matches' AS of, count(*) AS n, sum(strpos(text, 'panic') - 1) AS total FROM L WHERE contains(text, 'panic') UNION ALL SELECT 'levels', count(*), sum(length(text)) FROM L WHERE event = 'error'")
+def u4_functions(spark, sf):
+    """Table functions called in SQL on a table, with a pattern and a level as arguments."""
+    extend.register_table_functions(spark)
+    event_log(spark, sf).createOrReplaceTempView("u4_log")
+    return spark.sql("""SELECT 'matches' AS of, count(*) AS n, sum(`column`) AS total FROM log_matches(TABLE(u4_log), 'pan[i]c')
+        UNION ALL SELECT 'levels', count(*), sum(length(text)) FROM log_level(TABLE(u4_log), 'error')""")
+
+
+@query("u4_gaps_function", GAPS + "SELECT line_no, gap_seconds FROM G WHERE gap_seconds >= 900")
+def u4_gaps(spark, sf):
+    """A table function over each file's lines in order; its argument is partitioned and ordered by the caller."""
+    extend.register_table_functions(spark)
+    event_log(spark, sf).createOrReplaceTempView("u4_log")
+    return spark.sql("SELECT line_no, gap_seconds FROM log_gaps(TABLE(SELECT file, floor(line_no / 4000) AS part, line_no, text FROM u4_log) PARTITION BY (file, part) ORDER BY (line_no), 900D) UNION ALL " + U4_EDGES)
+
+
+#: Gaps across the edges of the parts: the last and first line of neighbouring parts.
+U4_EDGES = """SELECT b.line_no, abs(unix_millis(cast(substr(b.text, 1, 23) AS timestamp)) - unix_millis(cast(substr(a.text, 1, 23) AS timestamp))) / 1000 AS gap_seconds
+FROM u4_log a JOIN u4_log b ON a.file = b.file AND b.line_no = a.line_no + 1 WHERE b.line_no % 4000 = 0
+AND abs(unix_millis(cast(substr(b.text, 1, 23) AS timestamp)) - unix_millis(cast(substr(a.text, 1, 23) AS timestamp))) / 1000 >= 900"""
+
+
 @query("u4_sql_views", GAPS + "SELECT 'gaps' AS view, count(*) AS n FROM G WHERE gap_seconds >= 30 UNION ALL SELECT 'crashes', count(crash) FROM L UNION ALL SELECT 'components', count(DISTINCT component) FROM L UNION ALL SELECT 'fatal lines', count(*) FROM L WHERE level = 'fatal'")
 def u4(spark, sf):
     extend.register_views(spark, parsed_log(spark, sf), "u4")

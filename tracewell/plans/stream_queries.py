@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse
 from ..operators import search
-from ..sources import readers, sinks
+from ..sources import intake, readers, sinks
 from ..sources.views import L, event_log, event_lines
 from ..streaming import live, run, timers
 from .base import query
@@ -33,6 +33,18 @@ def s6(spark, sf):
     return readers.read_folder(spark, path).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"))
 
 
+@query("s10_incremental_intake", L + "SELECT 'part=' || (line_no // 700 + 1) AS folder, level, count(*) AS lines, min(line_no % 700) AS first_line FROM L GROUP BY ALL")
+def s10(spark, sf):
+    """The log comes in three loads of files; each run takes in what is new."""
+    path, root = run.scratch(spark, "growing"), run.scratch(spark, "taken-in")
+    parts = sinks.split_output(event_log(spark, sf), "lines", 700)
+    for k in range(3):
+        parts.where(F.col("part") % 3 == k).repartition("part").sortWithinPartitions("part", "line_no").select("part", "text").write.mode("append").partitionBy("part").text(path)
+        intake.take_in(spark, path, root)
+    lines = intake.taken_in(spark, root)
+    return lines.groupBy(F.regexp_extract("file", r"(part=\d+)", 1).alias("folder"), F.col("_level").alias("level")).agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line"))
+
+
 @query("t2_live_levels", L + "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, level, count(*) AS lines FROM L GROUP BY ALL")
 def t2(spark, sf):
     rows = run.finish_complete(live.live_levels(stream(spark, sf), "1 hour"), "levels")

@@ -63,8 +63,10 @@ def save_baseline(fingerprint: DataFrame, path: str, name: str, when: str) -> No
 
 
 def list_baselines(stored: DataFrame) -> DataFrame:
-    """The latest row of each name that is not deleted."""
-    newest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("updated_at")))
+    """The latest row of each name that is not deleted.  Of rows of one time a deletion counts, then
+    the row of the greatest hash."""
+    row = F.xxhash64(F.to_json(F.struct(*stored.columns)))
+    newest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("updated_at"), F.desc("deleted"), F.desc(row)))
     return stored.withColumn("_r", newest).where("_r = 1 and not deleted").drop("_r")
 
 

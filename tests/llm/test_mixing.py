@@ -12,20 +12,43 @@ SCHEMA = "doc_id long, text string, lang string, source string, mix_topic string
 
 
 def rows(n: int) -> list[tuple]:
+    """Documents of common words and of a few words of one of four topics, a fifth of none."""
     rng = random.Random(1)
+    subjects = [[f"{a}{b}{c}word" for a in "bdfg" for b in vowels for c in "klmnp"] for vowels in ("ae", "io", "uy", "öé")]
     out = []
     for k in range(n):
-        words = ["w", "the", "that"] * rng.randrange(1, 10)
-        for word in ("rivers", "engine", "market", "éclair"):
-            words += [word] * rng.choice([0] * 59 + [1, 2])
+        words = ["w", "the", "That"] * rng.randrange(1, 10)
+        if rng.random() < 0.8:
+            words += [rng.choice([w, w.title()]) for w in rng.sample(subjects[k % 4], rng.randrange(3, 9))] + rng.sample(subjects[(k + 1) % 4], rng.randrange(2))
         rng.shuffle(words)
         out.append((k, rng.choice([" ", " ", ", "]).join(words), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", "c"]), "clash"))
     return out
 
 
-def brute_topic(text: str) -> str:
-    found = Counter(w[:4] for w in re.findall(r"[^\W\d_]{4,}", text) if w[:4] != "that")
-    return min(found, key=lambda w: (-found[w], w)) if found else mixing.OTHER
+def brute_topics(texts: list[str], p: mixing.Params) -> list[str]:
+    found = [set(w[:4] for w in re.findall(r"[^\W\d_]{4,}", t.lower())) for t in texts]
+    counts, total = Counter(w for f in found for w in f), len(texts)
+    known = sorted((w for w, n in counts.items() if n * p.most_docs <= total <= n * p.least_docs), key=lambda w: (-counts[w], w))[: p.terms]
+    found = [f & set(known) for f in found]
+    anchors: list[str] = []
+    for w in known[: p.seeds]:
+        far = all(sum(w in f and a in f for f in found) * total <= p.lift * counts[w] * counts[a] for a in anchors)
+        if far and len(anchors) < p.topics:
+            anchors.append(w)
+    own = {a: a for a in anchors}
+    for k in range(p.rounds + 1):
+        votes = [Counter(own[w] for w in f if w in own) for f in found]
+        told = [min(v, key=lambda t, v=v: (-v[t], t)) if v else mixing.OTHER for v in votes]
+        if k == p.rounds:
+            return told
+        use = Counter((w, t) for f, t in zip(found, told, strict=True) if t != mixing.OTHER for w in f)
+        size = Counter()
+        for (_, t), n in use.items():
+            size[t] += n
+        own = {}
+        for w, t in sorted(use, key=lambda x: (-use[x] / size[x[1]], x[1])):
+            own.setdefault(w, t)
+    return []
 
 
 def test_raked_sums_meet_the_targets(spark):
@@ -59,10 +82,11 @@ def test_documents_stay_by_their_cells_probability(spark):
     p = mixing.Params(rate=0.4)
     out = mixing.mix(docs, p=p).toPandas()
     assert list(out.columns) == ["doc_id", "text", "lang", "source", *mixing.ADDED]
-    assert mixing.anchors(docs, "text", p) == ["engi", "mark", "rive", "écla"]
-    texts = {k: t for k, t, *_ in data}
-    assert set(out.mix_topic) == {"engi", "mark", "rive", "écla", "other"}
-    assert all(topic == brute_topic(texts[k]) for k, topic in zip(out.doc_id, out.mix_topic, strict=True))
+    told = dict(enumerate(brute_topics([t for _, t, *_ in data], p)))
+    assert dict(zip(out.doc_id, out.mix_topic, strict=True)) == {k: told[k] for k in out.doc_id}
+    by_subject = Counter((k % 4, t) for k, t in told.items() if t != mixing.OTHER)  # topics are the subjects that texts were made of
+    assert sum(max(n for (_, u), n in by_subject.items() if u == t) for t in {t for _, t in by_subject}) > 0.9 * sum(by_subject.values())
+    assert 0.15 < sum(t == mixing.OTHER for t in told.values()) / len(told) < 0.25
     for d, column in (("source", "source"), ("lang", "lang"), ("topic", "mix_topic")):  # one residual for each value
         assert (out.fillna({"lang": "unknown"}).groupby(column)[f"mix_{d}_residual"].nunique() == 1).all()
     assert sorted(r.doc_id for r in mixing.sample(docs, p=p).where("mix_topic = 'clash'").collect()) == sorted(out.doc_id)

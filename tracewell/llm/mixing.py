@@ -1,8 +1,11 @@
 """Mixing of sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic.  A topic is named by an anchor: one
-of the most frequent stems (first letters of words) that stand in few of all documents; a
-document belongs to the anchor it uses most.  Raking multiplies the cells' token weights until
+Documents fall into cells of source, language and topic.  Topics are learned from the
+documents.  Stems (first letters of words) that stand in neither too many nor too few
+documents are the vocabulary.  Frequent stems that meet each other little more often than chance
+would have it are the topics' anchors.  In rounds as of k-means, each document goes to the topic
+that most of its stems belong to, then each stem goes to the topic that uses it most for its
+size; in the first round only the anchors belong to one.  Raking multiplies the cells' token weights until
 their sums by source, by language and by topic meet the targets; the weights of a cell over
 its tokens give the probability with which its documents stay.  Everything is a grouping or a
 join over cells, in plain DataFrame operations.
@@ -30,9 +33,15 @@ class Params:
     rate: float = 0.5
     sweeps: int = 10
     seed: int = 42
-    #: Number of anchors, and the most and least documents that one stands in, as one in so many.
+    #: Size of the topic model: topics, stems among which anchors are sought, stems, rounds.
     topics: int = 16
-    most_docs: int = 20
+    seeds: int = 64
+    terms: int = 2048
+    rounds: int = 3
+    #: How many times as often as by chance two anchors may stand in one document.
+    lift: int = 3
+    #: The most and least documents that a stem stands in, as one in so many.
+    most_docs: int = 10
     least_docs: int = 1000
 
 
@@ -48,26 +57,90 @@ def tokens(text: str) -> Column:
     return F.when(F.trim(c) != "", words).otherwise(0).cast("long")
 
 
-def stems(text: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(STEM), F.lit(1))
+def stems(text: str) -> str:
+    """SQL of the different stems of a text, in lower case."""
+    return f"array_distinct(regexp_extract_all(lower(coalesce(`{text}`, '')), r'{STEM}', 1))"
 
 
-def anchors(docs: DataFrame, text_col: str, p: Params = Params()) -> list[str]:
-    """The most frequent stems among those that stand in few documents; at most ``p.topics``
-    reach the driver.  Stems are short, so their sums are small partial aggregates, and counts
-    cover all documents."""
+def among(found: str, of: list[str]) -> str:
+    """SQL of the stems of ``found`` that are ``of`` these; SQL, as so many literals are slow to
+    make one by one.  Stems are letters only."""
+    return f"filter({found}, s -> s IN ({', '.join(map(repr, of))}))" if of else "cast(array() AS array<string>)"
+
+
+#: Stems by the topic that they belong to; a topic's name is its anchor.
+Topics = dict[str, list[str]]
+
+
+def vocabulary(docs: DataFrame, text_col: str, p: Params = Params()) -> tuple[int, dict[str, int]]:
+    """The number of documents, and of those with each of the most frequent stems that stand in few
+    enough documents, by falling frequency: at most ``p.terms`` reach the driver.  Stems are
+    short, so their sums are small partial aggregates, and counts cover all documents."""
     total = docs.count()
-    seen = docs.select(F.explode(F.array_distinct(stems(text_col))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
-    some = seen.where((F.col("n") * p.most_docs <= total) & (F.col("n") * p.least_docs >= total))
-    return sorted(r["stem"] for r in some.orderBy(F.desc("n"), "stem").limit(p.topics).collect())
+    each = F.explode_outer(F.expr(stems(text_col)))  # a plain explode would find the stems again, to filter by their number
+    seen = docs.select(each.alias("stem")).groupBy("stem").agg(F.count("stem").alias("n"))
+    some = seen.where((F.col("n") > 0) & (F.col("n") * p.most_docs <= total) & (F.col("n") * p.least_docs >= total))
+    return total, {r["stem"]: r["n"] for r in some.orderBy(F.desc("n"), "stem").limit(p.terms).collect()}
 
 
-def topic(text: str, of: list[str]) -> Column:
-    """The anchor that a text uses most, the first in order of equals, ``other`` without any."""
-    hits = F.filter(stems(text), lambda s: s.isin(of)) if of else F.array().cast("array<string>")
-    ranked = lambda found: F.array_min(F.transform(F.array_distinct(found), lambda a: F.struct((-F.size(F.filter(found, lambda h: h == a))).alias("n"), a.alias("stem"))))
-    once = F.get(F.transform(F.array(hits), lambda found: ranked(found)["stem"]), F.lit(0))  # hits are found once
-    return F.coalesce(once, F.lit(OTHER))
+def anchors(found: DataFrame, total: int, known: dict[str, int], p: Params = Params()) -> list[str]:
+    """Of the ``p.seeds`` most frequent stems, in that order, those that stand together with no
+    anchor before them more than ``p.lift`` times as often as by chance; at most ``p.topics``.
+
+    A document gives pairs of seeds only, so at most ``p.seeds``² of them, summed before they
+    are shuffled.
+    """
+    seeds = list(known)[: p.seeds]
+    if not seeds:
+        return []
+    pairs = F.transform(F.array(F.expr(among("found", seeds))), lambda some: F.flatten(F.transform(some, lambda a: F.transform(F.filter(some, lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    counts = found.select(F.explode(F.flatten(pairs)).alias("pair")).groupBy("pair.a", "pair.b").count()
+    near = {frozenset((r["a"], r["b"])) for r in counts.collect() if r["count"] * total > p.lift * known[r["a"]] * known[r["b"]]}
+    out: list[str] = []
+    for stem in seeds:
+        if len(out) < p.topics and not any(frozenset((stem, a)) in near for a in out):
+            out.append(stem)
+    return out
+
+
+def topic(found: str, topics: Topics) -> Column:
+    """The topic that most of the stems in SQL ``found`` belong to, the first by name of equals,
+    ``other`` without any."""
+    if not topics:
+        return F.lit(OTHER)
+    votes = ", ".join(f"struct(-size({among('some', own)}) AS n, '{name}' AS topic)" for name, own in topics.items())
+    best = f"transform(array({found}), some -> array_min(array({votes})))[0]"  # stems are found once
+    return F.get(F.transform(F.array(F.expr(best)), lambda b: F.when(b["n"] < 0, b["topic"]).otherwise(OTHER)), F.lit(0))
+
+
+def learn_topics(docs: DataFrame, text_col: str, p: Params = Params()) -> Topics:
+    """Topics of a corpus.
+
+    The stems of the vocabulary in each document are stored once; a round is a pass over that
+    table, which sums to at most ``p.topics`` × ``p.terms`` rows.  A stem goes to the topic in whose
+    stems it has the largest share, the first by name of equals; one that stands in documents of
+    no topic belongs to none.
+    """
+    total, known = vocabulary(docs, text_col, p)
+    if not known:
+        return {}
+    found = materialize(docs.select(F.expr(among(stems(text_col), list(known))).alias("found")), "stems")
+    topics: Topics = {a: [a] for a in anchors(found, total, known, p)}
+    for _ in range(p.rounds):
+        told = found.select(topic("found", topics).alias("topic"), "found").where(F.col("topic") != OTHER)  # before stems are rows
+        counts = told.select("topic", F.explode("found").alias("stem")).groupBy("topic", "stem").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        sizes = counts.groupBy("topic").agg(F.sum("n").alias("size"))
+        share = counts.join(sizes, "topic").select("stem", F.struct((-F.col("n") / F.col("size")).alias("less"), "topic").alias("use"))
+        topics = {}
+        for r in share.groupBy("stem").agg(F.min("use")["topic"].alias("topic")).orderBy("topic", "stem").collect():
+            topics.setdefault(r["topic"], []).append(r["stem"])
+    discard(found)
+    return topics
+
+
+def topic_of(text: str, topics: Topics) -> Column:
+    """The topic of a text."""
+    return topic(among(stems(text), [s for own in topics.values() for s in own]), topics)
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -134,7 +207,7 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
         F.struct(*docs.columns).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
-        topic(text_col, anchors(docs, text_col, p)).alias("topic"),
+        topic_of(text_col, learn_topics(docs, text_col, p)).alias("topic"),
         tokens(text_col).alias("mix_tokens"),
         draw(id_col, p.seed).alias("drawn"),
     )

@@ -57,19 +57,43 @@ def op10(p: Params = Params()) -> str:
             last = name
         steps.append(f"w{k + 1} AS (SELECT source, lang, topic, tokens, most, least(weight, most) AS weight FROM {last})")
         last = f"w{k + 1}"
+    picks = ["pick1 AS (SELECT stem FROM seeds ORDER BY n DESC, stem LIMIT 1)"]
+    for k in range(2, p.topics + 1):
+        picks.append(
+            f"pick{k} AS (SELECT stem FROM pick{k - 1} UNION ALL (SELECT stem FROM seeds WHERE stem NOT IN (SELECT stem FROM pick{k - 1}) "
+            f"AND NOT EXISTS (SELECT 1 FROM near WHERE near.a = seeds.stem AND near.b IN (SELECT stem FROM pick{k - 1})) ORDER BY n DESC, stem LIMIT 1))"
+        )
+    rounds = [f"own0 AS (SELECT stem, stem AS topic FROM pick{p.topics})"]
+    for k in range(p.rounds + 1):
+        rounds.append(
+            f"told{k} AS (SELECT r, topic FROM (SELECT r, topic, count(*) AS n FROM hits JOIN own{k} USING (stem) GROUP BY ALL) "
+            "QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, topic) = 1)"
+        )
+        if k < p.rounds:
+            rounds.append(f"use{k} AS (SELECT topic, stem, CAST(count(*) AS DOUBLE) AS n FROM hits JOIN told{k} USING (r) GROUP BY ALL)")
+            rounds.append(
+                f"own{k + 1} AS (SELECT stem, topic FROM (SELECT stem, topic, n / sum(n) OVER (PARTITION BY topic) AS share FROM use{k}) "
+                "QUALIFY row_number() OVER (PARTITION BY stem ORDER BY share DESC, topic) = 1)"
+            )
     return f"""
 WITH given AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     CAST(CASE WHEN trim(text) <> '' THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS BIGINT) AS n_tokens,
-    regexp_extract_all(coalesce(text, ''), '{STEM}', 1) AS stems
+    list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{STEM}', 1)) AS stems
   FROM documents
-), used AS (SELECT stem, count(*) AS n FROM (SELECT unnest(list_distinct(stems)) AS stem FROM given) GROUP BY stem),
-anchors AS (
-  SELECT stem FROM used WHERE n * {p.most_docs} <= (SELECT count(*) FROM given) AND n * {p.least_docs} >= (SELECT count(*) FROM given)
-  ORDER BY n DESC, stem LIMIT {p.topics}
-), hits AS (SELECT r, stem, count(*) AS n FROM (SELECT r, unnest(stems) AS stem FROM given) WHERE stem IN (SELECT stem FROM anchors) GROUP BY r, stem),
-topics AS (SELECT r, stem FROM hits QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, stem) = 1),
-seen AS (SELECT given.* EXCLUDE (stems), coalesce(stem, '{OTHER}') AS topic FROM given LEFT JOIN topics USING (r)),
+), every AS (SELECT count(*) AS n FROM given),
+each AS MATERIALIZED (SELECT r, unnest(stems) AS stem FROM given),
+known AS MATERIALIZED (
+  SELECT stem, n FROM (SELECT stem, count(*) AS n FROM each GROUP BY stem)
+  WHERE n * {p.most_docs} <= (SELECT n FROM every) AND n * {p.least_docs} >= (SELECT n FROM every) ORDER BY n DESC, stem LIMIT {p.terms}
+), hits AS MATERIALIZED (SELECT r, stem FROM each WHERE stem IN (SELECT stem FROM known)),
+seeds AS MATERIALIZED (SELECT stem, n FROM known ORDER BY n DESC, stem LIMIT {p.seeds}),
+near AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.stem AS a, y.stem AS b, x.n AS na, y.n AS nb, count(*) AS n FROM hits h JOIN seeds x ON h.stem = x.stem
+    JOIN hits i ON h.r = i.r JOIN seeds y ON i.stem = y.stem WHERE x.stem <> y.stem GROUP BY ALL)
+  WHERE n * (SELECT n FROM every) > {p.lift} * na * nb
+), {", ".join(picks)}, {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in rounds)},
+seen AS (SELECT given.* EXCLUDE (stems), coalesce(topic, '{OTHER}') AS topic FROM given LEFT JOIN told{p.rounds} USING (r)),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM seen GROUP BY ALL),
 total AS (SELECT sum(tokens) AS total FROM cells),
 {", ".join(steps)},

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracewell.llm import mixing
 
@@ -102,3 +103,17 @@ def test_nulls_empty_texts_repeats_and_no_rows(spark):
     out = mixing.mix(spark.createDataFrame(data, SCHEMA), p=mixing.Params(rate=1.0)).collect()
     assert sorted(str(r.doc_id) for r in out) == ["3", "3", "None"]
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_are_read_once_and_plans_stay_short(spark):
+    data = rows(300)
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: (read.add(1), t)[1], "string").asNondeterministic()
+    docs = spark.createDataFrame(data, SCHEMA).withColumn("text", seen("text")).withColumn("nothing", F.lit(None))
+    out = mixing.mix(docs, columns=("doc_id", "nothing"))
+    got = out.collect()
+    assert got and out.columns == ["doc_id", "nothing", *mixing.ADDED] and {r.nothing for r in got} == {None}
+    assert read.value == len(data)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("HashAggregate") <= 1
+    assert mixing.sample(docs).columns == docs.columns

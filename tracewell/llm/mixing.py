@@ -72,13 +72,13 @@ def among(found: str, of: list[str]) -> str:
 Topics = dict[str, list[str]]
 
 
-def vocabulary(docs: DataFrame, text_col: str, p: Params = Params()) -> tuple[int, dict[str, int]]:
-    """The number of documents, and of those with each of the most frequent stems that stand in few
-    enough documents, by falling frequency: at most ``p.terms`` reach the driver.  Stems are
-    short, so their sums are small partial aggregates, and counts cover all documents."""
-    total = docs.count()
-    each = F.explode_outer(F.expr(stems(text_col)))  # a plain explode would find the stems again, to filter by their number
-    seen = docs.select(each.alias("stem")).groupBy("stem").agg(F.count("stem").alias("n"))
+def vocabulary(held: DataFrame, p: Params = Params()) -> tuple[int, dict[str, int]]:
+    """The number of documents ``held`` (stems), and of those with each of the most frequent stems that
+    stand in few enough documents, by falling frequency: at most ``p.terms`` reach the driver.
+    Stems are short, so their sums are small partial aggregates, and counts cover all documents."""
+    total = held.count()
+    each = F.explode_outer("stems")  # a plain explode would read the stems twice, to filter by their number
+    seen = held.select(each.alias("stem")).groupBy("stem").agg(F.count("stem").alias("n"))
     some = seen.where((F.col("n") > 0) & (F.col("n") * p.most_docs <= total) & (F.col("n") * p.least_docs >= total))
     return total, {r["stem"]: r["n"] for r in some.orderBy(F.desc("n"), "stem").limit(p.terms).collect()}
 
@@ -110,37 +110,32 @@ def topic(found: str, topics: Topics) -> Column:
         return F.lit(OTHER)
     votes = ", ".join(f"struct(-size({among('some', own)}) AS n, '{name}' AS topic)" for name, own in topics.items())
     best = f"transform(array({found}), some -> array_min(array({votes})))[0]"  # stems are found once
-    return F.get(F.transform(F.array(F.expr(best)), lambda b: F.when(b["n"] < 0, b["topic"]).otherwise(OTHER)), F.lit(0))
+    found_best = F.get(F.transform(F.array(F.expr(best)), lambda b: F.when(b["n"] < 0, b["topic"]).otherwise(OTHER)), F.lit(0))
+    return F.coalesce(found_best, F.lit(OTHER))  # never null: a join on it needs no filter, which would find it again
 
 
-def learn_topics(docs: DataFrame, text_col: str, p: Params = Params()) -> Topics:
-    """Topics of a corpus.
+def learn_topics(held: DataFrame, p: Params = Params()) -> tuple[Topics, DataFrame]:
+    """Topics of documents ``held`` (stems, and what else is known of each), and these documents with
+    the stems of the vocabulary instead (``found``), a table that the caller discards.
 
-    The stems of the vocabulary in each document are stored once; a round is a pass over that
-    table, which sums to at most ``p.topics`` × ``p.terms`` rows.  A stem goes to the topic in whose
-    stems it has the largest share, the first by name of equals; one that stands in documents of
-    no topic belongs to none.
+    A round is a pass over that table, which sums to at most ``p.topics`` × ``p.terms`` rows.  A
+    stem goes to the topic in whose stems it has the largest share, the first by name of equals;
+    one that stands in documents of no topic belongs to none.
     """
-    total, known = vocabulary(docs, text_col, p)
-    if not known:
-        return {}
-    found = materialize(docs.select(F.expr(among(stems(text_col), list(known))).alias("found")), "stems")
+    total, known = vocabulary(held, p)
+    rest = [c for c in held.columns if c != "stems"]
+    found = materialize(held.select(*rest, F.expr(among("stems", list(known))).alias("found")), "found")
     topics: Topics = {a: [a] for a in anchors(found, total, known, p)}
-    for _ in range(p.rounds):
-        told = found.select(topic("found", topics).alias("topic"), "found").where(F.col("topic") != OTHER)  # before stems are rows
-        counts = told.select("topic", F.explode("found").alias("stem")).groupBy("topic", "stem").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    for _ in range(p.rounds if topics else 0):
+        told = found.select(topic("found", topics).alias("topic"), "found")
+        told = told.select("topic", F.explode_outer(F.when(F.col("topic") != OTHER, F.col("found"))).alias("stem"))  # an earlier filter would tell topics twice
+        counts = told.where(F.col("stem").isNotNull()).groupBy("topic", "stem").agg(F.count(F.lit(1)).cast("double").alias("n"))
         sizes = counts.groupBy("topic").agg(F.sum("n").alias("size"))
         share = counts.join(sizes, "topic").select("stem", F.struct((-F.col("n") / F.col("size")).alias("less"), "topic").alias("use"))
         topics = {}
         for r in share.groupBy("stem").agg(F.min("use")["topic"].alias("topic")).orderBy("topic", "stem").collect():
             topics.setdefault(r["topic"], []).append(r["stem"])
-    discard(found)
-    return topics
-
-
-def topic_of(text: str, topics: Topics) -> Column:
-    """The topic of a text."""
-    return topic(among(stems(text), [s for own in topics.values() for s in own]), topics)
+    return topics, found
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -172,57 +167,69 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
     aggregates, so a source that holds most cells is no hot group.
     """
     dims = ["source", "lang", "topic"]
+    cells = cells.where("tokens > 0")
     total = cells.agg(F.sum("tokens").cast("double").alias("_total"))
-    most = F.when(F.col("tokens") > 0, F.col("tokens") / (F.lit(p.rate) * F.col("_total"))).otherwise(0.0)
-    now = cells.where("tokens > 0").join(F.broadcast(total)).withColumn("most", most)
-    now = materialize(now.select(*dims, "tokens", "most", (F.col("tokens") / F.col("_total")).alias("weight")), "cells")
+    now = cells.join(F.broadcast(total))
+    now = now.select(*dims, "tokens", (F.col("tokens") / (F.lit(p.rate) * F.col("_total"))).alias("most"), (F.col("tokens") / F.col("_total")).alias("weight"))
     for d in dims:
-        now = now.join(targets(now, d, p).withColumnRenamed("goal", f"goal_{d}"), d)
+        now = now.join(targets(cells, d, p).withColumnRenamed("goal", f"goal_{d}"), d)
     fixed = [*dims, "tokens", "most", *(f"goal_{d}" for d in dims)]
     now = materialize(now.select(*fixed, "weight"), "cells")
-    for _ in range(p.sweeps):  # each sweep is a small table, so that plans stay short however many there are
-        after = now
-        for d in dims:
-            sums = after.groupBy(d).agg(F.sum("weight").alias("_s"))
+    for _ in range(p.sweeps):
+        for d in dims:  # each step is a small table: plans that hold several double with each, and so does what the driver keeps of them
+            sums = now.groupBy(d).agg(F.sum("weight").alias("_s"))
             scaled = F.when(F.col("_s") > 0, F.col("weight") * F.col(f"goal_{d}") / F.col("_s")).otherwise(0.0)
             held = F.least(scaled, F.col("most")) if d == dims[-1] else scaled
-            after = after.join(sums, d).select(*fixed, held.alias("weight"))
-        after = materialize(after, "cells")
-        discard(now)
-        now = after
+            after = materialize(now.join(sums, d).select(*fixed, held.alias("weight")), "cells")
+            discard(now)
+            now = after
     chance = F.least(F.lit(1.0), F.when(F.col("most") > 0, F.col("weight") / F.col("most")).otherwise(0.0))
+    out = now
     for d in dims:
-        now = now.join(now.groupBy(d).agg(F.sum("weight").alias(f"_{d}")), d)
+        out = out.join(now.groupBy(d).agg(F.sum("weight").alias(f"_{d}")), d)
     off = [(F.col(f"_{d}") - F.col(f"goal_{d}")).alias(f"{d}_residual") for d in dims]
-    return now.select(*dims, "tokens", "weight", chance.alias("probability"), *off)
+    out = materialize(out.select(*dims, "tokens", "weight", chance.alias("probability"), *off), "raked")
+    discard(now)
+    return out
 
 
 #: Columns that :func:`mix` adds.
 ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_source_residual", "mix_lang_residual", "mix_topic_residual")
 
 
-def _drawn(docs: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
-    """The documents that stay, as a struct ``row``, with the columns of ADDED."""
-    seen = docs.select(
-        F.struct(*docs.columns).alias("row"),
+def _drawn(docs: DataFrame, id_col: str, text_col: str, p: Params, columns: list[str]) -> DataFrame:
+    """The documents that stay, as a struct ``row`` of ``columns``, with the columns of ADDED.
+
+    Stems are found in one pass over the texts and stored with what the result needs of each row."""
+    kinds = dict(docs.dtypes)
+    stored = [c for c in columns if kinds[c] != "void"]  # files hold no columns of that type
+    held = materialize(docs.select(
+        F.struct(*stored).alias("row") if stored else F.lit(True).alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit(UNKNOWN)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
-        topic_of(text_col, learn_topics(docs, text_col, p)).alias("topic"),
+        F.expr(stems(text_col)).alias("stems"),
         tokens(text_col).alias("mix_tokens"),
         draw(id_col, p.seed).alias("drawn"),
-    )
+    ), "stems")
     dims = ["source", "lang", "topic"]
-    cells = materialize(seen.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    topics, found = learn_topics(held.select("source", "lang", "mix_tokens", "stems"), p)
+    told = found.select("source", "lang", topic("found", topics).alias("topic"), "mix_tokens")
+    cells = materialize(told.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
+    discard(found)
     raked = rake(cells, p).select(
         *dims, F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"), *(F.col(f"{d}_residual").alias(f"mix_{d}_residual") for d in dims)
     )
-    kept = seen.where("mix_tokens > 0").join(raked, dims).where(F.col("drawn") < F.col("mix_probability"))
-    return kept.withColumnRenamed("topic", "mix_topic")
+    discard(cells)
+    of = topic(among("stems", [s for own in topics.values() for s in own]), topics)
+    seen = held.where("mix_tokens > 0").select("row", "source", "lang", of.alias("topic"), "mix_tokens", "drawn")
+    kept = seen.join(raked, dims).where(F.col("drawn") < F.col("mix_probability")).withColumnRenamed("topic", "mix_topic")
+    row = F.struct(*[F.col(f"row.`{c}`") if c in stored else F.lit(None).alias(c) for c in columns])
+    return kept.withColumn("row", row) if columns else kept
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
-    """The documents that stay, with their columns and those of ADDED (which replace columns
-    of the same names).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params(), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents that stay, with their ``columns`` (by default all) and those of ADDED (which
+    replace columns of the same names).
 
     A document stays if the number drawn by its id lies below its cell's probability, so rows
     that repeat an id stay or go together.  Null source or language counts as ``unknown``;
@@ -230,9 +237,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
     zero.  Goals that the documents at hand cannot meet at the sampling rate are missed by the
     residuals.  No rows give no rows.
     """
-    return _drawn(docs, id_col, text_col, p).select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+    own = [c for c in columns or docs.columns if c not in ADDED]
+    return _drawn(docs, id_col, text_col, p, own).select(*[F.col(f"row.`{c}`") for c in own], *ADDED)
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """The documents that stay, as they were."""
-    return _drawn(docs, id_col, text_col, p).select("row.*")
+    return _drawn(docs, id_col, text_col, p, docs.columns).select("row.*")

@@ -80,7 +80,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumns(
         {"source": F.coalesce("source", F.lit(mixing.UNKNOWN)), "lang": F.coalesce("lang", F.lit(mixing.UNKNOWN))}
     )
-    return mixing.mix(docs).select(
+    return mixing.mix(docs, columns=("doc_id", "source", "lang")).select(
         "doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
         F.round("mix_weight", 9).alias("cell_weight"), F.round("mix_probability", 9).alias("probability"),
         *((F.round(f"mix_{d}_residual", 9) + 0.0).alias(f"{d}_residual") for d in ("source", "lang", "topic")),

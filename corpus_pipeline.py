@@ -12,12 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, packing, quality, simhash, substrings
 from tracewell.llm.common import discard, keep_table, materialize, read, temporary_tables
-from tracewell.llm.queries import QUALITY_CUT, quality_model, vocabulary
-
-
-#: Bytes of a string that counts as a repeated passage here: some forty words, fewer than a
-#: quoted paragraph has, more than phrases share by chance.  The query of the operator takes 400.
-PASSAGE = 200
+from tracewell.llm.queries import PASSAGE, QUALITY_CUT, quality_model, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

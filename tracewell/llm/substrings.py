@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -410,14 +411,17 @@ def _whole_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...], length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...], *lengths: int) -> DataFrame:
+    """``also``, text, and a column of spans for each of ``lengths``."""
     keyed = _keyed(docs, id_col, text_col, also)
-    joined = keyed.join(repeated_spans(keyed, Widths(length)), ["a", "b"], "left")
+    names = [f"spans{k}" for k in range(len(lengths))]
+    found = [repeated_spans(keyed, Widths(n)).withColumnRenamed("spans", name) for n, name in zip(lengths, names, strict=True)]
+    joined = keyed.join(reduce(lambda x, y: x.join(y, ["a", "b"], "full"), found), ["a", "b"], "left")
     none = F.array().cast("array<struct<low:int,high:int>>")
-    return joined.select("also", "text", F.coalesce("spans", none).alias("spans"))
+    return joined.select("also", "text", *(F.coalesce(name, none).alias(name) for name in names))
 
 
-def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int | None = None) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text)`` for every row of ``docs``.
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in
@@ -425,24 +429,35 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with U+FFFD where a character lost some of its bytes.  Null texts count as empty; texts
     shorter than ``length`` lose nothing.  Rows that repeat an id and text are documents of
     their own, so their text repeats.  Other columns are not read.  No rows give no rows.
+
+    ``passage`` adds what strings of so many bytes that occur again would take with them, in
+    whole characters: ``(n_passage_bytes, n_passages, text_without_passages)``.  The other
+    columns do not depend on it.
     """
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    if passage is not None:
+        names += ["n_passage_bytes", "n_passages", "text_without_passages"]
+        kinds += [pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws, rows = raw_texts(batch.column(1)), []
-            for raw, spans in zip(raws, _spans_of(batch.column(2)), strict=True):
+            for raw, spans, *more in zip(raws, *map(_spans_of, batch.columns[2:]), strict=True):
                 kept = _kept(raw, spans)
-                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).field(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"],
-            )
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+                row = [len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")]
+                for passages in more:
+                    passages = _whole_characters(raw, passages)
+                    kept = _kept(raw, passages)
+                    row += [len(raw) - len(kept), len(passages), kept.decode("utf-8", "replace")]
+                rows.append(row)
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).field(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    schema = ", ".join(f"{name} {'string' if kind == pa.string() else 'long'}" for name, kind in zip(names, [pa.int64(), *kinds], strict=True))
     small_batches(docs.sparkSession)
-    return _with_spans(docs, id_col, text_col, (id_col,), length).mapInArrow(run, schema)
+    lengths = (length,) if passage is None else (length, passage)
+    return _with_spans(docs, id_col, text_col, (id_col,), *lengths).mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:

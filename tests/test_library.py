@@ -35,6 +35,31 @@ def test_literals_hold_in_every_match():
     assert tried > 20
 
 
+def test_alternatives_are_looked_up_with_what_stands_around_them(spark):
+    """A table of patterns that share a text before their alternatives is not tried on all lines that hold that text."""
+    want = {
+        "user_id=(?:1|22) x": ["user_id=1 x", "user_id=22 x"], "(?i)ID=(5|67)": ["id=5", "id=67"], "abc(?:|d)e": ["abcde", "abce"], "a(?:b|c)?def": ["def"], "(?:foo|bar)+x": ["bar", "foo"],
+        "k=((a|b)c|de) ": ["k=ac ", "k=bc ", "k=de "], "(?:b|c){2}def": ["def"], "(?=ab|cd)efg": ["efg"],
+    }
+    table = spark.createDataFrame([(p, p) for p in want], "pattern_id string, pattern string")
+    assert {r.pattern_id: r.needed for r in library.rules(table).collect()} == want
+    many = "user_id=" + "(?:0|1)" * 6
+    assert len(library.needed_literals(many, spread=library.SPREAD)) <= library.SPREAD
+    rng = random.Random(7)
+    parts = ["ab", "c", "(?:d|ef)", "(g|)", "(?:h|i)?", "(?:j|kl)+", "(mn|(?:o|p)q)", ".", "|", "(?:r|st){2}", "\\."]
+    texts = ["".join(rng.choices("ab c d ef g h i j kl mn oq pq r st .".replace(" ", ",").split(","), k=40)) for _ in range(200)]
+    tried = 0
+    for _ in range(3000):
+        pattern = "".join(rng.choices(parts, k=rng.randrange(1, 7)))
+        needed = library.needed_literals(pattern, spread=8)
+        for text in rng.sample(texts, 20) if needed else ():
+            m = re.search(pattern, text)
+            if m:
+                tried += 1
+                assert any(x in m[0] for x in needed), (pattern, m[0])
+    assert tried > 20
+
+
 def test_a_library_equals_each_pattern_on_each_line(spark, monkeypatch):
     monkeypatch.setattr(library, "BLOCK", 3)
     rng = random.Random(5)

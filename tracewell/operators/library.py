@@ -24,6 +24,9 @@ GRAMS = (6, 3)
 SAMPLE = 64
 #: Patterns without a literal that one scan tries.
 BLOCK = 500
+#: Texts into which alternatives are multiplied with what stands around them, at most; beyond it, the part with the longest
+#: texts is looked up alone.  Changes no result.
+SPREAD = 32
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,50 +38,55 @@ class _Unknown(Exception):
 class _Reader:
     """What a Java pattern needs: reads it once, and concludes only what holds in any match."""
 
-    def __init__(self, pattern: str):
-        self.p, self.at = pattern, 0
+    def __init__(self, pattern: str, spread: int = 1):
+        self.p, self.at, self.spread = pattern, 0, spread
 
-    def alternation(self) -> tuple[list[str] | None, str | None]:
-        """Literals of which any match holds one (None: unknown), and the text itself if it is nothing else."""
+    def alternation(self) -> tuple[list[str] | None, list[str] | None]:
+        """Literals of which any match holds one (None: unknown), and all its texts if it is nothing else."""
         branches = [self.branch()]
         while self.p[self.at : self.at + 1] == "|":
             self.at += 1
             branches.append(self.branch())
         if len(branches) == 1:
             return branches[0]
+        texts = None
+        if all(branch is not None for _, branch in branches):
+            texts = list(dict.fromkeys(x for _, branch in branches for x in branch))
+            texts = texts if len(texts) <= self.spread else None
         if any(needed is None for needed, _ in branches):
-            return None, None
-        return [x for needed, _ in branches for x in needed], None
+            return None, texts
+        return [x for needed, _ in branches for x in needed], texts
 
-    def branch(self) -> tuple[list[str] | None, str | None]:
-        run, found, pure = "", [], True
+    def branch(self) -> tuple[list[str] | None, list[str] | None]:
+        run, found, pure = [""], [], True  # run: the texts that may stand here so far, one of them does
         while self.at < len(self.p) and self.p[self.at] not in "|)":
-            text, needed = self.item()
+            texts, needed = self.item()
             least, plain = self.quantifier()
-            if text is not None and plain:
-                run += text
+            joined = list(dict.fromkeys(a + b for a in run for b in texts)) if texts is not None else []
+            fits = 0 < len(joined) <= self.spread
+            if fits and plain:
+                run = joined
                 continue
             pure = False
-            if text and least:
-                found.append([run + text])
+            if fits and least:
+                found.append(joined)
             elif needed and least:
                 found.append(needed)
-            if run:
-                found.append([run])
-            run = ""
-        if run:
-            found.append([run])
-        best = max(found, key=lambda alternatives: min(map(len, alternatives)), default=None)
+            found.append(run)
+            run = texts if texts is not None and plain else [""]
+        found.append(run)
+        best = max((x for x in found if any(x)), key=lambda alternatives: min(map(len, alternatives)), default=None)
         return best, run if pure else None
 
-    def item(self) -> tuple[str | None, list[str] | None]:
-        """A literal text (empty for what takes no place), or what a group needs."""
+    def item(self) -> tuple[list[str] | None, list[str] | None]:
+        """The literal texts that may stand here (empty for what takes no place), and what a group needs."""
         c = self.p[self.at]
         self.at += 1
         if c == "\\":
-            return self.escape(), None
+            text = self.escape()
+            return None if text is None else [text], None
         if c in "^$":
-            return "", None
+            return [""], None
         if c == ".":
             return None, None
         if c == "[":
@@ -86,7 +94,7 @@ class _Reader:
             return None, None
         if c == "(":
             return self.group()
-        return c, None
+        return [c], None
 
     def escape(self) -> str | None:
         c = self.p[self.at : self.at + 1]
@@ -120,7 +128,7 @@ class _Reader:
                 depth -= 1
             first = first and c == "^" or c == "["
 
-    def group(self) -> tuple[str | None, list[str] | None]:
+    def group(self) -> tuple[list[str] | None, list[str] | None]:
         silent = False
         if self.p[self.at : self.at + 1] == "?":
             head = self.p[self.at + 1 : self.at + 3]
@@ -134,14 +142,14 @@ class _Reader:
                 self.at = self.p.index(">", self.at) + 1
             elif self.p.startswith("?i)", self.at):  # grams fold case anyway
                 self.at += 3
-                return "", None
+                return [""], None
             else:
                 raise _Unknown
-        needed, text = self.alternation()
+        needed, texts = self.alternation()
         if self.p[self.at : self.at + 1] != ")":
             raise _Unknown
         self.at += 1
-        return (None, None) if silent else (text, needed)
+        return (None, None) if silent else (texts, needed)
 
     def quantifier(self) -> tuple[bool, bool]:
         """Whether what stands before must be there, and whether it stands there just once."""
@@ -159,11 +167,12 @@ class _Reader:
         return least, False
 
 
-def needed_literals(pattern: str, regex: bool = True) -> list[str] | None:
+def needed_literals(pattern: str, regex: bool = True, spread: int = 1) -> list[str] | None:
     """Texts, A-Z as a-z, of which every match of a Java pattern holds at least one; None if
-    nothing is known, or one is shorter than a gram."""
+    nothing is known, or one is shorter than a gram.  Alternatives are multiplied with the texts
+    around them, ``id=(?:1|2)`` into ``id=1`` and ``id=2``, into so many texts at most."""
     try:
-        found = _Reader(pattern) if regex else None
+        found = _Reader(pattern, spread) if regex else None
         needed = found.alternation()[0] if found else [pattern]
         if found and found.at < len(pattern):
             return None
@@ -175,7 +184,7 @@ def needed_literals(pattern: str, regex: bool = True) -> list[str] | None:
 
 def _literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        needed = [needed_literals(p) for p in batch.column(1).to_pylist()]
+        needed = [needed_literals(p, spread=SPREAD) for p in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(needed, pa.list_(pa.string()))], ["pattern_id", "pattern", "needed"])
 
 

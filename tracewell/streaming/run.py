@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.store import file_system, is_folder, scratch
+from ..sources.store import file_system, is_folder, scratch, store
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,18 +79,32 @@ def detect(stream: DataFrame, detector: Detector, name: str) -> DataFrame:
     return spark.read.schema(none.schema).parquet(f"{out}/batch=*")
 
 
+#: Rows of an arrival that one file holds, about: what one task writes.  Changes no result.
+ROWS_A_FILE = 250_000
+
+
 def arrive(rows: DataFrame, order: str, times: int, name: str) -> DataFrame:
     """Rows as a stream of so many arrivals, in the order of a column: ranges of it are written
-    one after the other as one file each, and each is a micro-batch.  It stages the queries of live verbs."""
+    one after the other, each as equally many files, and each is a micro-batch.  It stages the queries of live verbs.
+
+    The rows are worked out once, by all tasks, and so is each arrival.  Where rows did not come to each of an
+    arrival's files, files without rows take their place, so that no micro-batch reads into the next arrival.
+    """
     spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
+    rows = store(rows, name + "-rows")
     shares = [k / times for k in range(1, times)]
-    bounds = (rows.agg(F.percentile_approx(order, shares)).first()[0] or []) if shares else []
-    limits = [None, *sorted(set(bounds)), None]
-    for low, high in zip(limits, limits[1:], strict=False):
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(order, shares or [0.5]).alias("bounds")).first()
+    limits = [None, *sorted(set(seen["bounds"] or []) if shares else []), None]
+    each = max(1, -(-seen["n"] // (times * ROWS_A_FILE)))
+    where, files = file_system(spark, path)
+    for k, (low, high) in enumerate(zip(limits, limits[1:], strict=False)):
         some = rows
         if low is not None:
             some = some.where(rows[order] >= low)
         if high is not None:
             some = some.where(rows[order] < high)
-        some.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        some.repartition(each).write.mode("append").parquet(path)
+        written = sum(f.getPath().getName().startswith("part-") for f in files.listStatus(where))
+        for _ in range(each * (k + 1) - written):
+            rows.where(F.lit(False)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)

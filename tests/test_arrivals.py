@@ -41,3 +41,24 @@ def test_an_arrival_is_written_by_several_tasks(spark, monkeypatch):
     stream = run.arrive(spark.range(200).withColumn("at", F.col("id").cast("double")), "at", 2, "ids")
     stream.writeStream.foreachBatch(look).option("checkpointLocation", run.scratch(spark, "look")).trigger(availableNow=True).start().awaitTermination()
     assert sizes == [10, 10]
+
+
+def test_what_a_detector_reads_of_a_batch_is_worked_out_once(spark):
+    """Fields are dear to find, and a micro-batch is scanned several times."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(text):
+        seen.add(1)
+        return text[-1]
+
+    told = F.udf(tell, "string")
+
+    def detect(rows, carry):
+        known = rows if "_value" in rows.columns else detect.facts(rows)
+        return known.groupBy("_value").count(), known.select(F.max("_value").alias("v"))
+
+    detect.facts = lambda rows: rows.select(told("text").alias("_value"))
+    rows = spark.createDataFrame([(f"x{k % 3}", float(k)) for k in range(40)], "text string, at double")
+    found = run.detect(run.arrive(rows, "at", 2, "rows"), detect, "found").groupBy("_value").sum("count").collect()
+    assert {r[0]: r[1] for r in found} == {"0": 14, "1": 13, "2": 13} and seen.value == 40
+    assert [c for c in live.transition_detector("mode").facts(spark.createDataFrame([], "source string, text string, ts timestamp")).columns] == ["source", "ms", "text", "_value"]

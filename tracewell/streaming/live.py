@@ -95,12 +95,16 @@ def gap_detector(threshold: float = 30) -> Detector:
 def transition_detector(field: str) -> Detector:
     """Changes of a field's value in each source, across micro-batches."""
 
+    def facts(rows: DataFrame) -> DataFrame:
+        return _timed(rows).select("source", "ms", "text", parse.field("text", field).alias("_value"))
+
     def detect(rows: DataFrame, carry: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        known = _timed(rows).withColumn("value", parse.field("text", field)).where("value is not null")
+        known = (rows if "_value" in rows.columns else facts(rows)).withColumnRenamed("_value", "value").where("value is not null")
         before, last = _after_the_last(known, carry, ["ms", "value"])
         found = before.where("_prev.value != _here.value")
         return found.select("source", F.timestamp_millis("_here.ms").alias("ts"), F.col("_prev.value").alias("from_value"), F.col("_here.value").alias("to_value")), last
 
+    detect.facts = facts  # fields are read once, not for each scan of the batch
     return detect
 
 

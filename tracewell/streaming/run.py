@@ -39,7 +39,8 @@ def finish_complete(stream: DataFrame, name: str) -> DataFrame:
 
 
 #: A detector: from a micro-batch and what the ones before handed over (None at first) to what
-#: it found and what it hands on.
+#: it found and what it hands on.  It may have ``facts``: what it reads of a micro-batch, worked out
+#: once and kept while the micro-batch is looked at.
 Detector = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
@@ -59,7 +60,8 @@ def start_detector(stream: DataFrame, detector: Detector, out: str, kept: str, c
             if not files.exists(where):
                 raise FileNotFoundError(f"micro-batch {number} finds nothing that the one before handed on below {kept}")
             before = spark.read.parquet(f"{kept}/{number - 1}")
-        rows = rows.persist(StorageLevel.DISK_ONLY)  # read twice; lost blocks are read from the source again
+        rows = getattr(detector, "facts", lambda r: r)(rows)
+        rows = rows.persist(StorageLevel.DISK_ONLY)  # read several times; lost blocks are read from the source again
         found, carry = detector(rows, before)
         carry.write.mode("overwrite").parquet(f"{kept}/{number}")
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -80,7 +82,7 @@ def detect(stream: DataFrame, detector: Detector, name: str) -> DataFrame:
 
 
 #: Rows of an arrival that one file holds, about: what one task writes.  Changes no result.
-ROWS_A_FILE = 250_000
+ROWS_A_FILE = 100_000
 
 
 def arrive(rows: DataFrame, order: str, times: int, name: str) -> DataFrame:
